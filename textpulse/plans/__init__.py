@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from textpulse.plans import messages
+    from textpulse.plans import events, messages
 
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for mod in (messages,):
+    for mod in (messages, events):
         out.update(mod.QUERIES)
     return out
 
 
 def all_oracles() -> dict[str, str]:
-    from textpulse.plans import messages
+    from textpulse.plans import events, messages
 
     out: dict[str, str] = {}
-    for mod in (messages,):
+    for mod in (messages, events):
         out.update(mod.ORACLE)
     return out
