@@ -38,3 +38,79 @@ def messages_from_conversations(conv: DataFrame) -> DataFrame:
 def event_seconds(events: DataFrame) -> DataFrame:
     """events with ``sec`` = whole epoch seconds of ``ts`` (zone independent)."""
     return events.withColumn("sec", epoch_seconds("ts"))
+
+
+def _conv_columns(conv: DataFrame) -> DataFrame:
+    conv_id = F.col("conv_id").cast("bigint")
+    turn = F.col("turn").cast("bigint")
+    return conv.select(
+        conv_id.alias("conv_id"),
+        turn.alias("turn"),
+        "role",
+        "text",
+        (F.lit(BASE_SECOND) + conv_id * 61 + turn * 45).cast("bigint").alias("sec"),
+        # payload pages of 20 turns, like the reply API's and bullet file's page size
+        (turn - turn % 20).alias("page"),
+    )
+
+
+def reply_payloads_from_conversations(conv: DataFrame) -> DataFrame:
+    """conversations -> reply API payloads (av, json), one per 20-turn page: the page's first
+    turn is the top-level reply, the rest its child replies; it is listed under ``replies``
+    and again under ``hots``. Pages opened by a system turn carry the closed code."""
+    c = _conv_columns(conv)
+    node = F.struct(
+        F.col("sec").alias("ctime"),
+        F.length("text").cast("bigint").alias("like"),
+        F.struct(
+            F.col("role").alias("uname"),
+            F.lit("unknown").alias("sex"),
+            F.struct(F.col("turn").cast("string").alias("current_level")).alias("level_info"),
+        ).alias("member"),
+        F.struct(F.col("text").alias("message")).alias("content"),
+    )
+    pages = c.groupBy("conv_id", "page").agg(
+        F.array_sort(F.collect_list(F.struct("turn", node.alias("node"), F.col("role")))).alias("_t")
+    )
+    top = F.col("_t")[0]
+    children = F.transform(F.slice(F.col("_t"), 2, 1 << 20), lambda x: x["node"])
+    top_node = top["node"].withField("replies", children)
+    payload = F.struct(
+        F.when(top["role"] == "system", F.lit(12002)).otherwise(F.lit(0)).alias("code"),
+        F.struct(F.array(top_node).alias("replies"), F.array(top_node).alias("hots")).alias("data"),
+    )
+    return pages.select(
+        F.concat(F.lit("av"), F.col("conv_id").cast("string")).alias("av"), F.to_json(payload).alias("json")
+    )
+
+
+def _xml_escape(col):
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(col, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+
+
+def bullet_xml_from_conversations(conv: DataFrame) -> DataFrame:
+    """conversations -> bullet XML documents (cid, xml), one per 20-turn page; each turn is a
+    ``<d p="...">text</d>`` element whose p field 5 is the second and field 7 the sender."""
+    c = _conv_columns(conv)
+    elem = F.concat(
+        F.lit('<d p="'),
+        F.concat_ws(",", F.col("turn").cast("string"), F.lit("1"), F.lit("25"), F.lit("16777215"),
+                    F.col("sec").cast("string"), F.lit("0"), F.col("role"),
+                    (F.col("conv_id") * 100_000 + F.col("turn")).cast("string")),
+        F.lit('">'),
+        _xml_escape(F.col("text")),
+        F.lit("</d>"),
+    )
+    docs = c.groupBy("conv_id", "page").agg(F.array_sort(F.collect_list(F.struct("turn", elem.alias("e")))).alias("_e"))
+    return docs.select(
+        F.col("conv_id").alias("cid"),
+        F.concat(F.lit("<i>"), F.array_join(F.transform("_e", lambda x: x["e"]), ""), F.lit("</i>")).alias("xml"),
+    )
+
+
+def user_payloads_from_events(events: DataFrame) -> DataFrame:
+    """events -> user API responses (event_id, uid, value): error events answer a non-zero code."""
+    code = F.when(F.col("event_type") == "error", F.lit(-404)).otherwise(F.lit(0))
+    uid = F.col("user_id").cast("string")
+    value = F.to_json(F.struct(code.alias("code"), F.struct(F.struct(uid.alias("mid")).alias("card")).alias("data")))
+    return events.select("event_id", uid.alias("uid"), value.alias("value"))
