@@ -31,24 +31,33 @@ QUERY_NEGATIVE = ["the", "de"]
 QUERY_POSITIVE = ["of", "la"]
 
 
-def messages(spark: SparkSession, sf_dir: str, drop_special: bool = True) -> DataFrame:
-    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+def prepare_messages(conv: DataFrame, drop_special: bool = True) -> DataFrame:
+    """conversations rows (batch or stream) -> messages with their 5-minute content bucket."""
     msgs = messages_from_conversations(conv)
     if drop_special:
         msgs = msgs.where(~((F.col("origin") == "bullet") & is_special("text")))
     return msgs.withColumn("bucket_ms", bucket_ms("sec"))
 
 
-def tokens(spark: SparkSession, sf_dir: str, min_len: int | None = fixed.MIN_TOKEN_LENGTH,
-           blacklist_scope: str | None = None, strip_latin: bool = False) -> DataFrame:
-    msgs = messages(spark, sf_dir)
+def messages(spark: SparkSession, sf_dir: str, drop_special: bool = True) -> DataFrame:
+    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    return prepare_messages(conv, drop_special)
+
+
+def prepare_tokens(msgs: DataFrame, min_len: int | None = fixed.MIN_TOKEN_LENGTH,
+                   blacklist_scope: str | None = None, strip_latin: bool = False) -> DataFrame:
     toks = tokenize(msgs, min_len=min_len, strip_latin=strip_latin,
                     keep=["av", "origin", "bucket_ms", "arrival_sec", "seq"])
     if blacklist_scope:
-        toks = drop_blacklisted(toks, blacklist(spark), scope=blacklist_scope)
+        toks = drop_blacklisted(toks, blacklist(msgs.sparkSession), scope=blacklist_scope)
     return toks
 
 
+def tokens(spark: SparkSession, sf_dir: str, min_len: int | None = fixed.MIN_TOKEN_LENGTH,
+           blacklist_scope: str | None = None, strip_latin: bool = False) -> DataFrame:
+    return prepare_tokens(messages(spark, sf_dir), min_len, blacklist_scope, strip_latin)
+
+
 def _lexicon(spark: SparkSession) -> DataFrame:
     return lexicon(word_values(spark, QUERY_NEGATIVE), word_values(spark, QUERY_POSITIVE))
 
