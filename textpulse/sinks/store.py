@@ -50,7 +50,12 @@ class TableStore:
             return False
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(table))
+        """The table with ``day`` kept as its ``yyyyMMdd`` string (partition discovery would
+        infer an integer); filters on ``day`` prune partitions."""
+        path = self.path(table)
+        inferred = self.spark.read.parquet(path).schema
+        fields = [T.StructField(f.name, T.StringType()) if f.name == "day" else f for f in inferred.fields]
+        return self.spark.read.schema(T.StructType(fields)).parquet(path)
 
     def scan(self, table: str, columns: Sequence[str] | None = None, where: Column | str | None = None,
              order_by: Sequence[Column | str] | None = None, limit: int | None = None) -> DataFrame:
