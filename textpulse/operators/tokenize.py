@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textpulse import fixed
 from textpulse.functions.text import clean, token_length, words
 
 MAX_DICTIONARY_WORDS = 5_000_000
@@ -76,8 +77,8 @@ def tokenize(messages: DataFrame, text_col: str = "text", mode: str = "regex", d
     text: Column = F.col(text_col)
     if mode == "regex":
         if strip_latin:
-            text = clean(text, strip_latin=True)
-            # punctuation is already a boundary for the regex path; only letters matter here
+            # only the letters go: separators must stay, they are this path's term boundaries
+            text = F.regexp_replace(text, fixed.LATIN_PATTERN, "")
         terms = words(text)
     elif mode == "dictionary":
         if dictionary is None:
