@@ -58,3 +58,16 @@ def test_store_replace_update_delete(spark, tmp_dir):
     assert [r.id for r in store.read("raw").collect()] == ["u1"]
     top = store.scan("raw", columns=["id", "seq"], where=F.col("day") == "d1", order_by=[F.col("seq").desc()], limit=1)
     assert [tuple(r) for r in top.collect()] == [("u1", 5)]
+
+
+def test_document_set_field_and_find(spark, tmp_dir):
+    from textpulse.functions import set_json_field
+
+    store = TableStore(spark, tmp_dir)
+    docs = spark.createDataFrame([("1", '{"mid":"1","name":"a"}', 1, "d"), ("2", '{"mid":"2"}', 2, "d")],
+                                 "id STRING, data STRING, seq BIGINT, day STRING")
+    store.append(docs, "raw_documents")
+    store.update("raw_documents", F.col("id") == "2", {"data": set_json_field("data", "name", "b")})
+    got = {r.id: r.data for r in store.read("raw_documents").collect()}
+    assert got == {"1": '{"mid":"1","name":"a"}', "2": '{"mid":"2","name":"b"}'}
+    assert [r.id for r in store.find("raw_documents", "name", "b").collect()] == ["2"]

@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from textpulse.plans import events, messages, payloads, streams
+    from textpulse.plans import events, increment, messages, payloads, streams
 
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for mod in (messages, events, payloads, streams):
+    for mod in (messages, events, increment, payloads, streams):
         out.update(mod.QUERIES)
     return out
 
 
 def all_oracles() -> dict[str, str]:
-    from textpulse.plans import events, messages, payloads, streams
+    from textpulse.plans import events, increment, messages, payloads, streams
 
     out: dict[str, str] = {}
-    for mod in (messages, events, payloads, streams):
+    for mod in (messages, events, increment, payloads, streams):
         out.update(mod.ORACLE)
     return out

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from textpulse.functions.json import json_field
 from textpulse.operators.upsert import delete_where, update_where, upsert_replace
 from textpulse.session import materialize
 
@@ -72,6 +73,10 @@ class TableStore:
             df = df.limit(limit)
         return df
 
+    def find(self, table: str, field: str, value: object, doc_col: str = "data") -> DataFrame:
+        """Documents whose JSON ``field`` equals ``value`` (document find by one equality)."""
+        return self.read(table).where(json_field(doc_col, field) == F.lit(str(value)))
+
     def list_days(self, table: str) -> DataFrame:
         """The day partitions present in a table (answered from partition metadata)."""
         return self.read(table).select("day").distinct()
