@@ -199,3 +199,70 @@ def seed_ids(spark: SparkSession, first: int, last: int, prefix: str = fixed.VID
     if url_prefix is not None:
         df = df.withColumn("url", F.concat(F.lit(url_prefix), F.col("id").cast("string")))
     return df
+
+
+STAT_SCHEMA = "code INT, data STRUCT<view: BIGINT, reply: BIGINT, favorite: BIGINT, coin: BIGINT, share: BIGINT>"
+TAG_SCHEMA = "code INT, data ARRAY<STRUCT<tag_name: STRING>>"
+PAGELIST_SCHEMA = "code INT, data ARRAY<STRUCT<cid: BIGINT, page: INT, part: STRING>>"
+
+
+def stat_fields(raw: DataFrame, payload_col: str = "json") -> DataFrame:
+    """Stat payloads -> (av, view, replies_number, favorite, coin, share)."""
+    d = F.from_json(F.col(payload_col), STAT_SCHEMA)["data"]
+    return raw.select("av", d["view"].alias("view"), d["reply"].alias("replies_number"),
+                      d["favorite"].alias("favorite"), d["coin"].alias("coin"), d["share"].alias("share"))
+
+
+def tag_names(raw: DataFrame, payload_col: str = "json") -> DataFrame:
+    """Tag payloads -> (av, tag): the list of tag names in payload order."""
+    d = F.from_json(F.col(payload_col), TAG_SCHEMA)["data"]
+    return raw.select("av", F.transform(d, lambda x: x["tag_name"]).alias("tag"))
+
+
+def page_list(raw: DataFrame, payload_col: str = "json") -> DataFrame:
+    """Page-list payloads -> one row per page (av, p, cid, part) and the record's ``count``
+    (pages + 1, as the crawler's page counter ends one past the last page)."""
+    d = F.from_json(F.col(payload_col), PAGELIST_SCHEMA)["data"]
+    return raw.select("av", (F.size(d) + 1).alias("count"), F.explode(d).alias("_pg")).select(
+        "av", F.col("_pg.page").alias("p"), F.col("_pg.cid").alias("cid"), F.col("_pg.part").alias("part"), "count"
+    )
+
+
+def nest_bullets(bullets: DataFrame) -> DataFrame:
+    """(cid, sender, sec, text) -> (cid, bullet): map sender -> (second -> text).
+
+    One map per bullet file: the group is exactly the content of one input document."""
+    per_sender = bullets.groupBy("cid", "sender").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("sec").cast("string"), F.col("text")))).alias("_m")
+    )
+    return per_sender.groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct("sender", "_m"))).alias("bullet"))
+
+
+def assemble_video_records(stats: DataFrame, tags: DataFrame, pages: DataFrame, bullets: DataFrame,
+                           replies: DataFrame) -> DataFrame:
+    """Join the parts of an item into records of the record schema, one per (av, page).
+
+    ``pages``: (av, p, cid, part, count); ``bullets``: (cid, bullet); ``replies``: flattened
+    reply rows with (av, p). Each record carries the item's stat fields and tags and one
+    page's bullets and replies, so its size is bounded by one page's payloads however many
+    pages an item has. All joins are equi-joins on av / cid (shuffle joins; no side is
+    assumed small)."""
+    reply_lists = replies.groupBy("av", "p").agg(
+        F.collect_list(F.struct("time", "name", "sex", "like", "level", "message")).alias("replies")
+    )
+    with_bullets = pages.join(bullets, "cid", "left")
+    page_struct = F.struct(
+        F.col("p"), F.col("cid"), F.col("part"),
+        F.coalesce("bullet", F.create_map().cast(schemas.BULLET_PAGE["bullet"].dataType)).alias("bullet"),
+    )
+    empty_replies = F.array().cast(schemas.VIDEO_RECORD["replies"].dataType)
+    return (
+        with_bullets.join(reply_lists, ["av", "p"], "left")
+        .join(stats, "av", "left")
+        .join(tags, "av", "left")
+        .select(
+            "av", "p", "view", "replies_number", "favorite", "coin", "share", "tag", "count",
+            F.array(page_struct).alias("bullet_screen"),
+            F.coalesce("replies", empty_replies).alias("replies"),
+        )
+    )

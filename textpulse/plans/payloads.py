@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from textpulse import schemas
 from textpulse.operators.payloads import (
     assemble_records,
+    assemble_video_records,
+    nest_bullets,
+    page_list,
+    stat_fields,
+    tag_names,
     flatten_replies,
     last_text_wins,
     page_fields,
@@ -22,7 +27,10 @@ from textpulse.operators.shape import explode_messages
 from textpulse.sources.adapters import (
     bullet_xml_from_conversations,
     messages_from_conversations,
+    pagelist_payloads_from_conversations,
     reply_payloads_from_conversations,
+    stat_payloads_from_conversations,
+    tag_payloads_from_conversations,
     user_payloads_from_events,
 )
 from textpulse.sources.records import parse_records
@@ -69,6 +77,30 @@ def q_nested_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_messages(good).select("av", "origin", "sender", "sec", "text")
 
 
+def q_record_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stat, tag, page-list, bullet and reply payloads joined into records (one per page),
+    rendered as JSON and parsed back; reports the fields and part sizes of every record."""
+    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    bullets = nest_bullets(last_text_wins(parse_bullets(bullet_xml_from_conversations(conv))))
+    replies = flatten_replies(reply_payloads_from_conversations(conv), keep=("av", "p"))
+    records = assemble_video_records(
+        stat_fields(stat_payloads_from_conversations(conv)),
+        tag_names(tag_payloads_from_conversations(conv)),
+        page_list(pagelist_payloads_from_conversations(conv)),
+        bullets,
+        replies,
+    )
+    rendered = records.select("p", F.to_json(F.struct(*[c for c in records.columns if c != "p"])).alias("value"))
+    back = rendered.select("p", F.from_json("value", schemas.VIDEO_RECORD).alias("r")).select("p", "r.*")
+    page = back["bullet_screen"][0]
+    return back.select(
+        "av", "p", "view", "replies_number", "favorite", "coin", "share",
+        F.array_join("tag", ",").alias("tags"), "count", page["cid"].alias("cid"), page["part"].alias("part"),
+        F.aggregate(F.map_values(page["bullet"]), F.lit(0), lambda acc, m: acc + F.size(m)).alias("n_bullets"),
+        F.size("replies").alias("n_replies"),
+    )
+
+
 def q_user_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", ["event_id", "user_id", "event_type"])
     return valid_users(user_payloads_from_events(ev), "value", "uid").select("event_id", "uid", "crc32")
@@ -86,6 +118,7 @@ QUERIES = {
     "reply_flatten": q_reply_flatten,
     "bullet_xml": q_bullet_xml,
     "nested_roundtrip": q_nested_roundtrip,
+    "record_assembly": q_record_assembly,
     "user_crc32": q_user_crc32,
     "seed_ids": q_seed_ids,
 }
@@ -133,13 +166,34 @@ SELECT av, l.list_name, 0 AS node_pos, child_pos, sec AS "time", role AS name, '
 FROM r CROSS JOIN (VALUES ('replies'), ('hots')) AS l(list_name)""",
     "bullet_xml": f"""
 WITH {_CONV_SQL}
-SELECT conv_id AS cid, role AS sender, sec, text FROM c""",
+SELECT conv_id * 1000 + page // 20 AS cid, role AS sender, sec, text FROM c""",
     "nested_roundtrip": """
 SELECT 'av' || CAST(conv_id AS VARCHAR) AS av,
        CASE WHEN role = 'user' THEN 'bullet' ELSE 'reply' END AS origin,
        role AS sender, CAST(1704067200 + conv_id * 61 + turn * 45 AS BIGINT) AS sec, text
 FROM conversations
 WHERE NOT (role = 'user' AND left(text, 1) = '[' AND right(text, 1) = ']' AND length(text) >= 2)""",
+    "record_assembly": f"""
+WITH {_CONV_SQL},
+stat AS (
+  SELECT av, CAST(sum(length(text)) AS BIGINT) AS "view",
+         count(*) FILTER (WHERE role <> 'user') AS replies_number,
+         count(*) FILTER (WHERE role = 'user') AS favorite,
+         max(turn) AS coin, count(*) FILTER (WHERE role = 'system') AS share,
+         CAST(count(DISTINCT page) + 1 AS INTEGER) AS "count"
+  FROM c GROUP BY av
+),
+tags AS (SELECT av, string_agg(role, ',' ORDER BY role) AS tags FROM (SELECT DISTINCT av, role FROM c) GROUP BY av),
+pg AS (
+  SELECT av, page, CAST(page // 20 + 1 AS INTEGER) AS p, conv_id * 1000 + page // 20 AS cid,
+         count(*) AS n_turns, arg_min(role, turn) AS top_role
+  FROM c GROUP BY av, conv_id, page
+)
+SELECT pg.av, pg.p, stat."view", stat.replies_number, stat.favorite, stat.coin, stat.share, tags.tags,
+       stat."count", pg.cid, 'part ' || CAST(pg.p AS VARCHAR) AS part,
+       CAST(pg.n_turns AS INTEGER) AS n_bullets,
+       CAST(CASE WHEN pg.top_role = 'system' THEN 0 ELSE 2 * pg.n_turns END AS INTEGER) AS n_replies
+FROM pg JOIN stat USING (av) JOIN tags USING (av)""",
     "seed_ids": """
 SELECT id, 'av' || CAST(id AS VARCHAR) AS key, 'https://video.example/av' || CAST(id AS VARCHAR) AS url
 FROM (SELECT unnest(generate_series(1, (SELECT max(user_id) FROM events))) AS id)""",

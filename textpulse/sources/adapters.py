@@ -51,6 +51,8 @@ def _conv_columns(conv: DataFrame) -> DataFrame:
         (F.lit(BASE_SECOND) + conv_id * 61 + turn * 45).cast("bigint").alias("sec"),
         # payload pages of 20 turns, like the reply API's and bullet file's page size
         (turn - turn % 20).alias("page"),
+        # one bullet file (cid) per page
+        (conv_id * 1000 + (turn - turn % 20) / 20).cast("bigint").alias("cid"),
     )
 
 
@@ -80,7 +82,9 @@ def reply_payloads_from_conversations(conv: DataFrame) -> DataFrame:
         F.struct(F.array(top_node).alias("replies"), F.array(top_node).alias("hots")).alias("data"),
     )
     return pages.select(
-        F.concat(F.lit("av"), F.col("conv_id").cast("string")).alias("av"), F.to_json(payload).alias("json")
+        F.concat(F.lit("av"), F.col("conv_id").cast("string")).alias("av"),
+        (F.col("page") / 20 + 1).cast("int").alias("p"),
+        F.to_json(payload).alias("json"),
     )
 
 
@@ -101,9 +105,9 @@ def bullet_xml_from_conversations(conv: DataFrame) -> DataFrame:
         _xml_escape(F.col("text")),
         F.lit("</d>"),
     )
-    docs = c.groupBy("conv_id", "page").agg(F.array_sort(F.collect_list(F.struct("turn", elem.alias("e")))).alias("_e"))
+    docs = c.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("turn", elem.alias("e")))).alias("_e"))
     return docs.select(
-        F.col("conv_id").alias("cid"),
+        "cid",
         F.concat(F.lit("<i>"), F.array_join(F.transform("_e", lambda x: x["e"]), ""), F.lit("</i>")).alias("xml"),
     )
 
@@ -114,3 +118,43 @@ def user_payloads_from_events(events: DataFrame) -> DataFrame:
     uid = F.col("user_id").cast("string")
     value = F.to_json(F.struct(code.alias("code"), F.struct(F.struct(uid.alias("mid")).alias("card")).alias("data")))
     return events.select("event_id", uid.alias("uid"), value.alias("value"))
+
+
+def stat_payloads_from_conversations(conv: DataFrame) -> DataFrame:
+    """conversations -> stat API payloads (av, json) with view/reply/favorite/coin/share."""
+    c = _conv_columns(conv)
+    stats = c.groupBy("conv_id").agg(
+        F.sum(F.length("text")).cast("bigint").alias("view"),
+        F.count(F.when(F.col("role") != "user", 1)).alias("reply"),
+        F.count(F.when(F.col("role") == "user", 1)).alias("favorite"),
+        F.max("turn").alias("coin"),
+        F.count(F.when(F.col("role") == "system", 1)).alias("share"),
+    )
+    payload = F.struct(F.lit(0).alias("code"), F.struct("view", "reply", "favorite", "coin", "share").alias("data"))
+    return stats.select(F.concat(F.lit("av"), F.col("conv_id").cast("string")).alias("av"),
+                        F.to_json(payload).alias("json"))
+
+
+def tag_payloads_from_conversations(conv: DataFrame) -> DataFrame:
+    """conversations -> tag API payloads (av, json): one tag per distinct role."""
+    c = _conv_columns(conv)
+    tags = c.groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("roles"))
+    payload = F.struct(F.lit(0).alias("code"),
+                       F.transform("roles", lambda r: F.struct(r.alias("tag_name"))).alias("data"))
+    return tags.select(F.concat(F.lit("av"), F.col("conv_id").cast("string")).alias("av"),
+                       F.to_json(payload).alias("json"))
+
+
+def pagelist_payloads_from_conversations(conv: DataFrame) -> DataFrame:
+    """conversations -> page-list API payloads (av, json): one page (cid, page, part) per 20 turns."""
+    c = _conv_columns(conv).select("conv_id", "cid", "page").distinct()
+    pages = c.groupBy("conv_id").agg(
+        F.collect_list(F.struct(
+            F.col("cid"),
+            (F.col("page") / 20 + 1).cast("int").alias("page"),
+            F.concat(F.lit("part "), (F.col("page") / 20 + 1).cast("int").cast("string")).alias("part"),
+        )).alias("data")
+    )
+    payload = F.struct(F.lit(0).alias("code"), F.col("data"))
+    return pages.select(F.concat(F.lit("av"), F.col("conv_id").cast("string")).alias("av"),
+                        F.to_json(payload).alias("json"))
