@@ -101,3 +101,13 @@ def test_duplicate_map_keys_last_wins(spark):
     # nested maps keep both entries of a repeated key; dedupe=True applies the last-wins rule
     assert sorted(r.text for r in explode_messages(good).collect()) == ["x", "y"]
     assert [r.text for r in explode_messages(good, dedupe=True).collect()] == ["y"]
+
+
+def test_dedupe_keeps_distinct_replies_and_records(spark):
+    rec = ('{"av":"a","bullet_screen":[{"p":1,"cid":1,"part":"x","bullet":{"s":{"1":"x","1":"y","2":"z"}}}],'
+           '"replies":[{"time":5,"name":"n","message":"same"},{"time":5,"name":"n","message":"same"}]}')
+    raw = spark.createDataFrame([(rec,), (rec,)], "value STRING")
+    good, _ = parse_records(raw, schemas.VIDEO_RECORD)
+    rows = sorted((r.origin, r.text) for r in explode_messages(good, dedupe=True).collect())
+    # per record: bullets y, z (x overwritten) and both identical replies; two records
+    assert rows == sorted([("bullet", "y"), ("bullet", "z"), ("reply", "same"), ("reply", "same")] * 2)

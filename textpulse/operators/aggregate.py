@@ -134,7 +134,9 @@ def count_windows(df: DataFrame, order_cols: Sequence[str], size: int = 200, kee
     ever holds the whole input.
     """
     numbered = running_counts(df, [], order_cols, out_col="_rn")
-    total = df.agg(F.count(F.lit(1))).scalar()  # scalar subquery, evaluated once
+    # the row count is the highest number; taken from the numbered (checkpointed) rows so the
+    # input pipeline is not run a second time for it
+    total = numbered.agg(F.max("_rn")).scalar()
     full_windows = F.floor(total / F.lit(size))
     fired = numbered.withColumn(
         window_col, F.floor((F.col("_rn") - 1) / F.lit(size)).cast("bigint")

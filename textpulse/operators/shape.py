@@ -14,40 +14,57 @@ def explode_messages(records: DataFrame, keep: Sequence[str] = (), drop_special:
                      escaped: bool = False, dedupe: bool = False) -> DataFrame:
     """Nested video records -> one row per message: (keep..., av, origin, sender, sec, text).
 
-    Bullets: pages[] -> sender map -> (second -> text) map; replies: one row per reply. Both
-    are unioned (bag union). ``drop_special="bullet"`` drops bracketed special messages from
-    bullets only, ``"all"`` from both, ``None`` keeps them. ``escaped=True`` yields the
-    JSON-escaped text the original processed. ``dedupe=True`` keeps the last text of a
-    duplicated (page, sender, second) key, for raw JSON that repeats map keys.
+    Bullets: pages[] -> sender map -> (second -> text) map; replies: one row per reply. Each
+    record's bullets and replies are first gathered into one array with higher-order
+    functions and exploded once, so the records are read in a single pass (no union of two
+    scans). ``drop_special="bullet"`` drops bracketed special messages from bullets only,
+    ``"all"`` from both, ``None`` keeps them. ``escaped=True`` yields the JSON-escaped text the
+    original processed. ``dedupe=True`` keeps the last text of a (page, sender, second) key
+    repeated inside one map, for raw JSON that repeats keys.
     """
     keep = list(keep)
-    pages = records.select(*keep, "av", F.posexplode("bullet_screen").alias("_page_pos", "_page"))
-    senders = pages.select(*keep, "av", "_page_pos", F.col("_page.cid").alias("_cid"),
-                           F.explode("_page.bullet").alias("sender", "_by_sec"))
-    bullets = senders.select(
-        *keep, "av", "_page_pos", "_cid", "sender", F.posexplode("_by_sec").alias("_pos", "_sec", "text")
+
+    def page_messages(page, page_no):
+        def sender_messages(entry):
+            return F.transform(
+                F.map_entries(entry["value"]),
+                lambda t, i: F.struct(
+                    F.lit("bullet").alias("origin"),
+                    entry["key"].alias("sender"),
+                    t["key"].cast("bigint").alias("sec"),
+                    t["value"].alias("text"),
+                    page_no.alias("_page"),
+                    i.alias("_pos"),
+                ),
+            )
+
+        return F.flatten(F.transform(F.map_entries(page["bullet"]), sender_messages))
+
+    bullets = F.flatten(F.transform(F.coalesce("bullet_screen", F.array()), page_messages))
+    replies = F.transform(
+        F.coalesce("replies", F.array()),
+        lambda r, i: F.struct(
+            F.lit("reply").alias("origin"),
+            r["name"].alias("sender"),
+            r["time"].cast("bigint").alias("sec"),
+            r["message"].alias("text"),
+            F.lit(-1).alias("_page"),
+            i.alias("_pos"),
+        ),
+    )
+    source = records.withColumn("_rec", F.monotonically_increasing_id()) if dedupe else records
+    msgs = source.select(*keep, *(["_rec"] if dedupe else []), "av",
+                         F.explode(F.concat(bullets, replies)).alias("_m")).select(
+        *keep, *(["_rec"] if dedupe else []), "av", "_m.*"
     )
     if dedupe:
-        bullets = bullets.groupBy(*keep, "av", "_page_pos", "_cid", "sender", "_sec").agg(
+        # Repeated keys can only occur inside one map of one record. A reply keeps its own
+        # index in the key, so only bullets sharing (record, page, sender, second) collapse.
+        reply_idx = F.when(F.col("origin") == "reply", F.col("_pos")).otherwise(F.lit(-1)).alias("_ridx")
+        msgs = msgs.groupBy(*keep, "_rec", "av", "origin", "_page", "sender", "sec", reply_idx).agg(
             F.max_by("text", "_pos").alias("text")
-        )
-    bullets = bullets.select(
-        *keep,
-        "av",
-        F.lit("bullet").alias("origin"),
-        "sender",
-        F.col("_sec").cast("bigint").alias("sec"),
-        "text",
-    )
-    replies = records.select(*keep, "av", F.explode("replies").alias("_r")).select(
-        *keep,
-        "av",
-        F.lit("reply").alias("origin"),
-        F.col("_r.name").alias("sender"),
-        F.col("_r.time").cast("bigint").alias("sec"),
-        F.col("_r.message").alias("text"),
-    )
-    msgs = bullets.unionByName(replies)
+        ).drop("_rec", "_ridx")
+    msgs = msgs.drop("_page", "_pos")
     if drop_special == "bullet":
         msgs = msgs.where(~((F.col("origin") == "bullet") & is_special("text")))
     elif drop_special == "all":
