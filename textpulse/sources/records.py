@@ -77,9 +77,13 @@ def parse_records(df: DataFrame, schema: T.StructType, value_col: str = "value",
     instead of failing the job. ``mode="FAILFAST"`` raises on malformed input instead.
     """
     parsed = df.withColumn("_rec", F.from_json(F.col(value_col), schema, {"mode": mode}))
+    has_key = F.col(f"_rec.{key_field}").isNotNull()
+    if mode.upper() == "FAILFAST":
+        # every row is parsed (a malformed one fails the job); nothing is quarantined
+        good = parsed.where(has_key).select(*[c for c in df.columns if c != value_col], "_rec.*")
+        return good, parsed.where(F.lit(False)).select(*df.columns, F.lit("").alias("reason"))
     # any JSON object, including ones that repeat keys (see explode_messages(dedupe=True))
     valid_json = F.json_object_keys(F.col(value_col)).isNotNull()
-    has_key = F.col(f"_rec.{key_field}").isNotNull()
     good = parsed.where(valid_json & has_key).select(
         *[c for c in df.columns if c != value_col], "_rec.*"
     )
