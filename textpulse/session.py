@@ -36,11 +36,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     On a cluster this setting names shared storage and is always used as is. Only when it is
     unset (local tests) a fresh scratch folder is created and registered in the session.
     """
-    root = spark.conf.get(CHECKPOINT_CONF, None)
+    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="textpulse-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, root)
-    spark.sparkContext.setCheckpointDir(root)
+        current = spark.sparkContext.getCheckpointDir()  # set directly on the context
+        if current:
+            return current
+        root = tempfile.mkdtemp(prefix="textpulse-ckpt-")  # tests / local runs only
+        try:
+            spark.conf.set(CHECKPOINT_CONF, root)
+        except Exception:  # a session that rejects core settings still gets the context dir
+            pass
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(root)
     return root
 
 
