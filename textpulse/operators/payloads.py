@@ -51,15 +51,18 @@ def page_fields(pages: DataFrame, rules: Mapping[str, tuple[str, int]] | None =
     return pages.withColumns(cols)
 
 
-def _reply_row(node: Column) -> list[Column]:
-    return [
+def _reply_struct(node: Column, list_name: str, node_pos: Column, child_pos: Column) -> Column:
+    return F.struct(
+        F.lit(list_name).alias("list_name"),
+        node_pos.alias("node_pos"),
+        child_pos.alias("child_pos"),
         node["ctime"].alias("time"),
         node["member"]["uname"].alias("name"),
         node["member"]["sex"].alias("sex"),
         node["like"].alias("like"),
         node["member"]["level_info"]["current_level"].cast("int").alias("level"),
         node["content"]["message"].alias("message"),
-    ]
+    )
 
 
 def flatten_replies(raw: DataFrame, payload_col: str = "json", keep: tuple[str, ...] = ("av",)) -> DataFrame:
@@ -67,27 +70,27 @@ def flatten_replies(raw: DataFrame, payload_col: str = "json", keep: tuple[str,
     reply followed by its child replies. Payloads with the closed code yield nothing;
     replies present in both lists are kept twice.
 
+    The reply tree of a payload is turned into one array with higher-order functions and
+    exploded once (a single pass over the payloads).
     Output: keep..., list_name, node_pos, child_pos (-1 for a top-level reply), reply fields.
     """
     keep = list(keep)
     parsed = raw.select(*keep, F.from_json(F.col(payload_col), schemas.REPLY_PAYLOAD).alias("_p")).where(
         F.col("_p.code") != fixed.REPLIES_CLOSED_CODE
     )
-    lists = parsed.select(
-        *keep,
-        F.inline(
-            F.array(
-                F.struct(F.lit("replies").alias("list_name"), F.col("_p.data.replies").alias("nodes")),
-                F.struct(F.lit("hots").alias("list_name"), F.col("_p.data.hots").alias("nodes")),
-            )
-        ),
+
+    def rows_of(list_name: str):
+        def node_rows(node, i):
+            top = F.array(_reply_struct(node, list_name, i, F.lit(-1)))
+            children = F.transform(F.coalesce(node["replies"], F.array()),
+                                   lambda c, j: _reply_struct(c, list_name, i, j))
+            return F.concat(top, children)
+
+        return F.flatten(F.transform(F.coalesce(F.col(f"_p.data.{list_name}"), F.array()), node_rows))
+
+    return parsed.select(*keep, F.explode(F.concat(rows_of("replies"), rows_of("hots"))).alias("_r")).select(
+        *keep, "_r.*"
     )
-    nodes = lists.select(*keep, "list_name", F.posexplode("nodes").alias("node_pos", "_n"))
-    tops = nodes.select(*keep, "list_name", "node_pos", F.lit(-1).alias("child_pos"), *_reply_row(F.col("_n")))
-    children = nodes.select(
-        *keep, "list_name", "node_pos", F.posexplode("_n.replies").alias("child_pos", "_c")
-    ).select(*keep, "list_name", "node_pos", "child_pos", *_reply_row(F.col("_c")))
-    return tops.unionByName(children)
 
 
 BULLET_XML_SCHEMA = "d ARRAY<STRUCT<_p: STRING, _VALUE: STRING>>"

@@ -27,19 +27,23 @@ from textpulse.sinks.store import TableStore
 
 
 def _increments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hot = (
-        tokens(spark, sf_dir)
+    """Per arrival window: surviving hot-word counts (metric ``hotword``) and polarity counts.
+
+    Both come from one count per (window, bucket, word) over all terms, so the text is
+    tokenised once and the shared aggregate is reused by the two branches."""
+    per_word = (
+        tokens(spark, sf_dir, min_len=None)
         .withColumn("win_ms", arrival_window_ms("arrival_sec"))
         .groupBy("win_ms", "bucket_ms", "word")
         .agg(F.count(F.lit(1)).alias("v"))
-        .where(F.col("v") >= fixed.HOT_WORD_THRESHOLD)
-        .select("win_ms", F.lit("hotword").alias("metric"), "v")
     )
+    hot = per_word.where(
+        (F.length("word") >= fixed.MIN_TOKEN_LENGTH) & (F.col("v") >= fixed.HOT_WORD_THRESHOLD)
+    ).select("win_ms", F.lit("hotword").alias("metric"), "v")
     senti = (
-        classify(tokens(spark, sf_dir, min_len=None), _lexicon(spark))
-        .withColumn("win_ms", arrival_window_ms("arrival_sec"))
+        classify(per_word, _lexicon(spark))
         .groupBy("win_ms", F.col("emotion").alias("metric"))
-        .agg(F.count(F.lit(1)).alias("v"))
+        .agg(F.sum("v").alias("v"))
     )
     return hot.unionByName(senti).withColumn("sec", (F.col("win_ms") / 1000).cast("bigint"))
 
