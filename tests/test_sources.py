@@ -43,3 +43,11 @@ def test_file_source_envelope_and_publish_round_trip(spark, tmp_dir):
     assert back == [3, 4]
     keys = sorted(r.key for r in json_payload(src, "av").collect())
     assert keys == ["av1", "av2"]
+
+
+def test_scale_conf_sizes_partitions():
+    from textpulse.session import scale_conf
+
+    conf = scale_conf(100 * (1 << 40), cores=8000)  # 100 TiB
+    assert int(conf["spark.sql.shuffle.partitions"]) == 100 * (1 << 40) // (256 << 20)
+    assert scale_conf(1 << 20, cores=8)["spark.sql.shuffle.partitions"] == "16"

@@ -67,3 +67,24 @@ def materialize(df):
     """
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20, cores: int = 8000) -> dict[str, str]:
+    """Session settings sized for an input of ``input_bytes`` on a cluster with ``cores`` cores.
+
+    Initial shuffle partitions are set so a partition of the input's size stays near
+    ``target_partition_bytes`` (and at least 2 waves of the cluster's cores); AQE then
+    coalesces small partitions toward the same advisory size and splits skewed ones in joins.
+    Scan splits use the same target so a task's input fits comfortably in executor memory.
+    """
+    partitions = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+    }
