@@ -82,3 +82,48 @@ def test_two_branches_one_source_with_idempotent_accumulate(spark, tmp_dir):
     store.accumulate(replay, "hot_word", ["bucket_ms", "word"], "cnt", 0)
     after = store.accumulated("hot_word", ["bucket_ms", "word"], "cnt").agg(F.sum("cnt")).first()[0]
     assert after == before - batch0 + replay_total
+
+
+def test_watermark_drops_late_rows(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "tok")
+    schema = "bucket_ms BIGINT, word STRING, arrival_sec BIGINT"
+    spark.createDataFrame([(0, "w", 10_000), (0, "w", 10_010)], schema).write.parquet(os.path.join(src, "a"))
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+              .parquet(src))
+    log = os.path.join(tmp_dir, "log")
+    q = (windowed_hot_words(stream, watermark="1 minute").writeStream.outputMode("update")
+         .foreachBatch(write_updates(log)).option("checkpointLocation", os.path.join(tmp_dir, "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    # a second file arrives later: one row far behind the watermark, one on time
+    spark.createDataFrame([(0, "w", 100), (0, "w", 10_020)], schema).write.parquet(os.path.join(src, "b"))
+    q = (windowed_hot_words(stream, watermark="1 minute").writeStream.outputMode("update")
+         .foreachBatch(write_updates(log)).option("checkpointLocation", os.path.join(tmp_dir, "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    final = {r.window_ms: r.cnt for r in last_emitted(spark.read.parquet(log), ["window_ms", "bucket_ms", "word"]).collect()}
+    assert final == {9_900_000: 3}  # the late row (arrival 100 s) was dropped
+
+
+def test_snapshot_ticks_runs_increment_job(spark, tmp_dir):
+    from textpulse.plans.increment import increment_tick
+    from textpulse.streaming.jobs import snapshot_ticks
+
+    store = TableStore(spark, os.path.join(tmp_dir, "store"))
+    hot_schema = "times_stamp BIGINT, word STRING, count BIGINT, day STRING"
+    emo_schema = "times_stamp BIGINT, av STRING, emotional STRING, count BIGINT, day STRING"
+    store.append(spark.createDataFrame([(0, "w", 12, "19700101")], hot_schema), "hot_word")
+    store.ensure_table("emotional_word", emo_schema)
+    ticks = os.path.join(tmp_dir, "ticks")
+    spark.range(1).write.parquet(ticks)
+    source = spark.readStream.schema("id BIGINT").parquet(ticks)
+    seen = []
+
+    def on_tick(batch, batch_id):
+        seen.append(batch_id)
+        increment_tick(store, 300_000 * (batch_id + 1))
+
+    q = snapshot_ticks(source, on_tick, os.path.join(tmp_dir, "ck"), period="1 second")
+    q.processAllAvailable()
+    q.stop()
+    assert seen and {r.metric: r["count"] for r in store.read("increment").collect()}["hotword"] == 12

@@ -14,6 +14,7 @@ shared storage on a cluster.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,12 +39,28 @@ class TableStore:
 
     # ---- create / read ------------------------------------------------------------------
     def ensure_table(self, table: str, schema: str | T.StructType) -> None:
-        """Create an empty table with this schema if none exists (create-if-not-exists)."""
+        """Create an empty table with this schema if none exists (create-if-not-exists).
+
+        The schema is kept in ``<table>/_schema`` (ignored by the parquet reader), so an empty
+        table can be read before its first write."""
         if self.exists(table):
             return
-        self.spark.createDataFrame([], schema).write.mode("ignore").partitionBy("day").parquet(self.path(table))
+        self._write_schema(table, self.spark.createDataFrame([], schema).schema)
+
+    def _write_schema(self, table: str, schema: T.StructType) -> None:
+        marker = self.spark.createDataFrame([(schema.json(),)], "v STRING")
+        marker.coalesce(1).write.mode("overwrite").text(f"{self.path(table)}/_schema")
+
+    def _stored_schema(self, table: str) -> T.StructType | None:
+        try:
+            row = self.spark.read.text(f"{self.path(table)}/_schema").first()
+        except AnalysisException:
+            return None
+        return T.StructType.fromJson(json.loads(row.value)) if row else None
 
     def exists(self, table: str) -> bool:
+        if self._stored_schema(table) is not None:
+            return True
         try:
             self.spark.read.parquet(self.path(table)).schema
             return True
@@ -54,8 +71,10 @@ class TableStore:
         """The table with ``day`` kept as its ``yyyyMMdd`` string (partition discovery would
         infer an integer); filters on ``day`` prune partitions."""
         path = self.path(table)
-        inferred = self.spark.read.parquet(path).schema
-        fields = [T.StructField(f.name, T.StringType()) if f.name == "day" else f for f in inferred.fields]
+        schema = self._stored_schema(table)
+        if schema is None:
+            schema = self.spark.read.parquet(path).schema
+        fields = [T.StructField(f.name, T.StringType()) if f.name == "day" else f for f in schema.fields]
         return self.spark.read.schema(T.StructType(fields)).parquet(path)
 
     def scan(self, table: str, columns: Sequence[str] | None = None, where: Column | str | None = None,
@@ -111,7 +130,10 @@ class TableStore:
         with no rows are removed, so a delete that empties a day takes effect."""
         rows = materialize(new_rows)
         if days is None:
+            stored = self._stored_schema(table)
             rows.write.mode("overwrite").partitionBy("day").parquet(self.path(table))
+            if stored is not None:  # a full overwrite clears the folder, schema marker included
+                self._write_schema(table, stored)
             return
         rows.write.mode("overwrite").options(**DYNAMIC).partitionBy("day").parquet(self.path(table))
         kept = {r[0] for r in rows.select("day").distinct().collect()}  # at most one row per day
