@@ -1,4 +1,3 @@
-import pandas as pd
 from pyspark.sql import functions as F
 
 from textpulse.operators.aggregate import count_windows, hot_words, hot_words_two_level, running_counts

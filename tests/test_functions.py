@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from textpulse.functions import bucket_ms, clean, crc32_of, day_of_ms, escaped_form, is_special, previous_day
 

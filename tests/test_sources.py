@@ -2,7 +2,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from textpulse import fixed, schemas
 from textpulse.sinks.publish import json_payload, publish_json

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from textpulse.operators.timeseries import (
     day_changes,
