@@ -160,7 +160,7 @@ kept AS (
 terms AS (
   SELECT av, origin, bucket_ms, arrival_sec, seq,
          unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS word,
-         unnest(generate_series(0, len(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) - 1)) AS pos
+         CAST(unnest(generate_series(0, len(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) - 1)) AS INTEGER) AS pos
   FROM kept
 ),
 toks AS (SELECT * FROM terms WHERE length(word) >= 2),
