@@ -93,6 +93,9 @@ def flatten_replies(raw: DataFrame, payload_col: str = "json", keep: tuple[str,
     )
 
 
+# Join keys per item when attaching item sizes to messages (spreads a hot item over tasks).
+SIZE_SALTS = 32
+
 BULLET_XML_SCHEMA = "d ARRAY<STRUCT<_p: STRING, _VALUE: STRING>>"
 
 
@@ -133,9 +136,15 @@ def assemble_records(msgs: DataFrame, max_per_record: int = 5000, part_name: str
     """
     sizes = msgs.groupBy("av").agg(F.count(F.lit(1)).alias("_n"))
     n_parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_per_record)))
-    parted = msgs.join(sizes, "av").withColumn(
-        "part_no", F.pmod(F.xxhash64("origin", "sender", "sec"), n_parts.cast("bigint"))
+    # Salted join: a hot item's messages spread over SIZE_SALTS join keys; the one-row-per-item
+    # size table is replicated once per salt.
+    salted_sizes = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SIZE_SALTS - 1))))
+    hashed = msgs.withColumn("_h", F.xxhash64("origin", "sender", "sec")).withColumn(
+        "_salt", F.pmod(F.col("_h"), F.lit(SIZE_SALTS)).cast("int")
     )
+    parted = hashed.join(salted_sizes, ["av", "_salt"]).withColumn(
+        "part_no", F.pmod(F.col("_h"), n_parts.cast("bigint"))
+    ).drop("_h", "_salt")
     bullets = parted.where(F.col("origin") == "bullet")
     last = F.max_by("text", order_col) if order_col else F.max("text")
     bullets = bullets.groupBy("av", "part_no", "sender", "sec").agg(last.alias("text"))
