@@ -11,9 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpulse import fixed
-from textpulse.plans.messages import prepare_messages, prepare_tokens
+from textpulse.plans.messages import MESSAGES_SQL, RUNNING_SQL, prepare_messages, prepare_tokens
 from textpulse.session import scratch_path
-from textpulse.streaming.jobs import last_emitted, running_word_counts, table_stream, windowed_hot_words, write_updates
+from textpulse.streaming.jobs import (
+    ROCKSDB_PROVIDER,
+    last_emitted,
+    running_counts_per_record,
+    running_word_counts,
+    table_stream,
+    windowed_hot_words,
+    write_updates,
+)
 
 CONVERSATION_SCHEMA = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
 
@@ -23,11 +31,11 @@ def _token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare_tokens(prepare_messages(conv))
 
 
-def _run_to_end(result: DataFrame, name: str) -> str:
+def _run_to_end(result: DataFrame, name: str, mode: str = "update") -> str:
     spark = result.sparkSession
     log = scratch_path(spark, f"{name}-log")
     query = (
-        result.writeStream.outputMode("update")
+        result.writeStream.outputMode(mode)
         .foreachBatch(write_updates(log))
         .option("checkpointLocation", scratch_path(spark, f"{name}-ckpt"))
         .trigger(availableNow=True)
@@ -52,9 +60,21 @@ def q_stream_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_emitted(spark.read.parquet(log), ["bucket_ms", "word"]).select("bucket_ms", "word", "cnt")
 
 
+def q_stream_running_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-record running count of (bucket, word) in arrival order (stateful processor, one
+    count per key in a RocksDB state store); cleaned stream with the blacklist on replies."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    conv = table_stream(spark, sf_dir, CONVERSATION_SCHEMA, glob="conversations.parquet")
+    toks = prepare_tokens(prepare_messages(conv), blacklist_scope="reply")
+    out = running_counts_per_record(toks, ["bucket_ms", "word"], ["seq", "pos"])
+    log = _run_to_end(out, "stream-running-per-record", mode="append")
+    return spark.read.parquet(log).select("bucket_ms", "word", "seq", "pos", "running_cnt")
+
+
 QUERIES = {
     "stream_tumbling": q_stream_tumbling,
     "stream_running": q_stream_running,
+    "stream_running_per_record": q_stream_running_per_record,
 }
 
 _TOKENS = """
@@ -77,4 +97,6 @@ SELECT (arrival_sec - arrival_sec % 300) * 1000 AS window_ms, bucket_ms, word, c
 FROM toks GROUP BY 1, 2, 3 HAVING count(*) >= 10""",
     "stream_running": f"""WITH {_TOKENS}
 SELECT bucket_ms, word, count(*) AS cnt FROM toks GROUP BY 1, 2""",
+    "stream_running_per_record": f"""WITH {MESSAGES_SQL}, {RUNNING_SQL}
+SELECT bucket_ms, word, seq, pos, running_cnt FROM running""",
 }

@@ -16,7 +16,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from textpulse import fixed
 from textpulse.functions.time import seconds_to_timestamp
@@ -108,3 +109,57 @@ def snapshot_ticks(source: DataFrame, on_tick: Callable[[DataFrame, int], None],
         .trigger(processingTime=period)
         .start()
     )
+
+
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class RunningCountProcessor(StatefulProcessor):
+    """Per-key running counts emitted for every input record.
+
+    The processor is keyed by a coarse group (first key + hash salt of the other keys); its
+    state is one map from the fine key to its count so far, read and written once per group
+    and micro-batch. Within a micro-batch a key's rows are numbered in ``order_cols`` order,
+    continuing from the stored count. State is unbounded, as in the original (no TTL)."""
+
+    def __init__(self, fine_keys: Sequence[str], order_cols: Sequence[str], out_col: str = "running_cnt"):
+        self.fine_keys = list(fine_keys)
+        self.order_cols = list(order_cols)
+        self.out_col = out_col
+
+    def init(self, handle) -> None:
+        self.counts = handle.getValueState("counts", "counts MAP<STRING, BIGINT>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order_cols, kind="stable")
+        parts = [pdf[c].astype(str) for c in self.fine_keys]
+        fine = parts[0] if len(parts) == 1 else pd.concat(parts, axis=1).agg("\x1f".join, axis=1)
+        stored = dict(self.counts.get()[0] or {}) if self.counts.exists() else {}
+        base = fine.map(lambda k: stored.get(k, 0)).astype("int64")
+        pdf[self.out_col] = base + fine.groupby(fine, sort=False).cumcount().astype("int64") + 1
+        last = pdf[self.out_col].groupby(fine, sort=False).max()
+        stored.update({k: int(v) for k, v in last.items()})
+        self.counts.update((stored,))
+        yield pdf.drop(columns=[c for c in ("_salt",) if c in pdf.columns])
+
+    def close(self) -> None:
+        pass
+
+
+def running_counts_per_record(tokens: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
+                              out_col: str = "running_cnt", salts: int = 8) -> DataFrame:
+    """Streaming per-record running counts: every input record is emitted (``append`` mode)
+    with its key's count so far, in arrival order across micro-batches and ``order_cols``
+    order within one. State is grouped by (first key, hash of the other keys mod ``salts``),
+    so a hot first key is spread over ``salts`` groups. Needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass`` = :data:`ROCKSDB_PROVIDER`)."""
+    keys = list(keys)
+    cols = list(dict.fromkeys([*keys, *order_cols]))
+    rest = keys[1:] or keys
+    rows = tokens.select(*cols).withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
+    schema = T.StructType(list(tokens.select(*cols).schema.fields) + [T.StructField(out_col, T.LongType())])
+    return rows.groupBy(keys[0], "_salt").transformWithStateInPandas(
+        RunningCountProcessor(rest, order_cols, out_col), schema, "Append", "None"
+    )
