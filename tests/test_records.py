@@ -111,3 +111,12 @@ def test_dedupe_keeps_distinct_replies_and_records(spark):
     rows = sorted((r.origin, r.text) for r in explode_messages(good, dedupe=True).collect())
     # per record: bullets y, z (x overwritten) and both identical replies; two records
     assert rows == sorted([("bullet", "y"), ("bullet", "z"), ("reply", "same"), ("reply", "same")] * 2)
+
+
+def test_malformed_second_key_does_not_fail_the_job(spark):
+    raw = spark.createDataFrame(
+        [('{"av":"a","bullet_screen":[{"p":1,"cid":1,"part":"x","bullet":{"s":{"12x":"t","5":"u"}}}],"replies":[]}',)],
+        "value STRING",
+    )
+    good, _ = parse_records(raw, schemas.VIDEO_RECORD)
+    assert {r.text: r.sec for r in explode_messages(good).collect()} == {"u": 5, "t": None}

@@ -60,7 +60,7 @@ def _reply_struct(node: Column, list_name: str, node_pos: Column, child_pos: Col
         node["member"]["uname"].alias("name"),
         node["member"]["sex"].alias("sex"),
         node["like"].alias("like"),
-        node["member"]["level_info"]["current_level"].cast("int").alias("level"),
+        node["member"]["level_info"]["current_level"].try_cast("int").alias("level"),
         node["content"]["message"].alias("message"),
     )
 
@@ -113,7 +113,7 @@ def parse_bullets(raw: DataFrame, xml_col: str = "xml", keep: tuple[str, ...] =
         *keep,
         "pos",
         fields.getItem(fixed.BULLET_SENDER_FIELD).alias("sender"),
-        fields.getItem(fixed.BULLET_SECOND_FIELD).cast("bigint").alias("sec"),
+        fields.getItem(fixed.BULLET_SECOND_FIELD).try_cast("bigint").alias("sec"),
         F.coalesce(F.col("_d._VALUE"), F.lit("")).alias("text"),
     )
 
@@ -159,7 +159,7 @@ def assemble_records(msgs: DataFrame, max_per_record: int = 5000, part_name: str
         F.array(
             F.struct(
                 F.lit(1).alias("p"),
-                F.regexp_extract("av", r"(\d+)", 1).cast("bigint").alias("cid"),
+                F.regexp_extract("av", r"(\d+)", 1).try_cast("bigint").alias("cid"),
                 F.lit(part_name).alias("part"),
                 F.col("bullet"),
             )

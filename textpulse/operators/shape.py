@@ -31,7 +31,7 @@ def explode_messages(records: DataFrame, keep: Sequence[str] = (), drop_special:
                 lambda t, i: F.struct(
                     F.lit("bullet").alias("origin"),
                     entry["key"].alias("sender"),
-                    t["key"].cast("bigint").alias("sec"),
+                    t["key"].try_cast("bigint").alias("sec"),  # a non-numeric key gives null
                     t["value"].alias("text"),
                     page_no.alias("_page"),
                     i.alias("_pos"),
