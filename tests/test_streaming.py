@@ -152,3 +152,24 @@ def test_per_record_running_counts_over_micro_batches(spark, tmp_dir):
     ref = running_counts(first.drop("running_cnt"), ["bucket_ms", "word"], ["seq", "pos"])
     assert sorted(map(tuple, first.collect())) == sorted(map(tuple, ref.select(*first.columns).collect()))
 
+
+
+def test_elapsed_resets_stream_equals_batch_on_time_ordered_files(spark, tmp_dir):
+    from textpulse.operators.timeseries import elapsed_resets
+    from textpulse.sources.adapters import event_seconds
+    from textpulse.streaming.jobs import ROCKSDB_PROVIDER, elapsed_resets_stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    ev = event_seconds(spark.read.parquet(f"{SF}/events.parquet")).select("user_id", "sec", "event_id")
+    src = os.path.join(tmp_dir, "ev")
+    cut1, cut2 = 1704067200 + 10 * 86400, 1704067200 + 20 * 86400
+    for i, cond in enumerate([F.col("sec") < cut1, (F.col("sec") >= cut1) & (F.col("sec") < cut2), F.col("sec") >= cut2]):
+        ev.where(cond).coalesce(1).write.parquet(os.path.join(src, f"part{i}"))
+    stream = (spark.readStream.schema("user_id BIGINT, sec BIGINT, event_id BIGINT").option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    log = _run(elapsed_resets_stream(stream, "user_id", "sec", "event_id", 86400), tmp_dir, "resets", mode="append")
+    got = spark.read.parquet(log)
+    assert got.select("batch_id").distinct().count() == 3
+    batch = elapsed_resets(ev, "user_id", "sec", "event_id", 86400)
+    cols = ["user_id", "event_id", "sec", "reset_no"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from textpulse import fixed
 from textpulse.plans.messages import MESSAGES_SQL, RUNNING_SQL, prepare_messages, prepare_tokens
 from textpulse.session import scratch_path
+from textpulse.plans.events import ORACLE as EVENTS_ORACLE
+from textpulse.sources.adapters import event_seconds
 from textpulse.streaming.jobs import (
     ROCKSDB_PROVIDER,
+    elapsed_resets_stream,
     last_emitted,
     running_counts_per_record,
     running_word_counts,
@@ -24,6 +27,7 @@ from textpulse.streaming.jobs import (
 )
 
 CONVERSATION_SCHEMA = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
+EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
 def _token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,10 +75,21 @@ def q_stream_running_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(log).select("bucket_ms", "word", "seq", "pos", "running_cnt")
 
 
+def q_stream_elapsed_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user: first event, then every first event at least 24 h after the last reset, as a
+    stateful stream over the events file (arrival order across micro-batches)."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    ev = event_seconds(table_stream(spark, sf_dir, EVENT_SCHEMA, glob="events.parquet"))
+    out = elapsed_resets_stream(ev, "user_id", "sec", "event_id", 86_400)
+    log = _run_to_end(out, "stream-elapsed-resets", mode="append")
+    return spark.read.parquet(log).select("user_id", "event_id", "sec", "reset_no")
+
+
 QUERIES = {
     "stream_tumbling": q_stream_tumbling,
     "stream_running": q_stream_running,
     "stream_running_per_record": q_stream_running_per_record,
+    "stream_elapsed_resets": q_stream_elapsed_resets,
 }
 
 _TOKENS = """
@@ -99,4 +114,5 @@ FROM toks GROUP BY 1, 2, 3 HAVING count(*) >= 10""",
 SELECT bucket_ms, word, count(*) AS cnt FROM toks GROUP BY 1, 2""",
     "stream_running_per_record": f"""WITH {MESSAGES_SQL}, {RUNNING_SQL}
 SELECT bucket_ms, word, seq, pos, running_cnt FROM running""",
+    "stream_elapsed_resets": EVENTS_ORACLE["elapsed_resets"],
 }

@@ -163,3 +163,67 @@ def running_counts_per_record(tokens: DataFrame, keys: Sequence[str], order_cols
     return rows.groupBy(keys[0], "_salt").transformWithStateInPandas(
         RunningCountProcessor(rest, order_cols, out_col), schema, "Append", "None"
     )
+
+
+class ElapsedResetProcessor(StatefulProcessor):
+    """Greedy elapsed-interval resets in arrival order: a key's first row resets, then the first
+    row at least ``interval_s`` after the key's last reset. Keyed by a hash salt of the key;
+    state per salt group: key -> last reset second, and key -> resets so far."""
+
+    def __init__(self, key_col: str, sec_col: str, id_col: str, interval_s: int):
+        self.key_col, self.sec_col, self.id_col, self.interval_s = key_col, sec_col, id_col, interval_s
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "last MAP<STRING, BIGINT>")
+        self.count = handle.getValueState("count", "count MAP<STRING, BIGINT>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(
+            [self.key_col, self.sec_col, self.id_col], kind="stable")
+        last_by_key = dict(self.last.get()[0] or {}) if self.last.exists() else {}
+        count_by_key = dict(self.count.get()[0] or {}) if self.count.exists() else {}
+        keys = pdf[self.key_col].to_numpy()
+        secs = pdf[self.sec_col].to_numpy()
+        ids = pdf[self.id_col].to_numpy()
+        out_k, out_id, out_s, out_n = [], [], [], []
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        ends = np.r_[starts[1:], len(keys)]
+        for a, b in zip(starts, ends):
+            k = int(keys[a])
+            sk = str(k)
+            last = int(last_by_key[sk]) if sk in last_by_key else None
+            n = int(count_by_key[sk]) if sk in count_by_key else -1
+            i = a
+            while i < b:
+                if last is not None and secs[i] - last < self.interval_s:
+                    # jump to the first row at least interval_s after the last reset
+                    i = a + int(np.searchsorted(secs[a:b], last + self.interval_s, side="left"))
+                    continue
+                last, n = int(secs[i]), n + 1
+                out_k.append(k), out_id.append(int(ids[i])), out_s.append(last), out_n.append(n)
+                i += 1
+            last_by_key[sk], count_by_key[sk] = last, n
+        self.last.update((last_by_key,))
+        self.count.update((count_by_key,))
+        yield pd.DataFrame({self.key_col: pd.Series(out_k, dtype="int64"), self.id_col: pd.Series(out_id, dtype="int64"),
+                            self.sec_col: pd.Series(out_s, dtype="int64"), "reset_no": pd.Series(out_n, dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def elapsed_resets_stream(df: DataFrame, key_col: str, sec_col: str, id_col: str, interval_s: int,
+                          salts: int = 64) -> DataFrame:
+    """Streaming elapsed-interval resets (``append`` mode); rows are processed in arrival order
+    across micro-batches and in (second, id) order within one. Needs the RocksDB state store."""
+    rows = df.select(
+        F.col(key_col).cast("bigint").alias(key_col), F.col(sec_col).cast("bigint").alias(sec_col),
+        F.col(id_col).cast("bigint").alias(id_col),
+    ).withColumn("_salt", F.pmod(F.xxhash64(key_col), F.lit(salts)).cast("int"))
+    schema = f"{key_col} BIGINT, {id_col} BIGINT, {sec_col} BIGINT, reset_no BIGINT"
+    return rows.groupBy("_salt").transformWithStateInPandas(
+        ElapsedResetProcessor(key_col, sec_col, id_col, interval_s), schema, "Append", "None"
+    )
