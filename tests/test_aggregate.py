@@ -44,3 +44,10 @@ def test_two_level_never_exceeds_global_count(spark):
     assert two
     for r in two:
         assert r.cnt <= one[(r.bucket_ms, r.word)]
+
+
+def test_count_windows_flush_lists(spark):
+    df = spark.range(450).withColumnRenamed("id", "seq")
+    lists = count_windows(df, ["seq"], size=200, keep=F.col("seq") % 50 == 0, collect=True).orderBy("window_no")
+    got = [(r.window_no, [x.seq for x in r.rows]) for r in lists.collect()]
+    assert got == [(0, [0, 50, 100, 150]), (1, [200, 250, 300, 350])]

@@ -125,13 +125,14 @@ def totals(df: DataFrame, value_col: str | None, by_col: str | None = None, valu
 
 
 def count_windows(df: DataFrame, order_cols: Sequence[str], size: int = 200, keep: Column | None = None,
-                  window_col: str = "window_no") -> DataFrame:
+                  window_col: str = "window_no", collect: bool = False) -> DataFrame:
     """Global count windows: rows in ``order_cols`` order are cut into consecutive windows of
     ``size`` rows; only full windows fire (a trailing partial window never does). Rows of a
     fired window that satisfy ``keep`` are emitted with their window number.
 
     Row numbers come from the skew-safe :func:`running_counts` with no key, so no single task
-    ever holds the whole input.
+    ever holds the whole input. ``collect=True`` flushes each fired window as one list of its
+    kept rows in order (window_no, rows); a list holds at most ``size`` rows.
     """
     numbered = running_counts(df, [], order_cols, out_col="_rn")
     # the row count is the highest number; taken from the numbered (checkpointed) rows so the
@@ -143,4 +144,10 @@ def count_windows(df: DataFrame, order_cols: Sequence[str], size: int = 200, kee
     ).where(F.col(window_col) < full_windows)
     if keep is not None:
         fired = fired.where(keep)
+    if collect:
+        payload = [c for c in fired.columns if c not in ("_rn", window_col)]
+        lists = fired.groupBy(window_col).agg(
+            F.array_sort(F.collect_list(F.struct(F.col("_rn"), *[F.col(c) for c in payload]))).alias("_l")
+        )
+        return lists.select(window_col, F.transform("_l", lambda x: x.dropFields("_rn")).alias("rows"))
     return fired.drop("_rn")
