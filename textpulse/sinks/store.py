@@ -97,7 +97,7 @@ class TableStore:
         return self.read(table).where(json_field(doc_col, field) == F.lit(str(value)))
 
     def list_days(self, table: str) -> DataFrame:
-        """The day partitions present in a table (answered from partition metadata)."""
+        """The day partitions present in a table (a scan that reads no data columns)."""
         return self.read(table).select("day").distinct()
 
     # ---- writes -------------------------------------------------------------------------
