@@ -40,3 +40,25 @@ def test_flatten_reads_records_once(spark):
     text = _formatted(spark, df)
     physical = text.split("\n\n")[0]
     assert "Union" not in physical
+
+
+def test_store_day_filter_prunes_partitions(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from textpulse.sinks.store import TableStore
+
+    store = TableStore(spark, tmp_dir)
+    rows = spark.createDataFrame([("20240101", "w", 1), ("20240102", "w", 2)], "day STRING, word STRING, count BIGINT")
+    store.append(rows, "hot_word")
+    df = store.scan("hot_word", columns=["word", "count"], where=F.col("day") == "20240102")
+    text = _formatted(spark, df)
+    assert "PartitionFilters: [isnotnull(day" in text and "(day#" in text
+    assert [tuple(r) for r in df.collect()] == [("w", 2)]
+
+
+def test_time_split_reaches_the_parquet_scan(spark):
+    text = _formatted(spark, E.queries()["raw_upsert_last"](spark, SF))
+    assert "PushedFilters: [IsNotNull(ts), LessThan(ts," in text
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts," in text
+    schemas = {frozenset(m.split(",")) for m in re.findall(r"ReadSchema: struct<([^>]*)>", text)}
+    assert schemas == {frozenset(["event_id:bigint", "ts:timestamp_ntz", "user_id:bigint", "props:string"])}
