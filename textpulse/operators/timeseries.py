@@ -94,7 +94,9 @@ def elapsed_resets(df: DataFrame, key_col: str, sec_col: str, id_col: str, inter
 
     The chain is sequential per key. Rows are hash-partitioned by key and sorted within
     partitions; one streaming pass per partition (``mapInPandas``) keeps only the current key
-    and its last reset, so memory stays at one Arrow batch however large a key is.
+    and its last reset, so memory stays at one Arrow batch however large a key is, and the
+    pass jumps from reset to reset with a binary search, so the Python work for a key is
+    O(resets x log rows) rather than O(rows).
     """
     schema = f"{key_col} long, {id_col} long, {sec_col} long, reset_no long"
     key_i, id_i, sec_i = key_col, id_col, sec_col
@@ -107,19 +109,26 @@ def elapsed_resets(df: DataFrame, key_col: str, sec_col: str, id_col: str, inter
             keys = pdf[key_i].to_numpy()
             secs = pdf[sec_i].to_numpy()
             ids = pdf[id_i].to_numpy()
-            sel = np.zeros(len(pdf), dtype=bool)
-            nos = np.zeros(len(pdf), dtype=np.int64)
-            for i in range(len(pdf)):
-                k = keys[i]
-                if k != cur_key:
-                    cur_key, last, count = k, None, -1
-                if last is None or secs[i] - last >= interval_s:
-                    last = secs[i]
-                    count += 1
-                    sel[i] = True
-                    nos[i] = count
-            if sel.any():
-                yield pd.DataFrame({key_i: keys[sel], id_i: ids[sel], sec_i: secs[sel], "reset_no": nos[sel]})
+            picked, nos = [], []
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            for a, b in zip(starts, np.r_[starts[1:], len(keys)]):
+                if keys[a] != cur_key:
+                    cur_key, last, count = keys[a], None, -1
+                i = a
+                while i < b:
+                    if last is not None and secs[i] - last < interval_s:
+                        # jump straight to the first row at least interval_s after the last
+                        # reset: work per key is O(resets * log rows), not O(rows)
+                        i = a + int(np.searchsorted(secs[a:b], last + interval_s, side="left"))
+                        continue
+                    last, count = secs[i], count + 1
+                    picked.append(i)
+                    nos.append(count)
+                    i += 1
+            if picked:
+                idx = np.asarray(picked)
+                yield pd.DataFrame({key_i: keys[idx], id_i: ids[idx], sec_i: secs[idx],
+                                    "reset_no": np.asarray(nos, dtype=np.int64)})
 
     ordered = (
         df.select(F.col(key_col).cast("bigint").alias(key_col), F.col(id_col).cast("bigint").alias(id_col),
