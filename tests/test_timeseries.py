@@ -57,3 +57,19 @@ def test_elapsed_resets_greedy(spark):
     df = spark.createDataFrame(rows, "k BIGINT, id BIGINT, sec BIGINT")
     got = sorted(tuple(r) for r in elapsed_resets(df, "k", "sec", "id", DAY).collect())
     assert got == [(7, 0, 0, 0), (7, 3, DAY, 1), (7, 5, 2 * DAY + 10, 2), (7, 6, 5 * DAY, 3), (8, 100, 50, 0)]
+
+
+def test_hot_keys_take_the_parallel_path_with_identical_results(spark):
+    import random
+
+    from textpulse.operators.timeseries import _elapsed_resets_sequential, elapsed_resets_doubling
+
+    rnd = random.Random(7)
+    rows = [(rnd.choice([1, 1, 1, 1, 2, 3, 4]), i, rnd.randint(0, 30 * DAY)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k BIGINT, id BIGINT, sec BIGINT")
+    seq = sorted(map(tuple, _elapsed_resets_sequential(df, "k", "sec", "id", DAY).collect()))
+    dbl = sorted(map(tuple, elapsed_resets_doubling(df, "k", "sec", "id", DAY).select("k", "id", "sec", "reset_no").collect()))
+    assert seq == dbl
+    # key 1 (~57% of rows) is hot here; the hybrid splits it off and gives the same rows
+    hybrid = elapsed_resets(df, "k", "sec", "id", DAY, hot_fraction=0.3, hot_min_rows=10)
+    assert sorted(map(tuple, hybrid.select("k", "id", "sec", "reset_no").collect())) == seq

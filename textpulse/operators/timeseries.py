@@ -87,11 +87,33 @@ def day_changes(df: DataFrame, sec_col: str, id_col: str) -> DataFrame:
                          F.col("_f.id").alias(id_col), F.col("_f.sec").alias(sec_col))
 
 
-def elapsed_resets(df: DataFrame, key_col: str, sec_col: str, id_col: str, interval_s: int) -> DataFrame:
+def elapsed_resets(df: DataFrame, key_col: str, sec_col: str, id_col: str, interval_s: int,
+                   hot_fraction: float = 1e-4, hot_min_rows: int = 1_000_000) -> DataFrame:
     """Greedy elapsed-interval resets per key: a key's first row resets, and afterwards the
     first row at least ``interval_s`` after the last reset resets again (the daily/hourly
     clock of the original). Returns the reset rows: (key, id, sec, reset_no), reset_no from 0.
 
+    Keys holding more than max(``hot_min_rows``, ``hot_fraction`` of all rows) rows — at most
+    1 / ``hot_fraction`` keys, so their list is safe to broadcast — go to the parallel
+    :func:`elapsed_resets_doubling`; all other keys take the sequential scan below.
+    """
+    rows = df.select(F.col(key_col).cast("bigint").alias(key_col), F.col(id_col).cast("bigint").alias(id_col),
+                     F.col(sec_col).cast("bigint").alias(sec_col))
+    total = rows.count()
+    threshold = max(hot_min_rows, int(hot_fraction * total))
+    hot = rows.groupBy(key_col).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > threshold).select(key_col)
+    if hot.limit(1).count() == 0:
+        return _elapsed_resets_sequential(rows, key_col, sec_col, id_col, interval_s)
+    hot = F.broadcast(hot)  # at most 1 / hot_fraction keys
+    cold = _elapsed_resets_sequential(rows.join(hot, key_col, "left_anti"), key_col, sec_col, id_col, interval_s)
+    heavy = elapsed_resets_doubling(rows.join(hot, key_col, "left_semi"), key_col, sec_col, id_col, interval_s)
+    return cold.unionByName(heavy.select(*cold.columns))
+
+
+def _elapsed_resets_sequential(df: DataFrame, key_col: str, sec_col: str, id_col: str, interval_s: int
+                               ) -> DataFrame:
+    """Sequential form of :func:`elapsed_resets`.
+
     The chain is sequential per key. Rows are hash-partitioned by key and sorted within
     partitions; one streaming pass per partition (``mapInPandas``) keeps only the current key
     and its last reset, so memory stays at one Arrow batch however large a key is, and the
@@ -137,3 +159,83 @@ def elapsed_resets(df: DataFrame, key_col: str, sec_col: str, id_col: str, inter
         .sortWithinPartitions(key_col, sec_col, id_col)
     )
     return ordered.mapInPandas(resets, schema)
+
+
+def _next_at_least(df: DataFrame, key_col: str, sec_col: str, id_col: str, interval_s: int,
+                   num_partitions: int) -> DataFrame:
+    """For every row, the id and second of the key's first row (in (sec, id) order) whose second
+    is at least ``sec + interval_s``: (key, id, sec, next_id, next_sec), next_* null if none.
+
+    As-of lookup without a window over the whole key: rows and probes (sec + interval) are
+    range-partitioned on (key, time) and pinned by a checkpoint; inside a (partition, key)
+    slice the next row comes from a following-rows window; probes with no row left in their
+    slice take the first row of the key's next non-empty slice from a per-(partition, key)
+    table (at most partitions x keys rows)."""
+    from textpulse.session import materialize
+
+    rows = df.select(F.col(key_col).alias("_k"), F.col(sec_col).alias("_t"), F.lit(1).alias("_kind"),
+                     F.col(id_col).alias("_id"), F.col(sec_col).alias("_sec"))
+    probes = df.select(F.col(key_col).alias("_k"), (F.col(sec_col) + F.lit(interval_s)).alias("_t"),
+                       F.lit(0).alias("_kind"), F.col(id_col).alias("_id"), F.col(sec_col).alias("_sec"))
+    # probes sort before rows at the same second, so "at or after" includes equal seconds
+    ranged = materialize(
+        rows.unionByName(probes).repartitionByRange(num_partitions, "_k", "_t", "_kind", "_id")
+        .withColumn("_pid", F.spark_partition_id())
+    )
+    is_row = F.col("_kind") == 1
+    row_key = F.when(is_row, F.struct(F.col("_t").alias("t"), F.col("_id").alias("id")))
+    following = (Window.partitionBy("_pid", "_k").orderBy("_t", "_kind", "_id")
+                 .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    local = ranged.withColumn("_nxt", F.first(row_key, ignorenulls=True).over(following))
+    firsts = ranged.where(is_row).groupBy("_pid", "_k").agg(F.min(row_key).alias("_first"))
+    later = Window.partitionBy("_k").orderBy("_pid").rowsBetween(1, Window.unboundedFollowing)
+    carry = firsts.select("_pid", "_k", F.first("_first", ignorenulls=True).over(later).alias("_carry"))
+    probed = local.where(F.col("_kind") == 0).join(carry, ["_pid", "_k"], "left")
+    nxt = F.coalesce(F.col("_nxt"), F.col("_carry"))
+    return probed.select(
+        F.col("_k").alias(key_col), F.col("_id").alias(id_col), F.col("_sec").alias(sec_col),
+        nxt["id"].alias("next_id"), nxt["t"].alias("next_sec"),
+    )
+
+
+def elapsed_resets_doubling(df: DataFrame, key_col: str, sec_col: str, id_col: str, interval_s: int,
+                            num_partitions: int | None = None, max_levels: int = 40) -> DataFrame:
+    """Exact parallel form of :func:`elapsed_resets` for keys too large for one task.
+
+    Resets are the orbit of a key's first row under ``next`` (first row at least the interval
+    later). Pointer doubling builds jump tables ``jump_k = next^(2^k)`` (a self-join per level,
+    checkpointed), and the orbit is enumerated from the first rows with the same tables:
+    S_(k+1) = S_k + jump_k(S_k). Cost: about 2 * log2(resets per key) joins over the rows; no
+    task ever holds a whole key. Same output as :func:`elapsed_resets`."""
+    from textpulse.session import materialize
+
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = df.select(F.col(key_col).cast("bigint").alias(key_col), F.col(sec_col).cast("bigint").alias(sec_col),
+                     F.col(id_col).cast("bigint").alias(id_col))
+    nxt = materialize(_next_at_least(base, key_col, sec_col, id_col, interval_s, n))
+    # level 0: id -> (id of next, second of next)
+    jumps = [nxt.select(F.col(id_col).alias("_from"), F.col("next_id").alias("_to"), F.col("next_sec").alias("_to_sec"))]
+    # orbit starts: each key's first row
+    first = base.groupBy(key_col).agg(F.min(F.struct(sec_col, id_col)).alias("_f")).select(
+        key_col, F.col(f"_f.{id_col}").alias(id_col), F.col(f"_f.{sec_col}").alias(sec_col),
+        F.lit(0).cast("bigint").alias("reset_no"))
+    found = materialize(first)
+    for level in range(max_levels):
+        step = jumps[level]
+        # extend every known reset by 2^level steps along next
+        ext = (found.join(step, found[id_col] == step["_from"])
+               .where(F.col("_to").isNotNull())
+               .select(key_col, F.col("_to").alias(id_col), F.col("_to_sec").alias(sec_col),
+                       (F.col("reset_no") + F.lit(1 << level)).alias("reset_no")))
+        grown = materialize(found.unionByName(ext).dropDuplicates([key_col, id_col]))
+        if grown.count() == found.count():
+            return grown
+        found = grown
+        # jump_(k+1)(e) = jump_k(jump_k(e))
+        a, b = step.alias("a"), step.alias("b")
+        jumps.append(materialize(
+            a.join(b, F.col("a._to") == F.col("b._from"), "left")
+            .select(F.col("a._from").alias("_from"), F.col("b._to").alias("_to"), F.col("b._to_sec").alias("_to_sec"))
+        ))
+    raise RuntimeError(f"more than 2^{max_levels} resets for one key")
