@@ -50,3 +50,13 @@ def test_scale_conf_sizes_partitions():
     conf = scale_conf(100 * (1 << 40), cores=8000)  # 100 TiB
     assert int(conf["spark.sql.shuffle.partitions"]) == 100 * (1 << 40) // (256 << 20)
     assert scale_conf(1 << 20, cores=8)["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_jdbc_options_partitioned_read():
+    from textpulse.sources.records import jdbc_options
+
+    opts = jdbc_options("jdbc:mysql://db/x", "hot_word", "times_stamp", 0, 100, 4, {"user": "u"})
+    assert opts["partitionColumn"] == "times_stamp" and opts["numPartitions"] == "4"
+    assert opts["pushDownAggregate"] == "true" and opts["user"] == "u"
+    with pytest.raises(ValueError):
+        jdbc_options("jdbc:x", "t", "c")

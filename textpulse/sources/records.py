@@ -118,20 +118,29 @@ def blacklist(spark: SparkSession, path: str | None = None) -> DataFrame:
     return word_list(spark, path) if path else word_values(spark, fixed.BLACKLIST_WORDS)
 
 
+def jdbc_options(url: str, table: str, partition_column: str | None = None, lower: int | None = None,
+                 upper: int | None = None, num_partitions: int | None = None,
+                 properties: dict[str, str] | None = None) -> dict[str, str]:
+    """Options for Spark's JDBC source: a partitioned read (one query per stride of
+    ``partition_column``) with aggregate and limit pushdown enabled."""
+    opts = {"url": url, "dbtable": table, "pushDownAggregate": "true", "pushDownLimit": "true"}
+    if partition_column is not None:
+        if lower is None or upper is None:
+            raise ValueError("a partitioned JDBC read needs lower and upper bounds")
+        opts.update({
+            "partitionColumn": partition_column,
+            "lowerBound": str(lower),
+            "upperBound": str(upper),
+            "numPartitions": str(num_partitions or 8),
+        })
+    opts.update(properties or {})
+    return opts
+
+
 def jdbc_scan(spark: SparkSession, url: str, table: str, partition_column: str | None = None,
               lower: int | None = None, upper: int | None = None, num_partitions: int | None = None,
               properties: dict[str, str] | None = None) -> DataFrame:
     """Partitioned JDBC scan; filters, projections, limits and aggregates on the result are
     pushed to the database by Spark's JDBC source."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    if partition_column is not None:
-        reader = (
-            reader.option("partitionColumn", partition_column)
-            .option("lowerBound", str(lower))
-            .option("upperBound", str(upper))
-            .option("numPartitions", str(num_partitions or 8))
-        )
-    reader = reader.option("pushDownAggregate", "true").option("pushDownLimit", "true")
-    for k, v in (properties or {}).items():
-        reader = reader.option(k, v)
-    return reader.load()
+    opts = jdbc_options(url, table, partition_column, lower, upper, num_partitions, properties)
+    return spark.read.format("jdbc").options(**opts).load()
