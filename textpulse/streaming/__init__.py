@@ -1,8 +1,11 @@
 """Structured Streaming queries built from the same operators as the batch jobs."""
 
 from textpulse.streaming.jobs import (
+    count_window_sink,
+    elapsed_resets_stream,
     last_emitted,
     run_branches,
+    running_counts_per_record,
     running_word_counts,
     snapshot_ticks,
     table_stream,
@@ -11,8 +14,11 @@ from textpulse.streaming.jobs import (
 )
 
 __all__ = [
+    "count_window_sink",
+    "elapsed_resets_stream",
     "last_emitted",
     "run_branches",
+    "running_counts_per_record",
     "running_word_counts",
     "snapshot_ticks",
     "table_stream",

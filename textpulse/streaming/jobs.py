@@ -227,3 +227,49 @@ def elapsed_resets_stream(df: DataFrame, key_col: str, sec_col: str, id_col: str
     return rows.groupBy("_salt").transformWithStateInPandas(
         ElapsedResetProcessor(key_col, sec_col, id_col, interval_s), schema, "Append", "None"
     )
+
+
+def count_window_sink(root: str, order_cols: Sequence[str], size: int = 200, keep=None) -> BatchSink:
+    """A ``foreachBatch`` sink cutting the stream into global windows of ``size`` rows in
+    arrival order (batch id, then ``order_cols``); each full window fires once, rows passing
+    ``keep`` are written to ``<root>/out`` with their window number, and the rows of the
+    unfinished window are carried to the next batch (at most ``size - 1`` rows).
+
+    Carried rows and the next window number are stored per batch id under ``<root>/state``, and
+    output is written per batch id with dynamic overwrite, so a replayed batch reproduces the
+    same result."""
+    from textpulse.operators.aggregate import running_counts
+    from textpulse.session import materialize
+
+    order_cols = list(order_cols)
+    spark_of = lambda df: df.sparkSession
+
+    def read_state(spark, batch_id: int):
+        if batch_id == 0:
+            return None, 0
+        prev = f"{root}/state/batch_id={batch_id - 1}"
+        meta = spark.read.json(f"{prev}/meta").first()
+        pending = spark.read.parquet(f"{prev}/pending")
+        return pending, int(meta["next_window"])
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = spark_of(batch)
+        pending, next_window = read_state(spark, batch_id)
+        rows = batch.withColumn("_b", F.lit(int(batch_id)).cast("bigint"))
+        if pending is not None:
+            rows = pending.unionByName(rows)
+        numbered = materialize(running_counts(rows, [], ["_b", *order_cols], out_col="_rn"))
+        total = numbered.count()
+        full = total // size
+        win = F.floor((F.col("_rn") - 1) / F.lit(size)).cast("bigint")
+        fired = numbered.where(win < full).withColumn("window_no", win + F.lit(next_window))
+        if keep is not None:
+            fired = fired.where(keep)
+        (fired.drop("_rn", "_b").withColumn("batch_id", F.lit(int(batch_id))).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{root}/out"))
+        state = f"{root}/state/batch_id={batch_id}"
+        numbered.where(win >= full).drop("_rn").write.mode("overwrite").parquet(f"{state}/pending")
+        spark.createDataFrame([(next_window + full,)], "next_window BIGINT").coalesce(1).write.mode(
+            "overwrite").json(f"{state}/meta")
+
+    return sink
