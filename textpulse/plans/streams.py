@@ -15,8 +15,10 @@ from textpulse.plans.messages import MESSAGES_SQL, RUNNING_SQL, prepare_messages
 from textpulse.session import scratch_path
 from textpulse.plans.events import ORACLE as EVENTS_ORACLE
 from textpulse.sources.adapters import event_seconds
+from textpulse.plans.messages import ORACLE as MESSAGES_ORACLE
 from textpulse.streaming.jobs import (
     ROCKSDB_PROVIDER,
+    count_window_sink,
     elapsed_resets_stream,
     last_emitted,
     running_counts_per_record,
@@ -85,11 +87,31 @@ def q_stream_elapsed_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(log).select("user_id", "event_id", "sec", "reset_no")
 
 
+def q_stream_count_window_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-record running counts (stateful stream) cut into global windows of 200 records by a
+    micro-batch sink that carries the unfinished window; records with a running count above
+    10 are emitted with their window number."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    conv = table_stream(spark, sf_dir, CONVERSATION_SCHEMA, glob="conversations.parquet")
+    toks = prepare_tokens(prepare_messages(conv), blacklist_scope="reply")
+    running = running_counts_per_record(toks, ["bucket_ms", "word"], ["seq", "pos"])
+    root = scratch_path(spark, "stream-count-windows")
+    sink = count_window_sink(root, ["seq", "pos"], size=200, keep=F.col("running_cnt") > 10)
+    query = (running.writeStream.outputMode("append").foreachBatch(sink)
+             .option("checkpointLocation", scratch_path(spark, "stream-count-windows-ckpt"))
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(f"streaming query failed: {query.exception()}")
+    return spark.read.parquet(f"{root}/out").select("window_no", "bucket_ms", "word", "seq", "pos", "running_cnt")
+
+
 QUERIES = {
     "stream_tumbling": q_stream_tumbling,
     "stream_running": q_stream_running,
     "stream_running_per_record": q_stream_running_per_record,
     "stream_elapsed_resets": q_stream_elapsed_resets,
+    "stream_count_window_batches": q_stream_count_window_batches,
 }
 
 _TOKENS = """
@@ -115,4 +137,5 @@ SELECT bucket_ms, word, count(*) AS cnt FROM toks GROUP BY 1, 2""",
     "stream_running_per_record": f"""WITH {MESSAGES_SQL}, {RUNNING_SQL}
 SELECT bucket_ms, word, seq, pos, running_cnt FROM running""",
     "stream_elapsed_resets": EVENTS_ORACLE["elapsed_resets"],
+    "stream_count_window_batches": MESSAGES_ORACLE["count_window_batches"],
 }
