@@ -62,3 +62,17 @@ def test_time_split_reaches_the_parquet_scan(spark):
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts," in text
     schemas = {frozenset(m.split(",")) for m in re.findall(r"ReadSchema: struct<([^>]*)>", text)}
     assert schemas == {frozenset(["event_id:bigint", "ts:timestamp_ntz", "user_id:bigint", "props:string"])}
+
+
+def test_doubling_resets_never_window_rows_by_key_alone(spark):
+    from textpulse.operators.timeseries import _next_at_least
+
+    df = spark.createDataFrame([(1, i, i * 1000) for i in range(50)], "k BIGINT, id BIGINT, sec BIGINT")
+    text = _formatted(spark, _next_at_least(df, "k", "sec", "id", 86400, 4))
+    # the "next row" window over rows is partitioned by (range partition id, key); the only
+    # window by key alone runs over the per-(partition, key) first-row table
+    windows = re.findall(r"first\((\w+)#\d+, true\) windowspecdefinition\((\w+)#", text)
+    by_col = {expr: part for expr, part in windows}
+    assert by_col.pop("_first") == "_k"  # boundary table: one row per (partition, key)
+    assert by_col and all(part == "_pid" for part in by_col.values()), windows
+    assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
