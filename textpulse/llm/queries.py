@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpulse.llm import bpe, decontaminate, line_chunks, repetition, simhash, token_counts
+from textpulse.llm import bpe, chat, decontaminate, line_chunks, pii, repetition, simhash, token_counts, url_rules, warc
+from textpulse.session import scratch_path
 from textpulse.sources.tables import read_table
 
 TOKEN_LIMIT = 512
@@ -22,6 +23,20 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Explicit URL rules (fixed values of the contract).
+ALLOW = ("org/", "com/fr/")
+BLOCK = ("example.org/es/", "example.org/en/1", "com/de/")
+
+
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url: explicit rules, else rules mined from the labelled pages."""
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "url"])
+    labels = read_table(spark, sf_dir, "labels")
+    bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
+    labelled = pages.join(labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), "page_id").select("url", "bad")
+    return url_rules.judge_urls(pages, url_rules.mine_rules(labelled), ALLOW, BLOCK)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contamination of every document by the benchmark's 13-word windows."""
     found = decontaminate.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -46,6 +61,17 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_report(read_table(spark, sf_dir, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans and those the trained classifier adds."""
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived by content address, then read back."""
+    back = warc.archive_round_trip(read_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
@@ -56,18 +82,72 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path(), TOKEN_LIMIT)
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation rebuilt from its event log, rendered, and read back from the output.
+
+    Conversation -1 holds the template's control strings as text.
+    """
+    rows = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    tricky = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], rows.schema)
+    return chat.conversation_digests(chat.format_conversations(chat.conversation_events(rows.unionByName(extra))))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_rules": op1_url_rules,
     "op2_decontamination": op2_decontamination,
     "op3_line_chunks": op3_line_chunks,
     "op4_repetition": op4_repetition,
+    "op5_personal_data": op5_personal_data,
+    "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
+    "op9_chat": op9_chat,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE: dict[str, str] = {
+    "op2_decontamination": f"""
+with items as (select distinct cast(item_id as varchar) as item, {_WORDS} as w from benchmark),
+sized as (select item, w, least(len(w), 13) as k from items where len(w) > 0),
+windows as (select item, k, array_to_string(w[i:i + k - 1], ' ') as win from sized, unnest(range(1, len(w) - k + 2)) as t(i)),
+docs as (select doc_id, row_number() over () as r, {_WORDS} as w from documents),
+widths as (select distinct k from sized),
+starts as (select r, doc_id, w, k, i from docs, widths, unnest(range(1, len(w) - k + 2)) as t(i)),
+hits as (select s.r, s.i, s.k, win.item from starts s join windows win on win.k = s.k and win.win = array_to_string(s.w[s.i:s.i + s.k - 1], ' ')),
+inside as (select r, count(distinct p) as n_hit from hits, unnest(range(i, i + k)) as t(p) group by r),
+found as (select r, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from hits group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+       cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from docs left join inside using (r) left join found using (r)""",
+    "op6_warc": """
+with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+d as (select page_id, octet_length(body) as n, sha1(body) as h, min(page_id) over (partition by body) as first_id from p)
+select page_id, cast(n as bigint) as payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + cast((cast('0x' || substr(h, 1 + 10 * (k // 8), 10) as bigint) >> cast(35 - 5 * (k % 8) as bigint)) & 31 as integer), 1)), '') as payload_digest,
+       case when page_id = first_id then 'response' else 'revisit' end as record_type,
+       case when page_id <> first_id then first_id end as refers_to
+from d""",
+    "op9_chat": r"""
+with c as (select conv_id, turn, role, coalesce(text, '') as text from conversations
+           union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m as (select *, length(role) + length(text) + 24
+        + (length(text) - length(replace(text, '\', '')))
+        + (select sum((length(text) - length(replace(text, s, ''))) // length(s))
+           from unnest(['<|im_start|>', '<|im_end|>', '<|endoftext|>', '<s>', '</s>', '[INST]', '[/INST]']) as t(s)) as chars from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(chars) as bigint) as formatted_chars
+from m group by conv_id""",
+}

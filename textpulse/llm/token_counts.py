@@ -68,7 +68,7 @@ def _classes() -> np.ndarray:
     import regex
 
     out = np.zeros(0x110000, np.uint8)
-    every = "".join(map(chr, range(0xD800))) + "" * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
+    every = "".join(map(chr, range(0xD800))) + "\0" * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
     for pattern, kind in ((r"\p{L}+", _LETTER), (r"\p{N}+", _DIGIT), (r"\p{White_Space}+", _SPACE)):
         for m in regex.finditer(pattern, every):
             out[m.start() : m.end()] = kind
