@@ -1,0 +1,86 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+
+from textpulse.llm.pii import base_spans, find_personal_data, fit_reliabilities, luhn, spans_of
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute(text):
+    out = {}
+    for kind, pattern in PATTERNS.items():
+        out[kind] = []
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m[0].split(".")), "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                out[kind].append(m.span())
+    return out
+
+
+def texts():
+    rng = random.Random(1)
+    pool = ["a@b.co", "@", ".", "x.y+z@h-1.d.e", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "001.02.3.4", "4111 1111 1111 1111", "4111111111111112", "5500-0000-0000-0004", "+1 (555) 555-1234", "+12", "++49 30 1234567", "é", " ", "\n", "-", "7", "word", "token = \"c1f80f127674f6764aed23d9333c5f5659a6d986\"", "555-123-4567"]
+    out = [None, "", "@@", "a@", "@b.c", "a@b", "+", "1" * 6000, "0" * 5000 + ".1.2.3", "a" * 200000]
+    for _ in range(400):
+        out.append("".join(rng.choice(pool) for _ in range(rng.randrange(1, 9))))
+    return out
+
+
+def test_base_spans_equal_the_patterns():
+    for t in texts():
+        if not t or len(t) < 5000:
+            assert base_spans(t or "") == brute(t), t
+
+
+def test_long_runs_are_linear():
+    assert base_spans("a" * 2_000_000 + "1" * 2_000_000) == {k: [] for k in PATTERNS}
+
+
+def secret(rng):
+    return "".join(rng.choice("0123456789abcdef") for _ in range(40))
+
+
+def test_documents(frame):
+    rng = random.Random(2)
+    rows = list(enumerate(t for t in texts() if not t or len(t) < 5000))
+    rows += [(1000 + k, f"Contact me: u{k}@mail.com, call +1 (555) 555-{1000 + k}") for k in range(60)]
+    planted = [(2000 + k, f"some words token = \"{secret(rng)}\" more words") for k in range(60)]
+    clean = [(3000 + k, "plain prose without any number or name, " * 3 + f"year 19{k % 90 + 10}") for k in range(60)]
+    rows += planted + clean + [(None, "a@b.co")]
+    got = {str(r.doc_id): r for r in find_personal_data(frame(rows)).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        want, r = brute(t), got[str(i)]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(want[k]) for k in PATTERNS]
+        listed = [f"{k}:{a}:{b}" for k in PATTERNS for a, b in want[k]]
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert set(listed) <= set(filter(None, r.spans.split(",")))
+    for i, t in planted:
+        m = re.search(r"[0-9a-f]{40}", t)
+        assert f"secret:{m.start()}:{m.end()}" in got[str(i)].spans.split(",")
+    assert all(got[str(i)].spans == "" for i, _ in clean)
+    assert find_personal_data(frame(rows).limit(0)).count() == 0
+
+
+def test_em_finds_the_reliable_labelers():
+    rng = np.random.default_rng(1)
+    truth = rng.random(20000) < 0.3
+    votes = []
+    for accuracy in (0.95, 0.9, 0.55, 0.6, 0.85):
+        right = rng.random(len(truth)) < accuracy
+        votes.append(np.where(right == truth, 1, -1))
+    patterns, counts = np.unique(np.array(votes).T, axis=0, return_counts=True)
+    posterior = fit_reliabilities([(tuple(map(int, p)), float(n)) for p, n in zip(patterns, counts, strict=True)])
+    guess = np.array([posterior[tuple(map(int, v))] for v in np.array(votes).T]) > 0.5
+    majority = np.sum(votes, axis=0) > 0
+    assert (guess == truth).mean() > 0.95 > (majority == truth).mean() - 0.02
+
+
+def test_candidates_do_not_overlap_base_spans():
+    base, spans = spans_of("write a@b.co or 4111 1111 1111 1111 or 555-123-4567")
+    assert base["email"] and base["card"]
+    assert [s["kind"] for s in spans if not s["base"]] == ["phone"]

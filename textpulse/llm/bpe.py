@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from textpulse.llm.text import as_str, id_and_text, id_type, slices
+from textpulse.llm.words import WordCutter, char_classes
 
 #: Largest tokenizer file that is broadcast.
 MAX_MODEL_BYTES = 64 << 20
@@ -28,8 +29,6 @@ MAX_MODEL_BYTES = 64 << 20
 MAX_WORDS = 150_000
 MAX_PAIRS = 500_000
 NEVER = float("inf")
-#: The word pattern of the byte-level tokenizer (fixed by the tokenizer).
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
 def byte_chars() -> list[str]:
@@ -42,18 +41,16 @@ def byte_chars() -> list[str]:
 class Bpe:
     """One byte-level BPE tokenizer; pickled as its file's text, compiled on first use in a worker."""
 
-    def __init__(self, source: str):
-        self.source = source
+    def __init__(self, source: str, classes: bytes):
+        self.source, self.classes = source, classes
         self._ready = False
 
     def __getstate__(self):
-        return {"source": self.source, "_ready": False}
+        return {"source": self.source, "classes": self.classes, "_ready": False}
 
     def compile(self) -> Bpe:
         if self._ready:
             return self
-        import regex
-
         spec = json.loads(self.source)
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or spec.get("normalizer"):
@@ -79,8 +76,7 @@ class Bpe:
         self.node_of = {t: k for k, t in enumerate(self.node_text)}
         self.steps: dict[int, int] = {}
         self.ends: list[list[tuple[int, int]] | None] = [None] * len(self.node_text)
-        self.words = regex.compile(WORD_PATTERN)
-        self.specials = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
+        self.cutter = WordCutter(self.classes, tuple(self.special))
         self.edges: tuple[dict, dict] = ({}, {})
         self.fits: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[str, tuple[int, ...]]] = {}
@@ -177,19 +173,11 @@ class Bpe:
         ids.reverse()
         return ids
 
-    def pieces(self, text: str) -> Iterator[tuple[str, int | None]]:
-        """Ordinary stretches and special tokens of a text, in order."""
-        at = 0
-        for m in self.specials.finditer(text) if self.specials else ():
-            yield text[at : m.start()], self.special[m[0]]
-            at = m.end()
-        yield text[at:], None
-
     def learn(self, word: str) -> tuple[str, tuple[int, ...]]:
         """Encode a word that is not among the recent ones, and remember it."""
         entry = self.known.get(word) or self.older.get(word)
         if entry is None:
-            ids = self.encode_word(word)
+            ids = [self.special[word]] if word in self.special else self.encode_word(word)
             entry = (",".join(map(str, ids)), tuple(ids))
         if len(word) <= 64:
             if len(self.known) >= MAX_WORDS:
@@ -197,18 +185,16 @@ class Bpe:
             self.known[word] = entry
         return entry
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """All ids of a text, and the same joined by commas."""
-        entries = []
-        for piece, special in self.pieces(text):
-            words = self.words.findall(piece)
-            found = list(map(self.known.get, words))
-            if None in found:
-                found = [entry or self.learn(word) for word, entry in zip(words, found, strict=True)]
-            entries += found
-            if special is not None:
-                entries.append((str(special), (special,)))
-        return list(chain.from_iterable([ids for _, ids in entries])), ",".join([joined for joined, _ in entries])
+    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
+        """All ids of each text, and the same joined by commas."""
+        words, bounds = self.cutter.words(texts)
+        found = list(map(self.known.get, words))
+        if None in found:
+            found = [entry or self.learn(word) for word, entry in zip(words, found, strict=True)]
+        bounds = bounds.tolist()
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            entries = found[a:b]
+            yield list(chain.from_iterable([ids for _, ids in entries])), ",".join([joined for joined, _ in entries])
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -220,8 +206,9 @@ def load_bpe(path: str) -> Bpe:
         source = f.read(MAX_MODEL_BYTES + 1)
     if len(source) > MAX_MODEL_BYTES:
         raise ValueError(f"tokenizer file is larger than {MAX_MODEL_BYTES} characters")
-    Bpe(source).compile()  # report an unsupported file here, not in a task
-    return Bpe(source)
+    bpe = Bpe(source, char_classes())
+    bpe.compile()  # report an unsupported file here, not in a task
+    return bpe
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -237,10 +224,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocab.value.compile()
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, 1 << 20):
             counts, id_digests, text_digests, all_ids = [], [], [], []
-            for text in as_str(batch.column(1)):
-                ids, joined = bpe.encode(text)
+            for ids, joined in bpe.encode(as_str(batch.column(1))):
                 counts.append(len(ids))
                 id_digests.append(hashlib.sha256(joined.encode()).hexdigest())
                 text_digests.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())

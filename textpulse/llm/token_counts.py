@@ -1,10 +1,7 @@
 """Token counts by a tokenizer compiled to finite-state transducers.
 
-Two deterministic machines read a text. The first cuts it into words: it reads one symbol per
-character (the character's class and what follows it) and marks word starts. Texts are cut into
-chunks of equal length; each chunk's map from every entry state to its exit state is found for
-all chunks side by side, the maps are composed by a parallel prefix scan, and a second walk over
-the chunks, now from known entry states, gives the marks.
+Two deterministic machines read a text. The first (``words.py``) cuts
+it into words: chunks of characters become state maps, composed by a parallel prefix scan.
 
 The second machine reads a word's bytes. Its state is all that can matter for the rest of the
 word: the longest vocabulary prefix that ends here, and the last token and relative token count
@@ -25,109 +22,9 @@ from pyspark.sql import DataFrame
 from textpulse.llm.bpe import Bpe, load_bpe
 from textpulse.llm.text import as_str, id_and_text, id_type, slices
 
-CHUNK = 64
 MAX_STATES = 400_000
 MAX_WORDS = 300_000
 
-# Character classes.
-_OTHER, _LETTER, _DIGIT, _BLANK, _SPACE = range(5)
-# Symbols: classes, white space by what follows it, an apostrophe that may open a contraction of
-# one or two letters, and the end of a text.
-_S_OTHER, _S_LETTER, _S_DIGIT, _S_BLANK_LAST, _S_SPACE_LAST, _S_WHITE, _S_SHORT, _S_LONG, _S_END = range(9)
-# States: at a text's start, inside a run of a class, after the blank that opens a word, inside
-# white space, with letters of a contraction to come, and after a contraction.
-_START, _IN_OTHER, _IN_LETTER, _IN_DIGIT, _OPENED, _IN_WHITE, _ONE_LEFT, _TWO_LEFT, _CLOSED = range(9)
-
-
-def _machine() -> tuple[np.ndarray, np.ndarray]:
-    """(next state, word starts here) by [state, symbol]."""
-    step = np.zeros((9, 9), np.uint8)
-    mark = np.zeros((9, 9), bool)
-    runs = {_S_OTHER: _IN_OTHER, _S_LETTER: _IN_LETTER, _S_DIGIT: _IN_DIGIT}
-    for state in range(9):
-        for symbol in range(9):
-            if state in (_ONE_LEFT, _TWO_LEFT) and symbol == _S_LETTER:
-                step[state, symbol], mark[state, symbol] = (_CLOSED if state == _ONE_LEFT else _ONE_LEFT), False
-            elif symbol == _S_END:
-                step[state, symbol] = _START
-            elif symbol in (_S_SHORT, _S_LONG) and state not in (_IN_OTHER, _OPENED):
-                step[state, symbol], mark[state, symbol] = (_ONE_LEFT if symbol == _S_SHORT else _TWO_LEFT), True
-            elif symbol == _S_BLANK_LAST:  # a blank before a word belongs to it
-                step[state, symbol], mark[state, symbol] = _OPENED, True
-            elif symbol == _S_SPACE_LAST:  # the last of white space stands alone
-                step[state, symbol], mark[state, symbol] = _CLOSED, True
-            elif symbol == _S_WHITE:
-                step[state, symbol], mark[state, symbol] = _IN_WHITE, state != _IN_WHITE
-            else:
-                run = runs.get(symbol, _IN_OTHER)
-                step[state, symbol], mark[state, symbol] = run, state not in (run, _OPENED)
-    return step, mark
-
-
-def _classes() -> np.ndarray:
-    import regex
-
-    out = np.zeros(0x110000, np.uint8)
-    every = "".join(map(chr, range(0xD800))) + "\0" * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
-    for pattern, kind in ((r"\p{L}+", _LETTER), (r"\p{N}+", _DIGIT), (r"\p{White_Space}+", _SPACE)):
-        for m in regex.finditer(pattern, every):
-            out[m.start() : m.end()] = kind
-    out[ord(" ")] = _BLANK
-    return out
-
-
-class WordCutter:
-    """Word starts of many texts at once, by chunk state maps and a prefix scan."""
-
-    def __init__(self):
-        self.classes = _classes()
-        self.step, self.mark = _machine()
-
-    def symbols(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """One symbol per character; ``ends`` are the positions of the separators."""
-        n = len(codes)
-        kind = self.classes[codes]
-        white = (kind == _BLANK) | (kind == _SPACE)
-        end = np.zeros(n + 3, bool)
-        end[ends] = True
-        end[n:] = True
-        next_word = np.zeros(n, bool)
-        next_word[:-1] = ~white[1:] & ~end[1:n]
-        out = np.select([kind == _LETTER, kind == _DIGIT, kind == _BLANK, kind == _SPACE], [_S_LETTER, _S_DIGIT, _S_BLANK_LAST, _S_SPACE_LAST], _S_OTHER).astype(np.uint8)
-        out[white & ~next_word] = _S_WHITE
-        quotes = np.flatnonzero(codes == ord("'"))
-        if len(quotes):
-            padded = np.concatenate((codes, np.zeros(2, codes.dtype)))
-            padded[np.flatnonzero(end[:n])] = 0
-            a, b = padded[quotes + 1], padded[quotes + 2]
-            out[quotes[np.isin(a, [ord(c) for c in "stmd"])]] = _S_SHORT
-            out[quotes[((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))]] = _S_LONG
-        out[ends] = _S_END
-        return out
-
-    def starts(self, symbols: np.ndarray) -> np.ndarray:
-        """Whether a word starts at each position."""
-        n = len(symbols)
-        chunks = -(-n // CHUNK)
-        table = np.full(chunks * CHUNK, _S_END, np.uint8)
-        table[:n] = symbols
-        table = np.ascontiguousarray(table.reshape(chunks, CHUNK).T)  # one row per place in a chunk
-        maps = np.tile(np.arange(9, dtype=np.uint8), (chunks, 1))
-        for row in table:
-            maps = self.step[maps, row[:, None]]
-        reach = 1
-        while reach < chunks:  # inclusive scan: maps[k] becomes the map of chunks 0..k
-            later = np.take_along_axis(maps[reach:], maps[:-reach].astype(np.int64), axis=1)
-            maps = np.concatenate((maps[:reach], later))
-            reach *= 2
-        state = np.concatenate(([_START], maps[:-1, _START])).astype(np.uint8)
-        marks = np.empty((CHUNK, chunks), bool)
-        for k, row in enumerate(table):
-            marks[k] = self.mark[state, row]
-            state = self.step[state, row]
-        return marks.T.reshape(-1)[:n]
-
-
 class CountTransducer:
     """The number of tokens of a word, by a transducer that is compiled as words are read."""
 
@@ -178,12 +75,11 @@ class Counter:
 
     def __init__(self, bpe: Bpe):
         self.bpe = bpe.compile()
-        self.cutter = WordCutter()
         self.transducer = CountTransducer(self.bpe)
         self.words: dict[str, int] = {}
 
     def learn(self, word: str) -> int:
-        count = self.transducer.count(word)
+        count = 1 if word in self.bpe.special else self.transducer.count(word)
         if len(word) <= 64:
             if len(self.words) >= MAX_WORDS:
                 self.words.clear()
@@ -191,32 +87,13 @@ class Counter:
         return count
 
     def totals(self, texts: list[str]) -> np.ndarray:
-        pieces, owners = [], []
-        out = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            for piece, special in self.bpe.pieces(text):
-                pieces.append(piece)
-                owners.append(k)
-                out[k] += special is not None
-        whole = "\n".join([*pieces, ""])
-        lengths = np.array([len(p) for p in pieces], np.int64)
-        ends = np.cumsum(lengths + 1) - 1
-        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-        starts = self.cutter.starts(self.cutter.symbols(codes, ends))
-        starts[ends] = True  # a separator closes the last word; it is no word itself
-        at = np.flatnonzero(starts)
-        is_end = np.zeros(len(codes), bool)
-        is_end[ends] = True
-        first, stop = at[:-1], at[1:]
-        real = ~is_end[first]
-        first, stop = first[real], stop[real]
-        words = [whole[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
+        words, bounds = self.bpe.cutter.words(texts)
         counts = list(map(self.words.get, words))
         if None in counts:
             known = self.words.get
             counts = [c if c is not None else known(w) or self.learn(w) for w, c in zip(words, counts, strict=True)]
-        owner = np.array(owners, np.int64)[np.searchsorted(ends, first)]
-        return out + np.bincount(owner, weights=counts, minlength=len(texts)).astype(np.int64) if len(words) else out
+        sums = np.concatenate(([0], np.cumsum(np.array(counts, np.int64))))
+        return np.diff(sums[bounds])
 
 
 class SharedCounter:
