@@ -107,15 +107,15 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Chunking = Chunking()) -> DataFrame:  # noqa: B008
     """(digest, n, first) of the chunks that occur more than once with the very same bytes.
 
-    ``first`` is the occurrence that stays: the smallest (id, key, chunk), null ids last. The
-    byte comparison is the equality of the smallest and the largest body under a digest; a
-    digest that two different bodies share is left alone. Partial aggregation keeps one row per
-    digest and task, whatever a chunk's share of the corpus.
+    ``first`` is the occurrence that stays: the smallest (id, key, chunk), null ids last. Grouping
+    by digest and body compares the bytes; a digest that two different bodies share is left
+    alone. Partial aggregation keeps one row per body and task, whatever its share of the corpus.
     """
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "chunk")
     table = chunk_table(docs, id_col, text_col, how, with_bytes=True)
-    found = table.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.min("body").alias("low"), F.max("body").alias("high"))
-    return found.where("n > 1 and low = high").select("digest", "n", "first")
+    bodies = table.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).select("digest", "n", "first")
+    by_digest = bodies.groupBy("digest").agg(F.count(F.lit(1)).alias("bodies"), F.max("n").alias("n"), F.min("first").alias("first"))
+    return by_digest.where("n > 1 and bodies = 1").select("digest", "n", "first")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Chunking = Chunking()) -> DataFrame:  # noqa: B008
