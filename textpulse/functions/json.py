@@ -16,9 +16,9 @@ def json_field(doc: Column | str, field: str) -> Column:
 
 
 def set_json_field(doc: Column | str, field: str, value: Column | object) -> Column:
-    """The JSON object with ``field`` set to ``value`` (added when absent). Values are
-    stored as text, as the original's many-document path stringifies them."""
-    as_map = F.from_json(_c(doc), "map<string,string>")
+    """The JSON object with ``field`` set to ``value`` (added when absent), with the value's own
+    type; every other field keeps its type and value."""
+    as_map = F.from_json(_c(doc), "map<string,variant>")
     v = value if isinstance(value, Column) else F.lit(value)
     kept = F.map_filter(as_map, lambda k, _: k != F.lit(field))
-    return F.to_json(F.map_concat(kept, F.create_map(F.lit(field), v.cast("string"))))
+    return F.to_json(F.map_concat(kept, F.create_map(F.lit(field), v.cast("variant"))))

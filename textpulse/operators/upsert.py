@@ -57,3 +57,10 @@ def delete_first(df: DataFrame, predicate: Column, seq_col: str) -> DataFrame:
     hit = F.coalesce(predicate, F.lit(False))
     first = df.where(hit).agg(F.min(seq_col)).scalar()
     return df.where(~(hit & (F.col(seq_col) == first)) | first.isNull())
+
+
+def update_first(df: DataFrame, predicate: Column, assignments: Mapping[str, Column | object], seq_col: str) -> DataFrame:
+    """Set columns only on the earliest (lowest ``seq``) row matching ``predicate`` (update-one)."""
+    hit = F.coalesce(predicate, F.lit(False))
+    first = df.where(hit).agg(F.min(seq_col)).scalar()
+    return update_where(df, hit & (F.col(seq_col) == first), assignments)

@@ -72,7 +72,7 @@ def increment_tick(store: TableStore, tick_ms: int, hot_table: str = "hot_word",
     snap = wide.unpivot([], metrics, "metric", "count").select(
         F.lit(tick_ms).cast("bigint").alias("time_stamp"), "metric", "count", F.lit(day).alias("day")
     )
-    store.replace(snap, count_table, ["time_stamp", "metric"], "time_stamp")
+    store.replace(snap, count_table, ["day", "time_stamp", "metric"], "time_stamp")
 
     history = store.read(count_table).where(F.col("time_stamp") < F.lit(tick_ms))
     prev_tick = history.agg(F.max("time_stamp")).scalar()
@@ -81,7 +81,7 @@ def increment_tick(store: TableStore, tick_ms: int, hot_table: str = "hot_word",
         snap.join(F.broadcast(prev), "metric", "left")  # at most one row per metric
         .select("time_stamp", "metric", (F.col("count") - F.coalesce("_prev", F.lit(0))).alias("count"), "day")
     )
-    store.replace(delta, delta_table, ["time_stamp", "metric"], "time_stamp")
+    store.replace(delta, delta_table, ["day", "time_stamp", "metric"], "time_stamp")
 
 
 QUERIES = {"hotword_sentiment_snapshots": q_hotword_sentiment_snapshots}
