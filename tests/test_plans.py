@@ -59,20 +59,28 @@ def test_store_day_filter_prunes_partitions(spark, tmp_dir):
 def test_time_split_reaches_the_parquet_scan(spark):
     text = _formatted(spark, E.queries()["raw_upsert_last"](spark, SF))
     assert "PushedFilters: [IsNotNull(ts), LessThan(ts," in text
-    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts," in text
+    assert "PushedFilters: [Or(GreaterThanOrEqual(ts," in text and "IsNull(ts))]" in text
     schemas = {frozenset(m.split(",")) for m in re.findall(r"ReadSchema: struct<([^>]*)>", text)}
     assert schemas == {frozenset(["event_id:bigint", "ts:timestamp_ntz", "user_id:bigint", "props:string"])}
 
 
-def test_doubling_resets_never_window_rows_by_key_alone(spark):
-    from textpulse.operators.timeseries import _next_at_least
+def test_latest_two_snapshots_read_only_the_days_of_the_look_back(spark):
+    text = _formatted(spark, E.queries()["latest_two_snapshots"](spark, SF))
+    scans = re.findall(r"PushedFilters: \[([^\]]*)\]", text)
+    assert scans and all("GreaterThanOrEqual(ts," in s for s in scans)
+
+
+def test_running_counts_number_the_rows_once(spark):
+    from textpulse.operators.aggregate import running_counts
+
+    df = spark.createDataFrame([("a", i) for i in range(50)], "k STRING, o BIGINT")
+    text = _formatted(spark, running_counts(df, ["k"], ["o"], num_partitions=3))
+    assert text.count("row_number() windowspecdefinition") == 1
+
+
+def test_elapsed_resets_reduce_rows_before_the_shuffle(spark):
+    from textpulse.operators.timeseries import elapsed_resets
 
     df = spark.createDataFrame([(1, i, i * 1000) for i in range(50)], "k BIGINT, id BIGINT, sec BIGINT")
-    text = _formatted(spark, _next_at_least(df, "k", "sec", "id", 86400, 4))
-    # the "next row" window over rows is partitioned by (range partition id, key); the only
-    # window by key alone runs over the per-(partition, key) first-row table
-    windows = re.findall(r"first\((\w+)#\d+, true\) windowspecdefinition\((\w+)#", text)
-    by_col = {expr: part for expr, part in windows}
-    assert by_col.pop("_first") == "_k"  # boundary table: one row per (partition, key)
-    assert by_col and all(part == "_pid" for part in by_col.values()), windows
-    assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
+    text = _formatted(spark, elapsed_resets(df, "k", "sec", "id", 86400))
+    assert "partial_min(id" in text and "Window" not in text

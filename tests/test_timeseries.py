@@ -22,7 +22,7 @@ def test_snapshot_totals_restart_daily_and_delta_crosses_days(spark):
     t0 = 1704067200  # 2024-01-01T00:00:00Z
     rows = [(t0 + 10, "a"), (t0 + 20, "a"), (t0 + 400, "b"), (t0 + DAY + 5, "a")]
     inc = spark.createDataFrame(rows, "sec BIGINT, metric STRING")
-    snaps = snapshot(inc, "sec", "metric", None, ["a", "b"])
+    snaps = snapshot(inc, "sec", "metric", None, ["a", "b"], idle_ticks=False)
     got = {(r.tick_ms // 1000 - t0, r.metric): r.total for r in snaps.collect()}
     assert got == {(0, "a"): 2, (0, "b"): 0, (300, "a"): 2, (300, "b"): 1, (DAY, "a"): 1, (DAY, "b"): 0}
     deltas = {(r.tick_ms // 1000 - t0, r.metric): r.delta for r in snapshot_delta(snaps).collect()}
@@ -59,17 +59,35 @@ def test_elapsed_resets_greedy(spark):
     assert got == [(7, 0, 0, 0), (7, 3, DAY, 1), (7, 5, 2 * DAY + 10, 2), (7, 6, 5 * DAY, 3), (8, 100, 50, 0)]
 
 
-def test_hot_keys_take_the_parallel_path_with_identical_results(spark):
-    import random
+def _brute_resets(rows, interval):
+    out = []
+    for key in {k for k, _, _ in rows}:
+        last, n = None, 0
+        for sec, i in sorted((s, i) for k, i, s in rows if k == key and s is not None):
+            if last is None or sec - last >= interval:
+                out.append((key, i, sec, n))
+                last, n = sec, n + 1
+    return sorted(out, key=str)
+
 
-    from textpulse.operators.timeseries import _elapsed_resets_sequential, elapsed_resets_doubling
+def test_resets_with_a_hot_key_repeated_ids_null_and_string_keys(spark):
+    import random
 
     rnd = random.Random(7)
-    rows = [(rnd.choice([1, 1, 1, 1, 2, 3, 4]), i, rnd.randint(0, 30 * DAY)) for i in range(2000)]
-    df = spark.createDataFrame(rows, "k BIGINT, id BIGINT, sec BIGINT")
-    seq = sorted(map(tuple, _elapsed_resets_sequential(df, "k", "sec", "id", DAY).collect()))
-    dbl = sorted(map(tuple, elapsed_resets_doubling(df, "k", "sec", "id", DAY).select("k", "id", "sec", "reset_no").collect()))
-    assert seq == dbl
-    # key 1 (~57% of rows) is hot here; the hybrid splits it off and gives the same rows
-    hybrid = elapsed_resets(df, "k", "sec", "id", DAY, hot_fraction=0.3, hot_min_rows=10)
-    assert sorted(map(tuple, hybrid.select("k", "id", "sec", "reset_no").collect())) == seq
+    rows = [(rnd.choice([1, 1, 1, 1, 2, 9007199254740993, None]), rnd.randrange(50), rnd.randint(0, 30 * DAY)) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "k BIGINT, id BIGINT, sec BIGINT").repartition(5)
+    assert sorted(map(tuple, elapsed_resets(df, "k", "sec", "id", DAY).collect()), key=str) == _brute_resets(rows, DAY)
+    assert sorted(map(tuple, elapsed_resets(df, "k", "sec", "id", 3600).collect()), key=str) == _brute_resets(rows, 3600)
+    texts = [(None if k is None else f"user{k}", f"id{i}", s) for k, i, s in rows] + [("", "e", 5), ("x", "no second", None)]
+    strings = spark.createDataFrame(texts, "k STRING, id STRING, sec BIGINT")
+    assert sorted(map(tuple, elapsed_resets(strings, "k", "sec", "id", DAY).collect()), key=str) == _brute_resets(texts, DAY)
+    assert elapsed_resets(df.limit(0), "k", "sec", "id", DAY).count() == 0
+
+
+def test_idle_ticks_are_written_and_metrics_come_from_the_data(spark):
+    inc = spark.createDataFrame([(0, "a"), (901, "b"), (902, None), (None, "a")], "sec BIGINT, metric STRING")
+    snaps = snapshot(inc, "sec", "metric", None)
+    assert {(r.tick_ms // 300000, r.metric): r.total for r in snaps.collect()} == {(t, m): int(m == "a" or t == 3) for t in range(4) for m in "ab"}
+    deltas = {(r.tick_ms // 300000, r.metric): r.delta for r in snapshot_delta(snaps).collect()}
+    assert deltas[(1, "a")] == 0 and deltas[(3, "b")] == 1
+    assert snapshot(inc.limit(0), "sec", "metric", None).count() == 0

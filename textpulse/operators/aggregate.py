@@ -92,6 +92,12 @@ def running_counts(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]
     offset (at most one row per partition and key). The range-partitioned rows are written
     once to the checkpoint folder so that both consumers see the same partitioning.
     """
+    return _numbered(df, keys, order_cols, out_col, num_partitions)[0]
+
+
+def _numbered(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], out_col: str,
+              num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`running_counts` and the sizes of its slices (``_pid``, keys, ``_n``)."""
     keys, order_cols = list(keys), list(order_cols)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -99,16 +105,20 @@ def running_counts(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]
     # Range bounds are sampled anew on each execution, so the partition ids are pinned by a
     # checkpoint before the numbering and the offset table both read them.
     ranged = materialize(df.repartitionByRange(n, *sort_cols).withColumn("_pid", F.spark_partition_id()))
-    local = ranged.withColumn(
-        "_local", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(*order_cols))
-    )
-    slice_sizes = local.groupBy("_pid", *keys).agg(F.max("_local").alias("_n"))
+    slice_sizes = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slice_sizes.select(
-        "_pid", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")
+        F.col("_pid").alias("_opid"), *[F.col(k).alias(f"_o_{k}") for k in keys],
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+    )
+    local = ranged.withColumn(
+        "_local", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(*order_cols))
     )
-    out = local.join(offsets, ["_pid", *keys]) if keys else local.join(offsets, ["_pid"])
-    return out.withColumn(out_col, (F.col("_local") + F.col("_off")).cast("bigint")).drop("_pid", "_local", "_off")
+    same = F.col("_pid") == F.col("_opid")
+    for k in keys:  # a null key is a key like any other
+        same = same & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    out = local.join(offsets, same).withColumn(out_col, (F.col("_local") + F.col("_off")).cast("bigint"))
+    return out.drop("_pid", "_local", "_off", "_opid", *[f"_o_{k}" for k in keys]), slice_sizes
 
 
 def totals(df: DataFrame, value_col: str | None, by_col: str | None = None, values: Sequence[str] = (),
@@ -134,10 +144,9 @@ def count_windows(df: DataFrame, order_cols: Sequence[str], size: int = 200, kee
     ever holds the whole input. ``collect=True`` flushes each fired window as one list of its
     kept rows in order (window_no, rows); a list holds at most ``size`` rows.
     """
-    numbered = running_counts(df, [], order_cols, out_col="_rn")
-    # the row count is the highest number; taken from the numbered (checkpointed) rows so the
-    # input pipeline is not run a second time for it
-    total = numbered.agg(F.max("_rn")).scalar()
+    numbered, sizes = _numbered(df, [], order_cols, "_rn")
+    # the row count comes from the sizes of the pinned slices, not from a second numbering
+    total = sizes.agg(F.sum("_n")).scalar()
     full_windows = F.floor(total / F.lit(size))
     fired = numbered.withColumn(
         window_col, F.floor((F.col("_rn") - 1) / F.lit(size)).cast("bigint")

@@ -3,38 +3,64 @@ day changes and elapsed-interval resets."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textpulse import fixed
 from textpulse.functions.time import day_of_ms, previous_day, tick_ms
 
 
+MAX_METRICS = 10_000
+
+
+def metric_names(df: DataFrame, metric_col: str) -> list[str]:
+    """The distinct non-null metrics of a column, sorted; refuses a column that is no metric name
+    (more than ``MAX_METRICS`` values, the bound Spark's own pivot has)."""
+    names = [r[0] for r in df.where(F.col(metric_col).isNotNull()).select(metric_col).distinct().limit(MAX_METRICS + 1).collect()]
+    if len(names) > MAX_METRICS:
+        raise ValueError(f"{metric_col} has more than {MAX_METRICS} values")
+    return sorted(names)
+
+
 def snapshot(increments: DataFrame, sec_col: str, metric_col: str, value_col: str | None,
-             metrics: Sequence[str], period_s: int = fixed.SNAPSHOT_PERIOD_SECONDS) -> DataFrame:
+             metrics: Sequence[str] | None = None, period_s: int = fixed.SNAPSHOT_PERIOD_SECONDS,
+             idle_ticks: bool = True) -> DataFrame:
     """Totals of the current day's rows at every snapshot tick: (tick_ms, day, metric, total).
 
     Each row contributes ``value`` (1 if ``value_col`` is None) to its metric at the tick of
     its arrival second; a snapshot at tick t holds, per metric, the sum of all of the day's
     contributions up to t (totals restart each UTC day, like the daily tables they read).
+    ``metrics`` defaults to those in the data. ``idle_ticks`` writes every tick between the first
+    and the last, like a job that runs each period, also when no row arrived.
     Rows are first reduced to one row per tick (conditional sums, combined map-side), so the
     running-sum window only ever sees at most one row per tick of a day.
     """
+    metrics = metric_names(increments, metric_col) if metrics is None else list(metrics)
     v = F.col(value_col) if value_col else F.lit(1)
+    names = [f"m{k}" for k in range(len(metrics))]
     per_tick = (
-        increments.withColumn("tick_ms", tick_ms(sec_col, period_s))
+        increments.where(F.col(sec_col).isNotNull()).withColumn("tick_ms", tick_ms(sec_col, period_s))
         .groupBy("tick_ms")
-        .agg(*[F.coalesce(F.sum(F.when(F.col(metric_col) == m, v)), F.lit(0)).cast("bigint").alias(m)
-               for m in metrics])
-        .withColumn("day", day_of_ms("tick_ms"))
+        .agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(F.when(F.col(metric_col) == m, v)), F.lit(0)).cast("bigint").alias(n)
+               for m, n in zip(metrics, names, strict=True)])
     )
+    if idle_ticks:
+        span = per_tick.agg(F.min("tick_ms").alias("a"), F.max("tick_ms").alias("b")).where("a is not null")
+        ticks = span.select(F.explode(F.sequence("a", "b", F.lit(period_s * 1000).cast("bigint"))).alias("tick_ms"))
+        per_tick = ticks.join(per_tick, "tick_ms", "left").fillna(0, subset=names)
+    per_tick = per_tick.withColumn("day", day_of_ms("tick_ms"))
     upto = Window.partitionBy("day").orderBy("tick_ms").rowsBetween(Window.unboundedPreceding, 0)
-    running = per_tick.select("tick_ms", "day", *[F.sum(m).over(upto).alias(m) for m in metrics])
-    return running.unpivot(["tick_ms", "day"], list(metrics), "metric", "total")
+    running = per_tick.select("tick_ms", "day", *[F.sum(n).over(upto).alias(n) for n in names])
+    totals = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(n).alias("total")) for m, n in zip(metrics, names, strict=True)])) if metrics else None
+    if totals is None:
+        return running.select("tick_ms", "day", F.lit("").alias("metric"), F.lit(0).cast("bigint").alias("total")).limit(0)
+    return running.select("tick_ms", "day", totals.alias("m")).select("tick_ms", "day", "m.metric", "m.total")
 
 
 def snapshot_delta(snapshots: DataFrame, tick_col: str = "tick_ms", metric_col: str = "metric",
@@ -87,155 +113,50 @@ def day_changes(df: DataFrame, sec_col: str, id_col: str) -> DataFrame:
                          F.col("_f.id").alias(id_col), F.col("_f.sec").alias(sec_col))
 
 
-def elapsed_resets(df: DataFrame, key_col: str, sec_col: str, id_col: str, interval_s: int,
-                   hot_fraction: float = 1e-4, hot_min_rows: int = 1_000_000) -> DataFrame:
+def elapsed_resets(df: DataFrame, key_col: str, sec_col: str, id_col: str, interval_s: int) -> DataFrame:
     """Greedy elapsed-interval resets per key: a key's first row resets, and afterwards the
     first row at least ``interval_s`` after the last reset resets again (the daily/hourly
     clock of the original). Returns the reset rows: (key, id, sec, reset_no), reset_no from 0.
 
-    Keys holding more than max(``hot_min_rows``, ``hot_fraction`` of all rows) rows — at most
-    1 / ``hot_fraction`` keys, so their list is safe to broadcast — go to the parallel
-    :func:`elapsed_resets_doubling`; all other keys take the sequential scan below.
-    """
-    rows = df.select(F.col(key_col).cast("bigint").alias(key_col), F.col(id_col).cast("bigint").alias(id_col),
-                     F.col(sec_col).cast("bigint").alias(sec_col))
-    total = rows.count()
-    threshold = max(hot_min_rows, int(hot_fraction * total))
-    hot = rows.groupBy(key_col).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > threshold).select(key_col)
-    if hot.limit(1).count() == 0:
-        return _elapsed_resets_sequential(rows, key_col, sec_col, id_col, interval_s)
-    hot = F.broadcast(hot)  # at most 1 / hot_fraction keys
-    cold = _elapsed_resets_sequential(rows.join(hot, key_col, "left_anti"), key_col, sec_col, id_col, interval_s)
-    heavy = elapsed_resets_doubling(rows.join(hot, key_col, "left_semi"), key_col, sec_col, id_col, interval_s)
-    return cold.unionByName(heavy.select(*cold.columns))
-
-
-def _elapsed_resets_sequential(df: DataFrame, key_col: str, sec_col: str, id_col: str, interval_s: int
-                               ) -> DataFrame:
-    """Sequential form of :func:`elapsed_resets`.
-
-    The chain is sequential per key. Rows are hash-partitioned by key and sorted within
-    partitions; one streaming pass per partition (``mapInPandas``) keeps only the current key
-    and its last reset, so memory stays at one Arrow batch however large a key is, and the
-    pass jumps from reset to reset with a binary search, so the Python work for a key is
-    O(resets x log rows) rather than O(rows).
+    A reset only depends on the seconds at which a key has rows, and takes the smallest id of
+    its second, so rows are first reduced to one per (key, second), combined map-side: what is
+    left of a key, however large its share of the rows, is bounded by the time span. One pass
+    over key-sorted partitions then keeps the current key and its last reset and jumps from
+    reset to reset by binary search. Keys and ids may be of any type; null keys are one key;
+    rows without a second cannot be placed and are left out.
     """
-    schema = f"{key_col} long, {id_col} long, {sec_col} long, reset_no long"
-    key_i, id_i, sec_i = key_col, id_col, sec_col
-
-    def resets(batches):
-        cur_key, last, count = None, None, -1
-        for pdf in batches:
-            if pdf.empty:
+    key, sec = F.col(key_col), F.col(sec_col).cast("bigint")
+    rows = df.where(F.col(sec_col).isNotNull()).select(key.alias("key"), sec.alias("sec"), F.col(id_col).alias("id"))
+    seconds = rows.groupBy("key", "sec").agg(F.min("id").alias("id"))
+    group = F.coalesce(F.concat(F.lit("k"), F.col("key").cast("string")), F.lit(""))
+    ordered = seconds.withColumn("grp", group).repartition("grp").sortWithinPartitions("grp", "sec")
+
+    def resets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last, count = None, None, -1
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            keys = pdf[key_i].to_numpy()
-            secs = pdf[sec_i].to_numpy()
-            ids = pdf[id_i].to_numpy()
-            picked, nos = [], []
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            for a, b in zip(starts, np.r_[starts[1:], len(keys)]):
-                if keys[a] != cur_key:
-                    cur_key, last, count = keys[a], None, -1
+            groups = batch.column("grp")
+            secs = batch.column("sec").to_numpy()
+            changed = pc.not_equal(groups.slice(1), groups.slice(0, len(groups) - 1)).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, changed])
+            picked, numbers = [], []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(secs)], strict=True):
+                name = groups[a].as_py()
+                if name != current:
+                    current, last, count = name, None, -1
                 i = a
                 while i < b:
                     if last is not None and secs[i] - last < interval_s:
-                        # jump straight to the first row at least interval_s after the last
-                        # reset: work per key is O(resets * log rows), not O(rows)
                         i = a + int(np.searchsorted(secs[a:b], last + interval_s, side="left"))
                         continue
-                    last, count = secs[i], count + 1
+                    last, count = int(secs[i]), count + 1
                     picked.append(i)
-                    nos.append(count)
+                    numbers.append(count)
                     i += 1
-            if picked:
-                idx = np.asarray(picked)
-                yield pd.DataFrame({key_i: keys[idx], id_i: ids[idx], sec_i: secs[idx],
-                                    "reset_no": np.asarray(nos, dtype=np.int64)})
-
-    ordered = (
-        df.select(F.col(key_col).cast("bigint").alias(key_col), F.col(id_col).cast("bigint").alias(id_col),
-                  F.col(sec_col).cast("bigint").alias(sec_col))
-        .repartition(key_col)
-        .sortWithinPartitions(key_col, sec_col, id_col)
-    )
-    return ordered.mapInPandas(resets, schema)
-
-
-def _next_at_least(df: DataFrame, key_col: str, sec_col: str, id_col: str, interval_s: int,
-                   num_partitions: int) -> DataFrame:
-    """For every row, the id and second of the key's first row (in (sec, id) order) whose second
-    is at least ``sec + interval_s``: (key, id, sec, next_id, next_sec), next_* null if none.
-
-    As-of lookup without a window over the whole key: rows and probes (sec + interval) are
-    range-partitioned on (key, time) and pinned by a checkpoint; inside a (partition, key)
-    slice the next row comes from a following-rows window; probes with no row left in their
-    slice take the first row of the key's next non-empty slice from a per-(partition, key)
-    table (at most partitions x keys rows)."""
-    from textpulse.session import materialize
-
-    rows = df.select(F.col(key_col).alias("_k"), F.col(sec_col).alias("_t"), F.lit(1).alias("_kind"),
-                     F.col(id_col).alias("_id"), F.col(sec_col).alias("_sec"))
-    probes = df.select(F.col(key_col).alias("_k"), (F.col(sec_col) + F.lit(interval_s)).alias("_t"),
-                       F.lit(0).alias("_kind"), F.col(id_col).alias("_id"), F.col(sec_col).alias("_sec"))
-    # probes sort before rows at the same second, so "at or after" includes equal seconds
-    ranged = materialize(
-        rows.unionByName(probes).repartitionByRange(num_partitions, "_k", "_t", "_kind", "_id")
-        .withColumn("_pid", F.spark_partition_id())
-    )
-    is_row = F.col("_kind") == 1
-    row_key = F.when(is_row, F.struct(F.col("_t").alias("t"), F.col("_id").alias("id")))
-    following = (Window.partitionBy("_pid", "_k").orderBy("_t", "_kind", "_id")
-                 .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    local = ranged.withColumn("_nxt", F.first(row_key, ignorenulls=True).over(following))
-    firsts = ranged.where(is_row).groupBy("_pid", "_k").agg(F.min(row_key).alias("_first"))
-    later = Window.partitionBy("_k").orderBy("_pid").rowsBetween(1, Window.unboundedFollowing)
-    carry = firsts.select("_pid", "_k", F.first("_first", ignorenulls=True).over(later).alias("_carry"))
-    probed = local.where(F.col("_kind") == 0).join(carry, ["_pid", "_k"], "left")
-    nxt = F.coalesce(F.col("_nxt"), F.col("_carry"))
-    return probed.select(
-        F.col("_k").alias(key_col), F.col("_id").alias(id_col), F.col("_sec").alias(sec_col),
-        nxt["id"].alias("next_id"), nxt["t"].alias("next_sec"),
-    )
-
+            taken = batch.take(pa.array(picked, pa.int64()))
+            yield pa.RecordBatch.from_arrays([taken.column("key"), taken.column("id"), taken.column("sec"), pa.array(numbers, pa.int64())], ["key", "id", "sec", "reset_no"])
 
-def elapsed_resets_doubling(df: DataFrame, key_col: str, sec_col: str, id_col: str, interval_s: int,
-                            num_partitions: int | None = None, max_levels: int = 40) -> DataFrame:
-    """Exact parallel form of :func:`elapsed_resets` for keys too large for one task.
-
-    Resets are the orbit of a key's first row under ``next`` (first row at least the interval
-    later). Pointer doubling builds jump tables ``jump_k = next^(2^k)`` (a self-join per level,
-    checkpointed), and the orbit is enumerated from the first rows with the same tables:
-    S_(k+1) = S_k + jump_k(S_k). Cost: about 2 * log2(resets per key) joins over the rows; no
-    task ever holds a whole key. Same output as :func:`elapsed_resets`."""
-    from textpulse.session import materialize
-
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = df.select(F.col(key_col).cast("bigint").alias(key_col), F.col(sec_col).cast("bigint").alias(sec_col),
-                     F.col(id_col).cast("bigint").alias(id_col))
-    nxt = materialize(_next_at_least(base, key_col, sec_col, id_col, interval_s, n))
-    # level 0: id -> (id of next, second of next)
-    jumps = [nxt.select(F.col(id_col).alias("_from"), F.col("next_id").alias("_to"), F.col("next_sec").alias("_to_sec"))]
-    # orbit starts: each key's first row
-    first = base.groupBy(key_col).agg(F.min(F.struct(sec_col, id_col)).alias("_f")).select(
-        key_col, F.col(f"_f.{id_col}").alias(id_col), F.col(f"_f.{sec_col}").alias(sec_col),
-        F.lit(0).cast("bigint").alias("reset_no"))
-    found = materialize(first)
-    for level in range(max_levels):
-        step = jumps[level]
-        # extend every known reset by 2^level steps along next
-        ext = (found.join(step, found[id_col] == step["_from"])
-               .where(F.col("_to").isNotNull())
-               .select(key_col, F.col("_to").alias(id_col), F.col("_to_sec").alias(sec_col),
-                       (F.col("reset_no") + F.lit(1 << level)).alias("reset_no")))
-        grown = materialize(found.unionByName(ext).dropDuplicates([key_col, id_col]))
-        if grown.count() == found.count():
-            return grown
-        found = grown
-        # jump_(k+1)(e) = jump_k(jump_k(e))
-        a, b = step.alias("a"), step.alias("b")
-        jumps.append(materialize(
-            a.join(b, F.col("a._to") == F.col("b._from"), "left")
-            .select(F.col("a._from").alias("_from"), F.col("b._to").alias("_to"), F.col("b._to_sec").alias("_to_sec"))
-        ))
-    raise RuntimeError(f"more than 2^{max_levels} resets for one key")
+    schema = T.StructType([seconds.schema["key"], seconds.schema["id"], seconds.schema["sec"], T.StructField("reset_no", T.LongType())])
+    found = ordered.select("grp", "key", "sec", "id").mapInArrow(resets, schema)
+    return found.select(F.col("key").alias(key_col), F.col("id").alias(id_col), F.col("sec").alias(sec_col), "reset_no")

@@ -6,11 +6,12 @@ Adapter: metric = event_type, arrival second = epoch seconds of ``ts``; upserts
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textpulse import fixed
 from textpulse.functions.time import day_of_ms, tick_ms
 from textpulse.operators.aggregate import totals
 from textpulse.operators.timeseries import (
@@ -18,16 +19,18 @@ from textpulse.operators.timeseries import (
     elapsed_resets,
     latest_ticks,
     lookback,
+    metric_names,
     snapshot,
     snapshot_delta,
 )
 from textpulse.operators.upsert import delete_first, delete_where, update_where, upsert_accumulate, upsert_replace
+from textpulse.session import materialize, scratch_path
+from textpulse.sinks.store import TableStore
 from textpulse.sources.adapters import event_seconds
 from textpulse.sources.tables import read_table
 
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 # Existing-vs-incoming split for the upsert queries: rows before this instant are the table,
-# later rows the incoming stream (every row is in exactly one of the two).
+# later rows (and rows without an instant) the incoming stream; every row is in one of the two.
 SPLIT_TS = "2024-01-15 00:00:00"
 SPLIT_MS = int(datetime.strptime(SPLIT_TS, "%Y-%m-%d %H:%M:%S").replace(tzinfo=timezone.utc).timestamp() * 1000)
 
@@ -41,15 +44,15 @@ def q_metric_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", ["event_type", "value"]).withColumn(
         "v", F.col("value").cast("decimal(18,2)")
     )
-    wide = totals(ev, "v", "event_type", EVENT_TYPES, total_name="total", count_name="rows")
-    metrics = ["total", *EVENT_TYPES, "rows"]
+    types = metric_names(ev, "event_type")
+    wide = totals(ev, "v", "event_type", types, total_name="total", count_name="rows")
+    metrics = ["total", *types, "rows"]
     wide = wide.select(*[F.col(m).cast("double").alias(m) for m in metrics])
     return wide.unpivot([], metrics, "metric", "value")
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _events(spark, sf_dir, ["ts", "event_type"])
-    return snapshot(ev, "sec", "event_type", None, EVENT_TYPES)
+    return snapshot(_events(spark, sf_dir, ["ts", "event_type"]), "sec", "event_type", None)
 
 
 def q_snapshot_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +66,18 @@ def q_snapshot_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_latest_two_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two newest snapshots within 30 minutes of the newest one."""
-    recent = lookback(_snapshots(spark, sf_dir), "tick_ms")
-    return latest_ticks(recent, "tick_ms", k=2).select("tick_ms", "day", "metric", "total")
+    """The two newest snapshots within 30 minutes of the newest one.
+
+    Only the days that the look-back reaches are read: the newest instant first, then one
+    aggregate over the rows from the start of the day half an hour before it."""
+    events = read_table(spark, sf_dir, "events", ["ts", "event_type"])
+    types = metric_names(events, "event_type")
+    newest = events.agg(F.max("ts")).first()[0]
+    if newest is None:
+        return snapshot(event_seconds(events), "sec", "event_type", None, types)
+    since = (newest - timedelta(minutes=fixed.LOOKBACK_MINUTES, seconds=fixed.SNAPSHOT_PERIOD_SECONDS)).replace(hour=0, minute=0, second=0, microsecond=0)
+    recent = snapshot(event_seconds(events.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))), "sec", "event_type", None, types)
+    return latest_ticks(lookback(recent, "tick_ms"), "tick_ms", k=2).select("tick_ms", "day", "metric", "total")
 
 
 def q_day_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,14 +92,21 @@ def q_elapsed_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elapsed_resets(ev, "user_id", "sec", "event_id", 86_400)
 
 
+def q_elapsed_resets_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per event type: first event, then every first event at least an hour after the last reset."""
+    ev = _events(spark, sf_dir, ["event_id", "ts", "event_type"])
+    return elapsed_resets(ev, "event_type", "sec", "event_id", 3_600)
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ev = read_table(spark, sf_dir, "events", ["event_id", "user_id", "props", "ts"])
     docs = ev.select(
         F.col("user_id").cast("string").alias("id"), F.col("props").alias("data"), F.col("event_id").alias("seq"),
         F.col("ts"),
     )
-    before = F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz")
-    return docs.where(before).drop("ts"), docs.where(~before).drop("ts")
+    split = F.lit(SPLIT_TS).cast("timestamp_ntz")
+    old, new = docs.where(F.col("ts") < split), docs.where((F.col("ts") >= split) | F.col("ts").isNull())
+    return old.drop("ts"), new.drop("ts")
 
 
 def _raw_upsert(spark: SparkSession, sf_dir: str, keep: str) -> DataFrame:
@@ -122,6 +141,58 @@ def q_upsert_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert_accumulate(incoming, ["day", "event_type"], "cnt", existing=table).select("day", "event_type", "cnt")
 
 
+def _day(col: str = "ts") -> Column:
+    return F.date_format(F.col(col), "yyyyMMdd")
+
+
+def q_store_accumulate_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per (day, event type) accumulated through the table store by two streams of three
+    micro-batches each, with every batch replayed, compactions in between and replays of folded
+    batches."""
+    ev = _events(spark, sf_dir, ["event_id", "ts", "user_id", "event_type"]).where("ts is not null")
+    store = TableStore(spark, scratch_path(spark, "store-accumulate"))
+    parts = ev.select(_day().alias("day"), F.col("event_type"), F.pmod("user_id", F.lit(2)).alias("s"), F.pmod("event_id", F.lit(3)).alias("b"))
+    deltas = materialize(parts.groupBy("s", "b", "day", "event_type").agg(F.count(F.lit(1)).alias("cnt")))
+
+    def batch(number: int) -> None:
+        for s in (0, 1):
+            rows = deltas.where((F.col("b") == number) & (F.coalesce("s", F.lit(0)) == s))
+            store.accumulate(rows, "counts", ["event_type"], "cnt", number, stream=f"stream{s}")
+
+    for number in range(3):
+        batch(number)
+        batch(number)
+        if number < 2:
+            store.compact("counts", ["event_type"], "cnt")
+            batch(number)
+    return store.accumulated("counts", ["event_type"], "cnt").select("day", "event_type", "cnt")
+
+
+def q_store_upsert_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw documents upserted by user id through the table store in three batches that arrive out
+    of order; an id has documents on several days, and the newest one stays."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "user_id", "props", "ts"])
+    docs = ev.select(F.col("user_id").cast("string").alias("id"), F.col("props").alias("data"), F.col("event_id").alias("seq"), _day().alias("day"))
+    store = TableStore(spark, scratch_path(spark, "store-upsert"), buckets=8)
+    for number in (2, 0, 1):
+        store.replace(docs.where(F.pmod("seq", F.lit(3)) == number), "raw", ["id"], "seq")
+    return store.read("raw").select("id", "data", "seq", "day")
+
+
+def q_store_scan_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of a day table from its partitions, each with the rows appended to it and what is
+    left of them after an update and a delete in place."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "event_type", "value", "ts"]).where("ts is not null")
+    store = TableStore(spark, scratch_path(spark, "store-days"))
+    rows = ev.select("event_id", "event_type", F.col("value").cast("decimal(18,2)").alias("value"), _day().alias("day"))
+    for odd in (0, 1):
+        store.append(rows.where(F.pmod("event_id", F.lit(2)) == odd), "days")
+    store.update("days", F.col("event_type") == "error", {"value": 0})
+    store.delete("days", F.col("event_type") == "view")
+    left = store.scan("days", ["day", "value"]).groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("value").cast("double").alias("value"))
+    return store.list_days("days").join(left, "day").select("day", "n", "value")
+
+
 def q_table_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set value = 0 on error events."""
     ev = read_table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "value"])
@@ -145,6 +216,10 @@ QUERIES = {
     "raw_upsert_last": q_raw_upsert_last,
     "raw_upsert_first": q_raw_upsert_first,
     "upsert_accumulate": q_upsert_accumulate,
+    "elapsed_resets_hourly": q_elapsed_resets_hourly,
+    "store_accumulate_replay": q_store_accumulate_replay,
+    "store_upsert_by_id": q_store_upsert_by_id,
+    "store_scan_days": q_store_scan_days,
     "table_update": q_table_update,
     "table_delete": q_table_delete,
 }
@@ -154,43 +229,24 @@ QUERIES = {
 _DAY = "strftime(DATE '1970-01-01' + CAST({ms} // 86400000 AS INTEGER), '%Y%m%d')"
 
 SNAPSHOT_SQL = """
-e AS (SELECT epoch_us(ts) // 1000000 AS sec, event_type FROM events),
-per_tick AS (
-  SELECT (sec - sec % 300) * 1000 AS tick_ms,
-         count(*) FILTER (WHERE event_type = 'click') AS click,
-         count(*) FILTER (WHERE event_type = 'error') AS error,
-         count(*) FILTER (WHERE event_type = 'purchase') AS purchase,
-         count(*) FILTER (WHERE event_type = 'signup') AS signup,
-         count(*) FILTER (WHERE event_type = 'view') AS "view"
-  FROM e GROUP BY 1
-),
-d AS (SELECT *, """ + _DAY.format(ms="tick_ms") + """ AS day FROM per_tick),
-run AS (
-  SELECT tick_ms, day,
-         sum(click) OVER w AS click, sum(error) OVER w AS error, sum(purchase) OVER w AS purchase,
-         sum(signup) OVER w AS signup, sum("view") OVER w AS "view"
-  FROM d WINDOW w AS (PARTITION BY day ORDER BY tick_ms ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-),
+e AS (SELECT epoch_us(ts) // 1000000 AS sec, event_type FROM events WHERE ts IS NOT NULL),
+n AS (SELECT (sec - sec % 300) * 1000 AS tick_ms, event_type AS metric, count(*) AS n FROM e GROUP BY 1, 2),
+types AS (SELECT DISTINCT metric FROM n WHERE metric IS NOT NULL),
+ticks AS (SELECT unnest(generate_series((SELECT min(tick_ms) FROM n), (SELECT max(tick_ms) FROM n), 300000)) AS tick_ms),
+grid AS (SELECT tick_ms, metric, """ + _DAY.format(ms="tick_ms") + """ AS day FROM ticks, types),
 snap AS (
-  SELECT tick_ms, day, metric, CAST(total AS BIGINT) AS total
-  FROM (UNPIVOT run ON click, error, purchase, signup, "view" INTO NAME metric VALUE total)
+  SELECT tick_ms, day, metric,
+         CAST(sum(coalesce(n, 0)) OVER (PARTITION BY day, metric ORDER BY tick_ms ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total
+  FROM grid LEFT JOIN n USING (tick_ms, metric)
 )
 """
 
 ORACLE = {
     "metric_totals": """
-WITH t AS (
-  SELECT CAST(coalesce(sum(CAST(value AS DECIMAL(18,2))), 0) AS DOUBLE) AS total,
-         CAST(coalesce(sum(CAST(value AS DECIMAL(18,2))) FILTER (WHERE event_type = 'click'), 0) AS DOUBLE) AS click,
-         CAST(coalesce(sum(CAST(value AS DECIMAL(18,2))) FILTER (WHERE event_type = 'error'), 0) AS DOUBLE) AS error,
-         CAST(coalesce(sum(CAST(value AS DECIMAL(18,2))) FILTER (WHERE event_type = 'purchase'), 0) AS DOUBLE) AS purchase,
-         CAST(coalesce(sum(CAST(value AS DECIMAL(18,2))) FILTER (WHERE event_type = 'signup'), 0) AS DOUBLE) AS signup,
-         CAST(coalesce(sum(CAST(value AS DECIMAL(18,2))) FILTER (WHERE event_type = 'view'), 0) AS DOUBLE) AS "view",
-         CAST(count(*) AS DOUBLE) AS "rows"
-  FROM events
-)
-SELECT metric, value FROM (UNPIVOT t ON total, click, error, purchase, signup, "view", "rows"
-                           INTO NAME metric VALUE value)""",
+WITH v AS (SELECT event_type, CAST(value AS DECIMAL(18,2)) AS v FROM events)
+SELECT 'total' AS metric, CAST(coalesce(sum(v), 0) AS DOUBLE) AS value FROM v
+UNION ALL SELECT 'rows', CAST(count(*) AS DOUBLE) FROM v
+UNION ALL SELECT event_type, CAST(coalesce(sum(v), 0) AS DOUBLE) FROM v WHERE event_type IS NOT NULL GROUP BY event_type""",
     "snapshot_totals": f"WITH {SNAPSHOT_SQL} SELECT tick_ms, day, metric, total FROM snap",
     "snapshot_delta": f"""WITH {SNAPSHOT_SQL}
 SELECT tick_ms, day, metric, total,
@@ -217,6 +273,27 @@ r AS (
   GROUP BY e.user_id
 )
 SELECT user_id, event_id, sec, reset_no FROM r""",
+    "elapsed_resets_hourly": """
+WITH RECURSIVE e AS (SELECT event_type, event_id, epoch_us(ts) // 1000000 AS sec FROM events WHERE ts IS NOT NULL),
+r AS (
+  SELECT event_type, arg_min(event_id, (sec, event_id)) AS event_id, min(sec) AS sec, CAST(0 AS BIGINT) AS reset_no
+  FROM e GROUP BY event_type
+  UNION ALL
+  SELECT e.event_type, arg_min(e.event_id, (e.sec, e.event_id)), min(e.sec), any_value(r.reset_no) + 1
+  FROM r JOIN e ON e.event_type IS NOT DISTINCT FROM r.event_type AND e.sec >= r.sec + 3600
+  GROUP BY e.event_type
+)
+SELECT event_type, event_id, sec, reset_no FROM r""",
+    "store_accumulate_replay": """
+SELECT strftime(ts, '%Y%m%d') AS day, event_type, count(*) AS cnt FROM events WHERE ts IS NOT NULL GROUP BY 1, 2""",
+    "store_upsert_by_id": """
+SELECT CAST(user_id AS VARCHAR) AS id, arg_max(props, event_id) AS data, max(event_id) AS seq,
+       strftime(arg_max(ts, event_id), '%Y%m%d') AS day
+FROM events GROUP BY user_id""",
+    "store_scan_days": """
+SELECT strftime(ts, '%Y%m%d') AS day, count(*) AS n,
+       CAST(sum(CASE WHEN event_type = 'error' THEN 0 ELSE CAST(value AS DECIMAL(18,2)) END) AS DOUBLE) AS value
+FROM events WHERE ts IS NOT NULL AND event_type <> 'view' GROUP BY 1""",
     "raw_upsert_last": """
 SELECT CAST(user_id AS VARCHAR) AS id, arg_max(props, event_id) AS data, max(event_id) AS seq
 FROM events GROUP BY user_id""",

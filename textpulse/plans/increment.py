@@ -96,7 +96,7 @@ senti AS (
   SELECT arrival_sec - arrival_sec % 300 AS sec, {POLARITY_SQL} AS metric, count(*) AS v FROM terms GROUP BY 1, 2
 ),
 inc AS (SELECT * FROM hot UNION ALL SELECT * FROM senti),
-per_tick AS (
+busy AS (
   SELECT (sec - sec % 300) * 1000 AS tick_ms,
          coalesce(sum(v) FILTER (WHERE metric = 'hotword'), 0) AS hotword,
          coalesce(sum(v) FILTER (WHERE metric = 'positive'), 0) AS positive,
@@ -104,6 +104,12 @@ per_tick AS (
          coalesce(sum(v) FILTER (WHERE metric = 'unknown'), 0) AS unknown
   FROM inc GROUP BY 1
 ),
+per_tick AS (
+  SELECT tick_ms, coalesce(hotword, 0) AS hotword, coalesce(positive, 0) AS positive,
+         coalesce(negative, 0) AS negative, coalesce(unknown, 0) AS unknown
+  FROM (SELECT unnest(generate_series((SELECT min(tick_ms) FROM busy), (SELECT max(tick_ms) FROM busy), 300000)) AS tick_ms)
+  LEFT JOIN busy USING (tick_ms)
+),
 d AS (SELECT *, strftime(DATE '1970-01-01' + CAST(tick_ms // 86400000 AS INTEGER), '%Y%m%d') AS day FROM per_tick),
 run AS (
   SELECT tick_ms, day, sum(hotword) OVER w AS hotword, sum(positive) OVER w AS positive,
