@@ -201,3 +201,37 @@ def test_count_window_stream_equals_batch_and_replays(spark, tmp_dir):
     sink(spark.read.parquet(os.path.join(src, "p1")), 1)
     after = sorted(map(tuple, spark.read.parquet(os.path.join(root, "out")).select("seq", "window_no").collect()))
     assert after == before
+
+
+def test_stream_queries_read_a_folder_of_part_files(spark, tmp_dir):
+    import __spark_entry__ as E
+
+    src = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{src}/conversations.parquet").repartition(3).write.parquet(f"{tmp_dir}/conversations.parquet")
+    spark.read.parquet(f"{src}/events.parquet").repartition(3).write.parquet(f"{tmp_dir}/events.parquet")
+    for name in ("stream_running", "stream_tumbling", "stream_elapsed_resets", "stream_count_window_batches"):
+        want = sorted(map(tuple, E.queries()[name](spark, src).collect()))
+        assert sorted(map(tuple, E.queries()[name](spark, tmp_dir).collect())) == want, name
+
+
+def test_micro_batches_are_bounded_and_the_session_keeps_its_state_store(spark, tmp_dir):
+    from textpulse.streaming.jobs import read_log, rocksdb_state, stored_table_stream, write_updates
+
+    spark.range(90).selectExpr("id", "id % 3 as k").repartition(3).write.parquet(f"{tmp_dir}/t.parquet")
+    stream = stored_table_stream(spark, tmp_dir, "t", "id BIGINT, k BIGINT", max_files_per_trigger=1)
+    with rocksdb_state(spark):
+        query = stream.writeStream.foreachBatch(write_updates(f"{tmp_dir}/log")).option("checkpointLocation", f"{tmp_dir}/ckpt").trigger(availableNow=True).start()
+        query.awaitTermination()
+    rows = read_log(spark, f"{tmp_dir}/log", stream.schema)
+    assert rows.count() == 90 and rows.select("batch_id").distinct().count() == 3
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+    assert read_log(spark, f"{tmp_dir}/none", stream.schema).count() == 0
+
+
+def test_stream_queries_of_an_empty_table_give_no_rows(spark, tmp_dir):
+    import __spark_entry__ as E
+
+    src = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{src}/conversations.parquet").limit(0).write.parquet(f"{tmp_dir}/conversations.parquet")
+    assert E.queries()["stream_running"](spark, tmp_dir).count() == 0
+    assert E.queries()["stream_count_window_batches"](spark, tmp_dir).count() == 0

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpulse import fixed, schemas
+from textpulse.functions.json import set_json_field
 from textpulse.functions.text import crc32_of
 
 # Default extraction rules for page fields: name -> (regex, group). `(?s)` lets `.` span lines.
@@ -26,15 +27,48 @@ TYPE_LINK_PATTERN = r'<li><a href="[^"]*">([^<]*)</a></li>'
 SPAN_PATTERN = r"(?s)<span[^>]*>(.*?)</span>"
 
 
+#: A div of the class that marks a video page.
+VIDEO_DIV_PATTERN = r'(?s)<div\b[^>]*\bclass="(?:[^"]*\s)?r-con(?:\s[^"]*)?"'
+_TAG = r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>"
+
+
+def page_text(html: Column) -> Column:
+    """The text of a page: without tags, comments, scripts and styles."""
+    return F.regexp_replace(html, _TAG, "")
+
+
 def page_triage(pages: DataFrame, deleted_marker: str = fixed.DELETED_MARKER,
-                video_marker: str = fixed.VIDEO_MARKER, html_col: str = "html") -> DataFrame:
-    """Drop deleted pages; label the rest ``video`` (has the video marker) or ``bangumi``."""
+                video_marker: str | None = None, html_col: str = "html") -> DataFrame:
+    """Drop pages whose text has the deleted marker; label the rest ``video`` (they have a div of
+    the video class or, if given, the ``video_marker`` in their html) or ``bangumi``."""
     html = F.col(html_col)
-    return pages.where(~F.coalesce(html.contains(deleted_marker), F.lit(False))).withColumn(
-        "kind", F.when(html.contains(video_marker), F.lit("video")).otherwise(F.lit("bangumi"))
+    is_video = html.contains(video_marker) if video_marker else html.rlike(VIDEO_DIV_PATTERN)
+    return pages.where(~F.coalesce(page_text(html).contains(deleted_marker), F.lit(False))).withColumn(
+        "kind", F.when(is_video, F.lit("video")).otherwise(F.lit("bangumi"))
     )
 
 
+def video_page_fields(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """Fields of a video page: ``author`` from the link named ``report-id="name"`` inside the video
+    div; ``title`` from the first child of the head block (``id="viewbox_report"``), ``type`` from
+    the links and ``time`` from the second, else the first, span of its second child. A field
+    that is not found is empty."""
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    block = F.regexp_extract(html, VIDEO_DIV_PATTERN + r"[^>]*>(.*)", 1)
+    author = F.regexp_extract(block, r'(?s)<a\b[^>]*\breport-id="name"[^>]*>(.*?)</a>', 1)
+    head = F.regexp_extract(html, r'(?s)<div\b[^>]*\bid="viewbox_report"[^>]*>(.*)', 1)
+    children = r"(?s)^\s*<(\w+)\b[^>]*>(.*?)</\1>\s*<(\w+)\b[^>]*>(.*?)</\3>"
+    title = F.regexp_extract(head, r"(?s)^\s*<(\w+)\b[^>]*>(.*?)</\1>", 2)
+    second = F.regexp_extract(head, children, 4)
+    spans = F.regexp_extract_all(second, F.lit(SPAN_PATTERN), 1)
+    time = F.coalesce(F.get(spans, F.lit(1)), F.get(spans, F.lit(0)), F.lit(""))
+    links = F.regexp_extract_all(second, F.lit(r"(?s)<a\b[^>]*>(.*?)</a>"), 1)
+    return pages.withColumns({
+        "author": page_text(author), "title": page_text(title), "time": page_text(time),
+        "type": F.transform(links, page_text),
+    })
+
+
 def page_fields(pages: DataFrame, rules: Mapping[str, tuple[str, int]] | None = None,
                 html_col: str = "html") -> DataFrame:
     """Extract fields with regex rules; a failed extraction gives "" (the original's default).
@@ -68,7 +102,8 @@ def _reply_struct(node: Column, list_name: str, node_pos: Column, child_pos: Col
 def flatten_replies(raw: DataFrame, payload_col: str = "json", keep: tuple[str, ...] = ("av",)) -> DataFrame:
     """Reply API payloads -> one row per reply: for ``replies`` then ``hots``, each top-level
     reply followed by its child replies. Payloads with the closed code yield nothing;
-    replies present in both lists are kept twice.
+    replies present in both lists are kept twice. Payloads that are no JSON go to
+    :func:`malformed_payloads`.
 
     The reply tree of a payload is turned into one array with higher-order functions and
     exploded once (a single pass over the payloads).
@@ -76,7 +111,7 @@ def flatten_replies(raw: DataFrame, payload_col: str = "json", keep: tuple[str,
     """
     keep = list(keep)
     parsed = raw.select(*keep, F.from_json(F.col(payload_col), schemas.REPLY_PAYLOAD).alias("_p")).where(
-        F.col("_p.code") != fixed.REPLIES_CLOSED_CODE
+        F.col("_p").isNotNull() & (F.coalesce(F.col("_p.code"), F.lit(0)) != fixed.REPLIES_CLOSED_CODE)
     )
 
     def rows_of(list_name: str):
@@ -93,15 +128,25 @@ def flatten_replies(raw: DataFrame, payload_col: str = "json", keep: tuple[str,
     )
 
 
-# Join keys per item when attaching item sizes to messages (spreads a hot item over tasks).
-SIZE_SALTS = 32
-
 BULLET_XML_SCHEMA = "d ARRAY<STRUCT<_p: STRING, _VALUE: STRING>>"
 
 
 def parse_bullets(raw: DataFrame, xml_col: str = "xml", keep: tuple[str, ...] = ("cid",)) -> DataFrame:
     """Bullet XML documents -> one row per ``<d>``: sender = 7th and second = 5th comma field
-    of its ``p`` attribute; ``pos`` is the element's position in the document."""
+    of its ``p`` attribute; ``pos`` is the element's position in the document. Elements without
+    a sender or a whole second are left to :func:`malformed_bullets`."""
+    return _bullet_elements(raw, xml_col, keep).where(_BULLET_OK).select(*keep, "pos", "sender", "sec", "text")
+
+
+def malformed_bullets(raw: DataFrame, xml_col: str = "xml", keep: tuple[str, ...] = ("cid",)) -> DataFrame:
+    """The elements that :func:`parse_bullets` leaves out: keep..., pos, p (the raw attribute)."""
+    return _bullet_elements(raw, xml_col, keep).where(f"not ({_BULLET_OK})").select(*keep, "pos", "p")
+
+
+_BULLET_OK = "sender is not null and sec is not null"
+
+
+def _bullet_elements(raw: DataFrame, xml_col: str, keep: tuple[str, ...]) -> DataFrame:
     keep = list(keep)
     parsed = raw.select(
         *keep,
@@ -112,39 +157,36 @@ def parse_bullets(raw: DataFrame, xml_col: str = "xml", keep: tuple[str, ...] =
     return elems.select(
         *keep,
         "pos",
-        fields.getItem(fixed.BULLET_SENDER_FIELD).alias("sender"),
-        fields.getItem(fixed.BULLET_SECOND_FIELD).try_cast("bigint").alias("sec"),
+        F.col("_d._p").alias("p"),
+        F.get(fields, F.lit(fixed.BULLET_SENDER_FIELD)).alias("sender"),
+        F.get(fields, F.lit(fixed.BULLET_SECOND_FIELD)).try_cast("bigint").alias("sec"),
         F.coalesce(F.col("_d._VALUE"), F.lit("")).alias("text"),
     )
 
 
+def malformed_payloads(raw: DataFrame, payload_col: str = "json") -> DataFrame:
+    """Payload rows that are not a JSON object (null included), for the quarantine."""
+    return raw.where(F.json_object_keys(F.col(payload_col)).isNull())
+
+
 def last_text_wins(bullets: DataFrame, keys: tuple[str, ...] = ("cid", "sender", "sec"),
                    order_col: str = "pos") -> DataFrame:
     """One text per (cid, sender, second): the last one in document order (dict overwrite)."""
     return bullets.groupBy(*keys).agg(F.max_by("text", order_col).alias("text"))
 
 
-def assemble_records(msgs: DataFrame, max_per_record: int = 5000, part_name: str = "conversation",
-                     order_col: str | None = "seq") -> DataFrame:
-    """Nest messages (av, origin, sender, sec, text[, seq]) into records of the record schema.
+def assemble_records(msgs: DataFrame, part_name: str = "conversation", order_col: str | None = "seq",
+                     page_col: str = "p") -> DataFrame:
+    """Nest messages (av, p, origin, sender, sec, text[, seq]) into one record per item and page,
+    of the record schema.
 
-    An item's messages are spread over ``ceil(n / max_per_record)`` records (hash of the
-    message key), so no record, and no task building one, grows with a hot item; flattening
-    the records gives back the same bag of messages. Bullets repeating (sender, second) keep
-    the last text in ``order_col`` order, as a dict overwrite would.
-    Columns: av, part_no, bullet_screen, replies.
+    A page holds one bullet file and one page of replies, so a record is bounded by its source's
+    page, however many an item has; flattening the records gives back the same bag of
+    messages. Bullets repeating (sender, second) keep the last text in ``order_col`` order, as a
+    dict overwrite would; bullets without a sender are put under the empty one.
+    Columns: av, part_no (the page), bullet_screen, replies.
     """
-    sizes = msgs.groupBy("av").agg(F.count(F.lit(1)).alias("_n"))
-    n_parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_per_record)))
-    # Salted join: a hot item's messages spread over SIZE_SALTS join keys; the one-row-per-item
-    # size table is replicated once per salt.
-    salted_sizes = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SIZE_SALTS - 1))))
-    hashed = msgs.withColumn("_h", F.xxhash64("origin", "sender", "sec")).withColumn(
-        "_salt", F.pmod(F.col("_h"), F.lit(SIZE_SALTS)).cast("int")
-    )
-    parted = hashed.join(salted_sizes, ["av", "_salt"]).withColumn(
-        "part_no", F.pmod(F.col("_h"), n_parts.cast("bigint"))
-    ).drop("_h", "_salt")
+    parted = msgs.withColumn("part_no", F.col(page_col)).withColumn("sender", F.coalesce("sender", F.lit("")))
     bullets = parted.where(F.col("origin") == "bullet")
     last = F.max_by("text", order_col) if order_col else F.max("text")
     bullets = bullets.groupBy("av", "part_no", "sender", "sec").agg(last.alias("text"))
@@ -158,7 +200,7 @@ def assemble_records(msgs: DataFrame, max_per_record: int = 5000, part_name: str
         "part_no",
         F.array(
             F.struct(
-                F.lit(1).alias("p"),
+                F.col("part_no").cast("int").alias("p"),
                 F.regexp_extract("av", r"(\d+)", 1).try_cast("bigint").alias("cid"),
                 F.lit(part_name).alias("part"),
                 F.col("bullet"),
@@ -195,11 +237,13 @@ def record_json(records: DataFrame, key_col: str = "av") -> DataFrame:
 
 
 def valid_users(raw: DataFrame, payload_col: str = "value", uid_col: str = "uid") -> DataFrame:
-    """User API payloads with ``code == 0``, with the unsigned CRC32 of the uid string."""
+    """User API payloads with ``code == 0``, with the unsigned CRC32 of the uid string, as a column
+    and inside the payload (the published record). Others, malformed ones included, are left
+    out; :func:`malformed_payloads` finds the latter."""
     parsed = raw.withColumn("_u", F.from_json(F.col(payload_col), schemas.USER_RECORD))
     return parsed.where(F.col("_u.code") == 0).select(
-        "*", crc32_of(F.col(uid_col)).alias("crc32")
-    ).drop("_u")
+        *[F.col(c) for c in raw.columns if c != payload_col], crc32_of(F.col(uid_col)).alias("crc32"), payload_col
+    ).withColumn(payload_col, set_json_field(payload_col, "crc32", F.col("crc32")))
 
 
 def seed_ids(spark: SparkSession, first: int, last: int, prefix: str = fixed.VIDEO_ID_PREFIX,
@@ -244,37 +288,45 @@ def nest_bullets(bullets: DataFrame) -> DataFrame:
     """(cid, sender, sec, text) -> (cid, bullet): map sender -> (second -> text).
 
     One map per bullet file: the group is exactly the content of one input document."""
-    per_sender = bullets.groupBy("cid", "sender").agg(
+    named = bullets.withColumn("sender", F.coalesce("sender", F.lit("")))
+    per_sender = named.groupBy("cid", "sender").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("sec").cast("string"), F.col("text")))).alias("_m")
     )
     return per_sender.groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct("sender", "_m"))).alias("bullet"))
 
 
 def assemble_video_records(stats: DataFrame, tags: DataFrame, pages: DataFrame, bullets: DataFrame,
-                           replies: DataFrame) -> DataFrame:
-    """Join the parts of an item into records of the record schema, one per (av, page).
+                           replies: DataFrame, info: DataFrame | None = None) -> DataFrame:
+    """Join the parts of an item into one record of the record schema per item.
 
     ``pages``: (av, p, cid, part, count); ``bullets``: (cid, bullet); ``replies``: flattened
-    reply rows with (av, p). Each record carries the item's stat fields and tags and one
-    page's bullets and replies, so its size is bounded by one page's payloads however many
-    pages an item has. All joins are equi-joins on av / cid (shuffle joins; no side is
-    assumed small)."""
-    reply_lists = replies.groupBy("av", "p").agg(
-        F.collect_list(F.struct("time", "name", "sex", "like", "level", "message")).alias("replies")
-    )
-    with_bullets = pages.join(bullets, "cid", "left")
+    reply rows (av, list_name, node_pos, child_pos, ...); ``info``: (av, title, author, type,
+    time, url) of the item's page (a bangumi item has none). ``bullet_screen`` holds all pages
+    of the item, sorted by number, ``replies`` all its replies in their order. All joins are
+    equi-joins on av / cid (shuffle joins; no side is assumed small). A record is one message
+    to publish, so the item's own size bounds it."""
+    place = [c for c in ("p", "list_name", "node_pos", "child_pos") if c in replies.columns]
+    hots_last = [F.when(F.col(c) == "replies", 0).otherwise(1).alias(c) if c == "list_name" else F.col(c) for c in place]
+    fields = ["time", "name", "sex", "like", "level", "message"]
+    reply_lists = replies.groupBy("av").agg(F.array_sort(F.collect_list(F.struct(*hots_last, F.struct(*fields).alias("r")))).alias("l"))
+    reply_lists = reply_lists.select("av", F.transform("l", lambda x: x["r"]).alias("replies"))
     page_struct = F.struct(
         F.col("p"), F.col("cid"), F.col("part"),
         F.coalesce("bullet", F.create_map().cast(schemas.BULLET_PAGE["bullet"].dataType)).alias("bullet"),
     )
+    by_page = F.struct("p", "cid").alias("k")
+    screens = pages.join(bullets, "cid", "left").groupBy("av").agg(
+        F.max("count").alias("count"), F.collect_list(F.struct(by_page, page_struct.alias("page"))).alias("l"))
+    # maps cannot be compared, so pages are sorted by their number and file alone
+    ordered = F.array_sort("l", lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
+    screens = screens.select("av", "count", F.transform(ordered, lambda x: x["page"]).alias("bullet_screen"))
+    names = ["title", "author", "type", "time", "url"]
+    if info is None:
+        info = stats.select("av", *[F.lit(None).cast("array<string>" if n == "type" else "string").alias(n) for n in names])
     empty_replies = F.array().cast(schemas.VIDEO_RECORD["replies"].dataType)
-    return (
-        with_bullets.join(reply_lists, ["av", "p"], "left")
-        .join(stats, "av", "left")
-        .join(tags, "av", "left")
-        .select(
-            "av", "p", "view", "replies_number", "favorite", "coin", "share", "tag", "count",
-            F.array(page_struct).alias("bullet_screen"),
-            F.coalesce("replies", empty_replies).alias("replies"),
-        )
+    joined = screens.join(reply_lists, "av", "left").join(stats, "av", "left").join(tags, "av", "left")
+    joined = joined.join(info.select("av", *names), "av", "left")
+    return joined.select(
+        "av", "title", "author", "view", "replies_number", "favorite", "coin", "share", "type", "tag", "time", "url",
+        "count", "bullet_screen", F.coalesce("replies", empty_replies).alias("replies"),
     )

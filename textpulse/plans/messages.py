@@ -149,7 +149,7 @@ msgs AS (
          role AS sender,
          CAST(1704067200 + conv_id * 61 + turn * 45 AS BIGINT) AS sec,
          CAST(1704067200 + conv_id * 61 + turn * 45 + turn * 150 AS BIGINT) AS arrival_sec,
-         CAST(conv_id * 100000 + turn AS BIGINT) AS seq,
+         CAST(conv_id * 4294967296 + turn AS BIGINT) AS seq,
          text
   FROM conversations
 ),

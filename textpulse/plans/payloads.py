@@ -16,12 +16,15 @@ from textpulse.operators.payloads import (
     tag_names,
     flatten_replies,
     last_text_wins,
+    malformed_bullets,
+    malformed_payloads,
     page_fields,
     page_triage,
     parse_bullets,
     record_json,
     seed_ids,
     valid_users,
+    video_page_fields,
 )
 from textpulse.operators.shape import explode_messages
 from textpulse.sources.adapters import (
@@ -32,6 +35,7 @@ from textpulse.sources.adapters import (
     stat_payloads_from_conversations,
     tag_payloads_from_conversations,
     user_payloads_from_events,
+    video_pages_from_conversations,
 )
 from textpulse.sources.records import parse_records
 from textpulse.sources.tables import read_table
@@ -71,15 +75,16 @@ def q_bullet_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_nested_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages -> nested records -> JSON text -> parsed records -> flattened messages."""
     conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
-    msgs = messages_from_conversations(conv).select("av", "origin", "sender", "sec", "text", "seq")
+    msgs = messages_from_conversations(conv).select("av", "p", "origin", "sender", "sec", "text", "seq")
     payloads = record_json(assemble_records(msgs))
     good, _bad = parse_records(payloads, schemas.VIDEO_RECORD, value_col="value", key_field="av")
     return explode_messages(good).select("av", "origin", "sender", "sec", "text")
 
 
 def q_record_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stat, tag, page-list, bullet and reply payloads joined into records (one per page),
-    rendered as JSON and parsed back; reports the fields and part sizes of every record."""
+    """Stat, tag, page-list, bullet, reply and page payloads joined into one record per item,
+    rendered as JSON and parsed back; reports the fields of every record and, per page of its
+    sorted array, the number, file, name and bullets."""
     conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
     bullets = nest_bullets(last_text_wins(parse_bullets(bullet_xml_from_conversations(conv))))
     replies = flatten_replies(reply_payloads_from_conversations(conv), keep=("av", "p"))
@@ -89,21 +94,50 @@ def q_record_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
         page_list(pagelist_payloads_from_conversations(conv)),
         bullets,
         replies,
+        video_page_fields(video_pages_from_conversations(conv)),
     )
-    rendered = records.select("p", F.to_json(F.struct(*[c for c in records.columns if c != "p"])).alias("value"))
-    back = rendered.select("p", F.from_json("value", schemas.VIDEO_RECORD).alias("r")).select("p", "r.*")
-    page = back["bullet_screen"][0]
+    back = records.select(F.to_json(F.struct(*records.columns)).alias("value"))
+    back = back.select(F.from_json("value", schemas.VIDEO_RECORD).alias("r")).select("r.*")
+
+    def page_line(page):
+        bullets_in = F.aggregate(F.map_values(page["bullet"]), F.lit(0), lambda acc, m: acc + F.size(m))
+        return F.concat_ws(":", page["p"], page["cid"], page["part"], bullets_in)
+
     return back.select(
-        "av", "p", "view", "replies_number", "favorite", "coin", "share",
-        F.array_join("tag", ",").alias("tags"), "count", page["cid"].alias("cid"), page["part"].alias("part"),
-        F.aggregate(F.map_values(page["bullet"]), F.lit(0), lambda acc, m: acc + F.size(m)).alias("n_bullets"),
-        F.size("replies").alias("n_replies"),
+        "av", "title", "author", "view", "replies_number", "favorite", "coin", "share",
+        F.array_join("type", ",").alias("types"), F.array_join("tag", ",").alias("tags"), "time", "url", "count",
+        F.array_join(F.transform("bullet_screen", page_line), "|").alias("pages"), F.size("replies").alias("n_replies"),
     )
 
 
+def q_payload_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reply payloads, bullet elements and records with broken ones among them (every turn number
+    divisible by 7 breaks its page): what is parsed and what goes to the quarantine."""
+    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    broken = conv.groupBy("conv_id").agg((F.max("turn") % 7 == 0).alias("broken"))
+    av = broken.select(F.concat(F.lit("av"), F.col("conv_id").cast("string")).alias("av"), "broken")
+    payloads = reply_payloads_from_conversations(conv).join(av, "av")
+    payloads = payloads.withColumn("json", F.when(F.col("broken"), F.concat(F.lit("{"), "json")).otherwise(F.col("json")))
+    xml = bullet_xml_from_conversations(conv).withColumn("xml", F.regexp_replace("xml", r',25,16777215,(\d*)1,[^"]*"', r',25"'))
+    typed = payloads.select("av", F.when(F.col("broken"), '{"av":"x","view":"many"}').otherwise(F.concat(F.lit('{"view":1,"av":"'), "av", F.lit('"}'))).alias("value"))
+    good, bad = parse_records(typed, schemas.VIDEO_RECORD, value_col="value", key_field="av")
+    counts = [
+        ("replies_good", flatten_replies(payloads, keep=("av",))), ("replies_bad", malformed_payloads(payloads)),
+        ("bullets_good", parse_bullets(xml)), ("bullets_bad", malformed_bullets(xml)),
+        ("records_good", good), ("records_bad", bad),
+    ]
+    out = None
+    for name, rows in counts:
+        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def q_user_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid users with the CRC32 of their id, as it stands in the published record."""
     ev = read_table(spark, sf_dir, "events", ["event_id", "user_id", "event_type"])
-    return valid_users(user_payloads_from_events(ev), "value", "uid").select("event_id", "uid", "crc32")
+    users = valid_users(user_payloads_from_events(ev), "value", "uid")
+    return users.select("event_id", "uid", F.get_json_object("value", "$.crc32").cast("bigint").alias("crc32"))
 
 
 def q_seed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +153,7 @@ QUERIES = {
     "bullet_xml": q_bullet_xml,
     "nested_roundtrip": q_nested_roundtrip,
     "record_assembly": q_record_assembly,
+    "payload_quarantine": q_payload_quarantine,
     "user_crc32": q_user_crc32,
     "seed_ids": q_seed_ids,
 }
@@ -134,7 +169,8 @@ c AS (
 ORACLE = {
     "page_triage": """
 SELECT page_id, url, CASE WHEN contains(html, 'lang="en"') THEN 'video' ELSE 'bangumi' END AS kind
-FROM pages WHERE NOT contains(html, '&amp;')""",
+FROM pages
+WHERE NOT contains(regexp_replace(html, '(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>', '', 'g'), '&amp;')""",
     "page_fields": """
 WITH f AS (
   SELECT page_id,
@@ -166,7 +202,7 @@ SELECT av, l.list_name, 0 AS node_pos, child_pos, sec AS "time", role AS name, '
 FROM r CROSS JOIN (VALUES ('replies'), ('hots')) AS l(list_name)""",
     "bullet_xml": f"""
 WITH {_CONV_SQL}
-SELECT conv_id * 1000 + page // 20 AS cid, role AS sender, sec, text FROM c""",
+SELECT conv_id * 4294967296 + page // 20 AS cid, role AS sender, sec, text FROM c""",
     "nested_roundtrip": """
 SELECT 'av' || CAST(conv_id AS VARCHAR) AS av,
        CASE WHEN role = 'user' THEN 'bullet' ELSE 'reply' END AS origin,
@@ -185,15 +221,39 @@ stat AS (
 ),
 tags AS (SELECT av, string_agg(role, ',' ORDER BY role) AS tags FROM (SELECT DISTINCT av, role FROM c) GROUP BY av),
 pg AS (
-  SELECT av, page, CAST(page // 20 + 1 AS INTEGER) AS p, conv_id * 1000 + page // 20 AS cid,
+  SELECT av, page, CAST(page // 20 + 1 AS INTEGER) AS p, conv_id * 4294967296 + page // 20 AS cid,
          count(*) AS n_turns, arg_min(role, turn) AS top_role
   FROM c GROUP BY av, conv_id, page
 )
-SELECT pg.av, pg.p, stat."view", stat.replies_number, stat.favorite, stat.coin, stat.share, tags.tags,
-       stat."count", pg.cid, 'part ' || CAST(pg.p AS VARCHAR) AS part,
-       CAST(pg.n_turns AS INTEGER) AS n_bullets,
-       CAST(CASE WHEN pg.top_role = 'system' THEN 0 ELSE 2 * pg.n_turns END AS INTEGER) AS n_replies
-FROM pg JOIN stat USING (av) JOIN tags USING (av)""",
+SELECT stat.av, any_value(f.title) AS title, any_value(f.author) AS author, any_value(stat."view") AS "view",
+       any_value(stat.replies_number) AS replies_number, any_value(stat.favorite) AS favorite,
+       any_value(stat.coin) AS coin, any_value(stat.share) AS share, any_value(tags.tags) AS types,
+       any_value(tags.tags) AS tags, any_value(f.time) AS "time", 'https://video.example/' || stat.av AS url,
+       any_value(stat."count") AS "count",
+       string_agg(p || ':' || cid || ':part ' || p || ':' || n_turns, '|' ORDER BY p) AS pages,
+       CAST(sum(CASE WHEN pg.top_role = 'system' THEN 0 ELSE 2 * pg.n_turns END) AS INTEGER) AS n_replies
+FROM pg JOIN stat USING (av) JOIN tags USING (av)
+JOIN (SELECT av, left(regexp_replace(arg_min(text, turn), '[<>&\\s]+', ' ', 'g'), 80) AS title, arg_min(role, turn) AS author,
+             CAST(arg_min(sec, turn) AS VARCHAR) AS "time" FROM c GROUP BY av) f USING (av)
+GROUP BY stat.av""",
+    "payload_quarantine": f"""
+WITH {_CONV_SQL},
+b AS (SELECT conv_id, max(turn) % 7 = 0 AS broken FROM c GROUP BY 1),
+pg AS (SELECT conv_id, page, broken, count(*) AS n_turns, arg_min(role, turn) AS top_role FROM c JOIN b USING (conv_id) GROUP BY ALL)
+SELECT 'replies_good' AS what, CAST(sum(CASE WHEN broken OR top_role = 'system' THEN 0 ELSE 2 * n_turns END) AS BIGINT) AS n FROM pg
+UNION ALL SELECT 'replies_bad', count(*) FILTER (broken) FROM pg
+UNION ALL SELECT 'bullets_good', count(*) FILTER (sec % 10 <> 1) FROM c
+UNION ALL SELECT 'bullets_bad', count(*) FILTER (sec % 10 = 1) FROM c
+UNION ALL SELECT 'records_good', count(*) FILTER (NOT broken) FROM pg
+UNION ALL SELECT 'records_bad', count(*) FILTER (broken) FROM pg""",
+    "user_crc32": """
+SELECT event_id, CAST(user_id AS VARCHAR) AS uid,
+       xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+             list_transform(string_split(CAST(user_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+           lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], CAST(range(0, 8) AS BIGINT[])),
+             lambda x, step: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)),
+         CAST(4294967295 AS BIGINT)) AS crc32
+FROM events WHERE event_type <> 'error'""",
     "seed_ids": """
 SELECT id, 'av' || CAST(id AS VARCHAR) AS key, 'https://video.example/av' || CAST(id AS VARCHAR) AS url
 FROM (SELECT unnest(generate_series(1, (SELECT max(user_id) FROM events))) AS id)""",

@@ -1,6 +1,6 @@
 """Streaming queries over ``conversations`` as a file stream (trigger availableNow).
 
-Both queries read the same source: windowed hot words (tumbling 5-minute arrival windows with
+The queries read the same source: windowed hot words (tumbling 5-minute arrival windows with
 a watermark) and unbounded running counts. They run in ``update`` mode; every micro-batch's
 updated rows are logged per batch id, and the final state is the last emission per key.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textpulse import fixed
 from textpulse.plans.messages import MESSAGES_SQL, RUNNING_SQL, prepare_messages, prepare_tokens
@@ -17,13 +18,14 @@ from textpulse.plans.events import ORACLE as EVENTS_ORACLE
 from textpulse.sources.adapters import event_seconds
 from textpulse.plans.messages import ORACLE as MESSAGES_ORACLE
 from textpulse.streaming.jobs import (
-    ROCKSDB_PROVIDER,
     count_window_sink,
     elapsed_resets_stream,
     last_emitted,
+    read_log,
+    rocksdb_state,
     running_counts_per_record,
     running_word_counts,
-    table_stream,
+    stored_table_stream,
     windowed_hot_words,
     write_updates,
 )
@@ -33,11 +35,12 @@ EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type ST
 
 
 def _token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = table_stream(spark, sf_dir, CONVERSATION_SCHEMA, glob="conversations.parquet")
+    conv = stored_table_stream(spark, sf_dir, "conversations", CONVERSATION_SCHEMA)
     return prepare_tokens(prepare_messages(conv))
 
 
-def _run_to_end(result: DataFrame, name: str, mode: str = "update") -> str:
+def _run_to_end(result: DataFrame, name: str, mode: str = "update") -> DataFrame:
+    """Run a stream over all there is; the log of its batches (with ``batch_id``)."""
     spark = result.sparkSession
     log = scratch_path(spark, f"{name}-log")
     query = (
@@ -50,60 +53,61 @@ def _run_to_end(result: DataFrame, name: str, mode: str = "update") -> str:
     query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(f"streaming query {name} failed: {query.exception()}")
-    return log
+    return read_log(spark, log, result.schema)
 
 
 def q_stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hot words per 5-minute arrival window (count >= 10), from the stream's final state."""
     log = _run_to_end(windowed_hot_words(_token_stream(spark, sf_dir)), "stream-tumbling")
-    final = last_emitted(spark.read.parquet(log), ["window_ms", "bucket_ms", "word"])
+    final = last_emitted(log, ["window_ms", "bucket_ms", "word"])
     return final.where(F.col("cnt") >= fixed.HOT_WORD_THRESHOLD).select("window_ms", "bucket_ms", "word", "cnt")
 
 
 def q_stream_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running count per (bucket, word), from the stream's final state."""
     log = _run_to_end(running_word_counts(_token_stream(spark, sf_dir)), "stream-running")
-    return last_emitted(spark.read.parquet(log), ["bucket_ms", "word"]).select("bucket_ms", "word", "cnt")
+    return last_emitted(log, ["bucket_ms", "word"]).select("bucket_ms", "word", "cnt")
 
 
 def q_stream_running_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-record running count of (bucket, word) in arrival order (stateful processor, one
-    count per key in a RocksDB state store); cleaned stream with the blacklist on replies."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    conv = table_stream(spark, sf_dir, CONVERSATION_SCHEMA, glob="conversations.parquet")
+    map of counts per bucket and salt in a RocksDB state store); cleaned stream with the blacklist on replies."""
+    conv = stored_table_stream(spark, sf_dir, "conversations", CONVERSATION_SCHEMA)
     toks = prepare_tokens(prepare_messages(conv), blacklist_scope="reply")
     out = running_counts_per_record(toks, ["bucket_ms", "word"], ["seq", "pos"])
-    log = _run_to_end(out, "stream-running-per-record", mode="append")
-    return spark.read.parquet(log).select("bucket_ms", "word", "seq", "pos", "running_cnt")
+    with rocksdb_state(spark):
+        log = _run_to_end(out, "stream-running-per-record", mode="append")
+    return log.select("bucket_ms", "word", "seq", "pos", "running_cnt")
 
 
 def q_stream_elapsed_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user: first event, then every first event at least 24 h after the last reset, as a
     stateful stream over the events file (arrival order across micro-batches)."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    ev = event_seconds(table_stream(spark, sf_dir, EVENT_SCHEMA, glob="events.parquet"))
+    ev = event_seconds(stored_table_stream(spark, sf_dir, "events", EVENT_SCHEMA))
     out = elapsed_resets_stream(ev, "user_id", "sec", "event_id", 86_400)
-    log = _run_to_end(out, "stream-elapsed-resets", mode="append")
-    return spark.read.parquet(log).select("user_id", "event_id", "sec", "reset_no")
+    with rocksdb_state(spark):
+        log = _run_to_end(out, "stream-elapsed-resets", mode="append")
+    return log.select("user_id", "event_id", "sec", "reset_no")
 
 
 def q_stream_count_window_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-record running counts (stateful stream) cut into global windows of 200 records by a
     micro-batch sink that carries the unfinished window; records with a running count above
     10 are emitted with their window number."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    conv = table_stream(spark, sf_dir, CONVERSATION_SCHEMA, glob="conversations.parquet")
+    conv = stored_table_stream(spark, sf_dir, "conversations", CONVERSATION_SCHEMA)
     toks = prepare_tokens(prepare_messages(conv), blacklist_scope="reply")
     running = running_counts_per_record(toks, ["bucket_ms", "word"], ["seq", "pos"])
     root = scratch_path(spark, "stream-count-windows")
     sink = count_window_sink(root, ["seq", "pos"], size=200, keep=F.col("running_cnt") > 10)
-    query = (running.writeStream.outputMode("append").foreachBatch(sink)
-             .option("checkpointLocation", scratch_path(spark, "stream-count-windows-ckpt"))
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    with rocksdb_state(spark):
+        query = (running.writeStream.outputMode("append").foreachBatch(sink)
+                 .option("checkpointLocation", scratch_path(spark, "stream-count-windows-ckpt"))
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(f"streaming query failed: {query.exception()}")
-    return spark.read.parquet(f"{root}/out").select("window_no", "bucket_ms", "word", "seq", "pos", "running_cnt")
+    schema = T.StructType([*running.schema.fields, T.StructField("window_no", T.LongType())])
+    return read_log(spark, f"{root}/out", schema).select("window_no", "bucket_ms", "word", "seq", "pos", "running_cnt")
 
 
 QUERIES = {

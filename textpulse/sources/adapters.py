@@ -13,6 +13,8 @@ from textpulse.functions.time import epoch_seconds
 
 # Content times start at 2024-01-01T00:00:00Z.
 BASE_SECOND = 1_704_067_200
+# Numbers of one conversation's turns or pages: no two conversations share a number below 2^32 turns.
+KEY_STEP = 1 << 32
 
 
 def messages_from_conversations(conv: DataFrame) -> DataFrame:
@@ -30,7 +32,9 @@ def messages_from_conversations(conv: DataFrame) -> DataFrame:
         F.col("role").alias("sender"),
         sec.cast("bigint").alias("sec"),
         (sec + turn * 150).cast("bigint").alias("arrival_sec"),
-        (conv_id * 100_000 + turn).alias("seq"),
+        (conv_id * KEY_STEP + turn).alias("seq"),
+        # pages of 20 turns, like a bullet file's page
+        ((turn - turn % 20) / 20 + 1).cast("int").alias("p"),
         F.col("text"),
     )
 
@@ -52,7 +56,7 @@ def _conv_columns(conv: DataFrame) -> DataFrame:
         # payload pages of 20 turns, like the reply API's and bullet file's page size
         (turn - turn % 20).alias("page"),
         # one bullet file (cid) per page
-        (conv_id * 1000 + (turn - turn % 20) / 20).cast("bigint").alias("cid"),
+        (conv_id * KEY_STEP + ((turn - turn % 20) / 20).cast("bigint")).alias("cid"),
     )
 
 
@@ -75,7 +79,7 @@ def reply_payloads_from_conversations(conv: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("turn", node.alias("node"), F.col("role")))).alias("_t")
     )
     top = F.col("_t")[0]
-    children = F.transform(F.slice(F.col("_t"), 2, 1 << 20), lambda x: x["node"])
+    children = F.transform(F.slice(F.col("_t"), F.lit(2), F.greatest(F.size("_t") - 1, F.lit(0))), lambda x: x["node"])
     top_node = top["node"].withField("replies", children)
     payload = F.struct(
         F.when(top["role"] == "system", F.lit(12002)).otherwise(F.lit(0)).alias("code"),
@@ -100,7 +104,7 @@ def bullet_xml_from_conversations(conv: DataFrame) -> DataFrame:
         F.lit('<d p="'),
         F.concat_ws(",", F.col("turn").cast("string"), F.lit("1"), F.lit("25"), F.lit("16777215"),
                     F.col("sec").cast("string"), F.lit("0"), F.col("role"),
-                    (F.col("conv_id") * 100_000 + F.col("turn")).cast("string")),
+                    (F.col("conv_id") * KEY_STEP + F.col("turn")).cast("string")),
         F.lit('">'),
         _xml_escape(F.col("text")),
         F.lit("</d>"),
@@ -158,3 +162,20 @@ def pagelist_payloads_from_conversations(conv: DataFrame) -> DataFrame:
     payload = F.struct(F.lit(0).alias("code"), F.col("data"))
     return pages.select(F.concat(F.lit("av"), F.col("conv_id").cast("string")).alias("av"),
                         F.to_json(payload).alias("json"))
+
+
+def video_pages_from_conversations(conv: DataFrame) -> DataFrame:
+    """conversations -> video pages (av, url, html): the first turn's text is the title, its role
+    the author's name, the roles are the types, and the second names the upload time."""
+    c = _conv_columns(conv)
+    first = F.min_by(F.struct("text", "role", "sec"), "turn")
+    items = c.groupBy("conv_id").agg(first.alias("f"), F.array_sort(F.collect_set("role")).alias("roles"))
+    links = F.array_join(F.transform("roles", lambda r: F.concat(F.lit("<a href=\"#\">"), r, F.lit("</a>"))), "")
+    title = F.substring(F.regexp_replace("f.text", "[<>&\\s]+", " "), 1, 80)
+    html = F.concat(
+        F.lit('<div class="x r-con"><a report-id="name" href="#">'), F.col("f.role"), F.lit('</a></div>'),
+        F.lit('<div id="viewbox_report" class="video-info"><h1><span>'), title, F.lit("</span></h1><div>"), links,
+        F.lit("<span>views</span><span>"), F.col("f.sec").cast("string"), F.lit("</span></div></div>"),
+    )
+    av = F.concat(F.lit("av"), F.col("conv_id").cast("string"))
+    return items.select(av.alias("av"), F.concat(F.lit("https://video.example/"), av).alias("url"), html.alias("html"))

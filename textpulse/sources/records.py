@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from textpulse import fixed
 
 # Envelope of a message-bus record; file sources produce the same columns.
+CORRUPT = "_corrupt_record"
 ENVELOPE_COLUMNS = ["key", "value", "topic", "partition", "offset", "timestamp"]
 
 
@@ -40,8 +41,11 @@ def kafka_options(
 def kafka_source(spark: SparkSession, topic: str, servers: str, start: str = "committed", stream: bool = True,
                  **extra: str) -> DataFrame:
     """Kafka records with the envelope columns and ``value`` decoded as UTF-8 text."""
+    options = kafka_options(topic, servers, start, extra=extra)
+    if not stream:  # a batch read has no checkpoint to resume from, and no latest start
+        options["startingOffsets"] = "earliest"
     reader = spark.readStream if stream else spark.read
-    raw = reader.format("kafka").options(**kafka_options(topic, servers, start, extra=extra)).load()
+    raw = reader.format("kafka").options(**options).load()
     return raw.select(
         F.col("key").cast("string").alias("key"),
         F.decode(F.col("value"), "UTF-8").alias("value"),
@@ -73,23 +77,26 @@ def parse_records(df: DataFrame, schema: T.StructType, value_col: str = "value",
                   mode: str = "PERMISSIVE") -> tuple[DataFrame, DataFrame]:
     """Parse JSON text into typed records; return ``(good, quarantine)``.
 
-    Malformed text and empty objects (no ``key_field``) go to the quarantine with a reason
+    Malformed text, fields of another type and empty objects (no ``key_field``) go to the quarantine with a reason
     instead of failing the job. ``mode="FAILFAST"`` raises on malformed input instead.
     """
-    parsed = df.withColumn("_rec", F.from_json(F.col(value_col), schema, {"mode": mode}))
-    has_key = F.col(f"_rec.{key_field}").isNotNull()
     if mode.upper() == "FAILFAST":
         # every row is parsed (a malformed one fails the job); nothing is quarantined
-        good = parsed.where(has_key).select(*[c for c in df.columns if c != value_col], "_rec.*")
+        parsed = df.withColumn("_rec", F.from_json(F.col(value_col), schema, {"mode": mode}))
+        good = parsed.where(F.col(f"_rec.{key_field}").isNotNull()).select(*[c for c in df.columns if c != value_col], "_rec.*")
         return good, parsed.where(F.lit(False)).select(*df.columns, F.lit("").alias("reason"))
-    # any JSON object, including ones that repeat keys (see explode_messages(dedupe=True))
-    valid_json = F.json_object_keys(F.col(value_col)).isNotNull()
-    good = parsed.where(valid_json & has_key).select(
-        *[c for c in df.columns if c != value_col], "_rec.*"
+    # one parse: a text that is no object, or a field of another type, fills the corrupt column
+    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = df.withColumn("_rec", F.from_json(F.col(value_col), with_corrupt, options))
+    corrupt = F.col("_rec").isNull() | F.col(f"_rec.{CORRUPT}").isNotNull()
+    has_key = F.col(f"_rec.{key_field}").isNotNull()
+    good = parsed.where(~corrupt & has_key).select(
+        *[c for c in df.columns if c != value_col], *[F.col(f"_rec.{f.name}") for f in schema.fields]
     )
-    quarantine = parsed.where(~(valid_json & has_key)).select(
+    quarantine = parsed.where(corrupt | ~has_key).select(
         *df.columns,
-        F.when(~valid_json, F.lit("malformed")).otherwise(F.lit("empty")).alias("reason"),
+        F.when(corrupt, F.lit("malformed")).otherwise(F.lit("empty")).alias("reason"),
     )
     return good, quarantine
 

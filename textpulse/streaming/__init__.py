@@ -4,10 +4,13 @@ from textpulse.streaming.jobs import (
     count_window_sink,
     elapsed_resets_stream,
     last_emitted,
+    read_log,
+    rocksdb_state,
     run_branches,
     running_counts_per_record,
     running_word_counts,
     snapshot_ticks,
+    stored_table_stream,
     table_stream,
     windowed_hot_words,
     write_updates,
@@ -17,10 +20,13 @@ __all__ = [
     "count_window_sink",
     "elapsed_resets_stream",
     "last_emitted",
+    "read_log",
+    "rocksdb_state",
     "run_branches",
     "running_counts_per_record",
     "running_word_counts",
     "snapshot_ticks",
+    "stored_table_stream",
     "table_stream",
     "windowed_hot_words",
     "write_updates",

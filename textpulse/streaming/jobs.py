@@ -12,7 +12,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,39 @@ def table_stream(spark: SparkSession, directory: str, schema: str, glob: str | N
     return reader.load(directory)
 
 
+def stored_table_stream(spark: SparkSession, sf_dir: str, table: str, schema: str,
+                        max_files_per_trigger: int = 64) -> DataFrame:
+    """A file stream over one stored table, whether it is a single file or a folder of part files;
+    a micro-batch takes at most ``max_files_per_trigger`` files."""
+    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(p).isDirectory():
+        return table_stream(spark, path, schema, "*.parquet", max_files_per_trigger)
+    return table_stream(spark, sf_dir, schema, f"{table}.parquet", max_files_per_trigger)
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Use the RocksDB state store for queries started inside; the session's setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB_PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What a stream's batches wrote under ``path``; no rows if no batch wrote any."""
+    fields = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], fields)
+    return spark.read.schema(fields).parquet(path)
+
+
 def windowed_hot_words(tokens: DataFrame, arrival_col: str = "arrival_sec", watermark: str = "10 minutes",
                        width_s: int = fixed.BUCKET_SECONDS) -> DataFrame:
     """Streaming count per (arrival window, bucket, word); late rows beyond the watermark are
@@ -117,8 +151,8 @@ ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateS
 class RunningCountProcessor(StatefulProcessor):
     """Per-key running counts emitted for every input record.
 
-    The processor is keyed by a coarse group (first key + hash salt of the other keys); its
-    state is one map from the fine key to its count so far, read and written once per group
+    The processor is keyed by a coarse group (first key + hash salt of the other keys), because
+    a call per word would cost more than its work; its state is one map from the fine key to its count so far, read and written once per group
     and micro-batch. Within a micro-batch a key's rows are numbered in ``order_cols`` order,
     continuing from the stored count. State is unbounded, as in the original (no TTL)."""
 
@@ -167,64 +201,54 @@ def running_counts_per_record(tokens: DataFrame, keys: Sequence[str], order_cols
 
 class ElapsedResetProcessor(StatefulProcessor):
     """Greedy elapsed-interval resets in arrival order: a key's first row resets, then the first
-    row at least ``interval_s`` after the key's last reset. Keyed by a hash salt of the key;
-    state per salt group: key -> last reset second, and key -> resets so far."""
+    row at least ``interval_s`` after the key's last reset. One value state per key: the second
+    of its last reset and the number of resets so far."""
 
     def __init__(self, key_col: str, sec_col: str, id_col: str, interval_s: int):
         self.key_col, self.sec_col, self.id_col, self.interval_s = key_col, sec_col, id_col, interval_s
 
     def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "last MAP<STRING, BIGINT>")
-        self.count = handle.getValueState("count", "count MAP<STRING, BIGINT>")
+        self.state = handle.getValueState("state", "last BIGINT, n BIGINT")
 
     def handleInputRows(self, key, rows, timerValues):
         import numpy as np
         import pandas as pd
 
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(
-            [self.key_col, self.sec_col, self.id_col], kind="stable")
-        last_by_key = dict(self.last.get()[0] or {}) if self.last.exists() else {}
-        count_by_key = dict(self.count.get()[0] or {}) if self.count.exists() else {}
-        keys = pdf[self.key_col].to_numpy()
-        secs = pdf[self.sec_col].to_numpy()
-        ids = pdf[self.id_col].to_numpy()
-        out_k, out_id, out_s, out_n = [], [], [], []
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        ends = np.r_[starts[1:], len(keys)]
-        for a, b in zip(starts, ends):
-            k = int(keys[a])
-            sk = str(k)
-            last = int(last_by_key[sk]) if sk in last_by_key else None
-            n = int(count_by_key[sk]) if sk in count_by_key else -1
-            i = a
-            while i < b:
-                if last is not None and secs[i] - last < self.interval_s:
-                    # jump to the first row at least interval_s after the last reset
-                    i = a + int(np.searchsorted(secs[a:b], last + self.interval_s, side="left"))
-                    continue
-                last, n = int(secs[i]), n + 1
-                out_k.append(k), out_id.append(int(ids[i])), out_s.append(last), out_n.append(n)
-                i += 1
-            last_by_key[sk], count_by_key[sk] = last, n
-        self.last.update((last_by_key,))
-        self.count.update((count_by_key,))
-        yield pd.DataFrame({self.key_col: pd.Series(out_k, dtype="int64"), self.id_col: pd.Series(out_id, dtype="int64"),
-                            self.sec_col: pd.Series(out_s, dtype="int64"), "reset_no": pd.Series(out_n, dtype="int64")})
+        # per batch of rows only the smallest id of every second can be a reset
+        kept = None
+        for pdf in rows:
+            part = pdf.groupby(self.sec_col, sort=True)[self.id_col].min()
+            kept = part if kept is None else pd.concat([kept, part]).groupby(level=0, sort=True).min()
+        last, n = (int(x) for x in self.state.get()) if self.state.exists() else (None, -1)
+        secs, ids = kept.index.to_numpy(), kept.to_numpy()
+        i, out = 0, []
+        while i < len(secs):
+            if last is not None and secs[i] - last < self.interval_s:
+                i = max(i + 1, int(np.searchsorted(secs, last + self.interval_s, side="left")))
+                continue
+            last, n = int(secs[i]), n + 1
+            out.append((int(ids[i]), last, n))
+            i += 1
+        if last is not None:
+            self.state.update((last, n))
+        found = pd.DataFrame(out, columns=[self.id_col, self.sec_col, "reset_no"], dtype="int64")
+        found.insert(0, self.key_col, pd.Series([key[0]] * len(found), dtype="int64"))
+        yield found
 
     def close(self) -> None:
         pass
 
 
-def elapsed_resets_stream(df: DataFrame, key_col: str, sec_col: str, id_col: str, interval_s: int,
-                          salts: int = 64) -> DataFrame:
+def elapsed_resets_stream(df: DataFrame, key_col: str, sec_col: str, id_col: str, interval_s: int) -> DataFrame:
     """Streaming elapsed-interval resets (``append`` mode); rows are processed in arrival order
-    across micro-batches and in (second, id) order within one. Needs the RocksDB state store."""
+    across micro-batches and in (second, id) order within one. Rows without key or second are left
+    out. Needs the RocksDB state store (:func:`rocksdb_state`)."""
     rows = df.select(
         F.col(key_col).cast("bigint").alias(key_col), F.col(sec_col).cast("bigint").alias(sec_col),
         F.col(id_col).cast("bigint").alias(id_col),
-    ).withColumn("_salt", F.pmod(F.xxhash64(key_col), F.lit(salts)).cast("int"))
+    ).where(F.col(key_col).isNotNull() & F.col(sec_col).isNotNull())
     schema = f"{key_col} BIGINT, {id_col} BIGINT, {sec_col} BIGINT, reset_no BIGINT"
-    return rows.groupBy("_salt").transformWithStateInPandas(
+    return rows.groupBy(key_col).transformWithStateInPandas(
         ElapsedResetProcessor(key_col, sec_col, id_col, interval_s), schema, "Append", "None"
     )
 
@@ -238,8 +262,7 @@ def count_window_sink(root: str, order_cols: Sequence[str], size: int = 200, kee
     Carried rows and the next window number are stored per batch id under ``<root>/state``, and
     output is written per batch id with dynamic overwrite, so a replayed batch reproduces the
     same result."""
-    from textpulse.operators.aggregate import running_counts
-    from textpulse.session import materialize
+    from textpulse.operators.aggregate import _numbered
 
     order_cols = list(order_cols)
     spark_of = lambda df: df.sparkSession
@@ -258,8 +281,8 @@ def count_window_sink(root: str, order_cols: Sequence[str], size: int = 200, kee
         rows = batch.withColumn("_b", F.lit(int(batch_id)).cast("bigint"))
         if pending is not None:
             rows = pending.unionByName(rows)
-        numbered = materialize(running_counts(rows, [], ["_b", *order_cols], out_col="_rn"))
-        total = numbered.count()
+        numbered, sizes = _numbered(rows, [], ["_b", *order_cols], "_rn")
+        total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]  # one number per micro-batch
         full = total // size
         win = F.floor((F.col("_rn") - 1) / F.lit(size)).cast("bigint")
         fired = numbered.where(win < full).withColumn("window_no", win + F.lit(next_window))
