@@ -6,69 +6,67 @@ separator is a boundary. This is the JVM-side path for spaced scripts.
 ``mode="dictionary"``: the text is first stripped of punctuation, symbols and separators
 (the original's cleaning step); Han runs are then segmented by forward longest match over a
 dictionary (unknown characters become single-character terms) and other letter/digit runs
-stay whole. It runs as an Arrow-batched pandas UDF with the dictionary broadcast after a
-size check.
+stay whole. The dictionary is a table: the substrings of the distinct runs are joined to it, the
+longest word per position is kept, and a fold walks each run from word to word, all with
+built-in functions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textpulse import fixed
 from textpulse.functions.text import clean, token_length, words
-
-MAX_DICTIONARY_WORDS = 5_000_000
-
-
-def _segmenter(dictionary: DataFrame, max_words: int = MAX_DICTIONARY_WORDS):
-    spark = dictionary.sparkSession
-    words_df = dictionary.select(F.col("word").cast("string")).where(F.col("word").isNotNull()).distinct()
-    n = words_df.limit(max_words + 1).count()
-    if n > max_words:
-        raise ValueError(f"dictionary has more than {max_words} words; too large to broadcast")
-    vocab = frozenset(r.word for r in words_df.toLocalIterator())
-    max_len = max((len(w) for w in vocab), default=1)
-    bc = spark.sparkContext.broadcast((vocab, max_len))
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def segment(texts: pd.Series) -> pd.Series:
-        import regex
-
-        vocab_, max_len_ = bc.value
-        run = regex.compile(r"(\p{Han}+)|([\p{L}\p{N}]+)")
-
-        def seg(text):
-            if text is None:
-                return []
-            out = []
-            for m in run.finditer(text):
-                if m.group(2) is not None:
-                    out.append(m.group(2))
-                    continue
-                s = m.group(1)
-                i = 0
-                while i < len(s):
-                    for j in range(min(len(s), i + max_len_), i, -1):
-                        if j - i == 1 or s[i:j] in vocab_:
-                            out.append(s[i:j])
-                            i = j
-                            break
-            return out
-
-        return texts.map(seg)
-
-    return segment
+from textpulse.operators.joins import bounded_broadcast
+
+# a run of Han characters, or of other letters and digits
+_RUNS = r"\p{IsHan}+|[\p{L}\p{N}&&[^\p{IsHan}]]+"
+
+
+def segment_runs(runs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(run, terms) for the distinct non-null ``run`` strings: forward longest match over
+    ``dictionary`` (column ``word``), single characters where no word begins."""
+    entries = dictionary.select(F.col("word").cast("string").alias("word")).where(F.length("word") > 0).distinct()
+    distinct = runs.select("run").where("run is not null").distinct()
+    longest = entries.agg(F.coalesce(F.max(F.length("word")), F.lit(1))).scalar()
+    places = distinct.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("at"), longest.alias("longest"))
+    room = F.least(F.col("longest"), F.length("run") - F.col("at") + 1)
+    parts = places.select("run", "at", F.explode(F.sequence(F.lit(1), room)).alias("n"))
+    parts = parts.select("run", "at", "n", F.substring("run", F.col("at"), F.col("n")).alias("word"))
+    found = parts.join(bounded_broadcast(entries), "word").groupBy("run", "at").agg(F.max("n").alias("n"))
+    words_at = found.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("words"))
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("terms"))
+
+    def walk(state: Column, at: Column) -> Column:
+        n = F.coalesce(F.element_at("words", at), F.lit(1))
+        term = F.substring(F.col("run"), at, n)
+        stepped = F.struct((at + n).alias("next"), F.array_append(state["terms"], term).alias("terms"))
+        return F.when(at == state["next"], stepped).otherwise(state)
+
+    terms = F.aggregate(F.sequence(F.lit(1), F.length("run")), start, walk, lambda state: state["terms"])
+    return distinct.join(words_at, "run", "left").select("run", terms.alias("terms"))
+
+
+def _dictionary_terms(messages: DataFrame, text: Column, dictionary: DataFrame, keep: list[str], word_col: str) -> DataFrame:
+    """(keep..., pos, word); ``pos`` orders the terms of a text (run number, place in the run)."""
+    source = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("source") if keep else F.lit(1).alias("source")
+    runs = messages.select(source, F.posexplode(F.regexp_extract_all(text, F.lit(_RUNS), 0)).alias("run_no", "run"))
+    han = runs.where(F.col("run").rlike(r"^\p{IsHan}"))
+    segmented = han.join(segment_runs(han, dictionary), "run").select("source", "run_no", F.posexplode("terms").alias("place", "word"))
+    whole = runs.where(~F.col("run").rlike(r"^\p{IsHan}")).select("source", "run_no", F.lit(0).alias("place"), F.col("run").alias("word"))
+    pos = F.col("run_no").cast("bigint") * (1 << 32) + F.col("place")
+    both = segmented.unionByName(whole)
+    return both.select(*[F.col(f"source.`{c}`").alias(c) for c in keep], pos.alias("pos"), F.col("word").alias(word_col))
 
 
 def tokenize(messages: DataFrame, text_col: str = "text", mode: str = "regex", dictionary: DataFrame | None = None,
              min_len: int | None = None, strip_latin: bool = False, utf16_length: bool = False,
              keep: Sequence[str] | None = None, word_col: str = "word", pos_col: str | None = "pos") -> DataFrame:
-    """messages -> one row per term (keep..., pos, word), in text order.
+    """messages -> one row per term (keep..., pos, word); ``pos`` is the order in the text (dense in
+    regex mode).
 
     ``min_len`` keeps terms with at least that many characters (2 = the original's
     ``length > 1``); ``strip_latin`` removes ASCII letters first (windowed sentiment path).
@@ -83,7 +81,9 @@ def tokenize(messages: DataFrame, text_col: str = "text", mode: str = "regex", d
     elif mode == "dictionary":
         if dictionary is None:
             raise ValueError("mode='dictionary' needs a dictionary DataFrame with a `word` column")
-        terms = _segmenter(dictionary)(clean(text, strip_latin=strip_latin))
+        out = _dictionary_terms(messages, clean(text, strip_latin=strip_latin), dictionary, keep, word_col)
+        out = out.withColumnRenamed("pos", pos_col) if pos_col else out.drop("pos")
+        return out.where(token_length(word_col, utf16=utf16_length) >= min_len) if min_len else out
     else:
         raise ValueError(f"unknown mode {mode!r}")
     if pos_col:

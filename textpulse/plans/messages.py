@@ -6,7 +6,7 @@ SQL over the same parquet tables (the correctness gate), with identical column n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpulse import fixed
@@ -128,7 +128,29 @@ def q_document_hot_words_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hot_words(toks, keys=("lang", "word")).select("lang", "word", "cnt")
 
 
+# Han letters that stand for a to z in the stand-in input of the dictionary segmenter.
+HAN = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余"
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+
+
+def q_han_hot_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of Han text by dictionary segmentation, counted over all conversations (10 or more).
+
+    Stand-in input: the texts with a Han letter for every Latin one; the dictionary holds the
+    words of two to five letters of the benchmark texts, written the same way."""
+    def han(col: Column) -> Column:
+        return F.translate(F.lower(col), LATIN, HAN)
+
+    texts = read_table(spark, sf_dir, "conversations", ["text"]).select(han(F.col("text")).alias("text"))
+    entries = read_table(spark, sf_dir, "benchmark", ["text"]).select(F.explode(F.regexp_extract_all(han(F.col("text")), F.lit(r"\p{IsHan}+"), 0)).alias("word"))
+    dictionary = entries.where(F.length("word").between(2, 5)).distinct()
+    toks = tokenize(texts, mode="dictionary", dictionary=dictionary, keep=[], pos_col=None)
+    counts = toks.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+    return counts.where(F.col("cnt") >= fixed.HOT_WORD_THRESHOLD)
+
+
 QUERIES = {
+    "han_hot_words": q_han_hot_words,
     "hot_words": q_hot_words,
     "hot_words_two_level": q_hot_words_two_level,
     "hot_words_blacklist": q_hot_words_blacklist,
@@ -183,7 +205,27 @@ running AS (
 )
 """
 
+_HAN_SQL = f"translate(lower(text), '{LATIN}', '{HAN}')"
+
 ORACLE = {
+    "han_hot_words": f"""
+WITH RECURSIVE dict AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all({_HAN_SQL}, '\\p{{Han}}+')) AS word FROM benchmark) WHERE length(word) BETWEEN 2 AND 5),
+runs AS (SELECT run, count(*) AS n FROM (
+  SELECT unnest(regexp_extract_all(regexp_replace({_HAN_SQL}, '[\\pP\\pS\\pZ]', '', 'g'), '\\p{{Han}}+|[^\\p{{Han}}\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS run FROM conversations) GROUP BY run),
+han AS (SELECT * FROM runs WHERE regexp_matches(run, '^\\p{{Han}}')),
+best AS (SELECT run, a, max(k) AS k FROM han, unnest(range(1, length(run) + 1)) t(a), unnest(range(2, 6)) u(k)
+         JOIN dict ON dict.word = substr(run, a, k) WHERE a + k - 1 <= length(run) GROUP BY ALL),
+walk AS (
+  SELECT run, n, CAST(1 AS BIGINT) AS a FROM han
+  UNION ALL
+  SELECT w.run, w.n, w.a + coalesce(b.k, 1) FROM walk w LEFT JOIN best b ON b.run = w.run AND b.a = w.a
+  WHERE w.a + coalesce(b.k, 1) <= length(w.run)
+),
+terms AS (
+  SELECT substr(w.run, w.a, coalesce(b.k, 1)) AS word, n FROM walk w LEFT JOIN best b ON b.run = w.run AND b.a = w.a
+  UNION ALL SELECT run, n FROM runs WHERE NOT regexp_matches(run, '^\\p{{Han}}')
+)
+SELECT word, CAST(sum(n) AS BIGINT) AS cnt FROM terms GROUP BY word HAVING sum(n) >= 10""",
     "hot_words": f"""WITH {MESSAGES_SQL}
 SELECT bucket_ms, word, count(*) AS cnt FROM toks GROUP BY bucket_ms, word HAVING count(*) >= 10""",
     "hot_words_two_level": f"""WITH {MESSAGES_SQL},

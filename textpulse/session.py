@@ -23,6 +23,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("TEXTPULSE_DRIVER_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()
@@ -34,13 +35,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names shared storage and is always used as is. Only when it is
-    unset (local tests) a fresh scratch folder is created and registered in the session.
+    unset a fresh scratch folder is created and registered in the session, in local mode only; on
+    a cluster an unset folder is an error.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not root:
         current = spark.sparkContext.getCheckpointDir()  # set directly on the context
         if current:
             return current
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a shared folder on a cluster ({master})")
         root = tempfile.mkdtemp(prefix="textpulse-ckpt-")  # tests / local runs only
         try:
             spark.conf.set(CHECKPOINT_CONF, root)
