@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from textpulse.llm.repetition import Limits, keep_good, measure, repetition_report
+from textpulse.llm.repetition import Limits, keep_good, measure, repetition_report, verdicts
 from textpulse.llm.suffix import SuffixArray, repeat_lengths, word_groups
 
 
@@ -58,10 +58,15 @@ def test_report_and_filter(frame):
 
 
 def test_method_rejects_one_long_repeat_that_the_base_rule_lets_pass():
-    passage = " ".join(f"p{k}" for k in range(200))
-    text = passage + " " + " ".join(f"u{k}" for k in range(250)) + " " + passage
-    r = brute(text, Limits())
-    assert measure([text.encode()], 10)["longest_repeat"][0] == 200 and not r["kept"]
+    passage = " ".join(f"p{k}" for k in range(220))
+    text = passage + " " + " ".join(f"u{k}" for k in range(1400)) + " " + passage
+    m = measure([text.encode()], 10)
+    failed, kept = verdicts(m, Limits())
+    assert m["longest_repeat"][0] == 220 and m["n_covered"][0] < 0.3 * m["n_words"][0] and not failed[0] and not kept[0]
+    scattered = " ".join(" ".join(f"{w}{k}" for w in "abcdefghijkl") + f" x{k} y{k} " * (k % 3) for k in [*range(40), *range(20)])
+    m = measure([scattered.encode()], 10)
+    failed, kept = verdicts(m, Limits())
+    assert m["longest_repeat"][0] < 300 and not kept[0]
 
 
 def test_very_repetitive_long_text_is_not_quadratic():

@@ -120,16 +120,14 @@ class Shard:
             yield block.ids[block.owners[k]], int(block.positions[k]), doc, int(where[k] - self.begin[doc]), int(length[k])
 
 
-def test_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int = BLOCK_BYTES) -> list[ItemBlock]:
-    """Test items in blocks of about ``block_bytes``; one text is fetched in one block."""
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[bool, ItemBlock]]:
+    """Test items in blocks of about ``block_bytes``, one at a time: (last one, block)."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    out = []
-    for k in range(blocks):  # each block is bounded; the number of blocks follows the benchmark's size
+    for k in range(blocks):  # the driver holds one block; their number follows the benchmark's size
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        out.append(ItemBlock([(r.item if r.item is not None else "", r.text.encode()) for r in part.collect()], window))
-    return out
+        yield k + 1 == blocks, ItemBlock([(r.item if r.item is not None else "", r.text.encode()) for r in part.collect()], window)
 
 
 def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -155,8 +153,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """
     spark = docs.sparkSession
     state = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), F.lit(None).cast(_FOUND).alias("found"))
-    blocks = test_blocks(benchmark, item_col, item_text_col, window, block_bytes)
-    for number, block in enumerate(blocks):
+    for last, block in item_blocks(benchmark, item_col, item_text_col, window, block_bytes):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -171,8 +168,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, batch.schema.field(2).type)], batch.schema.names)
 
         state = state.mapInArrow(run, state.schema)
-        if number + 1 < len(blocks):
+        if not last:
             state = materialize(state)
+            shared.unpersist()
     return state.select("row", "found")
 
 
@@ -181,7 +179,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     window: item, item_pos, n_words (of the match) and one place (document, word position)."""
     spark = docs.sparkSession
     parts = []
-    for block in test_blocks(benchmark, item_col, item_text_col, window):
+    for _, block in item_blocks(benchmark, item_col, item_text_col, window):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -32,9 +32,9 @@ class Limits:
     min_words: int = 50
     max_repeated_words: float = 0.5
     min_repeat: int = 10
-    max_covered: float = 0.5
-    max_repeat_words: int = 100
-    max_repeat: float = 0.3
+    max_covered: float = 0.3
+    max_repeat_words: int = 200
+    max_repeat: float = 0.1
 
 
 def measure(texts: list[bytes], min_repeat: int) -> dict[str, np.ndarray]:
