@@ -21,7 +21,7 @@ def brute(text, limits=Limits()):
     longest = max((w for w in range(3, n) if repeats(w)), default=0)
     m = {"n_words": n, "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text or "")), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(repeats(3)), "n_covered": len(repeats(limits.min_repeat)), "longest_repeat": longest}
     failed = n < 50 or 100 * m["n_repeat_words"] > 50 * n
-    kept = not failed and m["n_covered"] <= limits.max_covered * n and not (longest > limits.max_repeat_words and longest > limits.max_repeat * n)
+    kept = not failed and 100 * m["n_covered"] <= limits.max_covered_percent * n and not (longest > limits.max_repeat_words and 100 * longest > limits.max_repeat_percent * n)
     return {**m, "base_failed": failed, "kept": kept}
 
 

@@ -25,16 +25,17 @@ SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class Limits:
-    """min_words, max_repeated_words: base rules. min_repeat: shortest repeat (words) whose spans
-    count as covered. max_covered: largest fraction of words covered. max_repeat: longest repeat
-    allowed, in words and as a fraction of the text (both must be passed to reject)."""
+    """min_words, max_repeated_percent: base rules. min_repeat: shortest repeat (words) whose spans
+    count as covered. max_covered_percent: largest share of words covered. max_repeat_words,
+    max_repeat_percent: longest repeat allowed, in words and as a share of the text (both must be
+    passed to reject)."""
 
     min_words: int = 50
-    max_repeated_words: float = 0.5
+    max_repeated_percent: int = 50
     min_repeat: int = 10
-    max_covered: float = 0.3
+    max_covered_percent: int = 30
     max_repeat_words: int = 200
-    max_repeat: float = 0.1
+    max_repeat_percent: int = 10
 
 
 def measure(texts: list[bytes], min_repeat: int) -> dict[str, np.ndarray]:
@@ -80,9 +81,9 @@ def measure(texts: list[bytes], min_repeat: int) -> dict[str, np.ndarray]:
 def verdicts(m: dict[str, np.ndarray], limits: Limits) -> tuple[np.ndarray, np.ndarray]:
     """(base_failed, kept) of each measured text."""
     words = m["n_words"]
-    failed = (words < limits.min_words) | (m["n_repeat_words"] > limits.max_repeated_words * words)
-    covered = m["n_covered"] > limits.max_covered * words
-    long = (m["longest_repeat"] > limits.max_repeat_words) & (m["longest_repeat"] > limits.max_repeat * words)
+    failed = (words < limits.min_words) | (100 * m["n_repeat_words"] > limits.max_repeated_percent * words)
+    covered = 100 * m["n_covered"] > limits.max_covered_percent * words
+    long = (m["longest_repeat"] > limits.max_repeat_words) & (100 * m["longest_repeat"] > limits.max_repeat_percent * words)
     return failed, ~(failed | covered | long)
 
 
