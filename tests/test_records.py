@@ -120,3 +120,10 @@ def test_malformed_second_key_does_not_fail_the_job(spark):
     )
     good, _ = parse_records(raw, schemas.VIDEO_RECORD)
     assert {r.text: r.sec for r in explode_messages(good).collect()} == {"u": 5, "t": None}
+
+
+def test_ids_are_cleaned_on_request(spark):
+    record = '{"av":"\\"av 1\\"","bullet_screen":[],"replies":[{"time":1,"name":"n","message":"m"}]}'
+    good, _ = parse_records(spark.createDataFrame([(record,)], "value STRING"), schemas.VIDEO_RECORD)
+    assert [r.av for r in explode_messages(good, clean_ids=True).collect()] == ["av1"]
+    assert [r.av for r in explode_messages(good).collect()] == ['"av 1"']

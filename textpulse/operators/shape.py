@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textpulse.functions.text import escaped_form, is_special
+from textpulse.functions.text import clean, escaped_form, is_special
 
 
 def explode_messages(records: DataFrame, keep: Sequence[str] = (), drop_special: str | None = "bullet",
-                     escaped: bool = False, dedupe: bool = False) -> DataFrame:
+                     escaped: bool = False, dedupe: bool = False, clean_ids: bool = False) -> DataFrame:
     """Nested video records -> one row per message: (keep..., av, origin, sender, sec, text).
 
     Bullets: pages[] -> sender map -> (second -> text) map; replies: one row per reply. Each
@@ -20,7 +20,8 @@ def explode_messages(records: DataFrame, keep: Sequence[str] = (), drop_special:
     scans). ``drop_special="bullet"`` drops bracketed special messages from bullets only,
     ``"all"`` from both, ``None`` keeps them. ``escaped=True`` yields the JSON-escaped text the
     original processed. ``dedupe=True`` keeps the last text of a (page, sender, second) key
-    repeated inside one map, for raw JSON that repeats keys.
+    repeated inside one map, for raw JSON that repeats keys. ``clean_ids=True`` strips
+    punctuation, symbols and separators from ``av`` too, as the original's key clean-up does.
     """
     keep = list(keep)
 
@@ -69,6 +70,8 @@ def explode_messages(records: DataFrame, keep: Sequence[str] = (), drop_special:
         msgs = msgs.where(~((F.col("origin") == "bullet") & is_special("text")))
     elif drop_special == "all":
         msgs = msgs.where(~is_special("text"))
+    if clean_ids:
+        msgs = msgs.withColumn("av", clean("av"))
     if escaped:
         msgs = msgs.withColumn("text", escaped_form("text"))
     return msgs

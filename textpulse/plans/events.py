@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpulse import fixed
+from textpulse.functions.json import set_json_field
 from textpulse.functions.time import day_of_ms, tick_ms
 from textpulse.operators.aggregate import totals
 from textpulse.operators.timeseries import (
@@ -193,6 +194,21 @@ def q_store_scan_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.list_days("days").join(left, "day").select("day", "n", "value")
 
 
+def q_store_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document table in the store: insert, set a field of many and of one, delete many and one,
+    then find the documents whose field is set."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "event_type", "props", "ts"])
+    store = TableStore(spark, scratch_path(spark, "store-documents"), buckets=8)
+    docs = ev.select("event_id", "event_type", F.col("props").alias("data"), F.coalesce(_day(), F.lit("none")).alias("day"))
+    store.replace(docs, "docs", ["event_id"], "event_id")
+    store.update("docs", F.col("event_type") == "error", {"data": set_json_field("data", "flag", True)})
+    store.update_one("docs", F.col("event_type") == "purchase", {"data": set_json_field("data", "flag", True)}, "event_id")
+    store.delete("docs", F.col("event_type") == "view")
+    store.delete_one("docs", F.col("event_type") == "error", "event_id")
+    found = store.find("docs", "flag", "true")
+    return found.select("event_id", "event_type", F.get_json_object("data", "$.k").cast("bigint").alias("k"))
+
+
 def q_table_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set value = 0 on error events."""
     ev = read_table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "value"])
@@ -220,6 +236,7 @@ QUERIES = {
     "store_accumulate_replay": q_store_accumulate_replay,
     "store_upsert_by_id": q_store_upsert_by_id,
     "store_scan_days": q_store_scan_days,
+    "store_documents": q_store_documents,
     "table_update": q_table_update,
     "table_delete": q_table_delete,
 }
@@ -294,6 +311,10 @@ FROM events GROUP BY user_id""",
 SELECT strftime(ts, '%Y%m%d') AS day, count(*) AS n,
        CAST(sum(CASE WHEN event_type = 'error' THEN 0 ELSE CAST(value AS DECIMAL(18,2)) END) AS DOUBLE) AS value
 FROM events WHERE ts IS NOT NULL AND event_type <> 'view' GROUP BY 1""",
+    "store_documents": """
+SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events
+WHERE (event_type = 'error' AND event_id > (SELECT min(event_id) FROM events WHERE event_type = 'error'))
+   OR (event_type = 'purchase' AND event_id = (SELECT min(event_id) FROM events WHERE event_type = 'purchase'))""",
     "raw_upsert_last": """
 SELECT CAST(user_id AS VARCHAR) AS id, arg_max(props, event_id) AS data, max(event_id) AS seq
 FROM events GROUP BY user_id""",
