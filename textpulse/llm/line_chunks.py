@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textpulse.llm.text import as_bytes, id_type, slices
+from textpulse.session import materialize
 
 _WORD = (1 << 64) - 1
 _FACTOR = 0x9E3779B97F4A7C15  # an odd 64-bit multiplier
@@ -120,7 +121,8 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Chunking = Chunking()) -> DataFrame:  # noqa: B008
     """(id, key, chunks): the chunk numbers to remove from each document that loses any."""
-    again = repeated_chunks(docs, id_col, text_col, how)
+    # written once, so that the join reads plain shuffles and a chunk with very many places is split
+    again = materialize(repeated_chunks(docs, id_col, text_col, how))
     places = chunk_table(docs, id_col, text_col, how).join(again, "digest")
     here = F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "chunk")
     return places.where(~here.eqNullSafe(F.col("first"))).groupBy("id", "key").agg(F.collect_set("chunk").alias("chunks"))
