@@ -219,12 +219,18 @@ def test_micro_batches_are_bounded_and_the_session_keeps_its_state_store(spark,
 
     spark.range(90).selectExpr("id", "id % 3 as k").repartition(3).write.parquet(f"{tmp_dir}/t.parquet")
     stream = stored_table_stream(spark, tmp_dir, "t", "id BIGINT, k BIGINT", max_files_per_trigger=1)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
     with rocksdb_state(spark):
+        assert "RocksDB" in spark.conf.get(name)
         query = stream.writeStream.foreachBatch(write_updates(f"{tmp_dir}/log")).option("checkpointLocation", f"{tmp_dir}/ckpt").trigger(availableNow=True).start()
         query.awaitTermination()
     rows = read_log(spark, f"{tmp_dir}/log", stream.schema)
     assert rows.count() == 90 and rows.select("batch_id").distinct().count() == 3
-    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+    assert "RocksDB" not in (spark.conf.get(name, None) or "")
+    if before is not None:
+        spark.conf.set(name, before)
     assert read_log(spark, f"{tmp_dir}/none", stream.schema).count() == 0
 
 
