@@ -134,9 +134,9 @@ with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t,
                   regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') as w from documents),
 w3 as (select r, i, array_to_string(w[i:i + 2], ' ') as g from d, unnest(range(1, len(w) - 1)) as x(i)),
 n3 as (select r, count(distinct p) as n from (select r, i, count(*) over (partition by r, g) as c from w3), unnest(range(i, i + 3)) as x(p) where c > 1 group by r),
-w10 as (select r, i, array_to_string(w[i:i + 9], ' ') as g from d, unnest(range(1, len(w) - 8)) as x(i)),
-r10 as (select r, i, g from (select *, count(*) over (partition by r, g) as c from w10) where c > 1),
-n10 as (select r, count(distinct p) as n from r10, unnest(range(i, i + 10)) as x(p) group by r),
+w20 as (select r, i, array_to_string(w[i:i + 19], ' ') as g from d, unnest(range(1, len(w) - 18)) as x(i)),
+r20 as (select r, i, g from (select *, count(*) over (partition by r, g) as c from w20) where c > 1),
+n20 as (select r, count(distinct p) as n from r20, unnest(range(i, i + 20)) as x(p) group by r),
 lines as (select r, count(*) - count(distinct line) as n from (select r, unnest(string_split(t, chr(10))) as line from d)
           where regexp_matches(line, '[^ \t\n\x0B\f\r]') group by r),
 base as (
@@ -144,11 +144,11 @@ base as (
          cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
          cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
          cast(coalesce(lines.n, 0) as bigint) as n_dup_lines, cast(coalesce(n3.n, 0) as bigint) as n_repeat_words,
-         cast(coalesce(n10.n, 0) as bigint) as n_covered,
+         cast(coalesce(n20.n, 0) as bigint) as n_covered,
          len(w) < 50 or 100 * coalesce(n3.n, 0) > 50 * len(w) as base_failed
-  from d left join lines using (r) left join n3 using (r) left join n10 using (r)),
-pairs as (select a.r, b.i - a.i as gap, a.i from r10 a join r10 b on a.r = b.r and a.g = b.g and a.i < b.i join base on base.r = a.r and not base_failed),
-runs as (select r, count(*) + 9 as size from (select r, gap, i - row_number() over (partition by r, gap order by i) as island from pairs) group by r, gap, island),
+  from d left join lines using (r) left join n3 using (r) left join n20 using (r)),
+pairs as (select a.r, b.i - a.i as gap, a.i from r20 a join r20 b on a.r = b.r and a.g = b.g and a.i < b.i join base on base.r = a.r and not base_failed),
+runs as (select r, count(*) + 19 as size from (select r, gap, i - row_number() over (partition by r, gap order by i) as island from pairs) group by r, gap, island),
 longest as (select r, max(size) as size from runs group by r)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered, base_failed,
        not base_failed and 100 * n_covered <= 30 * n_words

@@ -2,7 +2,8 @@
 
 The words of each text are sorted as a suffix array; its longest-common-prefix intervals give
 the maximal repeated substrings. The spans of those of at least ``MIN_REPEAT`` words (every
-occurrence, the first included) are united; a text is rejected if they cover too large a
+occurrence, the first included) are united (a line that opens and closes a short text is shorter
+than that, and no reason to reject it); a text is rejected if they cover too large a
 fraction of it or if one repeat is too long.
 """
 
@@ -32,7 +33,7 @@ class Limits:
 
     min_words: int = 50
     max_repeated_percent: int = 50
-    min_repeat: int = 10
+    min_repeat: int = 20
     max_covered_percent: int = 30
     max_repeat_words: int = 200
     max_repeat_percent: int = 10
