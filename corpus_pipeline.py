@@ -23,11 +23,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go; a document left without any filled line goes with them."""
+    """Repeated passages of lines go; a document left without any filled line goes with them."""
     done = line_chunks.dedup_lines(docs, keep_emptied=False)
     changed = {"text": F.col("text").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        removed = F.col("n_removed_chunks") > 0
+        removed = F.col("n_removed_lines") > 0
         changed["n_chars"] = F.when(removed, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
     return done.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 

@@ -73,3 +73,27 @@ def test_emptied_documents_and_empty_table(frame):
 def test_long_texts_have_bounded_chunks():
     lines = [b"same"] * 5000
     assert max(b - a for a, b in chunk_bounds(lines, Chunking())) <= 64
+
+
+def test_short_passages_between_foreign_lines_go_whole(frame):
+    for size in range(2, 7):
+        passages = [[f"passage {p} line {k} " + " ".join(f"w{p}{k}{n}" for n in range(28)) for k in range(size)] for p in range(12)]
+        rows = [(100 * c + p, "\n".join([f"before {c} {p}", *passage, f"after {c} {p}"])) for p, passage in enumerate(passages) for c in range(3)]
+        left = {r.i: r.text for r in dedup_lines(frame(rows)).select(F.col("row.doc_id").alias("i"), "text").collect()}
+        assert left == {i: t if i < 100 else "\n".join((t.split("\n")[0], t.split("\n")[-1])) for i, t in rows}
+
+
+def test_every_line_stays_once(frame):
+    rng = random.Random(5)
+    rows = [(i, "\n".join(f"line {rng.randrange(12)}" for _ in range(rng.randrange(1, 9)))) for i in range(60)]
+    left = dedup_lines(frame(rows)).select("text").collect()
+    assert {x for _, t in rows for x in t.split("\n")} == {x for r in left for x in r.text.split("\n") if x}
+
+
+def test_lines_whose_digests_clash_stay(frame, monkeypatch):
+    from textpulse.llm import line_chunks
+
+    text = "\n".join(f"copied {k}" for k in range(6))
+    monkeypatch.setattr(line_chunks, "clashing_digests", lambda *_: [line_chunks._digest(b"copied 3")])
+    left = {r.i: r.text for r in dedup_lines(frame([(1, text), (2, text)])).select(F.col("row.doc_id").alias("i"), "text").collect()}
+    assert left == {1: text, 2: "copied 3"}

@@ -1,16 +1,17 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by hashes over runs of lines.
 
 A rolling hash over the hashes of the last lines decides after which lines a chunk ends, so
-boundaries depend on the lines around them and not on their position: text inserted or removed
-before a passage does not move the boundaries inside it. Chunks of several lines that occur more
-than once in the corpus are removed everywhere but at their first occurrence, after their bytes
-were compared.
+boundaries depend on the lines around them and not on their position. A cut alone misses short
+passages, which often hold no whole chunk, so the lines under the rolling window are compared at
+every line: each run of ``window`` filled lines is a piece, pieces overlap, and those that occur
+more than once in the corpus are removed everywhere but at their first occurrence. A repeated
+passage is the union of its pieces and goes to its last line, whatever stands around it. Lines
+are compared by digests whose lines' bytes were compared.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +28,9 @@ _FACTOR = 0x9E3779B97F4A7C15  # an odd 64-bit multiplier
 
 @dataclass(frozen=True)
 class Chunking:
-    """window: lines in the rolling hash. divisor: a line ends a chunk if the hash's high bits are
-    divisible by it (about one line in ``divisor``). min_lines, max_lines: bounds of a chunk;
-    chunks of fewer than ``min_lines`` lines (ends of texts) are never removed."""
+    """window: lines in the rolling hash and of a piece. divisor: a line ends a chunk if the hash's
+    high bits are divisible by it (about one line in ``divisor``). min_lines, max_lines: bounds of
+    a chunk. The cut only gives the chunk counts; pieces decide what is removed."""
 
     window: int = 2
     divisor: int = 2
@@ -64,102 +65,122 @@ def chunk_bounds(lines: list[bytes], how: Chunking) -> list[tuple[int, int]]:
     return bounds
 
 
-def chunks_of(text: bytes, how: Chunking) -> list[tuple[int, int, bytes]]:
-    """(from, to, bytes) of the chunks of several filled lines, without the line ends around them."""
-    lines = text.split(b"\n")
+def _pieces(lines: list[bytes], how: Chunking) -> list[tuple[int, int, list[int]]]:
+    """(from, to, its filled lines) of the pieces of one text, in order of their first line.
+
+    Empty lines belong to the filled line they follow, those at the start to the first one.
+    """
+    filled = [k for k, line in enumerate(lines) if line.strip()]
+    starts = [0, *filled[1:], len(lines)]
     out = []
-    for a, b in chunk_bounds(lines, how):
-        body = [line for line in lines[a:b] if line.strip()]
-        if len(body) >= how.min_lines:
-            out.append((a, b, b"\n".join(body)))
+    for n in range(len(filled)):
+        if n + how.window <= len(filled):
+            out.append((starts[n], starts[n + how.window], filled[n : n + how.window]))
     return out
 
 
+def chunks_of(text: bytes, how: Chunking) -> list[tuple[int, int, bytes]]:
+    """(from, to, bytes) of the pieces, without the empty lines and line ends around them."""
+    lines = text.split(b"\n")
+    return [(a, b, b"\n".join(lines[k] for k in at)) for a, b, at in _pieces(lines, how)]
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Identifier, text and a key of the text; rows with equal identifier and text are one document."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
-def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Chunking = Chunking(), with_bytes: bool = False) -> DataFrame:  # noqa: B008
-    """(id, key, chunk, digest[, body]) of every chunk of several lines; the body is compressed
-    (losslessly and always alike, so equal bodies are equal chunks)."""
+def _digest(line: bytes) -> bytes:
+    return hashlib.sha256(line).digest()[:16]
+
+
+def clashing_digests(docs: DataFrame, text_col: str = "text") -> list[bytes]:
+    """Line digests that lines of different bytes share; no such pair of lines is known.
+
+    Partial aggregation keeps one row per line and task, whatever its share of the corpus.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).distinct()
+    digests = lines.select(F.substring(F.unhex(F.sha2(F.col("line").cast("binary"), 256)), 1, 16).alias("digest"))
+    return [bytes(r.digest) for r in digests.groupBy("digest").count().where("count > 1").select("digest").collect()]
+
+
+def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Chunking = Chunking(), apart: frozenset[bytes] = frozenset()) -> DataFrame:  # noqa: B008
+    """(id, key, chunk, digest) of every piece, its digest being those of its lines one after the
+    other; pieces with a line whose digest is in ``apart`` are left out."""
     kind = id_type(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
-            row, number, digest, body = [], [], [], []
+            row, number, digest = [], [], []
             for r, text in enumerate(as_bytes(batch.column(2))):
-                for k, (_, _, chunk) in enumerate(chunks_of(text, how)):
+                lines = text.split(b"\n")
+                known = [_digest(line) for line in lines]
+                for k, (_, _, at) in enumerate(_pieces(lines, how)):
+                    if apart and not apart.isdisjoint(known[n] for n in at):
+                        continue
                     row.append(r)
                     number.append(k)
-                    digest.append(hashlib.blake2b(chunk, digest_size=16).digest())
-                    if with_bytes:
-                        body.append(zlib.compress(chunk, 6))
+                    digest.append(b"".join(known[n] for n in at))
             at = pa.array(row, pa.int64())
             columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(digest, pa.binary())]
-            names = ["id", "key", "chunk", "digest"]
-            if with_bytes:
-                columns.append(pa.array(body, pa.binary()))
-                names.append("body")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "chunk", "digest"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, f"id {kind}, key long, chunk int, digest binary" + ", body binary" * with_bytes)
+    return _keyed(docs, id_col, text_col).mapInArrow(run, f"id {kind}, key long, chunk int, digest binary")
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Chunking = Chunking()) -> DataFrame:  # noqa: B008
-    """(digest, n, first) of the chunks that occur more than once with the very same bytes.
+def repeated_chunks(pieces: DataFrame) -> DataFrame:
+    """(digest, n, first) of the pieces that occur more than once.
 
-    ``first`` is the occurrence that stays: the smallest (id, key, chunk), null ids last. Grouping
-    by digest and body compares the bytes; a digest that two different bodies share is left
-    alone. Partial aggregation keeps one row per body and task, whatever its share of the corpus.
+    ``first`` is the occurrence that stays: the smallest (id, key, chunk), null ids last. Partial
+    aggregation keeps one row per piece and task, whatever its share of the corpus.
     """
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "chunk")
-    table = chunk_table(docs, id_col, text_col, how, with_bytes=True)
-    bodies = table.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).select("digest", "n", "first")
-    by_digest = bodies.groupBy("digest").agg(F.count(F.lit(1)).alias("bodies"), F.max("n").alias("n"), F.min("first").alias("first"))
-    return by_digest.where("n > 1 and bodies = 1").select("digest", "n", "first")
+    return pieces.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Chunking = Chunking()) -> DataFrame:  # noqa: B008
-    """(id, key, chunks): the chunk numbers to remove from each document that loses any."""
-    # written once, so that the join reads plain shuffles and a chunk with very many places is split
-    again = materialize(repeated_chunks(docs, id_col, text_col, how))
-    places = chunk_table(docs, id_col, text_col, how).join(again, "digest")
+    """(id, key, chunks): the piece numbers to remove from each document that loses any."""
+    pieces = chunk_table(docs, id_col, text_col, how, frozenset(clashing_digests(docs, text_col)))
+    # written once, so that the join reads plain shuffles and a piece with very many places is split
+    again = materialize(repeated_chunks(pieces))
     here = F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "chunk")
-    return places.where(~here.eqNullSafe(F.col("first"))).groupBy("id", "key").agg(F.collect_set("chunk").alias("chunks"))
+    places = pieces.join(again, "digest").where(~here.eqNullSafe(F.col("first")))
+    return places.groupBy("id", "key").agg(F.collect_set("chunk").alias("chunks"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Chunking = Chunking(), keep_emptied: bool = True) -> DataFrame:  # noqa: B008
     """``docs`` as one struct column ``row``, with each document's ``text`` after removal and counts.
 
-    Columns: ``row`` (the input row), ``text``, ``n_lines``, ``n_chunks`` (of several lines),
-    ``n_removed_chunks``, ``n_removed_lines``. Null and empty texts have no lines and stay as
+    Columns: ``row`` (the input row), ``text``, ``n_lines``, ``n_chunks`` (of the cut, of several
+    lines), ``n_removed_chunks`` (those of them that went whole), ``n_removed_lines``. Every line
+    stays at its first place in the corpus, in the order of ``repeated_chunks``. Null and empty texts have no lines and stay as
     they are (null stays null in ``text``); rows with equal identifier and text are one document
     and get the same text; an empty table gives no rows. ``keep_emptied=False`` drops documents
     that had filled lines and lost them all.
     """
     gone = removals(docs, id_col, text_col, how)
     body = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(body).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    joined = whole.join(gone, whole["id"].eqNullSafe(gone["id"]) & (whole["key"] == gone["key"]), "left").select("row", "text", "chunks")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(body).alias("key"))
+    joined = whole.join(gone, whole["id"].eqNullSafe(gone["id"]) & (whole["key"] == gone["key"]), "left").select("row", F.col(f"row.`{text_col}`").cast("string").alias("text"), "chunks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             keep, texts, counts = [], [], [[], [], [], []]
             for text, known, numbers in zip(as_bytes(batch.column(1)), batch.column(1).is_valid().to_pylist(), batch.column(2).to_pylist(), strict=True):
                 lines = text.split(b"\n") if text else []
-                chunks = chunks_of(text, how)
-                cut = [chunks[k][:2] for k in sorted(numbers or ())]
-                left, at = [], 0
-                for a, b in cut:
-                    left += lines[at:a]
-                    at = b
-                left += lines[at:]
+                pieces = _pieces(lines, how) if numbers else []
+                cut = set()
+                for k in numbers or ():
+                    cut.update(range(*pieces[k][:2]))
+                left = [line for k, line in enumerate(lines) if k not in cut]
                 filled = any(line.strip() for line in left)
                 keep.append(keep_emptied or not cut or filled)
                 texts.append((b"\n".join(left) if cut else text) if known else None)
-                for column, value in zip(counts, (len(lines), len(chunks), len(cut), len(lines) - len(left)), strict=True):
+                chunks = [c for c in chunk_bounds(lines, how) if sum(bool(line.strip()) for line in lines[slice(*c)]) >= how.min_lines]
+                removed = sum(cut.issuperset(range(*c)) for c in chunks) if cut else 0
+                for column, value in zip(counts, (len(lines), len(chunks), removed, len(cut)), strict=True):
                     column.append(value)
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(batch.schema.field(1).type), *(pa.array(c, pa.int64()) for c in counts)], names)
             yield out.filter(pa.array(keep))
