@@ -97,3 +97,20 @@ def test_lines_whose_digests_clash_stay(frame, monkeypatch):
     monkeypatch.setattr(line_chunks, "clashing_digests", lambda *_: [line_chunks._digest(b"copied 3")])
     left = {r.i: r.text for r in dedup_lines(frame([(1, text), (2, text)])).select(F.col("row.doc_id").alias("i"), "text").collect()}
     assert left == {1: text, 2: "copied 3"}
+
+
+def test_a_long_line_repeated_across_documents_goes(frame):
+    long = " ".join(f"word{k}" for k in range(51))
+    short = " ".join(f"term{k}" for k in range(50))
+    rows = [(i, f"before {i}\n{long}\nbetween {i}\n{short}\nafter {i}") for i in range(4)]
+    left = {r.i: (r.text, r.n_removed_lines) for r in dedup_lines(frame(rows)).select(F.col("row.doc_id").alias("i"), "text", "n_removed_lines").collect()}
+    assert left == {0: (rows[0][1], 0)} | {i: (f"before {i}\nbetween {i}\n{short}\nafter {i}", 1) for i in range(1, 4)}
+
+
+def test_lines_of_equal_digest_and_other_bytes_are_found(frame, monkeypatch):
+    from textpulse.llm import line_chunks
+
+    rows = [(1, "aa 1\nbb 2"), (2, "aa 3\ncc 4"), (3, "cc 4\n\n")]
+    assert line_chunks.clashing_digests(frame(rows)) == []
+    monkeypatch.setattr(line_chunks, "_digest", lambda line: line[:2])
+    assert line_chunks.clashing_digests(frame(rows)) == [b"aa"]

@@ -3,15 +3,16 @@
 A rolling hash over the hashes of the last lines decides after which lines a chunk ends, so
 boundaries depend on the lines around them and not on their position. A cut alone misses short
 passages, which often hold no whole chunk, so the lines under the rolling window are compared at
-every line: each run of ``window`` filled lines is a piece, pieces overlap, and those that occur
-more than once in the corpus are removed everywhere but at their first occurrence. A repeated
-passage is the union of its pieces and goes to its last line, whatever stands around it. Lines
-are compared by digests whose lines' bytes were compared.
+every line: each run of ``window`` filled lines is a piece, and so is each long line by itself.
+Pieces overlap, and those that occur more than once in the corpus are removed everywhere but at
+their first occurrence. A repeated passage is the union of its pieces and goes to its last line,
+whatever stands around it. Lines are compared by digests whose lines' bytes were compared.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,12 +31,14 @@ _FACTOR = 0x9E3779B97F4A7C15  # an odd 64-bit multiplier
 class Chunking:
     """window: lines in the rolling hash and of a piece. divisor: a line ends a chunk if the hash's
     high bits are divisible by it (about one line in ``divisor``). min_lines, max_lines: bounds of
-    a chunk. The cut only gives the chunk counts; pieces decide what is removed."""
+    a chunk. The cut only gives the chunk counts; pieces decide what is removed. long_words: a
+    line of more words is a piece by itself."""
 
     window: int = 2
     divisor: int = 2
     min_lines: int = 2
     max_lines: int = 64
+    long_words: int = 50
 
 
 def chunk_bounds(lines: list[bytes], how: Chunking) -> list[tuple[int, int]]:
@@ -73,7 +76,9 @@ def _pieces(lines: list[bytes], how: Chunking) -> list[tuple[int, int, list[int]
     filled = [k for k, line in enumerate(lines) if line.strip()]
     starts = [0, *filled[1:], len(lines)]
     out = []
-    for n in range(len(filled)):
+    for n, k in enumerate(filled):
+        if len(lines[k].split()) > how.long_words:
+            out.append((starts[n], starts[n + 1], [k]))
         if n + how.window <= len(filled):
             out.append((starts[n], starts[n + how.window], filled[n : n + how.window]))
     return out
@@ -98,12 +103,18 @@ def _digest(line: bytes) -> bytes:
 def clashing_digests(docs: DataFrame, text_col: str = "text") -> list[bytes]:
     """Line digests that lines of different bytes share; no such pair of lines is known.
 
+    Lines are shuffled compressed (losslessly and always alike, so equal bodies are equal lines).
     Partial aggregation keeps one row per line and task, whatever its share of the corpus.
     """
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).distinct()
-    digests = lines.select(F.substring(F.unhex(F.sha2(F.col("line").cast("binary"), 256)), 1, 16).alias("digest"))
-    return [bytes(r.digest) for r in digests.groupBy("digest").count().where("count > 1").select("digest").collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            lines = list({line for text in as_bytes(batch.column(0)) for line in text.split(b"\n") if line.strip()})
+            bodies = [zlib.compress(line, 6, wbits=-12) for line in lines]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_digest, lines), pa.binary()), pa.array(bodies, pa.binary())], ["digest", "body"])
+
+    lines = docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(run, "digest binary, body binary").distinct()
+    return [bytes(r.digest) for r in lines.groupBy("digest").count().where("count > 1").select("digest").collect()]
 
 
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Chunking = Chunking(), apart: frozenset[bytes] = frozenset()) -> DataFrame:  # noqa: B008

@@ -51,7 +51,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document after the removal of repeated multi-line chunks."""
+    """Every document after the removal of repeated passages of lines."""
     done = line_chunks.dedup_lines(read_table(spark, sf_dir, "documents"))
     return done.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
