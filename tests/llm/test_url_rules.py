@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import re
 
@@ -77,3 +78,37 @@ def test_mined_verdict(spark):
     assert {r.page_id: r.verdict for r in judge_urls(pages, mined, ALLOW, BLOCK).collect()} == {1: "block", 2: "allow", 3: "allow"}
     few = spark.createDataFrame([("http://a.b/c", True)], "url string, bad boolean")
     assert mine_rules(few).count() == 0
+
+
+def brute_rules(data, how, base_tokens):
+    """Mined rules of the production method by counting every combination of tokens of bad pages."""
+    total, bad = len(data), sum(data)
+    floor = max(how.min_support * total, how.min_count)
+    combos = {c for s, b in zip(base_tokens, data, strict=True) if b for n in range(1, len(s) + 1) for c in itertools.combinations(sorted(s), n)}
+    counts = {c: [sum(b for s, b in zip(base_tokens, data, strict=True) if s >= set(c)), sum(s >= set(c) for s in base_tokens)] for c in combos}
+    counts = {c: v for c, v in counts.items() if v[0] >= floor}
+    rules = {}
+    for c, (k, n) in counts.items():
+        f, base = k / n, bad / total
+        if f < max(how.min_confidence, how.min_lift * base):
+            continue
+        surprise = f * math.log(f / base) + ((1 - f) * math.log((1 - f) / (1 - base)) if f < 1 else 0)
+        if n * surprise >= math.log(len(counts) / how.max_error):
+            rules[c] = f
+    return {c: f for c, f in rules.items() if not any(rules.get(tuple(x for x in c if x != t), -1) >= f for t in c)}
+
+
+def test_rules_of_rare_hosts_by_the_production_mining(spark):
+    # 9 of 3000 pages are bad, 7 of them all the pages of one host: 0.2% of the pages
+    data = [(f"http://www.good{k % 5}.com/en/{k}", k in (9, 700)) for k in range(2993)] + [(f"http://spam.example.net/win/{k}", True) for k in range(7)]
+    table = spark.createDataFrame(data, "url string, bad boolean").repartition(3)
+    rows = table.select(url_tokens(F.col("url")).alias("t"), "bad").collect()
+    want = brute_rules([r.bad for r in rows], Mining(), [set(r.t) for r in rows])
+    got = {tuple(r.tokens): r.confidence for r in mine_rules(table).collect()}
+    assert got.keys() == want.keys() and ("host:spam.example.net",) in got and all(abs(got[c] - want[c]) < 1e-9 for c in got)
+
+
+def test_labels_without_relation_to_urls_give_no_rules(spark):
+    rng = random.Random(6)
+    data = [(f"http://h{rng.randrange(40)}.org/{rng.choice(['en', 'fr', 'de'])}/{k}", rng.random() < 0.26) for k in range(1000)]
+    assert mine_rules(spark.createDataFrame(data, "url string, bad boolean")).count() == 0

@@ -1,13 +1,14 @@
 """URL filters: explicit host and path rules, and association rules mined from labels.
 
-FP-growth mines the combinations of URL tokens that occur together with a bad label. Rules are
-pruned by support and confidence, and a rule goes if a shorter rule inside it is as confident.
+FP-growth mines the combinations of URL tokens that enough bad pages share, and each is counted
+over all labelled pages. Rules are pruned by confidence, lift and significance, and a rule goes if a shorter rule inside it is as confident.
 An inverted index holds each rule under its rarest token; a URL's tokens look up the rules, and
 a rule matches if the URL has all its tokens.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -16,22 +17,24 @@ from pyspark.sql import functions as F
 
 from textpulse.session import materialize
 
-BAD = "label=bad"
 #: Rules sent to every task; more rules are joined by a shuffle.
 MAX_BROADCAST_RULES = 10_000
 
 
 @dataclass(frozen=True)
 class Mining:
-    """min_support: share of labelled pages, and min_count: pages at least; min_confidence: share of a rule's pages that are bad;
-    min_lift: confidence over the overall share of bad pages; max_items: tokens of one labelled
+    """min_count: bad pages of a rule at least, whatever the table's size, and min_support: their
+    share of the labelled pages at least; min_confidence: share of a rule's pages that are bad;
+    min_lift: confidence over the overall share of bad pages; max_error: chance that any rule at all
+    is mined if labels do not depend on URLs (shared among all combinations tested); max_items: tokens of one labelled
     page that are mined, its most frequent ones, and max_tokens: distinct tokens mined, the most
     frequent ones (bounds of the training baskets only); partitions: 0 for Spark's own choice."""
 
-    min_support: float = 0.01
-    min_count: int = 20
+    min_support: float = 0.0
+    min_count: int = 5
     min_confidence: float = 0.6
     min_lift: float = 1.2
+    max_error: float = 0.05
     max_items: int = 12
     max_tokens: int = 2000
     partitions: int = 0
@@ -96,31 +99,53 @@ def mine_rules(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:  # noq
     total, bad = pages.agg(F.count(F.lit(1)), F.count(F.when(F.col("bad"), 1))).first()
     if not bad:
         return spark.createDataFrame([], schema)
-    support = max(how.min_support, how.min_count / total)
-    if support > 1:
+    floor = max(math.ceil(how.min_support * total - 1e-9), how.min_count)
+    if floor > bad:
         return spark.createDataFrame([], schema)
-    # tokens below the support cannot be in a rule
-    often = pages.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= support * total)
+    # tokens of fewer bad pages cannot be in a rule
+    often = pages.select("bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.count(F.when(F.col("bad"), 1)).alias("bad")).where(F.col("bad") >= floor)
     counts = materialize(often.orderBy(F.desc("count"), "token").limit(how.max_tokens))
     ranked = [r.token for r in counts.orderBy(F.desc("count"), "token").collect()]
     if not ranked:
         return spark.createDataFrame([], schema)
     items = F.slice(F.array_intersect(F.array(*map(F.lit, ranked)), "tokens"), 1, how.max_items)
-    baskets = pages.select(F.when(F.col("bad"), F.array_append(items, F.lit(BAD))).otherwise(items).alias("items"))
-    miner = FPGrowth(itemsCol="items", minSupport=support, minConfidence=how.min_confidence)
+    baskets = materialize(pages.select("bad", items.alias("items")))
+    # half a page less, so that no rounding moves the floor
+    miner = FPGrowth(itemsCol="items", minSupport=(floor - 0.5) / bad)
     if how.partitions:
         miner = miner.setNumPartitions(how.partitions)
-    rules = miner.fit(materialize(baskets)).associationRules
+    sets = materialize(miner.fit(baskets.where("bad").select("items")).freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad")))
+    # Chernoff: n independent pages are bad in at least a share c with a chance of at most exp(-n KL(c, base))
     base = bad / total
-    rules = rules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("confidence") >= how.min_lift * base))
-    rules = materialize(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support").withColumn("rule_id", F.array_join("tokens", " ")))
+    needed = math.log(max(sets.count(), 1) / how.max_error)
+    hopeful = _anchored(sets.where(F.col("bad") * -math.log(base) >= needed).withColumn("rule_id", F.array_join("tokens", " ")), counts)
+    rules = _counted(hopeful, baskets).withColumn("confidence", F.col("bad") / F.col("pages")).where(F.col("confidence") >= max(how.min_confidence, how.min_lift * base))
+    c = F.col("confidence")
+    surprise = c * F.log(c / base) + F.when(c < 1, (1 - c) * F.log((1 - c) / (1 - base))).otherwise(0.0)
+    rules = materialize(rules.where(F.col("pages") * surprise >= needed).select("rule_id", "tokens", "anchor", "confidence", (c / base).alias("lift"), (F.col("bad") / total).alias("support")))
     # a rule goes if a part of it, one token shorter, is a rule of at least its confidence
     parts = rules.where(F.size("tokens") > 1).select("rule_id", "confidence", F.explode("tokens").alias("left_out"), "tokens")
     parts = parts.select("rule_id", "confidence", F.array_join(F.array_remove("tokens", F.col("left_out")), " ").alias("part"))
     beaten = parts.join(rules.select(F.col("rule_id").alias("part"), F.col("confidence").alias("part_confidence")), "part").where("part_confidence >= confidence")
     kept = rules.join(beaten.select("rule_id").distinct(), "rule_id", "left_anti")
-    anchors = kept.select("rule_id", F.explode("tokens").alias("token")).join(counts, "token").groupBy("rule_id").agg(F.min(F.struct("count", "token")).getField("token").alias("anchor"))
-    return kept.join(anchors, "rule_id").select("rule_id", "tokens", "anchor", "confidence", "lift", "support")
+    return kept.select("rule_id", "tokens", "anchor", "confidence", "lift", "support")
+
+
+def _anchored(rules: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rules`` with ``anchor``, each rule's rarest token by ``counts``."""
+    anchors = rules.select("rule_id", F.explode("tokens").alias("token")).join(counts.select("token", "count"), "token").groupBy("rule_id").agg(F.min(F.struct("count", "token")).getField("token").alias("anchor"))
+    return rules.join(anchors, "rule_id")
+
+
+def _counted(rules: DataFrame, baskets: DataFrame) -> DataFrame:
+    """``rules`` with ``pages``, the number of ``baskets`` that have all their tokens."""
+    rules = materialize(rules)
+    index = rules.select(F.col("anchor").alias("token"), F.col("tokens").alias("wanted"), "rule_id")
+    if rules.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES:
+        index = F.broadcast(index)
+    alike = baskets.groupBy("items").agg(F.count(F.lit(1)).alias("n"))
+    hits = alike.select("items", "n", F.explode("items").alias("token")).join(index, "token").where(F.size(F.array_except("wanted", "items")) == 0)
+    return rules.join(hits.groupBy("rule_id").agg(F.sum("n").alias("pages")), "rule_id")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
