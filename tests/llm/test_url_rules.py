@@ -112,3 +112,19 @@ def test_labels_without_relation_to_urls_give_no_rules(spark):
     rng = random.Random(6)
     data = [(f"http://h{rng.randrange(40)}.org/{rng.choice(['en', 'fr', 'de'])}/{k}", rng.random() < 0.26) for k in range(1000)]
     assert mine_rules(spark.createDataFrame(data, "url string, bad boolean")).count() == 0
+
+
+def test_long_urls_keep_all_their_tokens(spark):
+    # 13 tokens more frequent than "rare", which alone tells bad pages from good ones
+    long = "http://a.b.c.example.com/s1x/s2x/s3x/s4x/s5x/s6x/page.html?k=1&m=2"
+    data = [(long, False)] * 40 + [(long + "&rare=1", True)] * 12 + [(f"http://other.org/{k % 7}", False) for k in range(40)]
+    mined = mine_rules(spark.createDataFrame(data, "url string, bad boolean").repartition(3))
+    got = {tuple(r.tokens): r.confidence for r in mined.collect()}
+    assert got == {("query:rare",): 1.0}
+
+
+def test_more_distinct_tokens_than_fit_in_a_list(spark):
+    names = [f"{a}{b}{c}" for a in "abcdefghij" for b in "abcdefghij" for c in "abcdefghijklmnopqrstu"]
+    data = [(f"http://good.com/{x}", True) for x in names] * 14 + [("http://spam.net/zz", True)] * 13 + [("http://good.com/clean", False)] * 60000
+    got = {tuple(r.tokens) for r in mine_rules(spark.createDataFrame(data, "url string, bad boolean").repartition(3)).collect()}
+    assert ("host:spam.net",) in got and ("path:zz",) in got and ("path:aaa",) in got and len([t for t in got if t[0].startswith("path:")]) == 2101

@@ -26,17 +26,13 @@ class Mining:
     """min_count: bad pages of a rule at least, whatever the table's size, and min_support: their
     share of the labelled pages at least; min_confidence: share of a rule's pages that are bad;
     min_lift: confidence over the overall share of bad pages; max_error: chance that any rule at all
-    is mined if labels do not depend on URLs (shared among all combinations tested); max_items: tokens of one labelled
-    page that are mined, its most frequent ones, and max_tokens: distinct tokens mined, the most
-    frequent ones (bounds of the training baskets only); partitions: 0 for Spark's own choice."""
+    is mined if labels do not depend on URLs (shared among all combinations tested); partitions: 0 for Spark's own choice."""
 
     min_support: float = 0.0
     min_count: int = 5
     min_confidence: float = 0.6
     min_lift: float = 1.2
     max_error: float = 0.05
-    max_items: int = 12
-    max_tokens: int = 2000
     partitions: int = 0
 
 
@@ -104,17 +100,16 @@ def mine_rules(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:  # noq
         return spark.createDataFrame([], schema)
     # tokens of fewer bad pages cannot be in a rule
     often = pages.select("bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.count(F.when(F.col("bad"), 1)).alias("bad")).where(F.col("bad") >= floor)
-    counts = materialize(often.orderBy(F.desc("count"), "token").limit(how.max_tokens))
-    ranked = [r.token for r in counts.orderBy(F.desc("count"), "token").collect()]
-    if not ranked:
+    counts = materialize(often)
+    if counts.isEmpty():
         return spark.createDataFrame([], schema)
-    items = F.slice(F.array_intersect(F.array(*map(F.lit, ranked)), "tokens"), 1, how.max_items)
-    baskets = materialize(pages.select("bad", items.alias("items")))
+    baskets = materialize(_baskets(pages, counts))
+    bad_pages = baskets.where("bad").select("items", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")).select("items")
     # half a page less, so that no rounding moves the floor
-    miner = FPGrowth(itemsCol="items", minSupport=(floor - 0.5) / bad)
+    miner = FPGrowth(itemsCol="items", minSupport=(floor - 0.5) / bad_pages.count())
     if how.partitions:
         miner = miner.setNumPartitions(how.partitions)
-    sets = materialize(miner.fit(baskets.where("bad").select("items")).freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad")))
+    sets = materialize(miner.fit(bad_pages).freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad")))
     # Chernoff: n independent pages are bad in at least a share c with a chance of at most exp(-n KL(c, base))
     base = bad / total
     needed = math.log(max(sets.count(), 1) / how.max_error)
@@ -131,6 +126,17 @@ def mine_rules(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:  # noq
     return kept.select("rule_id", "tokens", "anchor", "confidence", "lift", "support")
 
 
+def _baskets(pages: DataFrame, counts: DataFrame) -> DataFrame:
+    """(items, bad, n): the pages' tokens that are in ``counts``, all of them, with the number of
+    pages that share them. Pages of equal tokens are joined with ``counts`` as one row."""
+    alike = materialize(pages.groupBy(F.array_sort("tokens").alias("tokens"), "bad").agg(F.count(F.lit(1)).alias("n")).withColumn("row", F.monotonically_increasing_id()))
+    known = counts.select("token")
+    if counts.count() <= MAX_BROADCAST_RULES:
+        known = F.broadcast(known)
+    items = alike.select("row", F.explode("tokens").alias("token")).join(known, "token").groupBy("row").agg(F.array_sort(F.collect_list("token")).alias("items"))
+    return alike.select("row", "bad", "n").join(items, "row").select("items", "bad", "n")
+
+
 def _anchored(rules: DataFrame, counts: DataFrame) -> DataFrame:
     """``rules`` with ``anchor``, each rule's rarest token by ``counts``."""
     anchors = rules.select("rule_id", F.explode("tokens").alias("token")).join(counts.select("token", "count"), "token").groupBy("rule_id").agg(F.min(F.struct("count", "token")).getField("token").alias("anchor"))
@@ -138,12 +144,12 @@ def _anchored(rules: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def _counted(rules: DataFrame, baskets: DataFrame) -> DataFrame:
-    """``rules`` with ``pages``, the number of ``baskets`` that have all their tokens."""
+    """``rules`` with ``pages``, the number of pages in ``baskets`` that have all their tokens."""
     rules = materialize(rules)
     index = rules.select(F.col("anchor").alias("token"), F.col("tokens").alias("wanted"), "rule_id")
     if rules.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES:
         index = F.broadcast(index)
-    alike = baskets.groupBy("items").agg(F.count(F.lit(1)).alias("n"))
+    alike = baskets.groupBy("items").agg(F.sum("n").alias("n"))
     hits = alike.select("items", "n", F.explode("items").alias("token")).join(index, "token").where(F.size(F.array_except("wanted", "items")) == 0)
     return rules.join(hits.groupBy("rule_id").agg(F.sum("n").alias("pages")), "rule_id")
 
