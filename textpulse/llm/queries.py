@@ -10,11 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpulse.llm import bpe, chat, decontaminate, line_chunks, pii, repetition, simhash, token_counts, url_rules, warc
+from textpulse.llm import bpe, chat, decontaminate, fill_middle, line_chunks, mixing, pii, repetition, runs, simhash, token_counts, url_rules, warc
 from textpulse.session import scratch_path
 from textpulse.sources.tables import read_table
 
 TOKEN_LIMIT = 512
+#: Weights of the sources by code point, repeating, and the most passes over one source.
+SOURCE_WEIGHTS, MAX_EPOCHS = (5, 2, 1), 3
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -98,6 +100,51 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times that a mix of all sources by weight takes every document, in words."""
+    mixed = mixing.mix_sources(read_table(spark, sf_dir, "documents"), SOURCE_WEIGHTS, MAX_EPOCHS)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the documents, chosen by the checksum of their id, repeat a
+    stretch of their words from some word on (the contract of ``op12``)."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("long")
+    words = F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0))
+    n = F.size("words")
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), g.alias("g"))
+    rows = rows.withColumn("a", F.when(n > 0, F.pmod("g", n)).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.pmod("g", F.lit(8))))).cast("int"))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + F.pmod(i - F.col("a"), F.col("p")))
+    repeated = F.array_join(F.transform("words", lambda _, i: F.get(F.col("words"), at(i))), " ")
+    return rows.select("doc_id", F.when(n > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, after the planting of periods."""
+    found = runs.periodic_runs(with_planted_period(read_table(spark, sf_dir, "documents", ["doc_id", "text"])))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    best = found.withColumn("best", runs.longest_run(F.col("runs")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle output of every document, and the text restored from it."""
+    out = fill_middle.fill_in_middle(read_table(spark, sf_dir, "documents"))
+    back = fill_middle.restore(F.col("form"), F.col("output"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_rules": op1_url_rules,
     "op2_decontamination": op2_decontamination,
@@ -109,6 +156,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_chat": op9_chat,
     "op10_bpe": op10_bpe,
+    "op11_source_mix": op11_source_mix,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -175,4 +225,62 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
        cast(sum(chars) as bigint) as formatted_chars
 from m group by conv_id""",
+    "op11_source_mix": r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) as size,
+                  md5('42:' || coalesce(cast(doc_id as varchar), 'null') || ':' || md5(coalesce(text, ''))) as key from documents),
+s as (select source, cast(sum(size) as hugeint) as n from d group by source),
+w as (select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as w from s),
+o as (select *, row_number() over (order by n / w, source nulls last) as k, sum(n) over () as total from w),
+level as (select *, total - coalesce(sum(3 * n) over (order by k rows between unbounded preceding and 1 preceding), 0) as rest_words,
+                 sum(w) over (order by k rows between current row and unbounded following) as rest_weight from o),
+c as (select *, 3 * n * rest_weight < rest_words * w as clamped from level),
+f as (select *, total - coalesce(sum(3 * n) filter (clamped) over (), 0) as r, sum(w) filter (not clamped) over () as rw from c),
+t as (select source, n, case when clamped then cast(3 * n as double) else cast(r as double) * w / cast(rw as double) end as target from f),
+plan as (select *, case when n > 0 then floor(target / n) else 0 end as whole, target - (case when n > 0 then floor(target / n) else 0 end) * n as rest from t),
+units as (select source, key, sum(size) as unit from d group by source, key),
+placed as (select source, key, sum(unit) over (partition by source order by key) - unit / 2 as middle from units)
+select doc_id, cast(size as bigint) as size, cast(plan.n as bigint) as source_size, target,
+       cast(size * (whole + case when middle <= rest then 1 else 0 end) as bigint) as taken
+from d join plan on d.source is not distinct from plan.source
+       join placed on d.source is not distinct from placed.source and d.key = placed.key""",
+    "op12_periodic_runs": r"""
+with c as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') as w,
+       xor(list_reduce(list_concat([cast(4294967295 as bigint)],
+             list_transform(string_split(cast(doc_id as varchar), ''), lambda ch: cast(ascii(ch) as bigint))),
+           lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], cast(range(0, 8) as bigint[])),
+             lambda x, step: case when x & 1 = 1 then xor(x >> 1, cast(3988292384 as bigint)) else x >> 1 end)),
+         cast(4294967295 as bigint)) as h from documents),
+q as (select *, h // 10 as g, len(w) as n from c),
+z as (select *, case when n > 0 then g % n end as a from q),
+y as (select *, case when h % 10 = 0 and n > 0 then 1 + (n - a) // (3 + g % 8) end as p from z),
+d as (select r, doc_id, n, case when p is null then w else list_transform(range(0, n), lambda i: w[1 + case when i < a then i else a + (i - a) % p end]) end as w from y),
+g as (select r, i, array_to_string(w[i + 1:i + 6], ' ') as gram from d, unnest(range(0, n - 5)) as t(i)),
+pairs as (select x.r, x.i, z.i - x.i as gap from g x join g z on x.r = z.r and x.gram = z.gram and x.i < z.i),
+isle as (select r, gap, i - row_number() over (partition by r, gap order by i) as k, i from pairs),
+stretch as (select r, gap as period, min(i) as start, count(*) + 5 + gap as length from isle group by r, gap, k),
+good as (select * from stretch where length >= 2 * period and length >= 12),
+found as (select s.r, s.start, s.length, s.period from good s where not exists (
+  select 1 from stretch o where o.r = s.r and o.period < s.period and o.start <= s.start and o.start + o.length >= s.start + s.length)),
+listed as (select r, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines,
+             arg_min(struct_pack(start := start, length := length, period := period), (-length, start, period)) as best from found group by r),
+gone as (select distinct r, i from found, unnest(range(start + period, start + length)) as t(i)),
+kept as (select d.r, string_agg(d.w[i + 1], ' ' order by i) as text from d, unnest(range(0, n)) as t(i)
+         where not exists (select 1 from gone where gone.r = d.r and gone.i = t.i) group by d.r)
+select doc_id, coalesce(n_runs, 0) as n_runs, best.start as start, best.length as length, best.period as period,
+       cast(1000 * best.length // best.period as bigint) as exponent_milli,
+       sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept.text, '')) as collapsed_sha256
+from d left join listed using (r) left join kept using (r)""",
+    "op13_fill_in_middle": r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '(?s)[A-Za-z]+|[^A-Za-z]') as u,
+                  sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+x as (select *, len(u) as n, cast('0x' || substr(h, 1, 8) as bigint) as h1, cast('0x' || substr(h, 9, 8) as bigint) as h2,
+             cast('0x' || substr(h, 17, 8) as bigint) as h3, cast('0x' || substr(h, 25, 8) as bigint) as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+             case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+                  when h4 % 100 < 20 then 'spm' else 'psm' end as form from x),
+p as (select *, array_to_string(u[1:a], '') as pre, array_to_string(u[a + 1:b], '') as mid, array_to_string(u[b + 1:], '') as suf from c)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+       sha256(t) as restored_sha256
+from p""",
 }
