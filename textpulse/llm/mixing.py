@@ -19,8 +19,8 @@ from textpulse.operators.joins import bounded_broadcast
 from textpulse.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hex digits of a document's key that name its bucket: 65,536 buckets per source.
-BUCKET_DIGITS = 4
+#: Levels of two hex digits of the documents' keys: after them a bucket holds one in 2^24 of a source.
+LEVELS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -65,7 +65,7 @@ def water_fill(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
     """
     exact = "decimal(38,0)"
     cap = (F.col("source_size") * max_epochs).cast(exact)
-    total, left, clamped = 0, None, 0
+    clamped = 0
     amount, weights = sources.agg(F.sum("source_size"), F.sum("weight")).first()
     total, weights = int(amount or 0), int(weights or 0)
     left = total
@@ -84,30 +84,26 @@ def repetition_plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     are taken once more.
 
     The cut is the key at which the running size of the source's documents, in key order, comes
-    nearest to the rest of the target. It is found in two steps, so that no task holds a source:
-    sizes by bucket of keys (at most 65,536 a source), then the keys of the one bucket in which
-    the rest of the target ends.
+    nearest to the rest of the target. It is found digit by digit, so that no task holds a
+    source: sizes by the next two digits (at most 256 sums a source) tell in which bucket the
+    rest of the target ends, and the next level looks into that bucket only; after ``LEVELS``
+    levels the bucket's own keys decide.
     """
     size, target = F.col("source_size").cast("double"), F.col("target")
     whole = F.when(size > 0, F.floor(target / size)).otherwise(F.lit(0)).cast("long")
     wanted = targets.withColumn("whole", whole).withColumn("rest", target - F.col("whole") * size)
-    bucket = F.substring("key", 1, BUCKET_DIGITS)
-    running = Window.partitionBy("source").orderBy("bucket")
-    buckets = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(running))
-    side = bounded_broadcast(wanted.select(F.col("source").alias("_source"), "rest"))
-    crossing = (
-        buckets.join(side, F.col("source").eqNullSafe(F.col("_source")))
-        .where(F.col("upto") > F.col("rest"))
-        .groupBy("source", "rest")
-        .agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before")), F.col("bucket")).alias("at"))
-        .select(F.col("source").alias("_source"), "rest", "at.*")
-    )
-    crossing = materialize(crossing)
-    same_bucket = F.col("source").eqNullSafe(F.col("_source")) & (F.substring("key", 1, BUCKET_DIGITS) == F.col("bucket"))
-    inside = sized.join(bounded_broadcast(crossing), same_bucket).groupBy("source", "rest", "bucket", "before", "key").agg(F.sum("size").alias("n"))
-    middle = F.col("before") + F.sum("n").over(Window.partitionBy("source").orderBy("key")) - F.col("n") / 2
-    cuts = inside.withColumn("taken", middle <= F.col("rest")).groupBy("source", "bucket").agg(F.max(F.when(F.col("taken"), F.col("key"))).alias("last"))
-    cuts = cuts.select(F.col("source").alias("_source"), F.coalesce("last", "bucket").alias("cut"))
+    at = wanted.select(F.col("source").alias("_source"), "rest", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"))
+    inside = F.col("source").eqNullSafe(F.col("_source")) & F.col("key").startswith(F.col("prefix"))
+    by_source = Window.partitionBy("_source")
+    for level in range(1, LEVELS + 1):
+        sums = sized.join(bounded_broadcast(at), inside).groupBy("_source", "rest", "before", F.substring("key", 1, 2 * level).alias("prefix")).agg(F.sum("size").alias("n"))
+        upto = sums.withColumn("upto", F.col("before") + F.sum("n").over(by_source.orderBy("prefix")))
+        first = F.min_by(F.struct("prefix", (F.col("upto") - F.col("n")).alias("before")), F.col("prefix"))
+        at = materialize(upto.where(F.col("upto") > F.col("rest")).groupBy("_source", "rest").agg(first.alias("at")).select("_source", "rest", "at.*"))
+    keys = sized.join(bounded_broadcast(at), inside).groupBy("_source", "rest", "prefix", "before", "key").agg(F.sum("size").alias("n"))
+    middle = F.col("before") + F.sum("n").over(by_source.orderBy("key")) - F.col("n") / 2
+    cuts = keys.withColumn("taken", middle <= F.col("rest")).groupBy("_source", "prefix").agg(F.max(F.when(F.col("taken"), F.col("key"))).alias("last"))
+    cuts = cuts.select("_source", F.coalesce("last", "prefix").alias("cut"))
     return wanted.join(cuts, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source", "rest").withColumn("cut", F.coalesce("cut", F.lit("")))
 
 
