@@ -1,0 +1,149 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from textpulse.sources.record_log import TopicFolder, append_to_log, commit_progress, publish_stream, record_log
+
+
+def rows(spark, lo, hi, parts=3):
+    return spark.range(lo, hi, 1, parts).select(F.col("id"), (F.col("id") % 5).alias("k"), F.concat(F.lit("text "), "id").alias("text"))
+
+
+def consume(spark, root, out, checkpoint, fail_at=None, **options):
+    """Run a consumer that appends what it reads; it fails in the named batch."""
+
+    def sink(batch, batch_id):
+        if fail_at == batch_id:
+            raise RuntimeError("planned")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    writer = record_log(spark, root, "t", **options).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    query = writer.trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except Exception as error:
+        if fail_at is None:
+            raise
+        assert "planned" in str(error)
+    return query
+
+
+def ids(spark, out):
+    return sorted(r.id for r in spark.read.parquet(out).select(F.get_json_object("value", "$.id").cast("long").alias("id")).collect())
+
+
+def test_batch_read_numbers_every_partition(spark, tmp_dir):
+    append_to_log(rows(spark, 0, 100), tmp_dir, "t", "k", partitions=3)
+    append_to_log(rows(spark, 100, 130), tmp_dir, "t", "k", partitions=3)
+    append_to_log(rows(spark, 0, 7), tmp_dir, "other", None)
+    got = record_log(spark, tmp_dir, "t", stream=False, taskRecords=10)
+    assert got.rdd.getNumPartitions() > 10
+    found = got.collect()
+    assert len(found) == 130 and {r.topic for r in found} == {"t"}
+    by_part = {}
+    for r in found:
+        by_part.setdefault(r.partition, []).append((r.offset, r))
+    for listed in by_part.values():
+        listed.sort(key=lambda x: x[0])
+        assert [o for o, _ in listed] == list(range(len(listed)))
+        first = [int(r.value.split('"id":')[1].split(",")[0]) < 100 for _, r in listed]
+        assert first == sorted(first, reverse=True)  # commits keep their order
+    assert len({(r.key, r.partition) for r in found}) == 5  # a key is in one partition
+
+
+def test_empty_log_and_nulls(spark, tmp_dir):
+    assert record_log(spark, tmp_dir, "none", stream=False).count() == 0
+    append_to_log(rows(spark, 0, 0), tmp_dir, "t", "k")
+    assert TopicFolder(tmp_dir, "t").commits() == []
+    append_to_log(spark.createDataFrame([(None, None), (None, "x")], "k string, v string"), tmp_dir, "t", "k")
+    assert sorted((r.key, r.value) for r in record_log(spark, tmp_dir, "t", stream=False).collect()) == [(None, '{"v":"x"}'), (None, "{}")]
+
+
+def test_stream_resumes_from_its_checkpoint_and_a_group_from_its_offsets(spark, tmp_dir):
+    root, ck = f"{tmp_dir}/log", f"{tmp_dir}/ck"
+    append_to_log(rows(spark, 0, 50), root, "t", "k")
+    query = consume(spark, root, f"{tmp_dir}/out", ck, start="earliest")
+    assert ids(spark, f"{tmp_dir}/out") == list(range(50))
+    commit_progress(query, root, "t", "readers")
+    append_to_log(rows(spark, 50, 80), root, "t", "k")
+    consume(spark, root, f"{tmp_dir}/out", ck, start="earliest")
+    assert ids(spark, f"{tmp_dir}/out") == list(range(80))
+    consume(spark, root, f"{tmp_dir}/group", f"{tmp_dir}/ck-group", start="committed", group="readers")
+    assert ids(spark, f"{tmp_dir}/group") == list(range(50, 80))
+    consume(spark, root, f"{tmp_dir}/late", f"{tmp_dir}/ck-late", start="committed", group="nobody")
+    assert not os.path.exists(f"{tmp_dir}/late") or ids(spark, f"{tmp_dir}/late") == []  # from the latest on
+
+
+def test_failed_batch_is_read_again(spark, tmp_dir):
+    root, ck, out = f"{tmp_dir}/log", f"{tmp_dir}/ck", f"{tmp_dir}/out"
+    append_to_log(rows(spark, 0, 40), root, "t", "k")
+    consume(spark, root, out, ck, start="earliest")
+    append_to_log(rows(spark, 40, 60), root, "t", "k")
+    consume(spark, root, out, ck, fail_at=1, start="earliest")
+    append_to_log(rows(spark, 60, 75), root, "t", "k")
+    consume(spark, root, out, ck, start="earliest")  # one batch a run: the failed one again
+    assert ids(spark, out) == list(range(60))
+    consume(spark, root, out, ck, start="earliest")
+    assert ids(spark, out) == list(range(75))
+
+
+def test_running_stream_takes_up_new_commits(spark, tmp_dir):
+    root, out = f"{tmp_dir}/log", f"{tmp_dir}/out"
+    append_to_log(rows(spark, 0, 30), root, "t", "k", partitions=2)
+    writer = record_log(spark, root, "t", start="earliest").writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    query = writer.option("checkpointLocation", f"{tmp_dir}/ck").start()
+    try:
+        query.processAllAvailable()
+        append_to_log(rows(spark, 30, 45), root, "t", "k", partitions=4)  # with new partitions
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert ids(spark, out) == list(range(45))
+    assert [r["count"] for r in spark.read.parquet(out).groupBy("batch").count().orderBy("batch").collect()] == [30, 15]
+
+
+def test_published_batches_count_once(spark, tmp_dir):
+    """A task fails after others have written: nothing of the batch is seen; the restart publishes it once."""
+    source, root, marker = f"{tmp_dir}/in", f"{tmp_dir}/log", f"{tmp_dir}/failed"
+    rows(spark, 0, 60, 4).write.parquet(source)
+
+    def once(batches):
+        for batch in batches:
+            if (batch["id"] == 59).any() and not os.path.exists(marker):
+                open(marker, "w").close()
+                raise RuntimeError("planned")
+            yield batch
+
+    def publish():
+        stream = spark.readStream.schema("id long, k long, text string").option("maxFilesPerTrigger", 2).parquet(source)
+        query = publish_stream(stream.mapInPandas(once, stream.schema), root, "t", "job", f"{tmp_dir}/ck", "id", partitions=3)
+        query.awaitTermination()
+
+    with pytest.raises(Exception, match="planned"):
+        for _ in range(2):
+            publish()
+    folder = TopicFolder(root, "t")
+    before = len(folder.commits())
+    publish()
+    found = record_log(spark, root, "t", stream=False)
+    assert sorted(int(r.key) for r in found.collect()) == list(range(60)) and len(folder.commits()) > before
+    # a batch that was committed before its checkpoint was: the repetition changes nothing
+    log_again = publish_stream(spark.readStream.schema("id long, k long, text string").parquet(source), root, "t", "job", f"{tmp_dir}/ck-lost", "id")
+    log_again.awaitTermination()
+    assert record_log(spark, root, "t", stream=False).count() == 60
+
+
+def test_failed_table_write_leaves_nothing(spark, tmp_dir):
+    def broken(batches):
+        for batch in batches:
+            if (batch["id"] >= 20).any():
+                raise RuntimeError("planned")
+            yield batch
+
+    df = rows(spark, 0, 30)
+    with pytest.raises(Exception, match="planned"):
+        append_to_log(df.mapInPandas(broken, df.schema), tmp_dir, "t", "k")
+    assert record_log(spark, tmp_dir, "t", stream=False).count() == 0
+    append_to_log(df, tmp_dir, "t", "k")
+    assert record_log(spark, tmp_dir, "t", stream=False).count() == 30

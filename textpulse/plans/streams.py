@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from textpulse import fixed
 from textpulse.plans.messages import MESSAGES_SQL, RUNNING_SQL, prepare_messages, prepare_tokens
@@ -17,6 +18,8 @@ from textpulse.session import scratch_path
 from textpulse.plans.events import ORACLE as EVENTS_ORACLE
 from textpulse.sources.adapters import event_seconds
 from textpulse.plans.messages import ORACLE as MESSAGES_ORACLE
+from textpulse.sources.record_log import append_to_log, commit_progress, publish_stream, record_log
+from textpulse.sources.tables import read_table
 from textpulse.streaming.jobs import (
     count_window_sink,
     elapsed_resets_stream,
@@ -110,7 +113,60 @@ def q_stream_count_window_batches(spark: SparkSession, sf_dir: str) -> DataFrame
     return read_log(spark, f"{root}/out", schema).select("window_no", "bucket_ms", "word", "seq", "pos", "running_cnt")
 
 
+TOPIC, GROUP = "Word_Count", "WordCount.stream"
+TURN_RECORD = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
+
+
+def _turns(log: DataFrame) -> DataFrame:
+    """The turns in log records; records that do not parse are a failure here."""
+    return log.select("key", F.from_json("value", TURN_RECORD, {"mode": "FAILFAST"}).alias("r")).select("key", "r.*")
+
+
+def q_stream_log_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns read from a partitioned record log that grows in two steps.
+
+    ``resumed``: one job from the earliest offset, stopped after the first step and restarted from
+    its checkpoint. ``group``: a new job, after the second step, from the offsets that the first
+    had committed for the group, so it sees the second step only. ``times`` counts how often a
+    turn was seen.
+    """
+    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    root = scratch_path(spark, "record-log")
+    logs = {name: scratch_path(spark, f"record-log-{name}") for name in ("resumed", "group")}
+
+    def consume(name: str, **start: str) -> StreamingQuery:
+        stream = record_log(spark, root, TOPIC, **start).writeStream.foreachBatch(write_updates(logs[name]))
+        query = stream.option("checkpointLocation", f"{logs[name]}-ckpt").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query
+
+    append_to_log(conv.where("conv_id % 2 = 0"), root, TOPIC, "conv_id")
+    commit_progress(consume("resumed", start="earliest"), root, TOPIC, GROUP)
+    append_to_log(conv.where("conv_id % 2 <> 0"), root, TOPIC, "conv_id")
+    consume("resumed", start="earliest")
+    consume("group", start="committed", group=GROUP)
+    schema = record_log(spark, root, TOPIC, stream=False).schema
+    seen = [_turns(read_log(spark, path, schema)).withColumn("job", F.lit(name)) for name, path in logs.items()]
+    turns = seen[0].unionByName(seen[1])
+    return turns.groupBy("job", "conv_id", "turn", "role", F.sha2("text", 256).alias("text_sha256")).agg(F.count(F.lit(1)).alias("times"))
+
+
+def q_stream_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn published as a record by a stream, each micro-batch one commit, and read back
+    from the log: per key the records, and whether their offsets have no gap."""
+    conv = stored_table_stream(spark, sf_dir, "conversations", CONVERSATION_SCHEMA)
+    root = scratch_path(spark, "published")
+    query = publish_stream(conv, root, TOPIC, "publisher", scratch_path(spark, "published-ckpt"), "conv_id")
+    query.awaitTermination()
+    log = record_log(spark, root, TOPIC, stream=False)
+    ends = log.groupBy("partition").agg((F.max("offset") + 1 == F.count_distinct("offset")).alias("dense"))
+    per_key = log.groupBy("key", "partition").agg(F.count(F.lit(1)).alias("records"), F.sum(F.length("value")).alias("chars"))
+    return per_key.join(F.broadcast(ends), "partition").select("key", "records", "chars", "dense")
+
+
 QUERIES = {
+    "stream_log_resume": q_stream_log_resume,
+    "stream_publish": q_stream_publish,
     "stream_tumbling": q_stream_tumbling,
     "stream_running": q_stream_running,
     "stream_running_per_record": q_stream_running_per_record,
@@ -133,6 +189,15 @@ toks AS (
 """
 
 ORACLE = {
+    "stream_log_resume": """
+SELECT job, conv_id, turn, role, sha256(text) AS text_sha256, count(*) AS times
+FROM conversations, (VALUES ('resumed'), ('group')) j(job) WHERE job = 'resumed' OR conv_id % 2 <> 0 GROUP BY ALL""",
+    "stream_publish": """
+SELECT CAST(conv_id AS VARCHAR) AS key, count(*) AS records,
+       CAST(sum(length('{"conv_id":,"turn":,"role":"","text":""}') + length(CAST(conv_id AS VARCHAR)) + length(CAST(turn AS VARCHAR)) + length(role)
+           + length(text) + length(text) - length(replace(replace(replace(text, chr(92), ''), '"', ''), chr(10), ''))) AS BIGINT) AS chars,
+       true AS dense
+FROM conversations GROUP BY conv_id""",
     "stream_tumbling": f"""WITH {_TOKENS}
 SELECT (arrival_sec - arrival_sec % 300) * 1000 AS window_ms, bucket_ms, word, count(*) AS cnt
 FROM toks GROUP BY 1, 2, 3 HAVING count(*) >= 10""",
