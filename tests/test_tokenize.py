@@ -1,3 +1,8 @@
+import math
+import random
+import time
+
+from textpulse.operators import segment
 from textpulse.operators.tokenize import tokenize
 from textpulse.sources.records import word_values
 
@@ -25,3 +30,64 @@ def test_strip_latin_and_utf16_length(spark):
     # a supplementary character is one code point but two UTF-16 units
     assert [r.word for r in tokenize(df, strip_latin=True, min_len=2, utf16_length=True).orderBy("pos").collect()] == [
         "好的", "𠀋"]
+
+
+def _brute(run, costs, unknown):
+    """Every way to cut the run: least cost, then the longest last word at every place."""
+    from functools import cache
+
+    @cache
+    def best(end):
+        if not end:
+            return 0, ()
+        ways = [(best(end - 1)[0] + unknown, -1, 1)]
+        ways += [(best(end - len(w))[0] + c, -len(w), len(w)) for w, c in costs.items() if run[:end].endswith(w)]
+        cost, _, n = min(ways)
+        return cost, (*best(end - n)[1], run[end - n : end])
+
+    return list(best(len(run))[1])
+
+
+def test_likeliest_words_equal_brute_force_in_both_forms(spark, monkeypatch):
+    rng = random.Random(3)
+    letters = "天地玄黄"
+    counts = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 5))): rng.randrange(1, 40) for _ in range(25)}
+    total = sum(counts.values())
+    costs = {w: round(1000 * math.log(total / n)) for w, n in counts.items()}
+    texts = ["".join(rng.choice(letters + "宇") for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "", "天 ok 地，9"])], "id long, text string")
+    dictionary = spark.createDataFrame([*counts.items(), (None, 3), ("", 4), ("zero", 0)], "word string, n long")
+    want = {i: _brute(t, costs, round(1000 * math.log(2 * total))) for i, t in enumerate(texts)}
+    for bound in (segment.MAX_WORDS, 0):  # 0: the dictionary is joined, not broadcast
+        monkeypatch.setattr(segment, "MAX_WORDS", bound)
+        for mode in ("lattice", "dictionary"):
+            got = {}
+            for r in tokenize(df, mode=mode, dictionary=dictionary, keep=["id"]).orderBy("id", "pos").collect():
+                got.setdefault(r.id, []).append(r.word)
+            assert "".join(got[len(texts) + 2]) == "天ok地9" and len(texts) not in got and len(texts) + 1 not in got
+            if mode == "lattice":
+                assert {i: got[i] for i in want} == want
+            else:
+                assert all("".join(got[i]) == t for i, t in enumerate(texts))
+                first = got if bound else first  # noqa: F821
+                assert got == first
+
+
+def test_time_is_linear_in_the_run():
+    words = [("天", 500), ("天地", 700), ("地天地", 900), ("玄" * 1000, 10), ("玄黄", 300)]
+    automaton, took = segment.Automaton(words), {}
+    for n in (10_000, 100_000):
+        run = "天地玄黄宇" * (n // 5)
+        start = time.perf_counter()
+        assert "".join(segment.likeliest(run, automaton.matches(run), 5000)) == run
+        took[n] = time.perf_counter() - start
+    assert took[100_000] < 30 * took[10_000] and took[100_000] < 5
+    run = "玄" * 5000
+    assert segment.likeliest(run, automaton.matches(run), 5000) == ["玄" * 1000] * 5
+
+
+def test_empty_dictionary(spark):
+    df = spark.createDataFrame([("天地",)], "text string")
+    none = spark.createDataFrame([], "word string, n long")
+    for mode in ("lattice", "dictionary"):
+        assert [r.word for r in tokenize(df, mode=mode, dictionary=none).orderBy("pos").collect()] == ["天", "地"]

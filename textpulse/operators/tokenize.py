@@ -3,12 +3,11 @@
 ``mode="regex"`` (default): terms are runs of letters/digits; every punctuation, symbol and
 separator is a boundary. This is the JVM-side path for spaced scripts.
 
-``mode="dictionary"``: the text is first stripped of punctuation, symbols and separators
-(the original's cleaning step); Han runs are then segmented by forward longest match over a
-dictionary (unknown characters become single-character terms) and other letter/digit runs
-stay whole. The dictionary is a table: the substrings of the distinct runs are joined to it, the
-longest word per position is kept, and a fold walks each run from word to word, all with
-built-in functions.
+``mode="dictionary"`` and ``mode="lattice"``: the text is first stripped of punctuation, symbols
+and separators (the original's cleaning step); Han runs are then segmented with a dictionary and
+other letter/digit runs stay whole. ``dictionary`` takes the longest word from the left
+(unknown characters become single-character terms); ``lattice`` takes the likeliest words by
+their counts in a table (see :mod:`textpulse.operators.segment`).
 """
 
 from __future__ import annotations
@@ -20,53 +19,40 @@ from pyspark.sql import functions as F
 
 from textpulse import fixed
 from textpulse.functions.text import clean, token_length, words
-from textpulse.operators.joins import bounded_broadcast
+from textpulse.operators.segment import segment_by_join, segment_runs, word_costs
 
 # a run of Han characters, or of other letters and digits
 _RUNS = r"\p{IsHan}+|[\p{L}\p{N}&&[^\p{IsHan}]]+"
+_CHOICE = {"dictionary": "longest", "lattice": "likeliest"}
 
 
-def segment_runs(runs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(run, terms) for the distinct non-null ``run`` strings: forward longest match over
-    ``dictionary`` (column ``word``), single characters where no word begins."""
-    entries = dictionary.select(F.col("word").cast("string").alias("word")).where(F.length("word") > 0).distinct()
-    distinct = runs.select("run").where("run is not null").distinct()
-    longest = entries.agg(F.coalesce(F.max(F.length("word")), F.lit(1))).scalar()
-    places = distinct.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("at"), longest.alias("longest"))
-    room = F.least(F.col("longest"), F.length("run") - F.col("at") + 1)
-    parts = places.select("run", "at", F.explode(F.sequence(F.lit(1), room)).alias("n"))
-    parts = parts.select("run", "at", "n", F.substring("run", F.col("at"), F.col("n")).alias("word"))
-    found = parts.join(bounded_broadcast(entries), "word").groupBy("run", "at").agg(F.max("n").alias("n"))
-    words_at = found.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("words"))
-    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("terms"))
-
-    def walk(state: Column, at: Column) -> Column:
-        n = F.coalesce(F.element_at("words", at), F.lit(1))
-        term = F.substring(F.col("run"), at, n)
-        stepped = F.struct((at + n).alias("next"), F.array_append(state["terms"], term).alias("terms"))
-        return F.when(at == state["next"], stepped).otherwise(state)
-
-    terms = F.aggregate(F.sequence(F.lit(1), F.length("run")), start, walk, lambda state: state["terms"])
-    return distinct.join(words_at, "run", "left").select("run", terms.alias("terms"))
-
-
-def _dictionary_terms(messages: DataFrame, text: Column, dictionary: DataFrame, keep: list[str], word_col: str) -> DataFrame:
-    """(keep..., pos, word); ``pos`` orders the terms of a text (run number, place in the run)."""
-    source = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("source") if keep else F.lit(1).alias("source")
-    runs = messages.select(source, F.posexplode(F.regexp_extract_all(text, F.lit(_RUNS), 0)).alias("run_no", "run"))
-    han = runs.where(F.col("run").rlike(r"^\p{IsHan}"))
-    segmented = han.join(segment_runs(han, dictionary), "run").select("source", "run_no", F.posexplode("terms").alias("place", "word"))
-    whole = runs.where(~F.col("run").rlike(r"^\p{IsHan}")).select("source", "run_no", F.lit(0).alias("place"), F.col("run").alias("word"))
+def _segmented(messages: DataFrame, text: Column, dictionary: DataFrame, choice: str, keep: list[str], word_col: str) -> DataFrame:
+    """(keep..., pos, word); ``pos`` orders the terms of a text."""
+    if choice == "likeliest":
+        costs, unknown = word_costs(dictionary)
+    else:
+        entries = dictionary.select(F.col("word").cast("string").alias("word")).where(F.length("word") > 0).distinct()
+        costs, unknown = entries.withColumn("cost", F.lit(0).cast("bigint")), 0
+    kept = [F.col(f"`{c}`") for c in keep]
+    is_han = lambda run: run.rlike(r"^\p{IsHan}")
+    runs = F.regexp_extract_all(text, F.lit(_RUNS), 0)
+    terms = segment_runs(F.transform(runs, lambda run: F.struct(run.alias("run"), is_han(run).alias("segmented"))), costs, unknown, choice)
+    if terms is not None:  # no shuffle: every task segments its own messages
+        return messages.select(*kept, F.posexplode(terms).alias("pos", word_col)).withColumn("pos", F.col("pos").cast("bigint"))
+    source = F.struct(*kept).alias("source") if keep else F.lit(1).alias("source")
+    listed = messages.select(source, F.posexplode(runs).alias("run_no", "run"))
+    han = listed.where(is_han(F.col("run")))
+    done = han.join(segment_by_join(han, costs, unknown, choice), "run").select("source", "run_no", F.posexplode("terms").alias("place", "word"))
+    whole = listed.where(~is_han(F.col("run"))).select("source", "run_no", F.lit(0).alias("place"), F.col("run").alias("word"))
     pos = F.col("run_no").cast("bigint") * (1 << 32) + F.col("place")
-    both = segmented.unionByName(whole)
-    return both.select(*[F.col(f"source.`{c}`").alias(c) for c in keep], pos.alias("pos"), F.col("word").alias(word_col))
+    return done.unionByName(whole).select(*[F.col(f"source.`{c}`").alias(c) for c in keep], pos.alias("pos"), F.col("word").alias(word_col))
 
 
 def tokenize(messages: DataFrame, text_col: str = "text", mode: str = "regex", dictionary: DataFrame | None = None,
              min_len: int | None = None, strip_latin: bool = False, utf16_length: bool = False,
              keep: Sequence[str] | None = None, word_col: str = "word", pos_col: str | None = "pos") -> DataFrame:
-    """messages -> one row per term (keep..., pos, word); ``pos`` is the order in the text (dense in
-    regex mode).
+    """messages -> one row per term (keep..., pos, word); ``pos`` is the order in the text (dense, but
+    for a dictionary beyond the broadcast bound).
 
     ``min_len`` keeps terms with at least that many characters (2 = the original's
     ``length > 1``); ``strip_latin`` removes ASCII letters first (windowed sentiment path).
@@ -78,10 +64,10 @@ def tokenize(messages: DataFrame, text_col: str = "text", mode: str = "regex", d
             # only the letters go: separators must stay, they are this path's term boundaries
             text = F.regexp_replace(text, fixed.LATIN_PATTERN, "")
         terms = words(text)
-    elif mode == "dictionary":
+    elif mode in _CHOICE:
         if dictionary is None:
-            raise ValueError("mode='dictionary' needs a dictionary DataFrame with a `word` column")
-        out = _dictionary_terms(messages, clean(text, strip_latin=strip_latin), dictionary, keep, word_col)
+            raise ValueError(f"mode={mode!r} needs a dictionary DataFrame with a `word` column (and `n`, its count, for the lattice)")
+        out = _segmented(messages, clean(text, strip_latin=strip_latin), dictionary, _CHOICE[mode], keep, word_col)
         out = out.withColumnRenamed("pos", pos_col) if pos_col else out.drop("pos")
         return out.where(token_length(word_col, utf16=utf16_length) >= min_len) if min_len else out
     else:

@@ -133,24 +133,41 @@ HAN = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 
 
+def _han(col: Column) -> Column:
+    return F.translate(F.lower(col), LATIN, HAN)
+
+
+def _han_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stand-in input: the texts with a Han letter for every Latin one, and the words of the
+    benchmark texts, written the same way."""
+    texts = read_table(spark, sf_dir, "conversations", ["text"]).select(_han(F.col("text")).alias("text"))
+    found = F.regexp_extract_all(_han(F.col("text")), F.lit(r"\p{IsHan}+"), 0)
+    return texts, read_table(spark, sf_dir, "benchmark", ["text"]).select(F.explode(found).alias("word"))
+
+
+def _often(toks: DataFrame) -> DataFrame:
+    return toks.groupBy("word").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= fixed.HOT_WORD_THRESHOLD)
+
+
 def q_han_hot_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of Han text by dictionary segmentation, counted over all conversations (10 or more).
+    """Words of Han text by longest match, counted over all conversations (10 or more); the
+    dictionary holds the words of two to five letters."""
+    texts, words = _han_inputs(spark, sf_dir)
+    dictionary = words.where(F.length("word").between(2, 5)).distinct()
+    return _often(tokenize(texts, mode="dictionary", dictionary=dictionary, keep=[], pos_col=None))
 
-    Stand-in input: the texts with a Han letter for every Latin one; the dictionary holds the
-    words of two to five letters of the benchmark texts, written the same way."""
-    def han(col: Column) -> Column:
-        return F.translate(F.lower(col), LATIN, HAN)
 
-    texts = read_table(spark, sf_dir, "conversations", ["text"]).select(han(F.col("text")).alias("text"))
-    entries = read_table(spark, sf_dir, "benchmark", ["text"]).select(F.explode(F.regexp_extract_all(han(F.col("text")), F.lit(r"\p{IsHan}+"), 0)).alias("word"))
-    dictionary = entries.where(F.length("word").between(2, 5)).distinct()
-    toks = tokenize(texts, mode="dictionary", dictionary=dictionary, keep=[], pos_col=None)
-    counts = toks.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
-    return counts.where(F.col("cnt") >= fixed.HOT_WORD_THRESHOLD)
+def q_han_viterbi_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of Han text by likelihood, counted over all conversations (10 or more); the
+    dictionary holds the words of up to five letters with their counts."""
+    texts, words = _han_inputs(spark, sf_dir)
+    counts = words.where(F.length("word") <= 5).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return _often(tokenize(texts, mode="lattice", dictionary=counts, keep=[], pos_col=None))
 
 
 QUERIES = {
     "han_hot_words": q_han_hot_words,
+    "han_viterbi_words": q_han_viterbi_words,
     "hot_words": q_hot_words,
     "hot_words_two_level": q_hot_words_two_level,
     "hot_words_blacklist": q_hot_words_blacklist,
@@ -208,6 +225,33 @@ running AS (
 _HAN_SQL = f"translate(lower(text), '{LATIN}', '{HAN}')"
 
 ORACLE = {
+    "han_viterbi_words": f"""
+WITH RECURSIVE counts AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_HAN_SQL}, '\\p{{Han}}+')) AS word FROM benchmark) WHERE length(word) <= 5 GROUP BY word),
+total AS (SELECT CAST(sum(n) AS DOUBLE) AS t FROM counts),
+dict AS (SELECT word, CAST(round(1000 * ln(t / n)) AS BIGINT) AS cost FROM counts, total),
+runs AS (SELECT run, count(*) AS n FROM (
+  SELECT unnest(regexp_extract_all(regexp_replace({_HAN_SQL}, '[\\pP\\pS\\pZ]', '', 'g'), '\\p{{Han}}+|[^\\p{{Han}}\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS run FROM conversations) GROUP BY run),
+han AS (SELECT row_number() OVER () AS r, run, n FROM runs WHERE regexp_matches(run, '^\\p{{Han}}')),
+edges AS (
+  SELECT r, e, k, dict.cost FROM han, unnest(range(1, length(run) + 1)) t(e), unnest(range(1, 6)) u(k)
+  JOIN dict ON dict.word = substr(run, e - k + 1, k) WHERE k <= e
+  UNION ALL SELECT r, e, 1, CAST(round(1000 * ln(2 * t)) AS BIGINT) FROM han, total, unnest(range(1, length(run) + 1)) t(e)),
+ways AS (SELECT r, e, list(struct_pack(k := k, c := cost) ORDER BY k DESC) AS w FROM edges GROUP BY r, e),
+steps AS (
+  SELECT r, list(struct_pack(best := CAST([] AS BIGINT[]), back := '', w := w) ORDER BY e) AS s FROM ways GROUP BY r),
+walk AS (  -- the costs of the last five prefixes, and the last word's length at every prefix
+  SELECT r, list_reduce(list_prepend(struct_pack(best := [CAST(0 AS BIGINT)], back := '', w := s[1].w), s), lambda a, x: struct_pack(
+    best := list_append(a.best, list_min(list_transform(x.w, lambda y: a.best[-y.k] + y.c)))[-5:],
+    back := a.back || CAST(list_filter(x.w, lambda z: a.best[-z.k] + z.c = list_min(list_transform(x.w, lambda y: a.best[-y.k] + y.c)))[1].k AS VARCHAR),
+    w := x.w)) AS done FROM steps),
+ends AS (SELECT run, n, done.back AS back FROM han JOIN walk USING (r)),
+terms AS (
+  SELECT run, n, back, length(run) AS e, CAST(back[length(run)] AS BIGINT) AS k FROM ends
+  UNION ALL SELECT run, n, back, e - k, CAST(back[e - k] AS BIGINT) FROM terms WHERE e > k
+)
+SELECT word, CAST(sum(n) AS BIGINT) AS cnt FROM (
+  SELECT substr(run, e - k + 1, k) AS word, n FROM terms
+  UNION ALL SELECT run, n FROM runs WHERE NOT regexp_matches(run, '^\\p{{Han}}')) GROUP BY word HAVING sum(n) >= 10""",
     "han_hot_words": f"""
 WITH RECURSIVE dict AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all({_HAN_SQL}, '\\p{{Han}}+')) AS word FROM benchmark) WHERE length(word) BETWEEN 2 AND 5),
 runs AS (SELECT run, count(*) AS n FROM (
