@@ -7,6 +7,8 @@ updated rows are logged per batch id, and the final state is the last emission p
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +18,8 @@ from textpulse import fixed
 from textpulse.plans.messages import MESSAGES_SQL, RUNNING_SQL, prepare_messages, prepare_tokens
 from textpulse.session import scratch_path
 from textpulse.plans.events import ORACLE as EVENTS_ORACLE
-from textpulse.sources.adapters import event_seconds
+from textpulse.operators.timeseries import metric_names
+from textpulse.sources.adapters import KEY_STEP, event_seconds
 from textpulse.plans.messages import ORACLE as MESSAGES_ORACLE
 from textpulse.sources.record_log import append_to_log, commit_progress, publish_stream, record_log
 from textpulse.sources.tables import read_table
@@ -26,9 +29,12 @@ from textpulse.streaming.jobs import (
     last_emitted,
     read_log,
     rocksdb_state,
+    run_until_idle,
     running_counts_per_record,
     running_word_counts,
     stored_table_stream,
+    tick_totals,
+    two_level_hot_words,
     windowed_hot_words,
     write_updates,
 )
@@ -164,7 +170,70 @@ def q_stream_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_key.join(F.broadcast(ends), "partition").select("key", "records", "chars", "dense")
 
 
+def _in_steps(steps: Iterable[DataFrame], build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Run a stateful job over a record log that grows step by step; the log of its output.
+
+    Every step is one commit, and the job is restarted from its checkpoint
+    for each, so state, watermark and timers come from the store.
+    """
+    log = root = None
+    for step in steps:
+        spark = step.sparkSession
+        root = root or scratch_path(spark, f"{name}-in")
+        log = log or scratch_path(spark, f"{name}-out")
+        append_to_log(step, root, name)
+        records = record_log(spark, root, name, start="earliest")
+        rows = records.select(F.from_json("value", step.schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+        result = build(rows)
+        with rocksdb_state(spark):
+            run_until_idle(result.writeStream.outputMode("append").foreachBatch(write_updates(log)).option("checkpointLocation", f"{log}-ckpt"))
+    return read_log(spark, log, result.schema)
+
+
+def _by_time(df: DataFrame, sec_col: str, steps: int, closing: tuple) -> Iterator[DataFrame]:
+    """The rows in ``steps`` parts by time, then one closing row that moves the watermark on."""
+    low, high = df.agg(F.min(sec_col), F.max(sec_col)).first()
+    width = ((high or 0) - (low or 0)) // steps + 1
+    for k in range(steps):
+        yield df.where(F.col(sec_col).between((low or 0) + k * width, (low or 0) + (k + 1) * width - 1))
+    yield df.sparkSession.createDataFrame([(*closing, (high or 0) + 3 * 86_400)], df.schema)
+
+
+def q_stream_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hot words per arrival window, summed per day by a second stateful aggregate of the same
+    query; four steps by arrival, then a row three days later that closes the last day."""
+    toks = prepare_tokens(prepare_messages(read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])))
+    steps = _by_time(toks.select("bucket_ms", "word", "arrival_sec"), "arrival_sec", 4, (0, "~"))
+    return _in_steps(steps, two_level_hot_words, "two-level").select("day", "bucket_ms", "word", "cnt")
+
+
+def q_stream_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day's totals of every event type at every tick up to the last event, written by timers
+    of a running job; four steps by time, then a row that closes the last tick."""
+    events = event_seconds(read_table(spark, sf_dir, "events", ["ts", "event_type"])).select("event_type", "sec").where("sec is not null")
+    types = metric_names(events, "event_type")
+    last = (events.agg(F.max("sec")).first()[0] or 0) * 1000
+    done = _in_steps(_by_time(events, "sec", 4, (None,)), lambda rows: tick_totals(rows, "sec", "event_type", types), "ticks")
+    return done.where(F.col("tick_ms") <= last).select("tick_ms", "day", "metric", "total")
+
+
+def q_stream_resume_from_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-record running counts of the later half of the conversations, as a stream that starts
+    from the stored totals of the earlier half."""
+    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    toks = prepare_tokens(prepare_messages(conv), blacklist_scope="reply").select("bucket_ms", "word", "seq", "pos")
+    middle = ((conv.agg(F.max("conv_id")).first()[0] or 0) + 1) // 2 * KEY_STEP
+    totals = scratch_path(spark, "totals")
+    toks.where(F.col("seq") < middle).groupBy("bucket_ms", "word").agg(F.count(F.lit(1)).alias("running_cnt")).write.parquet(totals)
+    build = lambda rows: running_counts_per_record(rows, ["bucket_ms", "word"], ["seq", "pos"], initial=spark.read.parquet(totals))
+    log = _in_steps([toks.where(F.col("seq") >= middle)], build, "from-totals")
+    return log.select("bucket_ms", "word", "seq", "pos", "running_cnt")
+
+
 QUERIES = {
+    "stream_two_level": q_stream_two_level,
+    "stream_ticks": q_stream_ticks,
+    "stream_resume_from_totals": q_stream_resume_from_totals,
     "stream_log_resume": q_stream_log_resume,
     "stream_publish": q_stream_publish,
     "stream_tumbling": q_stream_tumbling,
@@ -189,6 +258,11 @@ toks AS (
 """
 
 ORACLE = {
+    "stream_two_level": MESSAGES_ORACLE["hot_words_two_level"],
+    "stream_ticks": EVENTS_ORACLE["snapshot_totals"],
+    "stream_resume_from_totals": f"""WITH {MESSAGES_SQL}, {RUNNING_SQL}
+SELECT bucket_ms, word, seq, pos, running_cnt FROM running
+WHERE seq >= ((SELECT max(conv_id) FROM conversations) + 1) // 2 * {KEY_STEP}""",
     "stream_log_resume": """
 SELECT job, conv_id, turn, role, sha256(text) AS text_sha256, count(*) AS times
 FROM conversations, (VALUES ('resumed'), ('group')) j(job) WHERE job = 'resumed' OR conv_id % 2 <> 0 GROUP BY ALL""",

@@ -1,6 +1,7 @@
 """Structured Streaming queries built from the same operators as the batch jobs."""
 
 from textpulse.streaming.jobs import (
+    Expiry,
     count_window_sink,
     elapsed_resets_stream,
     last_emitted,
@@ -12,11 +13,14 @@ from textpulse.streaming.jobs import (
     snapshot_ticks,
     stored_table_stream,
     table_stream,
+    tick_totals,
+    two_level_hot_words,
     windowed_hot_words,
     write_updates,
 )
 
 __all__ = [
+    "Expiry",
     "count_window_sink",
     "elapsed_resets_stream",
     "last_emitted",
@@ -28,6 +32,8 @@ __all__ = [
     "snapshot_ticks",
     "stored_table_stream",
     "table_stream",
+    "tick_totals",
+    "two_level_hot_words",
     "windowed_hot_words",
     "write_updates",
 ]

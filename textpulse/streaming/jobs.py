@@ -12,16 +12,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StreamingQuery
 
 from textpulse import fixed
-from textpulse.functions.time import seconds_to_timestamp
+from textpulse.functions.time import day_of_ms, seconds_to_timestamp
 
 BatchSink = Callable[[DataFrame, int], None]
 
@@ -62,6 +64,17 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def run_until_idle(writer: DataStreamWriter) -> StreamingQuery:
+    """Run a query over all there is, the batches without data that a moved watermark asks for
+    included (sources written in Python get none with ``availableNow``), and stop it."""
+    query = writer.start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return query
+
+
 def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """What a stream's batches wrote under ``path``; no rows if no batch wrote any."""
     fields = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
@@ -71,16 +84,17 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(fields).parquet(path)
 
 
+def windowed_counts(tokens: DataFrame, arrival_col: str, watermark: str, width_s: int) -> DataFrame:
+    """Streaming (window, bucket_ms, word, cnt) over tumbling arrival windows."""
+    ts = tokens.withColumn("_arrival_ts", seconds_to_timestamp(arrival_col)).withWatermark("_arrival_ts", watermark)
+    return ts.groupBy(F.window("_arrival_ts", f"{width_s} seconds"), "bucket_ms", "word").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def windowed_hot_words(tokens: DataFrame, arrival_col: str = "arrival_sec", watermark: str = "10 minutes",
                        width_s: int = fixed.BUCKET_SECONDS) -> DataFrame:
     """Streaming count per (arrival window, bucket, word); late rows beyond the watermark are
     dropped and their windows' state is released."""
-    ts = tokens.withColumn("_arrival_ts", seconds_to_timestamp(arrival_col))
-    counts = (
-        ts.withWatermark("_arrival_ts", watermark)
-        .groupBy(F.window("_arrival_ts", f"{width_s} seconds"), "bucket_ms", "word")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
+    counts = windowed_counts(tokens, arrival_col, watermark, width_s)
     return counts.select(
         (F.unix_micros(F.col("window.start")) / 1000).cast("bigint").alias("window_ms"), "bucket_ms", "word", "cnt"
     )
@@ -148,57 +162,218 @@ def snapshot_ticks(source: DataFrame, on_tick: Callable[[DataFrame, int], None],
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@dataclass(frozen=True)
+class Expiry:
+    """When running counts may be forgotten: ``keep_ms`` after the first key (an epoch-ms bucket),
+    by the watermark of ``event_time_col`` (``delay`` behind its newest value). Rows behind the
+    watermark are late and dropped."""
+
+    event_time_col: str
+    delay: str
+    keep_ms: int
+
+
 class RunningCountProcessor(StatefulProcessor):
     """Per-key running counts emitted for every input record.
 
     The processor is keyed by a coarse group (first key + hash salt of the other keys), because
-    a call per word would cost more than its work; its state is one map from the fine key to its count so far, read and written once per group
-    and micro-batch. Within a micro-batch a key's rows are numbered in ``order_cols`` order,
-    continuing from the stored count. State is unbounded, as in the original (no TTL)."""
+    a call per word would cost more than its work. Its state is a map from the fine key to its
+    count so far; a micro-batch touches only the entries of its own words. Within a micro-batch a
+    key's rows are numbered in ``order_cols`` order, continuing from the stored count: the rows
+    are held as plain arrays (a code and the order columns) and come out in small frames. With
+    ``keep_ms`` a timer clears the group when the watermark has passed its bucket."""
 
-    def __init__(self, fine_keys: Sequence[str], order_cols: Sequence[str], out_col: str = "running_cnt"):
-        self.fine_keys = list(fine_keys)
-        self.order_cols = list(order_cols)
-        self.out_col = out_col
+    FRAME = 20_000
+
+    def __init__(self, group_key: str, fine_keys: Sequence[str], order_cols: Sequence[str], out_cols: Sequence[str], out_col: str = "running_cnt", keep_ms: int | None = None):
+        self.group_key, self.fine_keys, self.order_cols = group_key, list(fine_keys), list(order_cols)
+        self.out_cols, self.out_col, self.keep_ms = list(out_cols), out_col, keep_ms
 
     def init(self, handle) -> None:
-        self.counts = handle.getValueState("counts", "counts MAP<STRING, BIGINT>")
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "fine STRING", "n BIGINT")
+
+    @staticmethod
+    def _entry(values: tuple) -> tuple[str]:
+        """A fine key as text; a null is no word "None"."""
+        return (json.dumps([None if v is None or v != v else str(v) for v in values], ensure_ascii=False),)
+
+    def _codes(self, pdf, known: dict):
+        """The number of each row's fine key; new keys get the next numbers."""
+        import numpy as np
+        import pandas as pd
+
+        parts = [pd.factorize(pdf[c], use_na_sentinel=False) for c in self.fine_keys]
+        codes = parts[0][0]
+        values = [(v,) for v in parts[0][1]]
+        for local, more in parts[1:]:
+            codes, both = pd.factorize(codes.astype(np.int64) * len(more) + local)
+            values = [(*values[k // len(more)], more[k % len(more)]) for k in both]
+        numbers = np.array([known.setdefault(self._entry(v), (len(known), v))[0] for v in values], np.int64)
+        return numbers[codes] if len(values) else codes
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for *values, n in initialState[[*self.fine_keys, self.out_col]].itertuples(index=False):
+            self.counts.updateValue(self._entry(tuple(values)), (int(n),))
+        self._expire_later(key)
+
+    def _expire_later(self, key) -> None:
+        if self.keep_ms is not None and not list(self.handle.listTimers()):
+            self.handle.registerTimer(int(key[0]) + self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):
+        import numpy as np
         import pandas as pd
 
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order_cols, kind="stable")
-        parts = [pdf[c].astype(str) for c in self.fine_keys]
-        fine = parts[0] if len(parts) == 1 else pd.concat(parts, axis=1).agg("\x1f".join, axis=1)
-        stored = dict(self.counts.get()[0] or {}) if self.counts.exists() else {}
-        base = fine.map(lambda k: stored.get(k, 0)).astype("int64")
-        pdf[self.out_col] = base + fine.groupby(fine, sort=False).cumcount().astype("int64") + 1
-        last = pdf[self.out_col].groupby(fine, sort=False).max()
-        stored.update({k: int(v) for k, v in last.items()})
-        self.counts.update((stored,))
-        yield pdf.drop(columns=[c for c in ("_salt",) if c in pdf.columns])
+        known: dict = {}
+        codes, orders = [], [[] for _ in self.order_cols]
+        for pdf in rows:
+            codes.append(self._codes(pdf, known))
+            for held, c in zip(orders, self.order_cols, strict=True):
+                held.append(pdf[c].to_numpy())
+        if not known:
+            return
+        code = np.concatenate(codes)
+        order = [np.concatenate(held) for held in orders]
+        ranks = [pd.factorize(o, sort=True, use_na_sentinel=False)[0] if o.dtype == object else o for o in order]
+        by_key = np.lexsort([*ranks[::-1], code])
+        sizes = np.bincount(code, minlength=len(known))
+        fresh = not self.counts.exists()
+        base = np.zeros(len(known), np.int64)
+        for entry, (k, _) in known.items():
+            before = None if fresh else self.counts.getValue(entry)
+            base[k] = 0 if before is None else before[0]
+            self.counts.updateValue(entry, (int(base[k] + sizes[k]),))
+        self._expire_later(key)
+        first = np.cumsum(sizes) - sizes
+        running = np.empty(len(code), np.int64)
+        running[by_key] = base[code[by_key]] + np.arange(len(code)) - first[code[by_key]] + 1
+        fine = [np.array([None if v[k] != v[k] else v[k] for _, v in known.values()], object) for k in range(len(self.fine_keys))]
+        for start in range(0, len(code), self.FRAME):
+            part = slice(start, start + self.FRAME)
+            columns = {self.group_key: [key[0]] * len(code[part])}
+            columns |= {c: pd.Series(f[code[part]], dtype=object) for c, f in zip(self.fine_keys, fine, strict=True)}
+            columns |= {c: o[part] for c, o in zip(self.order_cols, order, strict=True)}
+            yield pd.DataFrame({c: columns[c] for c in self.out_cols} | {self.out_col: running[part]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.counts.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
 def running_counts_per_record(tokens: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
-                              out_col: str = "running_cnt", salts: int = 8) -> DataFrame:
+                              out_col: str = "running_cnt", salts: int = 8, expiry: Expiry | None = None,
+                              initial: DataFrame | None = None) -> DataFrame:
     """Streaming per-record running counts: every input record is emitted (``append`` mode)
     with its key's count so far, in arrival order across micro-batches and ``order_cols``
     order within one. State is grouped by (first key, hash of the other keys mod ``salts``),
-    so a hot first key is spread over ``salts`` groups. Needs the RocksDB state store
-    (``spark.sql.streaming.stateStore.providerClass`` = :data:`ROCKSDB_PROVIDER`)."""
+    so a hot first key is spread over ``salts`` groups; each group holds a map of its counts.
+
+    ``expiry`` forgets a bucket when the watermark has passed it (default: counts are kept for
+    ever). ``initial`` (keys, ``out_col``) gives stored totals from which the counts go on. Needs
+    the RocksDB state store (``spark.sql.streaming.stateStore.providerClass`` =
+    :data:`ROCKSDB_PROVIDER`)."""
     keys = list(keys)
     cols = list(dict.fromkeys([*keys, *order_cols]))
     rest = keys[1:] or keys
-    rows = tokens.select(*cols).withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
+    salt = F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int").alias("_salt")
+    extra = [expiry.event_time_col] if expiry and expiry.event_time_col not in cols else []
+    rows = tokens.withWatermark(expiry.event_time_col, expiry.delay) if expiry else tokens
+    rows = rows.select(*cols, *extra, salt)
     schema = T.StructType(list(tokens.select(*cols).schema.fields) + [T.StructField(out_col, T.LongType())])
+    processor = RunningCountProcessor(keys[0], rest, order_cols, cols, out_col, expiry.keep_ms if expiry else None)
+    start = None
+    if initial is not None:
+        typed = [F.col(k).cast(tokens.schema[k].dataType).alias(k) for k in keys]
+        start = initial.select(*typed, F.col(out_col).cast("bigint").alias(out_col)).select("*", salt).groupBy(keys[0], "_salt")
     return rows.groupBy(keys[0], "_salt").transformWithStateInPandas(
-        RunningCountProcessor(rest, order_cols, out_col), schema, "Append", "None"
+        processor, schema, "Append", "EventTime" if expiry else "None", initialState=start
     )
 
 
+class TickProcessor(StatefulProcessor):
+    """One snapshot per tick from closed ticks' sums: the day's running totals, idle ticks included.
+
+    State: the totals after the last emitted tick, and the closed ticks not yet emitted. An event
+    timer at the end of the next tick emits every tick that the watermark has passed. The
+    group sees one row per tick, whatever the number of records."""
+
+    def __init__(self, metrics: Sequence[str], period_ms: int):
+        self.metrics, self.period_ms = list(metrics), period_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "tick BIGINT, totals ARRAY<BIGINT>")
+        self.pending = handle.getListState("pending", "tick BIGINT, sums ARRAY<BIGINT>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(int(r[0]), [int(x) for x in r[1:]]) for pdf in rows for r in pdf[["tick_ms", *(f"m{k}" for k in range(len(self.metrics)))]].itertuples(index=False)]
+        if new:
+            self.pending.appendList(new)
+            if not list(self.handle.listTimers()):
+                self.handle.registerTimer(min(t for t, _ in new) + self.period_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import numpy as np
+        import pandas as pd
+
+        upto = timerValues.getCurrentWatermarkInMs() // self.period_ms * self.period_ms  # ends of passed ticks
+        waiting = [(int(t), list(sums)) for t, sums in self.pending.get()]
+        first = min((t for t, _ in waiting), default=0)
+        totals = [0] * len(self.metrics)
+        if self.last.exists():
+            last, totals = self.last.get()
+            first, totals = int(last) + self.period_ms, [int(x) for x in totals]
+        ticks = np.arange(first, upto, self.period_ms, dtype=np.int64)
+        sums = np.zeros((len(ticks), len(self.metrics)), np.int64)
+        for t, values in waiting:
+            if t < upto:
+                sums[(t - first) // self.period_ms] += values
+        if len(ticks):
+            day = ticks // 86_400_000
+            running = np.cumsum(sums, axis=0)
+            opens = np.concatenate(([True], day[1:] != day[:-1]))  # totals restart each day
+            before = np.where(opens[:, None], np.vstack((np.zeros((1, len(self.metrics)), np.int64), running[:-1])), 0)
+            running -= np.maximum.accumulate(before, axis=0)
+            if self.last.exists() and (first - self.period_ms) // 86_400_000 == day[0]:
+                running[day == day[0]] += np.array(totals, np.int64)
+            left = [(t, v) for t, v in waiting if t >= upto]
+            self.pending.put(left) if left else self.pending.clear()
+            self.last.update((int(ticks[-1]), [int(x) for x in running[-1]]))
+            yield pd.DataFrame({"tick_ms": np.repeat(ticks, len(self.metrics)), "metric": self.metrics * len(ticks), "total": running.ravel()})
+        self.handle.registerTimer(max(upto, first) + self.period_ms)
+
+    def close(self) -> None:
+        pass
+
+
+def tick_totals(events: DataFrame, sec_col: str, metric_col: str, metrics: Sequence[str], period_s: int = fixed.SNAPSHOT_PERIOD_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """Streaming snapshots (tick_ms, day, metric, total), one per tick and metric as the watermark
+    passes the tick, idle ticks included (``append`` mode): the batch ``snapshot`` as a job that
+    ticks by itself. The records are first summed per tick in Spark's own windowed aggregate; a
+    timer then walks the closed ticks. Rows without a time are left out. Needs RocksDB state."""
+    timed = events.where(F.col(sec_col).isNotNull()).select(seconds_to_timestamp(sec_col).alias("_at"), F.col(metric_col).alias("_metric"))
+    sums = [F.count(F.when(F.col("_metric") == m, 1)).alias(f"m{k}") for k, m in enumerate(metrics)]
+    per_tick = timed.withWatermark("_at", delay).groupBy(F.window("_at", f"{period_s} seconds")).agg(*sums)
+    rows = per_tick.select(F.window_time("window").alias("_closed"), (F.unix_micros("window.start") / 1000).cast("bigint").alias("tick_ms"), *(f"m{k}" for k in range(len(metrics))), F.lit(0).alias("job"))
+    out = rows.groupBy("job").transformWithStateInPandas(TickProcessor(metrics, period_s * 1000), "tick_ms BIGINT, metric STRING, total BIGINT", "Append", "EventTime")
+    return out.select("tick_ms", day_of_ms("tick_ms").alias("day"), "metric", "total")
+
+
+def two_level_hot_words(tokens: DataFrame, arrival_col: str = "arrival_sec", watermark: str = "10 minutes", threshold: int = fixed.HOT_WORD_THRESHOLD, width_s: int = fixed.BUCKET_SECONDS) -> DataFrame:
+    """Two stateful aggregates in one query (``append`` mode): counts per arrival window of which
+    those at the threshold go on, summed per (day, bucket, word). A day comes out when the
+    watermark has passed it; the state of closed windows and days is released."""
+    counts = windowed_counts(tokens, arrival_col, watermark, width_s).where(F.col("cnt") >= threshold)
+    daily = counts.groupBy(F.window(F.window_time("window"), "1 day").alias("window"), "bucket_ms", "word").agg(F.sum("cnt").alias("cnt"))
+    start_ms = (F.unix_micros("window.start") / 1000).cast("bigint")
+    return daily.select(day_of_ms(start_ms).alias("day"), "bucket_ms", "word", "cnt")
+
+
 class ElapsedResetProcessor(StatefulProcessor):
     """Greedy elapsed-interval resets in arrival order: a key's first row resets, then the first
     row at least ``interval_s`` after the key's last reset. One value state per key: the second
