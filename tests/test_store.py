@@ -11,57 +11,41 @@ def _sums(store, table="hot"):
     return {(r.day, r.word): r["count"] for r in store.accumulated(table, ["word"], "count").collect()}
 
 
-def test_replay_after_compaction_two_streams_and_a_late_batch(spark, tmp_dir):
+def test_replays_and_two_streams(spark, tmp_dir):
     store = TableStore(spark, tmp_dir)
     batch = lambda day, n: spark.createDataFrame([(day, "w", n)], HOT)
     store.accumulate(batch("d1", 3), "hot", ["word"], "count", 0)
     store.accumulate(batch("d1", 10), "hot", ["word"], "count", 0, stream="second")
     assert _sums(store) == {("d1", "w"): 13}
-    store.compact("hot", ["word"], "count")
-    store.accumulate(batch("d1", 3), "hot", ["word"], "count", 0)  # replay of a folded batch
-    store.accumulate(batch("d1", 10), "hot", ["word"], "count", 0, stream="second")
+    store.accumulate(batch("d1", 3), "hot", ["word"], "count", 0)
     store.accumulate(batch("d2", 5), "hot", ["word"], "count", 1)
     store.accumulate(batch("d2", 5), "hot", ["word"], "count", 1)
     assert _sums(store) == {("d1", "w"): 13, ("d2", "w"): 5}
-    store.compact("hot", ["word"], "count")
-    store.compact("hot", ["word"], "count")
-    assert _sums(store) == {("d1", "w"): 13, ("d2", "w"): 5}
-    assert [r.day for r in store.list_days("hot").collect()] == ["d1", "d2"]
-
-
-def test_update_and_delete_on_an_accumulate_table(spark, tmp_dir):
-    store = TableStore(spark, tmp_dir)
-    store.accumulate(spark.createDataFrame([("d1", "w", 3), ("d2", "v", 4)], HOT), "hot", ["word"], "count", 0)
-    store.update("hot", F.col("word") == "w", {"count": 100})
-    store.accumulate(spark.createDataFrame([("d1", "w", 1)], HOT), "hot", ["word"], "count", 1)
-    assert _sums(store) == {("d1", "w"): 101, ("d2", "v"): 4}
-    store.delete("hot", F.col("word") == "v")
-    assert _sums(store) == {("d1", "w"): 101}
+    assert sorted(r.day for r in store.list_days("hot").collect()) == ["d1", "d2"]
+    with pytest.raises(ValueError):
+        store.delete("hot", F.col("word") == "w")
 
 
-def test_a_batch_that_lands_during_compaction_is_kept(spark, tmp_dir):
+def test_tables_are_listed_by_pattern(spark, tmp_dir):
     store = TableStore(spark, tmp_dir)
-    store.accumulate(spark.createDataFrame([("d1", "w", 3)], HOT), "hot", ["word"], "count", 0)
-
-    def land_meanwhile(rows):
-        store.accumulate(spark.createDataFrame([("d1", "w", 4)], HOT), "hot", ["word"], "count", 1)
-        return rows
+    for name in ("hot_word_1", "hot_word_2", "other"):
+        store.ensure_table(name, HOT)
+    assert store.list_tables("hot_word*") == ["hot_word_1", "hot_word_2"] and store.exists("other") and not store.exists("none")
 
-    store._new_base("hot", land_meanwhile)
-    assert _sums(store) == {("d1", "w"): 7}
 
-
-def test_two_commits_from_one_state_do_not_both_hold(spark, tmp_dir):
+def test_rewrites_of_listed_days_leave_the_others(spark, tmp_dir):
     store = TableStore(spark, tmp_dir)
-    store.accumulate(spark.createDataFrame([("d1", "w", 3)], HOT), "hot", ["word"], "count", 0)
-    meta = store._meta("hot")
-    store.compact("hot", ["word"], "count")
-    with pytest.raises(RuntimeError):
-        store._commit("hot", meta)
+    store.append(spark.createDataFrame([("d1", "w", 3), ("d1", "v", 1), ("d2", "w", 4)], HOT), "hot")
+    store.update("hot", F.col("word") == "w", {"count": 9}, days=["d1"])
+    assert {tuple(r) for r in store.read("hot").select("day", "word", "count").collect()} == {("d1", "w", 9), ("d1", "v", 1), ("d2", "w", 4)}
+    store.delete("hot", F.lit(True), days=["d1"])
+    assert [r.day for r in store.list_days("hot").collect()] == ["d2"]
+    store.delete("hot", F.col("word") == "w")
+    assert store.read("hot").count() == 0 and store.read("hot").columns == ["word", "count", "day"]
 
 
 def test_upsert_by_the_callers_key_over_days(spark, tmp_dir):
-    store = TableStore(spark, tmp_dir, buckets=4)
+    store = TableStore(spark, tmp_dir)
     schema = "id STRING, data STRING, seq BIGINT, day STRING"
     store.replace(spark.createDataFrame([("a", "1", 1, "d1"), ("b", "1", 1, "d1")], schema), "raw", ["id"], "seq")
     store.replace(spark.createDataFrame([("a", "2", 2, "d2"), ("b", "0", 0, "d9"), (None, "n", 1, "d1")], schema), "raw", ["id"], "seq")
@@ -79,17 +63,17 @@ def test_upsert_by_id_on_an_appended_day_table(spark, tmp_dir):
     store.append(spark.createDataFrame([("a", 1, "d1"), ("b", 1, "d1"), ("c", 1, "d2")], schema), "t")
     store.replace(spark.createDataFrame([("a", 2, "d3"), ("c", 2, "d3")], schema), "t", ["id"], "seq")
     assert {(r.id, r.day) for r in store.read("t").collect()} == {("a", "d3"), ("b", "d1"), ("c", "d3")}
-    assert [r.day for r in store.list_days("t").collect()] == ["d1", "d3"]
+    assert sorted(r.day for r in store.list_days("t").collect()) == ["d1", "d3"]
     store.delete_one("t", F.col("day") == "d3", "id")
     assert {r.id for r in store.read("t").collect()} == {"b", "c"}
 
 
 def test_an_empty_table_reads_and_keeps_its_schema(spark, tmp_dir):
     store = TableStore(spark, tmp_dir)
-    store.ensure_table("hot", HOT)
-    assert store.read("hot").count() == 0 and store.read("hot").columns == ["day", "word", "count"]
+    store.ensure_table("hot", HOT, accumulate=True)
+    store.ensure_table("hot", HOT, accumulate=True)
+    assert store.read("hot").count() == 0 and set(store.read("hot").columns) == {"day", "word", "count", "stream", "batch_id"}
     store.accumulate(spark.createDataFrame([("d1", "w", 3)], HOT), "hot", ["word"], "count", 0)
-    store.compact("hot", ["word"], "count")
     assert store.exists("hot") and _sums(store) == {("d1", "w"): 3}
     with pytest.raises(ValueError):
         store.read("none")

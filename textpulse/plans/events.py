@@ -147,25 +147,15 @@ def _day(col: str = "ts") -> Column:
 
 
 def q_store_accumulate_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts per (day, event type) accumulated through the table store by two streams of three
-    micro-batches each, with every batch replayed, compactions in between and replays of folded
-    batches."""
+    """Counts per (day, event type) accumulated by two streams of three micro-batches each; every
+    batch of one stream is replayed."""
     ev = _events(spark, sf_dir, ["event_id", "ts", "user_id", "event_type"]).where("ts is not null")
     store = TableStore(spark, scratch_path(spark, "store-accumulate"))
     parts = ev.select(_day().alias("day"), F.col("event_type"), F.pmod("user_id", F.lit(2)).alias("s"), F.pmod("event_id", F.lit(3)).alias("b"))
     deltas = materialize(parts.groupBy("s", "b", "day", "event_type").agg(F.count(F.lit(1)).alias("cnt")))
-
-    def batch(number: int) -> None:
-        for s in (0, 1):
-            rows = deltas.where((F.col("b") == number) & (F.coalesce("s", F.lit(0)) == s))
-            store.accumulate(rows, "counts", ["event_type"], "cnt", number, stream=f"stream{s}")
-
-    for number in range(3):
-        batch(number)
-        batch(number)
-        if number < 2:
-            store.compact("counts", ["event_type"], "cnt")
-            batch(number)
+    for s, number, _ in [(s, b, k) for s in (0, 1) for b in range(3) for k in range(2 - s)]:
+        rows = deltas.where((F.col("b") == number) & (F.coalesce("s", F.lit(0)) == s))
+        store.accumulate(rows, "counts", ["event_type"], "cnt", number, stream=f"stream{s}")
     return store.accumulated("counts", ["event_type"], "cnt").select("day", "event_type", "cnt")
 
 
@@ -174,7 +164,7 @@ def q_store_upsert_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     of order; an id has documents on several days, and the newest one stays."""
     ev = read_table(spark, sf_dir, "events", ["event_id", "user_id", "props", "ts"])
     docs = ev.select(F.col("user_id").cast("string").alias("id"), F.col("props").alias("data"), F.col("event_id").alias("seq"), _day().alias("day"))
-    store = TableStore(spark, scratch_path(spark, "store-upsert"), buckets=8)
+    store = TableStore(spark, scratch_path(spark, "store-upsert"))
     for number in (2, 0, 1):
         store.replace(docs.where(F.pmod("seq", F.lit(3)) == number), "raw", ["id"], "seq")
     return store.read("raw").select("id", "data", "seq", "day")
@@ -198,7 +188,7 @@ def q_store_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document table in the store: insert, set a field of many and of one, delete many and one,
     then find the documents whose field is set."""
     ev = read_table(spark, sf_dir, "events", ["event_id", "event_type", "props", "ts"])
-    store = TableStore(spark, scratch_path(spark, "store-documents"), buckets=8)
+    store = TableStore(spark, scratch_path(spark, "store-documents"))
     docs = ev.select("event_id", "event_type", F.col("props").alias("data"), F.coalesce(_day(), F.lit("none")).alias("day"))
     store.replace(docs, "docs", ["event_id"], "event_id")
     store.update("docs", F.col("event_type") == "error", {"data": set_json_field("data", "flag", True)})

@@ -201,19 +201,19 @@ def _by_time(df: DataFrame, sec_col: str, steps: int, closing: tuple) -> Iterato
 
 def q_stream_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hot words per arrival window, summed per day by a second stateful aggregate of the same
-    query; four steps by arrival, then a row three days later that closes the last day."""
+    query; three steps by arrival, then a row three days later that closes the last day."""
     toks = prepare_tokens(prepare_messages(read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])))
-    steps = _by_time(toks.select("bucket_ms", "word", "arrival_sec"), "arrival_sec", 4, (0, "~"))
+    steps = _by_time(toks.select("bucket_ms", "word", "arrival_sec"), "arrival_sec", 3, (0, "~"))
     return _in_steps(steps, two_level_hot_words, "two-level").select("day", "bucket_ms", "word", "cnt")
 
 
 def q_stream_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The day's totals of every event type at every tick up to the last event, written by timers
-    of a running job; four steps by time, then a row that closes the last tick."""
+    of a running job; three steps by time, then a row that closes the last tick."""
     events = event_seconds(read_table(spark, sf_dir, "events", ["ts", "event_type"])).select("event_type", "sec").where("sec is not null")
     types = metric_names(events, "event_type")
     last = (events.agg(F.max("sec")).first()[0] or 0) * 1000
-    done = _in_steps(_by_time(events, "sec", 4, (None,)), lambda rows: tick_totals(rows, "sec", "event_type", types), "ticks")
+    done = _in_steps(_by_time(events, "sec", 3, (None,)), lambda rows: tick_totals(rows, "sec", "event_type", types), "ticks")
     return done.where(F.col("tick_ms") <= last).select("tick_ms", "day", "metric", "total")
 
 

@@ -1,29 +1,20 @@
-"""Parquet result tables with append, idempotent accumulate, replace, update and delete — the
-result-table and document-store operations, as set-at-a-time Spark writes.
+"""Result tables and the document store as plain Spark tables, partitioned by day.
 
-The root must be shared storage on a cluster. A table has one of three layouts, recorded with its
-schema in ``<table>/_meta/<number>`` (the highest number holds; a new one is written aside and
-renamed into place, so a reader sees the old or the new state, never half of one):
+Tables live in the session's catalog (a metastore on a cluster), in a database whose location is
+the store's root. All operations are set-at-a-time Spark writes:
 
-* day tables, ``day=<yyyyMMdd>/``: appends, and rewrites of the day partitions they touch;
-* key tables, ``key_bucket=<n>/``: upserts by a key that need not hold the day. Rows lie by the
-  key's hash, so one key is in one partition whatever its days, and an upsert rewrites only the
-  buckets of its incoming keys;
-* accumulate tables, ``base-<n>/day=…`` and ``deltas/day=…/stream=…/batch_id=…``: each
-  micro-batch writes its pre-aggregated deltas under its own stream and batch id, so a replay
-  replaces its own output and streams never meet. A compaction folds the batches that it saw into
-  a new base and commits, with the base's name, the highest folded batch of every stream; replays
-  at or below that are ignored, and a batch that lands meanwhile is above it and stays.
-
-Partitions are always replaced by dynamic overwrite, from checkpointed rows: a write never reads
-the files it replaces, and a crash never leaves an emptied table.
+* appends, and ``accumulate``: each micro-batch writes its sums under (day, stream, batch_id)
+  with dynamic partition overwrite, so a replay replaces its own rows and streams never meet;
+  reading sums them;
+* rewrites of listed days: dynamic partition overwrite from checkpointed rows;
+* rewrites of a whole table (upserts whose key does not hold the day, updates, deletes): one query
+  into a new table, from which the old one is then overwritten.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,90 +24,41 @@ from textpulse.functions.json import json_field
 from textpulse.operators.upsert import delete_first, delete_where, update_first, update_where, upsert_replace
 from textpulse.session import materialize
 
-DYNAMIC = {"partitionOverwriteMode": "dynamic"}
-BUCKET = "key_bucket"
+BATCH = ["stream", "batch_id"]
 
 
 class TableStore:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.root = root.rstrip("/")
-        self.buckets = buckets
-
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
-
-    # ---- file system and metadata --------------------------------------------------------
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _names(self, path: str) -> list[str]:
-        fs, p = self._fs(path)
-        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        self.database = f"store_{hashlib.sha256(root.encode()).hexdigest()[:12]}"
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION '{root}'")
 
-    def _meta(self, table: str) -> dict | None:
-        done = [int(n) for n in self._names(f"{self.path(table)}/_meta") if n.isdigit()]
-        if not done:
-            return None
-        row = self.spark.read.text(f"{self.path(table)}/_meta/{max(done)}").first()
-        return json.loads(row.value) | {"number": max(done)}
-
-    def _commit(self, table: str, meta: dict) -> None:
-        """Write the next state aside and rename it into place; fails if another writer was first."""
-        number = meta.get("number", -1) + 1
-        aside = f"{self.path(table)}/_meta/_new-{uuid.uuid4().hex[:12]}"
-        state = {k: v for k, v in meta.items() if k != "number"}
-        self.spark.createDataFrame([(json.dumps(state),)], "v STRING").coalesce(1).write.text(aside)
-        fs, source = self._fs(aside)
-        _, target = self._fs(f"{self.path(table)}/_meta/{number}")
-        if fs.exists(target) or not fs.rename(source, target):
-            raise RuntimeError(f"another writer changed table {table}")
-
-    def _created(self, table: str, schema: T.StructType, kind: str, **more) -> dict:
-        meta = self._meta(table)
-        if meta is None or meta["kind"] is None:
-            meta = {"number": -1} | (meta or {}) | {"schema": schema.json() if meta is None else meta["schema"], "kind": kind} | more
-            self._commit(table, meta)
-            meta = self._meta(table)
-        return meta
+    def name(self, table: str) -> str:
+        return f"{self.database}.`{table}`"
 
     # ---- create / read ------------------------------------------------------------------
-    def ensure_table(self, table: str, schema: str | T.StructType) -> None:
-        """Create an empty table with this schema if none exists; its first write sets the layout."""
-        if not self.exists(table):
-            schema = self.spark.createDataFrame([], schema).schema
-            self._commit(table, {"schema": schema.json(), "kind": None})
+    def ensure_table(self, table: str, schema: str | T.StructType, accumulate: bool = False) -> None:
+        """Create an empty table if none exists; ``accumulate``: for sums by stream and batch."""
+        fields = self.spark.createDataFrame([], schema).schema.fields
+        columns = [f for f in fields if f.name != "day"] + [T.StructField("day", T.StringType())]
+        if accumulate:
+            columns += [T.StructField("stream", T.StringType()), T.StructField("batch_id", T.LongType())]
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
+        parts = ", ".join(["day", *BATCH] if accumulate else ["day"])
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({ddl}) USING parquet PARTITIONED BY ({parts})")
 
     def exists(self, table: str) -> bool:
-        return self._meta(table) is not None
+        return self.spark.catalog.tableExists(self.name(table))
 
-    def _load(self, path: str, fields: Sequence[T.StructField]) -> DataFrame:
-        schema = T.StructType(list(fields))
-        if not any(n.partition("=")[1] for n in self._names(path)):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+    def list_tables(self, pattern: str = "*") -> list[str]:
+        """Names of the tables that match a pattern (``hot_word*``)."""
+        return sorted(t.name for t in self.spark.catalog.listTables(self.database, pattern))
 
     def read(self, table: str) -> DataFrame:
-        """The table's rows; ``day`` is its ``yyyyMMdd`` string, and filters on it prune partitions
-        of day tables. An accumulate table gives its folded rows (batch_id -1) and the batches that
-        are not folded yet."""
-        meta = self._meta(table)
-        if meta is None:
+        """The table's rows; filters on ``day`` (a ``yyyyMMdd`` string) prune partitions."""
+        if not self.exists(table):
             raise ValueError(f"no table {table}")
-        fields = T.StructType.fromJson(json.loads(meta["schema"])).fields
-        names = [f.name for f in fields]
-        fields = [T.StructField(f.name, T.StringType()) if f.name == "day" else f for f in fields]
-        if meta["kind"] == "key":
-            return self._load(self.path(table), [*fields, T.StructField(BUCKET, T.IntegerType())]).select(*names)
-        if meta["kind"] != "accumulate":
-            return self._load(self.path(table), fields)
-        batch = [T.StructField("stream", T.StringType()), T.StructField("batch_id", T.LongType())]
-        deltas = self._load(f"{self.path(table)}/deltas", [*fields, *batch])
-        for stream, folded in meta["folded"].items():
-            deltas = deltas.where(~((F.col("stream") == stream) & (F.col("batch_id") <= folded)))
-        base = self._load(f"{self.path(table)}/{meta['base']}", fields)
-        return base.select(*names, F.lit("").alias("stream"), F.lit(-1).cast("bigint").alias("batch_id")).unionByName(deltas)
+        return self.spark.table(self.name(table))
 
     def scan(self, table: str, columns: Sequence[str] | None = None, where: Column | str | None = None,
              order_by: Sequence[Column | str] | None = None, limit: int | None = None) -> DataFrame:
@@ -138,123 +80,86 @@ class TableStore:
         return self.read(table).where(json_field(doc_col, field) == F.lit(str(value)))
 
     def list_days(self, table: str) -> DataFrame:
-        """The days of a table, from its partition folders; only key tables are scanned for them."""
-        meta = self._meta(table)
-        if meta is not None and meta["kind"] == "key":
-            return self.read(table).select("day").distinct()
-        parts = [self.path(table)]
-        if meta is not None and meta["kind"] == "accumulate":
-            parts = [f"{self.path(table)}/deltas", f"{self.path(table)}/{meta['base']}"]
-        days = {n[4:] for p in parts for n in self._names(p) if n.startswith("day=")}
-        return self.spark.createDataFrame([(d,) for d in sorted(days)], "day STRING")
+        """The days of a table, from the catalog's partitions: no data is read."""
+        parts = self.spark.sql(f"SHOW PARTITIONS {self.name(table)}")
+        return parts.select(F.regexp_extract("partition", "(?:^|/)day=([^/]*)", 1).alias("day")).distinct()
 
     # ---- writes -------------------------------------------------------------------------
+    def _insert(self, df: DataFrame, table: str, overwrite: str | None = None) -> None:
+        """Insert rows. ``overwrite``: ``dynamic`` replaces the partitions that the rows are in and no
+        others, ``static`` the whole table."""
+        mode = "spark.sql.sources.partitionOverwriteMode"
+        conf = df.sparkSession.conf  # a micro-batch has a session of its own
+        before = conf.get(mode)
+        conf.set(mode, overwrite or before)
+        try:
+            df.select(*self.read(table).columns).write.insertInto(self.name(table), overwrite=overwrite is not None)
+        finally:
+            conf.set(mode, before)
+
     def append(self, df: DataFrame, table: str) -> None:
-        meta = self._created(table, df.schema, "day")
-        if meta["kind"] != "day":
-            raise ValueError(f"{table} is not a day table")
-        df.write.mode("append").partitionBy("day").parquet(self.path(table))
+        """Append rows; equal rows are kept."""
+        self.ensure_table(table, df.schema)
+        self._insert(df, table)
 
     def accumulate(self, deltas: DataFrame, table: str, keys: Sequence[str], value: str, batch_id: int,
                    stream: str = "default") -> None:
         """Add ``deltas`` (summed per key here) as batch ``batch_id`` of ``stream``.
 
-        Idempotent per stream and batch: a replay overwrites its own partition, and one that was
-        folded by a compaction is ignored. Streams (or restarts from a new checkpoint) with
-        names of their own never overwrite each other."""
+        Idempotent per stream and batch: a replay overwrites its own partitions. Streams (or
+        restarts from a new checkpoint) with names of their own never overwrite each other. A
+        replay must hold the days that the batch had, as a micro-batch's replay does."""
         keys = [k for k in keys if k != "day"]
-        agg = deltas.groupBy("day", *keys).agg(F.sum(value).alias(value))
-        meta = self._created(table, agg.schema, "accumulate", keys=keys, value=value, base="base-0", folded={})
-        if meta["kind"] != "accumulate":
-            raise ValueError(f"{table} is not an accumulate table")
-        if int(batch_id) <= meta["folded"].get(stream, -1):
-            return
-        rows = agg.withColumn("stream", F.lit(stream)).withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
-        rows.write.mode("overwrite").options(**DYNAMIC).partitionBy("day", "stream", "batch_id").parquet(f"{self.path(table)}/deltas")
+        sums = deltas.groupBy("day", *keys).agg(F.sum(value).alias(value))
+        self.ensure_table(table, sums.schema, accumulate=True)
+        self._insert(sums.withColumn("stream", F.lit(stream)).withColumn("batch_id", F.lit(int(batch_id)).cast("bigint")), table, "dynamic")
 
     def accumulated(self, table: str, keys: Sequence[str], value: str) -> DataFrame:
-        """Merge-on-read view of an accumulate table: value summed over batches per key."""
+        """The sums of an accumulate table: value added up over streams and batches per key."""
         keys = [k for k in keys if k != "day"]
         return self.read(table).groupBy("day", *keys).agg(F.sum(value).alias(value))
 
-    def compact(self, table: str, keys: Sequence[str], value: str) -> None:
-        """Fold the batches present now into a new base; later ones and replays stay right."""
-        self._new_base(table, lambda rows: rows)
-
-    def _new_base(self, table: str, change) -> None:
-        meta = self._meta(table)
-        keys, value = meta["keys"], meta["value"]
-        rows = materialize(self.read(table))
-        seen = {r.stream: r.last for r in rows.where("batch_id >= 0").groupBy("stream").agg(F.max("batch_id").alias("last")).collect()}
-        merged = change(rows.groupBy("day", *keys).agg(F.sum(value).alias(value)))
-        base = f"base-{uuid.uuid4().hex[:12]}"
-        merged.write.partitionBy("day").parquet(f"{self.path(table)}/{base}")
-        self._commit(table, meta | {"base": base, "folded": meta["folded"] | seen})
-
-    def _rewrite(self, table: str, rows: DataFrame, by: str, touched: Sequence) -> None:
-        """Replace the ``touched`` partitions by ``rows``; one that gets no rows is removed."""
+    def _rewrite_days(self, table: str, rows: DataFrame, days: Sequence[str]) -> None:
+        """Replace the listed days by ``rows``; one that gets no rows goes."""
         rows = materialize(rows)
-        rows.write.mode("overwrite").options(**DYNAMIC).partitionBy(by).parquet(self.path(table))
-        left = {str(r[0]) for r in rows.select(by).distinct().collect()}  # at most one row per partition
-        for value in {str(t) for t in touched} - left:
-            fs, p = self._fs(f"{self.path(table)}/{by}={value}")
-            fs.delete(p, True)
-
-    def _bucket(self, keys: Sequence[str], buckets: int) -> Column:
-        return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        self._insert(rows, table, "dynamic")
+        left = {r.day for r in rows.select("day").distinct().collect()}  # at most one row per day
+        for day in set(days) - left:
+            self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION (day = '{day}')")
+
+    def _rewrite(self, table: str, rows: DataFrame) -> None:
+        """Write ``rows``, made from the table, to a new table and the table from that one; until the
+        end the new table holds all rows, should the driver be lost."""
+        new = f"{table}__new"
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name(new)}")
+        rows.select(*self.read(table).columns).write.partitionBy("day").saveAsTable(self.name(new), format="parquet")
+        self._insert(self.read(new), table, "static")
+        self.spark.sql(f"DROP TABLE {self.name(new)}")
 
     def replace(self, incoming: DataFrame, table: str, keys: Sequence[str], seq: str, keep: str = "last") -> None:
         """Upsert-replace: per key keep the last (or first) row by ``seq`` across stored and
-        incoming rows. The key is exactly ``keys``.
-
-        A new table whose key does not hold ``day`` becomes a key table. A day table is rewritten
-        in the days of the incoming rows if its key holds ``day``, else in all its days."""
-        keys = list(keys)
-        meta = self._meta(table)
-        kind = meta and meta["kind"] or ("day" if "day" in keys else "key")
-        meta = self._created(table, incoming.schema, kind, keys=keys, buckets=self.buckets)
-        if kind == "accumulate":
-            raise ValueError(f"{table} is an accumulate table")
-        if kind == "key":
-            if sorted(keys) != sorted(meta["keys"]):
-                raise ValueError(f"{table} is keyed by {meta['keys']}")
-            bucket = self._bucket(meta["keys"], meta["buckets"])
-            new = incoming.withColumn(BUCKET, bucket)
-            touched = [r[0] for r in new.select(BUCKET).distinct().collect()]  # at most `buckets` rows
-            fields = [*T.StructType.fromJson(json.loads(meta["schema"])).fields, T.StructField(BUCKET, T.IntegerType())]
-            stored = self._load(self.path(table), fields).where(F.col(BUCKET).isin(touched))
-            self._rewrite(table, upsert_replace(new, [BUCKET, *keys], seq, existing=stored, keep=keep).select(*new.columns), BUCKET, touched)
+        incoming rows. If the key holds ``day``, only the days of the incoming rows are read and
+        rewritten, else the table."""
+        self.ensure_table(table, incoming.schema)
+        stored = self.read(table).select(*incoming.columns)
+        if "day" not in keys:
+            self._rewrite(table, upsert_replace(incoming, list(keys), seq, existing=stored, keep=keep))
             return
-        days = [r[0] for r in incoming.select("day").distinct().collect()]  # one row per day
-        stored = self.read(table)
-        if "day" in keys:
-            stored = stored.where(F.col("day").isin(days))
-        else:
-            days = sorted({*days, *(r.day for r in self.list_days(table).collect())})
-        merged = upsert_replace(incoming, keys, seq, existing=stored.select(*incoming.columns), keep=keep)
-        self._rewrite(table, merged.select(*incoming.columns), "day", days)
-
-    def _change(self, table: str, change, days: Sequence[str] | None) -> None:
-        """Rewrite the listed (or all) partitions through ``change``, in any layout."""
-        meta = self._meta(table)
-        if meta["kind"] == "accumulate":
-            self._new_base(table, lambda rows: change(rows) if days is None else rows.where(~F.col("day").isin(list(days))).unionByName(change(rows.where(F.col("day").isin(list(days))))))
-        elif meta["kind"] == "key":
-            rows = self.read(table)
-            if days is not None:
-                rows = rows.where(~F.col("day").isin(list(days))).unionByName(change(rows.where(F.col("day").isin(list(days)))))
-            else:
-                rows = change(rows)
-            new = rows.withColumn(BUCKET, self._bucket(meta["keys"], meta["buckets"]))
-            self._rewrite(table, new, BUCKET, range(meta["buckets"]))
+        days = [r.day for r in incoming.select("day").distinct().collect()]  # one row per day
+        self._rewrite_days(table, upsert_replace(incoming, list(keys), seq, existing=stored.where(F.col("day").isin(days)), keep=keep), days)
+
+    def _change(self, table: str, change: Callable[[DataFrame], DataFrame], days: Sequence[str] | None) -> None:
+        rows = self.read(table)
+        if set(BATCH) <= set(rows.columns):
+            raise ValueError(f"{table} is an accumulate table: write its sums to a table of their own first")
+        if days is None:
+            self._rewrite(table, change(rows))
         else:
-            touched = [r.day for r in self.list_days(table).collect()] if days is None else list(days)
-            self._rewrite(table, change(self.read(table).where(F.col("day").isin(touched))), "day", touched)
+            self._rewrite_days(table, change(rows.where(F.col("day").isin(list(days)))), days)
 
     def update(self, table: str, predicate: Column, assignments: Mapping[str, Column | object],
                days: Sequence[str] | None = None) -> None:
-        """Set columns on matching rows, rewriting only the listed (or all) partitions. On an
-        accumulate table the batches so far are folded, and the sums are what is updated."""
+        """Set columns on matching rows, rewriting only the listed days (or the table)."""
         self._change(table, lambda rows: update_where(rows, predicate, assignments), days)
 
     def update_one(self, table: str, predicate: Column, assignments: Mapping[str, Column | object], seq: str,
@@ -263,7 +168,7 @@ class TableStore:
         self._change(table, lambda rows: update_first(rows, predicate, assignments, seq), days)
 
     def delete(self, table: str, predicate: Column, days: Sequence[str] | None = None) -> None:
-        """Delete matching rows, rewriting only the listed (or all) partitions."""
+        """Delete matching rows, rewriting only the listed days (or the table)."""
         self._change(table, lambda rows: delete_where(rows, predicate), days)
 
     def delete_one(self, table: str, predicate: Column, seq: str, days: Sequence[str] | None = None) -> None:
