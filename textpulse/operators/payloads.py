@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from textpulse import fixed, schemas
 from textpulse.functions.json import set_json_field
 from textpulse.functions.text import crc32_of
+from textpulse.operators.html import PageField, Step, with_html_fields
 
 # Default extraction rules for page fields: name -> (regex, group). `(?s)` lets `.` span lines.
 PAGE_RULES: dict[str, tuple[str, int]] = {
@@ -29,7 +30,9 @@ SPAN_PATTERN = r"(?s)<span[^>]*>(.*?)</span>"
 
 #: A div of the class that marks a video page.
 VIDEO_DIV_PATTERN = r'(?s)<div\b[^>]*\bclass="(?:[^"]*\s)?r-con(?:\s[^"]*)?"'
-_TAG = r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>"
+# An opening without an end takes the rest of the page, so a broken page is not read again from
+# each of them; a "<" before anything but a name is text.
+_TAG = r"(?si)<(script|style)\b(?:.*?</\1\s*>|.*)|<!--(?:.*?-->|.*)|<(?=[a-z/!?])[^>]*(?:>|\z)"
 
 
 def page_text(html: Column) -> Column:
@@ -48,25 +51,22 @@ def page_triage(pages: DataFrame, deleted_marker: str = fixed.DELETED_MARKER,
     )
 
 
-def video_page_fields(pages: DataFrame, html_col: str = "html") -> DataFrame:
+_HEAD = (Step("div", id="viewbox_report"),)
+VIDEO_FIELDS: dict[str, PageField] = {
+    "author": PageField((Step("div", cls="r-con"), Step("a", attributes=(("report-id", "name"),)))),
+    "title": PageField((*_HEAD, Step(child=0))),
+    "time": PageField((*_HEAD, Step(child=1), Step("span")), places=(1, 0)),
+    "type": PageField((*_HEAD, Step(child=1), Step("a")), all=True),
+}
+
+
+def video_page_fields(pages: DataFrame, html_col: str = "html", unescape: bool = False) -> DataFrame:
     """Fields of a video page: ``author`` from the link named ``report-id="name"`` inside the video
     div; ``title`` from the first child of the head block (``id="viewbox_report"``), ``type`` from
     the links and ``time`` from the second, else the first, span of its second child. A field
-    that is not found is empty."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    block = F.regexp_extract(html, VIDEO_DIV_PATTERN + r"[^>]*>(.*)", 1)
-    author = F.regexp_extract(block, r'(?s)<a\b[^>]*\breport-id="name"[^>]*>(.*?)</a>', 1)
-    head = F.regexp_extract(html, r'(?s)<div\b[^>]*\bid="viewbox_report"[^>]*>(.*)', 1)
-    children = r"(?s)^\s*<(\w+)\b[^>]*>(.*?)</\1>\s*<(\w+)\b[^>]*>(.*?)</\3>"
-    title = F.regexp_extract(head, r"(?s)^\s*<(\w+)\b[^>]*>(.*?)</\1>", 2)
-    second = F.regexp_extract(head, children, 4)
-    spans = F.regexp_extract_all(second, F.lit(SPAN_PATTERN), 1)
-    time = F.coalesce(F.get(spans, F.lit(1)), F.get(spans, F.lit(0)), F.lit(""))
-    links = F.regexp_extract_all(second, F.lit(r"(?s)<a\b[^>]*>(.*?)</a>"), 1)
-    return pages.withColumns({
-        "author": page_text(author), "title": page_text(title), "time": page_text(time),
-        "type": F.transform(links, page_text),
-    })
+    that is not found is empty. The page's tags are walked, so elements may be nested.
+    ``unescape`` resolves character references (as a browser's text does)."""
+    return with_html_fields(pages, VIDEO_FIELDS, html_col, unescape=unescape)
 
 
 def page_fields(pages: DataFrame, rules: Mapping[str, tuple[str, int]] | None = None,
