@@ -73,3 +73,17 @@ def test_ids_column(frame, library):
 def test_unsupported_tokenizer_is_refused():
     with pytest.raises(ValueError):
         load_bpe(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_states_are_bounded_inside_one_word(monkeypatch):
+    from textpulse.llm import token_counts as module
+
+    rng = random.Random(11)
+    bpe = load_bpe(PATH).compile()
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))
+    free = module.CountTransducer(bpe)
+    want = free.count(word)
+    monkeypatch.setattr(module, "MAX_STATES", 5000)
+    bounded = module.CountTransducer(bpe)
+    assert bounded.count(word) == want == len(Tokenizer.from_file(PATH).encode(word, add_special_tokens=False).ids)
+    assert len(bounded.states) <= 5002 < len(free.states)

@@ -2,7 +2,9 @@ import itertools
 import math
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from textpulse.llm.queries import ALLOW, BLOCK
@@ -128,3 +130,35 @@ def test_more_distinct_tokens_than_fit_in_a_list(spark):
     data = [(f"http://good.com/{x}", True) for x in names] * 14 + [("http://spam.net/zz", True)] * 13 + [("http://good.com/clean", False)] * 60000
     got = {tuple(r.tokens) for r in mine_rules(spark.createDataFrame(data, "url string, bad boolean").repartition(3)).collect()}
     assert ("host:spam.net",) in got and ("path:zz",) in got and ("path:aaa",) in got and len([t for t in got if t[0].startswith("path:")]) == 2101
+
+
+@pytest.mark.parametrize("copies", [5, 5000])
+def test_many_tokens_of_the_same_pages(spark, copies):
+    long = "http://bad.example.net/" + "/".join(f"seg{k}x" for k in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQR")
+    data = [(long, True)] * copies + [(f"http://good{k % 7}.com/en/{k}", False) for k in range(60 + 4 * copies)]
+    table = spark.createDataFrame(data, "url string, bad boolean").repartition(3)
+    start = time.perf_counter()
+    got = {tuple(r.tokens): r.confidence for r in mine_rules(table).collect()}
+    assert time.perf_counter() - start < 30
+    assert ("host:bad.example.net",) in got and ("path:segax",) in got and all(len(t) == 1 and c == 1.0 for t, c in got.items()) and len(got) >= 40
+
+
+def test_classes_of_tokens_are_spread_again(spark):
+    data = [("http://x.org/a/b?c=1", True)] * 30 + [("http://x.org/a/b", False)] * 40 + [("http://y.org/z?c=1", False)] * 40
+    table = spark.createDataFrame(data, "url string, bad boolean").repartition(2)
+    got = {tuple(r.tokens) for r in mine_rules(table).collect()}
+    assert got == {("host:x.org", "query:c"), ("path:a", "query:c"), ("path:b", "query:c")}
+    matched = {r.url for r in match_rules(spark.createDataFrame([("http://x.org/?c=2",), ("http://q.org/b?c",), ("http://q.org/b",)], "url string"), mine_rules(table)).collect()}
+    assert matched == {"http://x.org/?c=2", "http://q.org/b?c"}
+
+
+def test_registered_query_blocks_by_a_mined_rule(spark, tmp_path):
+    from textpulse.llm.queries import op1_url_rules
+
+    urls = [f"http://spam.example.net/win/{k}" for k in range(40)] + [f"http://good{k % 5}.net/en/{k}" for k in range(200)]
+    spark.createDataFrame([(k, u, "") for k, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    labels = [(k, 1, int(k < 30)) for k in range(220) if not 30 <= k < 40]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: r for r in op1_url_rules(spark, str(tmp_path)).collect()}
+    assert all(got[k].verdict == "block" and got[k].rule is None for k in range(40))  # unlabelled ones too
+    assert all(got[k].verdict == "allow" for k in range(40, 240))

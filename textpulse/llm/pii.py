@@ -16,8 +16,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +94,7 @@ _LOOSE = {
     "card": re.compile(r"(?<![0-9A-Za-z])[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}(?![0-9A-Za-z])"),
     "ssn": re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
-    "secret": re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,512}={0,2}(?![A-Za-z0-9_+/=-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}(?![A-Za-z0-9_+/=-])"),
 }
 _WORD = re.compile(r"[A-Za-z]+")
 #: Gazetteers of words that stand near each kind.
@@ -105,6 +107,8 @@ NEAR = {
     "ssn": frozenset("ssn social security number".split()),
     "iban": frozenset("iban account bank konto cuenta compte".split()),
 }
+#: How issued keys begin.
+KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_live_", "pk_live_", "xoxb-", "xoxp-", "AIza", "ya29", "eyJ", "npm_", "hf_")
 AROUND = 32
 
 
@@ -124,8 +128,9 @@ def votes_on(kind: str, text: str, a: int, b: int) -> tuple[int, ...]:
     span = text[a:b]
     digits = sum(c.isdigit() for c in span)
     if kind == "secret":
-        shape = 1 if re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}", span) else -1 if not digits or span.isdigit() else 0
-        charset = 1 if _entropy(span) >= 3.3 and digits else -1
+        shape = 1 if span.startswith(KEY_STARTS) or re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}", span) else -1 if not digits or span.isdigit() else 0
+        entropy = _entropy(span)
+        charset = 1 if entropy >= 3.3 and digits else 0 if entropy >= 2.5 and digits else -1
     elif kind == "card":
         shape = 1 if luhn("".join(c for c in span if c.isdigit())) else -1
         charset = 1 if 13 <= digits <= 19 else -1
@@ -161,6 +166,7 @@ def spans_of(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[dict]]:
     """(base spans, all spans with votes and features); candidates never overlap base spans."""
     base = base_spans(text)
     taken = sorted(s for spans in base.values() for s in spans)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     out = [(kind, a, b, True) for kind in BASE for a, b in base[kind]]
     for kind, pattern in _LOOSE.items():
         if kind != "email" and not _DIGIT.search(text):
@@ -169,7 +175,8 @@ def spans_of(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[dict]]:
             a, b = m.span()
             if kind == "secret" and not (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])):
                 continue
-            if not any(x < b and a < y for x, y in taken):
+            before = bisect_left(starts, b)  # base spans that begin before the candidate's end
+            if not before or reach[before - 1] <= a:
                 out.append((kind, a, b, False))
     return base, [{"kind": k, "a": a, "b": b, "base": is_base, "votes": ",".join(map(str, votes_on(k, text, a, b))), "features": features_of(k, text, a, b)} for k, a, b, is_base in out]
 

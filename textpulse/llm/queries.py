@@ -31,7 +31,11 @@ BLOCK = ("example.org/es/", "example.org/en/1", "com/de/")
 
 
 def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on every page's url: explicit rules, else rules mined from the labelled pages."""
+    """Verdict on every page's url: explicit rules, else rules mined from the labelled pages.
+
+    ``labels`` has one row per document and no page ids: a page is labelled by the row whose
+    ``doc_id`` is its ``page_id``, the only key that the two tables share.
+    """
     pages = read_table(spark, sf_dir, "pages", ["page_id", "url"])
     labels = read_table(spark, sf_dir, "labels")
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)

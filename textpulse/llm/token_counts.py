@@ -61,11 +61,16 @@ class CountTransducer:
         return found
 
     def count(self, word: str) -> int:
-        if len(self.states) > MAX_STATES:
-            self._reset()
         state, total, steps = self.start, 0, self.steps
         for byte in word.encode("utf-8", "surrogatepass"):
-            state, emitted = steps.get(state << 8 | byte) or self._compile(state, byte)
+            step = steps.get(state << 8 | byte)
+            if step is None:
+                if len(self.states) > MAX_STATES:  # forget all but where the word is
+                    here = self.states[state]
+                    self._reset()
+                    state, steps = self._number(here), self.steps
+                step = self._compile(state, byte)
+            state, emitted = step
             total += emitted
         return total + self.states[state][2][-1]
 

@@ -84,8 +84,9 @@ def url_tokens(url: Column) -> Column:
 def mine_rules(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:  # noqa: B008
     """Rules (rule_id, tokens, anchor, confidence, lift, support) from (url, bad).
 
-    ``anchor`` is the rule's rarest token among the labelled pages. Nothing is mined if no page
-    is labelled bad.
+    ``anchor`` is the rule's rarest token among the labelled pages. Tokens that lie in the same
+    pages are one item while mining, so a long URL that many bad pages share costs one item.
+    Nothing is mined if no page is labelled bad.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -104,6 +105,8 @@ def mine_rules(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:  # noq
     if counts.isEmpty():
         return spark.createDataFrame([], schema)
     baskets = materialize(_baskets(pages, counts))
+    classes = _token_classes(baskets)
+    baskets = materialize(_one_of_each(baskets, classes))
     bad_pages = baskets.where("bad").select("items", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")).select("items")
     # half a page less, so that no rounding moves the floor
     miner = FPGrowth(itemsCol="items", minSupport=(floor - 0.5) / bad_pages.count())
@@ -123,7 +126,44 @@ def mine_rules(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:  # noq
     parts = parts.select("rule_id", "confidence", F.array_join(F.array_remove("tokens", F.col("left_out")), " ").alias("part"))
     beaten = parts.join(rules.select(F.col("rule_id").alias("part"), F.col("confidence").alias("part_confidence")), "part").where("part_confidence >= confidence")
     kept = rules.join(beaten.select("rule_id").distinct(), "rule_id", "left_anti")
-    return kept.select("rule_id", "tokens", "anchor", "confidence", "lift", "support")
+    return _anchored(_in_all_words(kept.drop("anchor"), classes), counts).select("rule_id", "tokens", "anchor", "confidence", "lift", "support")
+
+
+def _token_classes(baskets: DataFrame) -> DataFrame:
+    """(token, item, size): tokens that lie in the same pages, under the least of them.
+
+    Tokens of equal pages are one item for mining: a rule with two of them covers the pages of the
+    shorter rule with one, which stays. Classes are found by count and two digests of the row
+    numbers and verified: in every row all of a class's tokens must be there, or none; the
+    tokens of a class that fails are classes of their own.
+    """
+    rows = baskets.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode("items").alias("token"))
+    marks = rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+    least = marks.groupBy("rows", "x", "y").agg(F.min("token").alias("item"), F.count(F.lit(1)).alias("size"))
+    classes = materialize(marks.join(least, ["rows", "x", "y"]).select("token", "item", "size"))
+    shared = classes.where("size > 1")
+    broken = rows.join(shared, "token").groupBy("row", "item").agg(F.count(F.lit(1)).alias("there"), F.first("size").alias("size")).where("there <> size").select("item").distinct()
+    checked = classes.join(broken.withColumn("broken", F.lit(True)), "item", "left")
+    alone = F.coalesce("broken", F.lit(False))
+    return materialize(checked.select("token", F.when(alone, F.col("token")).otherwise(F.col("item")).alias("item"), F.when(alone, F.lit(1)).otherwise(F.col("size")).alias("size")))
+
+
+def _one_of_each(baskets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``baskets`` with one item for each class of tokens."""
+    items = F.broadcast(classes) if classes.count() <= MAX_BROADCAST_RULES else classes
+    rows = baskets.withColumn("row", F.monotonically_increasing_id())
+    merged = rows.select("row", F.explode("items").alias("token")).join(items, "token").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return rows.select("row", "bad", "n").join(merged, "row").select("items", "bad", "n")
+
+
+def _in_all_words(rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each rule once for every choice of a token from each of its classes."""
+    members = classes.groupBy("item").agg(F.collect_list("token").alias("words"))
+    listed = rules.select("rule_id", F.explode("tokens").alias("item")).join(members, "item").groupBy("rule_id").agg(F.collect_list("words").alias("choices"))
+    none = F.array(F.array().cast("array<string>"))
+    every = F.aggregate("choices", none, lambda acc, words: F.flatten(F.transform(acc, lambda chosen: F.transform(words, lambda w: F.array_append(chosen, w)))))
+    spread = rules.drop("tokens").join(listed, "rule_id").withColumn("tokens", F.explode(every)).withColumn("tokens", F.array_sort("tokens"))
+    return spread.withColumn("rule_id", F.array_join("tokens", " ")).drop("choices")
 
 
 def _baskets(pages: DataFrame, counts: DataFrame) -> DataFrame:
