@@ -39,6 +39,7 @@ from textpulse.sources.adapters import (
 )
 from textpulse.sources.records import parse_records
 from textpulse.sources.tables import read_table
+from textpulse.sources.variant import variant_fields, variant_messages, variant_records
 
 # Triage markers that split the driver's pages (the crawler's own markers are the defaults of
 # page_triage): pages with an escaped ampersand count as deleted, English pages as videos.
@@ -81,6 +82,20 @@ def q_nested_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_messages(good).select("av", "origin", "sender", "sec", "text")
 
 
+def q_variant_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of the nested records, parsed without a schema, with a field of each record
+    that the schema lacks and whose type changes from record to record (text, number, list)."""
+    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    msgs = messages_from_conversations(conv).select("av", "p", "origin", "sender", "sec", "text", "seq")
+    payloads = record_json(assemble_records(msgs))
+    number = F.substring(F.get_json_object("value", "$.av"), 3, 20).cast("bigint")
+    changing = F.when(number % 3 == 0, F.concat(F.lit('"n'), number, F.lit('"'))).when(number % 3 == 1, number.cast("string")).otherwise(F.concat(F.lit("["), number, F.lit("]")))
+    payloads = payloads.withColumn("value", F.concat(F.lit('{"origin_tag":'), changing, F.lit(","), F.substring(F.col("value"), 2, 1 << 30)))
+    good, _bad = variant_records(payloads)
+    unknown = variant_fields(good, [f.name for f in schemas.VIDEO_RECORD.fields], ["av"]).select("av", "kind", "json").distinct()
+    return variant_messages(good, drop_special=False).join(unknown, "av").select("av", "origin", "sender", "sec", "text", "kind", "json")
+
+
 def q_record_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stat, tag, page-list, bullet, reply and page payloads joined into one record per item,
     rendered as JSON and parsed back; reports the fields of every record and, per page of its
@@ -152,6 +167,7 @@ QUERIES = {
     "reply_flatten": q_reply_flatten,
     "bullet_xml": q_bullet_xml,
     "nested_roundtrip": q_nested_roundtrip,
+    "variant_flatten": q_variant_flatten,
     "record_assembly": q_record_assembly,
     "payload_quarantine": q_payload_quarantine,
     "user_crc32": q_user_crc32,
@@ -203,6 +219,13 @@ FROM r CROSS JOIN (VALUES ('replies'), ('hots')) AS l(list_name)""",
     "bullet_xml": f"""
 WITH {_CONV_SQL}
 SELECT conv_id * 4294967296 + page // 20 AS cid, role AS sender, sec, text FROM c""",
+    "variant_flatten": """
+SELECT 'av' || CAST(conv_id AS VARCHAR) AS av,
+       CASE WHEN role = 'user' THEN 'bullet' ELSE 'reply' END AS origin,
+       role AS sender, CAST(1704067200 + conv_id * 61 + turn * 45 AS BIGINT) AS sec, text,
+       CASE conv_id % 3 WHEN 0 THEN 'STRING' WHEN 1 THEN 'BIGINT' ELSE 'ARRAY<BIGINT>' END AS kind,
+       CASE conv_id % 3 WHEN 0 THEN '"n' || conv_id || '"' WHEN 1 THEN CAST(conv_id AS VARCHAR) ELSE '[' || conv_id || ']' END AS json
+FROM conversations""",
     "nested_roundtrip": """
 SELECT 'av' || CAST(conv_id AS VARCHAR) AS av,
        CASE WHEN role = 'user' THEN 'bullet' ELSE 'reply' END AS origin,
