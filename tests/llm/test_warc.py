@@ -66,3 +66,43 @@ def test_a_damaged_payload_fails_the_read(spark, tmp_dir):
 
 def test_empty(spark, tmp_dir):
     assert archive_round_trip(spark.createDataFrame([], SCHEMA), f"{tmp_dir}/empty").count() == 0
+
+
+def test_identifiers_as_text(spark, tmp_dir):
+    ids = ["", "a\r\nb", "50%0A", "<x>", None, "plain"]
+    pages = spark.createDataFrame([(i, "u", "same", "e") for i in ids], "page_id string, url string, html string, digest string")
+    back = archive_round_trip(pages, f"{tmp_dir}/ids").collect()
+    assert sorted(map(str, (r.page_id for r in back))) == sorted(map(str, ids)) and {r.refers_to for r in back if r.record_type == "revisit"} == {""}
+
+
+@pytest.mark.parametrize("wrong", [("Content-Length: 8", "Content-Length: 9"), ("sha1:", "sha1:A")])
+def test_a_header_that_disagrees_fails_the_read(spark, tmp_dir, wrong):
+    from pyspark.sql import functions as F
+
+    write_archive(spark.createDataFrame(PAGES[:2], SCHEMA), f"{tmp_dir}/a")
+    spark.read.parquet(f"{tmp_dir}/a/payloads").write.parquet(f"{tmp_dir}/b/payloads")
+    spark.read.parquet(f"{tmp_dir}/a/records").withColumn("header", F.replace("header", F.lit(wrong[0]), F.lit(wrong[1]))).write.parquet(f"{tmp_dir}/b/records")
+    with pytest.raises(Exception, match="header does not match"):
+        read_archive(spark, f"{tmp_dir}/b", with_payload=False).collect()
+
+
+def test_payloads_are_stored_once_whatever_their_compression(spark, monkeypatch):
+    from textpulse.llm import warc
+
+    pages = spark.createDataFrame(PAGES, SCHEMA).repartition(6)
+    levels = {"n": 0}
+    squeeze = warc.zlib.compress
+
+    class Builds:
+        decompress = staticmethod(warc.zlib.decompress)
+
+        @staticmethod
+        def compress(data):
+            levels["n"] += 1
+            import os
+
+            return squeeze(data, 1 + os.getpid() % 9)
+
+    monkeypatch.setattr(warc, "zlib", Builds)
+    stored = warc.payload_store(pages).collect()
+    assert len(stored) == len({h or "" for _, _, h, _ in PAGES}) == len({r.digest for r in stored})

@@ -2,17 +2,19 @@
 
 An archive is a folder with two Parquet tables:
 
-* ``payloads`` (digest, blob): each distinct payload once, compressed, keyed by its SHA-256;
+* ``payloads`` (digest, blob): each distinct payload once, compressed, keyed by its SHA-256
+  (equal keys are checked by length and a second digest of the bytes);
 * ``records`` (page_id, digest, header): the exact header block of every WARC record.
 
-Reading verifies every payload against its digest and joins headers and payloads back into the
-original records.
+Reading joins headers and payloads back into the original records and verifies each: payload
+against its key, the header's length and digest against the bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -40,8 +42,23 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), safe, F.lit("\r\n")), F.lit(""))
 
 
+_ESCAPES = (("%", "%25"), ("\r", "%0D"), ("\n", "%0A"))
+
+
 def _record_id(page: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(">"))
+    """The record's URI; a null identifier has one of its own. Line ends are percent-encoded."""
+    text = page.cast("string")
+    for plain, escaped in _ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    return F.coalesce(F.concat(F.lit("<urn:page:"), text, F.lit(">")), F.lit("<urn:no-page>"))
+
+
+def _page_of(uri: Column, kind: str) -> Column:
+    """The identifier in a record's URI; null if it has none."""
+    text = F.regexp_extract(uri, r"(?s)^<urn:page:(.*)>$", 1)
+    for plain, escaped in reversed(_ESCAPES):
+        text = F.replace(text, F.lit(escaped), F.lit(plain))
+    return F.when(F.startswith(uri, F.lit("<urn:page:")), text).cast(kind)
 
 
 def record_headers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z", min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -75,16 +92,23 @@ def record_headers(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 def payload_store(pages: DataFrame, payload_col: str = "html") -> DataFrame:
     """(digest, blob) of every distinct payload: null is empty.
 
-    Grouping by digest and bytes compares the bytes themselves; copies meet in the partial
-    aggregation, so a payload that a third of the pages share is one row per task.
+    Payloads are grouped by their SHA-256; the group's length and BLAKE2 digest must agree, else
+    the job fails. Copies meet within a slice and in the partial aggregation, so a payload that a
+    third of the pages share is one row per task. The compressed bytes are no key: any
+    compression of a payload will do.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
-            payloads = as_bytes(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(p).hexdigest() for p in payloads]), pa.array([zlib.compress(p) for p in payloads], pa.binary())], ["digest", "blob"])
+            payloads = list(dict.fromkeys(as_bytes(batch.column(0))))
+            digests = pa.array([hashlib.sha256(p).hexdigest() for p in payloads])
+            checks = pa.array([f"{len(p)}:{hashlib.blake2b(p, digest_size=32).hexdigest()}" for p in payloads])
+            yield pa.RecordBatch.from_arrays([digests, checks, pa.array([zlib.compress(p) for p in payloads], pa.binary())], ["digest", "check", "blob"])
 
-    return pages.select(F.col(f"`{payload_col}`").cast("string")).mapInArrow(run, "digest string, blob binary").groupBy("digest", "blob").agg(F.count(F.lit(1)).alias("n")).select("digest", "blob")
+    rows = pages.select(F.col(f"`{payload_col}`").cast("string")).mapInArrow(run, "digest string, check string, blob binary")
+    one = rows.groupBy("digest").agg(F.min("blob").alias("blob"), F.min("check").alias("least"), F.max("check").alias("most"))
+    clash = F.raise_error(F.concat(F.lit("two payloads have the digest "), F.col("digest")))
+    return one.select("digest", F.when(F.col("least") == F.col("most"), F.col("blob")).otherwise(clash.cast("binary")).alias("blob"))
 
 
 def write_archive(pages: DataFrame, path: str, **columns) -> None:
@@ -93,66 +117,71 @@ def write_archive(pages: DataFrame, path: str, **columns) -> None:
     record_headers(pages, **columns).write.parquet(f"{path}/records")
 
 
-def read_payloads(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """(digest, payload_bytes, payload_digest[, payload]) of every stored payload, verified.
-
-    A payload whose SHA-256 is not its key fails the read.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            sizes, sha1, payloads = [], [], []
-            for digest, blob in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                payload = zlib.decompress(blob)
-                if hashlib.sha256(payload).hexdigest() != digest:
-                    raise ValueError(f"stored payload does not match its digest {digest}")
-                sizes.append(len(payload))
-                sha1.append(base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode())
-                payloads.append(payload)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sha1)]
-            names = ["digest", "payload_bytes", "payload_digest"]
-            if with_payload:
-                columns.append(pa.array(payloads, pa.binary()))
-                names.append("payload")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return spark.read.parquet(f"{path}/payloads").mapInArrow(run, "digest string, payload_bytes long, payload_digest string" + ", payload binary" * with_payload)
-
-
 def header_field(name: str) -> Column:
     """A header's value; null if the line is absent."""
     value = F.regexp_extract("header", rf"\n{name}: ([^\r\n]*)\r\n", 1)
     return F.when(F.col("header").contains(f"\r\n{name}: "), value)
 
 
-def read_archive(spark: SparkSession, path: str, with_payload: bool = True, id_kind: str = "bigint") -> DataFrame:
-    """Every record: the fields of its header and its payload's size and digest as read back.
+_LENGTH = re.compile(rb"\r\nContent-Length: ([0-9]+)\r\n")
+_DIGEST = re.compile(rb"\r\nWARC-Payload-Digest: sha1:([A-Z2-7]+)\r\n")
+_REVISIT = b"\r\nWARC-Type: revisit\r\n"
+
 
-    With ``with_payload`` also ``payload`` and ``record``, the original record's bytes (header
-    block, block, two line ends; a revisit's block is empty, its payload comes by the join).
+def rebuild(digest: str, header: str, blob: bytes | None) -> tuple[bytes, str, bytes]:
+    """(payload, its SHA-1, record) of one record; raises if any of its parts disagree."""
+    if blob is None:
+        raise ValueError(f"no stored payload for {digest}")
+    payload = zlib.decompress(blob)
+    if hashlib.sha256(payload).hexdigest() != digest:
+        raise ValueError(f"stored payload does not match its digest {digest}")
+    sha1 = base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
+    head = header.encode()
+    block = b"" if _REVISIT in head else payload
+    length, named = _LENGTH.search(head), _DIGEST.search(head)
+    if length is None or int(length[1]) != len(block) or named is None or named[1].decode() != sha1:
+        raise ValueError(f"a header does not match its payload {digest}")
+    return payload, sha1, head + block + b"\r\n\r\n"
+
+
+def read_archive(spark: SparkSession, path: str, with_payload: bool = True, id_kind: str = "bigint") -> DataFrame:
+    """Every record, rebuilt and verified: the fields of its header and the size and digest of its
+    payload's bytes. With ``with_payload`` also ``payload`` and ``record``, the original record's
+    bytes (header block, block, two line ends; a revisit's block is empty, its payload comes by
+    the join). The payloads are joined compressed.
     """
-    page = F.regexp_extract(header_field("WARC-Record-ID"), r"^<urn:page:(.*)>$", 1)
-    refers = F.regexp_extract(header_field("WARC-Refers-To"), r"^<urn:page:(.*)>$", 1)
+    names = ["header", "payload_bytes", "payload_digest", *(["payload", "record"] if with_payload else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2, 1 << 20):
+            rows = [rebuild(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            columns = [batch.column(1), pa.array([len(p) for p, _, _ in rows], pa.int64()), pa.array([d for _, d, _ in rows])]
+            if with_payload:
+                columns += [pa.array([p for p, _, _ in rows], pa.binary()), pa.array([r for _, _, r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
     records = spark.read.parquet(f"{path}/records").select("digest", "header")
-    out = records.join(read_payloads(spark, path, with_payload), "digest").select(
-        F.when(page != "", page).cast(id_kind).alias("page_id"),
+    joined = records.join(spark.read.parquet(f"{path}/payloads"), "digest", "left").select("digest", "header", "blob")
+    rebuilt = joined.mapInArrow(run, "header string, payload_bytes long, payload_digest string" + ", payload binary, record binary" * with_payload)
+    return rebuilt.select(
+        _page_of(header_field("WARC-Record-ID"), id_kind).alias("page_id"),
         "payload_bytes",
         "payload_digest",
         header_field("WARC-Type").alias("record_type"),
-        F.when(refers != "", refers).cast(id_kind).alias("refers_to"),
+        _page_of(header_field("WARC-Refers-To"), id_kind).alias("refers_to"),
         header_field("WARC-Target-URI").alias("url"),
         F.regexp_replace(header_field("WARC-Payload-Digest"), "^sha1:", "").alias("header_digest"),
-        *([F.col("payload"), F.concat(F.encode("header", "UTF-8"), F.when(header_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload")), F.lit(b"\r\n\r\n")).alias("record")] if with_payload else []),
+        *(["payload", "record"] if with_payload else []),
     )
-    return out
 
 
 def archive_round_trip(pages: DataFrame, path: str, id_col: str = "page_id") -> DataFrame:
-    """Write ``pages`` as an archive below ``path`` and read its records back.
+    """Write ``pages`` as an archive below ``path``, read its records back and rebuild each.
 
     One row per page. Null payloads are empty; a null url has no header line; null identifiers
-    stay null; repeated rows are kept; an empty table gives an empty archive; other columns are
-    not archived.
+    stay null, empty ones empty, and line ends in them come back; repeated rows are kept; an empty
+    table gives an empty archive; other columns are not archived. A record whose header disagrees
+    with its payload's bytes fails the read.
     """
     write_archive(pages, path, id_col=id_col)
     return read_archive(pages.sparkSession, path, with_payload=False, id_kind=id_type(pages, id_col))
