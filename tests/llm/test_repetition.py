@@ -69,6 +69,16 @@ def test_method_rejects_one_long_repeat_that_the_base_rule_lets_pass():
     assert m["longest_repeat"][0] < 300 and not kept[0]
 
 
+def test_one_long_repeat_rejects_a_text_of_any_length(frame):
+    def text(size, words=20_000):
+        passage = " ".join(f"p{k}" for k in range(size))
+        return passage + " " + " ".join(f"u{k}" for k in range(words)) + " " + passage
+
+    docs = frame([(1, text(120)), (2, text(101)), (3, text(100)), (4, text(0)), (5, text(60, 1500))])
+    report = {r.doc_id: (r.base_failed, r.kept, r.longest_repeat) for r in repetition_report(docs).collect()}
+    assert report == {1: (False, False, 120), 2: (False, False, 101), 3: (False, True, 100), 4: (False, True, 0), 5: (False, True, 60)}
+
+
 def test_very_repetitive_long_text_is_not_quadratic():
     m = measure([b"word " * 300_000], 10)
     assert m["longest_repeat"][0] == 299_999 and m["n_covered"][0] == 300_000

@@ -206,7 +206,7 @@ runs as (select r, count(*) + 19 as size from (select r, gap, i - row_number() o
 longest as (select r, max(size) as size from runs group by r)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered, base_failed,
        not base_failed and 100 * n_covered <= 30 * n_words
-         and not (coalesce(size, 0) > 200 and 100 * coalesce(size, 0) > 10 * n_words) as kept
+         and coalesce(size, 0) <= 100 as kept
 from base left join longest using (r)""",
     "op6_warc": """
 with p as (select page_id, encode(coalesce(html, '')) as body from pages),

@@ -27,16 +27,16 @@ SYMBOLS = b"#*$%&|<>"
 @dataclass(frozen=True)
 class Limits:
     """min_words, max_repeated_percent: base rules. min_repeat: shortest repeat (words) whose spans
-    count as covered. max_covered_percent: largest share of words covered. max_repeat_words,
-    max_repeat_percent: longest repeat allowed, in words and as a share of the text (both must be
-    passed to reject)."""
+    count as covered. max_covered_percent: largest share of words covered. max_repeat_words:
+    longest repeat allowed, in words, whatever the text's length; max_repeat_percent: if set, it must
+    also pass this share of the text to reject."""
 
     min_words: int = 50
     max_repeated_percent: int = 50
     min_repeat: int = 20
     max_covered_percent: int = 30
-    max_repeat_words: int = 200
-    max_repeat_percent: int = 10
+    max_repeat_words: int = 100
+    max_repeat_percent: int = 0
 
 
 def measure(texts: list[bytes], min_repeat: int) -> dict[str, np.ndarray]:
