@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textpulse.llm import bpe, decontaminate, line_chunks, repetition, simhash
 from textpulse.llm.queries import tokenizer_path
-from textpulse.session import scratch_path
+from textpulse.session import remove_path, scratch_path
 from textpulse.sources.tables import read_table
 
 
@@ -60,10 +60,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each stage's output written to the shared folder."""
-    docs = read_table(spark, sf_dir, "documents")
+    """Apply the stages to ``documents``, each stage's output written to the shared folder.
+
+    A stage's folder goes when the next one is written; the last one holds the result.
+    """
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_path(spark, before)
+        before = path
     return docs
