@@ -15,7 +15,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from textpulse import fixed
-from textpulse.plans.messages import MESSAGES_SQL, RUNNING_SQL, prepare_messages, prepare_tokens
+from textpulse.functions.time import day_of_ms
+from textpulse.operators.aggregate import sentiment_counts
+from textpulse.operators.lexicon import classify
+from textpulse.plans.messages import MESSAGES_SQL, POLARITY_SQL, RUNNING_SQL, _lexicon, prepare_messages, prepare_tokens
 from textpulse.session import scratch_path
 from textpulse.plans.events import ORACLE as EVENTS_ORACLE
 from textpulse.operators.timeseries import metric_names
@@ -23,12 +26,15 @@ from textpulse.sources.adapters import KEY_STEP, event_seconds
 from textpulse.plans.messages import ORACLE as MESSAGES_ORACLE
 from textpulse.sources.record_log import append_to_log, commit_progress, publish_stream, record_log
 from textpulse.sources.tables import read_table
+from textpulse.sinks.store import TableStore
 from textpulse.streaming.jobs import (
+    BatchSink,
     count_window_sink,
     elapsed_resets_stream,
     last_emitted,
     read_log,
     rocksdb_state,
+    run_branches,
     run_until_idle,
     running_counts_per_record,
     running_word_counts,
@@ -230,7 +236,31 @@ def q_stream_resume_from_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("bucket_ms", "word", "seq", "pos", "running_cnt")
 
 
+def q_stream_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One job whose source feeds two outputs: word counts and sentiment counts per item, each
+    accumulated by micro-batch into a table of its own; the sums of both tables."""
+    messages = prepare_messages(stored_table_stream(spark, sf_dir, "conversations", CONVERSATION_SCHEMA))
+    store = TableStore(spark, scratch_path(spark, "branches"))
+    keys = {"words": ["bucket_ms", "word"], "sentiment": ["bucket_ms", "av", "emotion"]}
+
+    def words(batch: DataFrame) -> DataFrame:
+        return prepare_tokens(batch).groupBy(*keys["words"]).agg(F.count(F.lit(1)).alias("cnt"))
+
+    def sentiment(batch: DataFrame) -> DataFrame:
+        return sentiment_counts(classify(prepare_tokens(batch, min_len=None), _lexicon(batch.sparkSession)))
+
+    def sink(table: str) -> BatchSink:
+        return lambda rows, batch_id: store.accumulate(rows.withColumn("day", day_of_ms("bucket_ms")), table, keys[table], "cnt", batch_id)
+
+    query = run_branches(messages, {"words": (words, sink("words")), "sentiment": (sentiment, sink("sentiment"))}, scratch_path(spark, "branches-ckpt"))
+    query.awaitTermination()
+    sums = {t: store.accumulated(t, keys[t], "cnt") for t in keys}
+    word_rows = sums["words"].select(F.lit("words").alias("branch"), "day", "bucket_ms", F.col("word").alias("item"), F.lit("").alias("emotion"), "cnt")
+    return word_rows.unionByName(sums["sentiment"].select(F.lit("sentiment").alias("branch"), "day", "bucket_ms", F.col("av").alias("item"), "emotion", "cnt"))
+
+
 QUERIES = {
+    "stream_branches": q_stream_branches,
     "stream_two_level": q_stream_two_level,
     "stream_ticks": q_stream_ticks,
     "stream_resume_from_totals": q_stream_resume_from_totals,
@@ -258,6 +288,13 @@ toks AS (
 """
 
 ORACLE = {
+    "stream_branches": f"""WITH {MESSAGES_SQL},
+both_branches AS (
+  SELECT 'words' AS branch, bucket_ms, word AS item, '' AS emotion, count(*) AS cnt FROM toks GROUP BY bucket_ms, word
+  UNION ALL
+  SELECT 'sentiment', bucket_ms, av, {POLARITY_SQL}, count(*) FROM terms GROUP BY 1, 2, 3, 4
+)
+SELECT branch, strftime(DATE '1970-01-01' + CAST(bucket_ms // 86400000 AS INTEGER), '%Y%m%d') AS day, bucket_ms, item, emotion, cnt FROM both_branches""",
     "stream_two_level": MESSAGES_ORACLE["hot_words_two_level"],
     "stream_ticks": EVENTS_ORACLE["snapshot_totals"],
     "stream_resume_from_totals": f"""WITH {MESSAGES_SQL}, {RUNNING_SQL}
