@@ -71,7 +71,7 @@ def test_stages_keep_the_columns_and_count_characters(spark, small):
 def test_registered_queries_run_and_match_their_sql(spark):
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     names = [n for n in queries if n.startswith("op")]
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] and "pipeline" in queries
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)] and "pipeline" in queries
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.execute(f"create view {f.split('.')[0]} as select * from '{SF}/{f}'")
