@@ -148,7 +148,7 @@ _MEMORY: list[ChunkMemory] = []
 
 
 def _memory() -> ChunkMemory:
-    """This worker's memory, kept between its tasks."""
+    """The task's memory (the worker's, kept between its tasks, where the package is installed)."""
     if not _MEMORY:
         _MEMORY.append(ChunkMemory())
     return _MEMORY[0]
