@@ -248,10 +248,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = removals(docs, id_col, text_col, how)
     body = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(body).alias("key"))
-    joined = whole.join(gone, whole["id"].eqNullSafe(gone["id"]) & (whole["key"] == gone["key"]), "left").select("row", F.col(f"row.`{text_col}`").cast("string").alias("text"), "matched")
+    joined = whole.join(gone, whole["id"].eqNullSafe(gone["id"]) & (whole["key"] == gone["key"]), "left").select("row", "matched")
+    place = docs.columns.index(text_col)
+
+    def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # the text is taken from the row here, so that it is passed once
+            text = batch.column(0).field(place)
+            if not pa.types.is_string(text.type) and not pa.types.is_large_string(text.type):
+                text = text.cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), text, batch.column(1)], ["row", "text", "matched"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
+        for batch in slices(with_text(batches), 1):
             keep, texts, counts = [], [], [[], [], [], []]
             for text, known, matched in zip(as_bytes(batch.column(1)), batch.column(1).is_valid().to_pylist(), batch.column(2).to_pylist(), strict=True):
                 lines = text.split(b"\n") if text else []
@@ -262,13 +270,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 filled = any(line.strip() for line in left)
                 keep.append(keep_emptied or not cut or filled)
                 texts.append((b"\n".join(left) if cut else text) if known else None)
-                chunks = found.chunks()
-                removed = sum(any(a <= c and d <= b for a, b in runs) for c, d in chunks) if runs else 0
+                chunks, covered = found.chunks(), {n for a, b in runs for n in range(a, b)}
+                removed = sum(covered.issuperset(range(c, d)) for c, d in chunks) if runs else 0
                 for column, value in zip(counts, (len(lines), len(chunks), removed, len(cut)), strict=True):
                     column.append(value)
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(batch.schema.field(1).type), *(pa.array(c, pa.int64()) for c in counts)], names)
             yield out.filter(pa.array(keep))
 
     names = ["row", "text", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines"]
-    schema = joined.select("row", "text", *(F.lit(0).cast("long").alias(n) for n in names[2:])).schema
+    schema = joined.select("row", F.lit(None).cast("string").alias("text"), *(F.lit(0).cast("long").alias(n) for n in names[2:])).schema
     return joined.mapInArrow(run, schema)
