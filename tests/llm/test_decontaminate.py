@@ -1,9 +1,10 @@
+import pickle
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from textpulse.llm.decontaminate import contaminated, find_contamination, longest_matches, n_hit, remove_contaminated
+from textpulse.llm.decontaminate import ItemBlock, Shard, contaminated, find_contamination, longest_matches, n_hit, remove_contaminated
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -70,3 +71,23 @@ def test_longest_matches(spark, frame):
     bench = spark.createDataFrame([("a", item)], "item_id string, text string")
     got = {r.item_pos: (r.n_words, r.place.doc_id, r.place.word_pos) for r in longest_matches(frame(docs, 2), bench).collect()}
     assert got[5] == (30, 1, 2) and got[0] == (20, 2, 0) and got[22] == (13, 1, 19) and 23 not in got
+
+
+def test_only_suffixes_whose_first_words_lie_in_a_shard_are_searched():
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    items = [(str(k), " ".join(rng.choices(vocabulary, k=60)).encode()) for k in range(400)] + [("short", b"w1 w2"), ("none", b"...")]
+    block = ItemBlock(items, 13)
+    assert len(pickle.dumps(block)) < sum(len(t) for _, t in items) + 100_000 and not block.derived
+    texts = [" ".join(rng.choices(vocabulary, k=200)).encode() for _ in range(20)]
+    texts[3] += b" " + items[7][1] + b" stop"
+    texts[5] += b" w1 w2"
+    shard = Shard(texts, block)
+    spans, found = shard.hits()
+    assert found[3] == {"7"} and spans[3] == [(200, 260)] and "short" in found[5]
+    assert len(shard.searched) < 60 < len(block.starts) == 400 * 48 + 1
+
+
+def test_null_item_is_the_empty_id(spark, frame):
+    bench = spark.createDataFrame([(None, "one two"), ("x", "two")], "item_id string, text string")
+    assert [r.its for r in find_contamination(frame([(1, "one two")]), bench).select(F.col("found.items").alias("its")).collect()] == [["", "x"]]

@@ -1,10 +1,12 @@
 """Benchmark decontamination by suffix arrays over the training documents.
 
-Every slice of training documents (a shard) is a suffix array of words; every suffix of every
-test item is searched in it by binary search, which gives its longest verbatim match, one place
-of it, and the interval of all places where its first ``window`` words occur. Words that no test
-item has cannot be part of a match, so a shard's array leaves out suffixes that such a word cuts
-off before the shortest window.
+Every slice of training documents (a shard) is a suffix array of words; the suffixes of the test
+items are searched in it by binary search, which gives their longest verbatim match, one place
+of it, and the interval of all places where their first ``window`` words occur. A suffix whose
+first few words lie nowhere in the shard cannot match there: only those whose words do are
+searched, found by looking the shard's words up in the items' sorted codes, so a shard's cost
+follows its own size and its matches, not the benchmark's size. For the same reason the array
+leaves out suffixes of the shard that no test suffix can begin with.
 
 The test items are broadcast in blocks of a checked size; more than one block means one pass per
 block with the found spans carried along, never a larger broadcast.
@@ -23,11 +25,15 @@ from textpulse.llm.suffix import SuffixArray
 from textpulse.llm.text import as_bytes, id_and_text, id_type, slices
 from textpulse.session import materialize
 
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)  # an odd 64-bit multiplier
 WINDOW = 13
 #: Share of a document's words, in parts of 1/20, from which it counts as contaminated.
 SHARE = 20
-#: Bytes of test items broadcast at a time.
+#: Bytes of test items broadcast at a time. What is sent is their distinct words and four bytes a
+#: word; the arrays derived from it are made in each worker.
 BLOCK_BYTES = 16 << 20
+#: Words of a test suffix that must lie in a shard for the suffix to be searched there.
+PREFIX = 6
 #: Words are runs of ASCII digits and letters (lower-cased) and of all non-ASCII characters.
 _FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -36,37 +42,73 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+class Codes:
+    """Test suffixes by a code of their first ``width`` words, in the codes' order."""
+
+    def __init__(self, width: int, codes: np.ndarray, suffixes: np.ndarray):
+        order = np.argsort(codes, kind="stable")
+        self.width, self.suffixes = width, suffixes[order]
+        self.codes, self.first, self.count = np.unique(codes[order], return_index=True, return_counts=True)
+
+    def places(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``codes`` some test suffix has, and the test suffixes that have one of them."""
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        known = self.codes[at] == codes
+        hit = np.unique(at[known])
+        count = self.count[hit]
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return known, self.suffixes[np.repeat(self.first[hit], count) + inside]
+
+
+def _codes(symbols: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros(len(at), np.uint64)
+    for k in range(width):
+        out = out * _FACTOR + symbols[at + k].astype(np.uint64)
+    return out
+
+
 class ItemBlock:
-    """The words of some test items as numbers, with the window of every suffix."""
+    """The words of some test items as numbers, and their suffixes that begin with a whole window."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
         self.ids: list[str] = []
-        symbols, starts, lengths, windows, owners, positions = [], [], [], [], [], []
+        self.window, self.derived = window, False
+        numbers, sizes = [], []
         for item, text in items:
             words = words_of(text)
-            if not words:
-                continue
-            width = min(window, len(words))
-            for k in range(len(words)):
-                starts.append(len(symbols) + k)
-                positions.append(k)
-                lengths.append(len(words) - k)
-                windows.append(width if len(words) - k >= width else 0)  # 0: no whole window begins here
-                owners.append(len(self.ids))
-            symbols += [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            symbols.append(0)
-            self.ids.append(item)
-        self.symbols = np.array(symbols or [0], np.int64)
-        self.starts, self.lengths, self.windows, self.owners, self.positions = (np.array(x, np.int64) for x in (starts, lengths, windows, owners, positions))
-        self.shortest = int(self.windows[self.windows > 0].min(initial=window))
-        self.longest = int(self.lengths.max(initial=1))
+            if words:
+                numbers.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words] + [0], np.int32))
+                sizes.append(len(words))
+                self.ids.append(item)
+        self.symbols = np.concatenate(numbers) if numbers else np.zeros(1, np.int32)
+        self.sizes = np.array(sizes, np.int64)
+
+    def derive(self) -> ItemBlock:
+        """Add the arrays of the suffixes: once in each worker, so that they are not broadcast."""
+        if not self.derived:
+            width = np.minimum(self.sizes, self.window)
+            count = self.sizes - width + 1
+            self.owners = np.repeat(np.arange(len(self.sizes)), count)
+            self.positions = np.arange(len(self.owners)) - np.repeat(np.cumsum(count) - count, count)
+            self.starts = (np.cumsum(self.sizes + 1) - self.sizes - 1)[self.owners] + self.positions
+            self.lengths, self.windows = self.sizes[self.owners] - self.positions, width[self.owners]
+            self.longest = int(self.lengths.max(initial=1))
+            prefix = np.minimum(self.windows, PREFIX)
+            which = [(int(w), np.flatnonzero(prefix == w)) for w in np.unique(prefix)]
+            self.codes = [Codes(w, _codes(self.symbols, self.starts[at], w), at) for w, at in which]
+            self.derived = True
+        return self
 
 
 class Shard:
-    """The suffix array of a slice of documents, searched with a block of test items."""
+    """The suffix array of a slice of documents, searched with a block of test items.
+
+    ``whole``: follow every match to its end; otherwise only to the end of the window.
+    """
 
-    def __init__(self, texts: list[bytes], block: ItemBlock):
+    def __init__(self, texts: list[bytes], block: ItemBlock, whole: bool = False):
+        block.derive()
         get = block.vocabulary.get
         symbols, self.n_words = [], []
         for text in texts:
@@ -79,12 +121,18 @@ class Shard:
         sizes = np.array(self.n_words, np.int64) + 1
         self.begin = np.cumsum(sizes) - sizes
         self.owner = np.repeat(np.arange(len(texts)), sizes)
-        # words up to the next cut; suffixes shorter than any window cannot match one
         cuts = np.flatnonzero(self.symbols == 0)
-        run = cuts[np.searchsorted(cuts, np.arange(n))] - np.arange(n)
-        kept = run >= block.shortest
-        self.array = SuffixArray(self.symbols, block.longest, kept)
-        self.found = self.array.search(block.symbols, block.starts, block.lengths, block.windows)
+        run = cuts[np.searchsorted(cuts, np.arange(n))] - np.arange(n)  # words up to the next cut
+        kept, searched = np.zeros(n, bool), [np.zeros(0, np.int64)]
+        for codes in block.codes:
+            at = np.flatnonzero(run >= codes.width)
+            known, suffixes = codes.places(_codes(self.symbols, at, codes.width))
+            kept[at[known]] = True
+            searched.append(suffixes)
+        self.searched = np.concatenate(searched)
+        lengths = (block.lengths if whole else block.windows)[self.searched]
+        self.array = SuffixArray(self.symbols, int(lengths.max(initial=1)), kept)
+        self.found = self.array.search(block.symbols, block.starts[self.searched], lengths, block.windows[self.searched])
 
     def hits(self) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
         """Per document the spans [from, to) of words inside matched windows, and the items."""
@@ -95,7 +143,8 @@ class Shard:
         items: list[set[str]] = [set() for _ in self.n_words]
         by_interval: dict[tuple[int, int, int], set[str]] = {}
         for k in at:
-            by_interval.setdefault((int(lo[k]), int(hi[k]), int(block.windows[k])), set()).add(block.ids[block.owners[k]])
+            suffix = self.searched[k]
+            by_interval.setdefault((int(lo[k]), int(hi[k]), int(block.windows[suffix])), set()).add(block.ids[block.owners[suffix]])
         for (a, b, width), names in by_interval.items():
             places = order[a:b]
             np.add.at(change, places, 1)
@@ -116,8 +165,8 @@ class Shard:
         length, where, lo, hi = self.found
         block = self.block
         for k in np.flatnonzero(hi > lo).tolist():
-            doc = int(self.owner[where[k]])
-            yield block.ids[block.owners[k]], int(block.positions[k]), doc, int(where[k] - self.begin[doc]), int(length[k])
+            doc, suffix = int(self.owner[where[k]]), self.searched[k]
+            yield block.ids[block.owners[suffix]], int(block.positions[suffix]), doc, int(where[k] - self.begin[doc]), int(length[k])
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[bool, ItemBlock]]:
@@ -149,7 +198,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     ``found``: ``n_words``, ``spans`` (word ranges inside occurrences of windows) and ``items``
     (sorted ids of the test items that occur). An item of fewer words than the window is one
     window; null texts have no words; an empty benchmark finds nothing; repeated rows are
-    judged alike; an item that occurs twice counts once. Map-only for one block of test items.
+    judged alike; an item that occurs twice counts once; a null item id is the empty text. Map-only for one block of test items.
     """
     spark = docs.sparkSession
     state = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), F.lit(None).cast(_FOUND).alias("found"))
@@ -184,7 +233,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, 1):
-                rows = list(Shard(as_bytes(batch.column(1)), shared.value).longest())
+                rows = list(Shard(as_bytes(batch.column(1)), shared.value, whole=True).longest())
                 item, pos, doc, at, n = zip(*rows, strict=True) if rows else ((),) * 5
                 yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(pos, pa.int64()), batch.column(0).take(pa.array(doc, pa.int64())), pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["item", "item_pos", id_col, "word_pos", "n_words"])
 
