@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import public_tokenizers
@@ -87,3 +88,21 @@ def test_states_are_bounded_inside_one_word(monkeypatch):
     bounded = module.CountTransducer(bpe)
     assert bounded.count(word) == want == len(Tokenizer.from_file(PATH).encode(word, add_special_tokens=False).ids)
     assert len(bounded.states) <= 5002 < len(free.states)
+
+
+@pytest.mark.parametrize("setting", ["dropout", "byte_fallback", "ignore_merges", "end_of_word_suffix", "lstrip", "single_word", "decoder", "normalizer"])
+def test_settings_that_would_change_the_result_are_refused(setting, tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    if setting == "decoder":
+        spec["decoder"] = None
+    elif setting == "normalizer":
+        spec["normalizer"] = {"type": "NFC"}
+    elif setting in ("lstrip", "single_word"):
+        spec["added_tokens"][0][setting] = True
+    else:
+        spec["model"][setting] = {"dropout": 0.1, "end_of_word_suffix": "</w>"}.get(setting, True)
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError):
+        load_bpe(str(path))

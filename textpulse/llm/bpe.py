@@ -38,6 +38,12 @@ def byte_chars() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+#: Settings that change ids or texts and that this encoder doesn't have: those of the model and of
+#: its added tokens (a token's ``normalized`` changes nothing, as there is no normalizer).
+_UNSUPPORTED_MODEL = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+_UNSUPPORTED_TOKEN = ("single_word", "lstrip", "rstrip")
+
+
 class Bpe:
     """One byte-level BPE tokenizer; pickled as its file's text, compiled on first use in a worker."""
 
@@ -55,13 +61,19 @@ class Bpe:
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError("only byte-level BPE tokenizers without normalizer and prefix space are supported")
+        unsupported = [name for name in _UNSUPPORTED_MODEL if model.get(name)]
+        unsupported += sorted({name for t in spec.get("added_tokens") or [] for name in _UNSUPPORTED_TOKEN if t.get(name)})
+        if (spec.get("decoder") or {}).get("type") != "ByteLevel":
+            unsupported.append("decoder")
+        if unsupported:
+            raise ValueError(f"unsupported tokenizer settings: {', '.join(unsupported)}")
         self.ids: dict[str, int] = model["vocab"]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.made_of = {made: (rank, pair) for pair, (rank, made) in self.merges.items()}
         if len(self.made_of) < len(self.merges):
             raise ValueError("two merges make the same token")
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.chars = byte_chars()
         back = {c: b for b, c in enumerate(self.chars)}
         self.token_text = {i: t for t, i in self.ids.items()}
