@@ -82,3 +82,31 @@ def test_ticks_equal_the_batch_snapshots(spark, steps):
     got = sorted(map(tuple, out.where(F.col("tick_ms") <= last).select(*columns).collect()))
     assert got == sorted(map(tuple, want.select(*columns).collect()))
     assert out.select("batch_id").distinct().count() >= 3
+
+
+def test_state_holds_an_entry_for_many_words(steps):
+    rows = [(300_000 * (i // 40), f"w{i % 40}", i, 0, at(0)) for i in range(8_000)]  # 200 buckets of 40 words
+    out, sizes = steps([rows, rows[:40]], TOKENS, lambda r: running_counts_per_record(r, ["bucket_ms", "word"], ["seq", "pos"]))
+    assert max(sizes) <= 200 * 8  # not 8,000: one entry per bucket and salt
+    assert sorted((r.running_cnt, r.n) for r in out.groupBy("running_cnt").agg(F.count(F.lit(1)).alias("n")).collect()) == [(1, 8_000), (2, 40)]
+
+
+def test_counts_of_a_bucket_with_many_words_are_dealt_to_entries(steps):
+    words = [(0, f"w{i}", i, 0, at(0)) for i in range(30_000)]
+    more = [(0, f"w{i}", 40_000 + i, 0, at(0)) for i in range(0, 60_000, 7)]
+    out, sizes = steps([words, more, [(0, "w7", 99_000, 0, at(0))]], TOKENS, lambda r: running_counts_per_record(r, ["bucket_ms", "word"], ["seq", "pos"]))
+    assert 8 < sizes[0] <= 8 * 64
+    got = {(r.word, r.seq): r.running_cnt for r in out.collect()}
+    assert len(got) == len(words) + len(more) + 1 and got[("w7", 99_000)] == 3
+    assert all(n == (2 if seq >= 40_000 and int(w[1:]) < 30_000 else 1) for (w, seq), n in got.items() if seq != 99_000)
+
+
+def test_nulls_leave_the_other_rows_whole_numbers(steps):
+    big = (1 << 53) + 1
+    rows = [(0, "a", big, 0, at(0)), (0, "a", None, 0, at(0)), (None, "a", big, 1, at(0)), (None, None, None, None, at(0)), (0, "a", big + 1, None, at(0))]
+    out, _ = steps([rows, rows], TOKENS, lambda r: running_counts_per_record(r, ["bucket_ms", "word"], ["seq", "pos"]))
+    got = sorted(((r.bucket_ms, r.word, r.seq, r.pos, r.running_cnt) for r in out.collect()), key=str)
+    want = []
+    for bucket, word, seq, pos, first, later in ((0, "a", big, 0, 1, 4), (0, "a", big + 1, None, 2, 5), (0, "a", None, 0, 3, 6), (None, "a", big, 1, 1, 2), (None, None, None, None, 1, 2)):
+        want += [(bucket, word, seq, pos, first), (bucket, word, seq, pos, later)]
+    assert got == sorted(want, key=str)

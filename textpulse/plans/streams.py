@@ -86,7 +86,7 @@ def q_stream_running(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_stream_running_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-record running count of (bucket, word) in arrival order (stateful processor, one
-    map of counts per bucket and salt in a RocksDB state store); cleaned stream with the blacklist on replies."""
+    map of counts by bucket for a span of buckets and a salt in a RocksDB state store); cleaned stream with the blacklist on replies."""
     conv = stored_table_stream(spark, sf_dir, "conversations", CONVERSATION_SCHEMA)
     toks = prepare_tokens(prepare_messages(conv), blacklist_scope="reply")
     out = running_counts_per_record(toks, ["bucket_ms", "word"], ["seq", "pos"])

@@ -13,7 +13,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Mapping, Sequence
+import zlib
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -174,90 +175,162 @@ class Expiry:
 
 
 class RunningCountProcessor(StatefulProcessor):
-    """Per-key running counts emitted for every input record.
+    """Running counts emitted for every input record.
 
-    The processor is keyed by a coarse group (first key + hash salt of the other keys), because
-    a call per word would cost more than its work. Its state is a map from the fine key to its
-    count so far; a micro-batch touches only the entries of its own words. Within a micro-batch a
-    key's rows are numbered in ``order_cols`` order, continuing from the stored count: the rows
-    are held as plain arrays (a code and the order columns) and come out in small frames. With
-    ``keep_ms`` a timer clears the group when the watermark has passed its bucket."""
+    The processor is keyed by a group of many first keys (and a slice of the other keys), because
+    a call per word, or per bucket, would cost more than its work. Its state is a map from a first
+    key to the counts of its fine keys in JSON; counts of more than ``PART`` fine keys are dealt to
+    several entries by the fine key's CRC-32, so that a micro-batch rewrites no more than the
+    entries of its own words. Within a micro-batch a key's rows are numbered in ``order_cols``
+    order, continuing from the stored count: the rows are held as plain arrays (a code and the
+    order columns) and come out in small frames. With ``keep_ms`` a timer removes a first key's
+    counts when the watermark has passed it.
 
-    FRAME = 20_000
+    Whole numbers come with a 0 for each null and the set of the null columns in ``NULLS`` (by the
+    bits of ``bits``), since a frame with a null would turn them into floating point."""
 
-    def __init__(self, group_key: str, fine_keys: Sequence[str], order_cols: Sequence[str], out_cols: Sequence[str], out_col: str = "running_cnt", keep_ms: int | None = None):
+    FRAME, PART, NULLS = 20_000, 1024, "nulls_in_row"  # a name with a leading _ would be lost on the way
+
+    def __init__(self, group_key: str, fine_keys: Sequence[str], order_cols: Sequence[str], out_cols: Sequence[str], bits: Mapping[str, int], out_col: str = "running_cnt", keep_ms: int | None = None):
         self.group_key, self.fine_keys, self.order_cols = group_key, list(fine_keys), list(order_cols)
-        self.out_cols, self.out_col, self.keep_ms = list(out_cols), out_col, keep_ms
+        self.out_cols, self.bits, self.out_col, self.keep_ms = list(out_cols), dict(bits), out_col, keep_ms
+        self.keys = list(dict.fromkeys([group_key, *fine_keys]))
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.counts = handle.getMapState("counts", "fine STRING", "n BIGINT")
+        self.counts = handle.getMapState("counts", "first STRING, part INT", "parts INT, words BIGINT, counts STRING")
 
     @staticmethod
-    def _entry(values: tuple) -> tuple[str]:
-        """A fine key as text; a null is no word "None"."""
-        return (json.dumps([None if v is None or v != v else str(v) for v in values], ensure_ascii=False),)
+    def _entry(values: Sequence) -> str:
+        """A key as text; a null is no word "None"."""
+        if len(values) == 1:
+            return "" if values[0] is None or values[0] != values[0] else f"={values[0]}"
+        return json.dumps([None if v is None or v != v else str(v) for v in values], ensure_ascii=False)
 
     def _codes(self, pdf, known: dict):
-        """The number of each row's fine key; new keys get the next numbers."""
+        """The number of each row's key, (first and fine key values, nulls); new keys get the next numbers."""
         import numpy as np
         import pandas as pd
 
-        parts = [pd.factorize(pdf[c], use_na_sentinel=False) for c in self.fine_keys]
-        codes = parts[0][0]
-        values = [(v,) for v in parts[0][1]]
+        key_bits = sum(1 << self.bits[c] for c in self.keys if c in self.bits)
+        parts = [pd.factorize(pdf[c], use_na_sentinel=False) for c in self.keys]
+        parts.append(pd.factorize(pdf[self.NULLS] & key_bits))
+        codes, places = parts[0][0], [np.arange(len(parts[0][1]))]
         for local, more in parts[1:]:
             codes, both = pd.factorize(codes.astype(np.int64) * len(more) + local)
-            values = [(*values[k // len(more)], more[k % len(more)]) for k in both]
-        numbers = np.array([known.setdefault(self._entry(v), (len(known), v))[0] for v in values], np.int64)
-        return numbers[codes] if len(values) else codes
+            places = [*(p[both // len(more)] for p in places), both % len(more)]
+        rows = zip(*([None if v != v else v for v in more[p].tolist()] for p, (_, more) in zip(places, parts, strict=True)), strict=True)
+        return np.array([known.setdefault(v, len(known)) for v in rows], np.int64)[codes]
+
+    def _entries(self, known: dict) -> dict[str, tuple[object, dict[str, int]]]:
+        """By the first key's entry its value and the codes of its fine keys' entries."""
+        masks = [1 << self.bits[c] if c in self.bits else 0 for c in self.keys]
+        first, fine = self.keys.index(self.group_key), [self.keys.index(c) for c in self.fine_keys]
+        by_first: dict[object, dict[str, int]] = {}
+        for row, code in known.items():
+            values = [None if row[-1] & m else v for v, m in zip(row, masks)] if row[-1] else row  # noqa: B905
+            by_first.setdefault(values[first], {})[self._entry([values[k] for k in fine])] = code
+        return {self._entry([value]): (value, entries) for value, entries in by_first.items()}
+
+    def _deal(self, entries: Iterable[str], parts: int) -> dict[int, list[str]]:
+        dealt: dict[int, list[str]] = {}
+        for entry in entries:
+            dealt.setdefault(zlib.crc32(entry.encode()) % parts if parts > 1 else 0, []).append(entry)
+        return dealt
+
+    def _change(self, first: str, value: object, entries: Iterable[str], counted: Callable[[str, int], int], fresh: bool = False) -> None:
+        """Store ``counted(entry, count so far)`` for the entries of one first key."""
+        head = None if fresh else self.counts.getValue((first, 0))
+        parts, words = (1, 0) if head is None else (int(head[0]), int(head[1]))
+        held: dict[int, dict[str, int]] = {} if head is None else {0: json.loads(head[2])}
+
+        def load(part: int) -> dict[str, int]:
+            if part not in held:
+                found = self.counts.getValue((first, part)) if parts > 1 else None
+                held[part] = {} if found is None else json.loads(found[2])
+            return held[part]
+
+        dealt = self._deal(entries, parts)
+        for part, mine in dealt.items():
+            counts = load(part)
+            words -= len(counts)
+            for entry in mine:
+                counts[entry] = counted(entry, counts.get(entry, 0))
+            words += len(counts)
+        changed = {0, *dealt}
+        if words > self.PART * parts:  # four times the room that is used, so this is rare
+            every = {k: n for part in range(parts) for k, n in load(part).items()}
+            parts = 1 << (4 * words // self.PART).bit_length()
+            held = {part: {k: every[k] for k in mine} for part, mine in self._deal(every, parts).items()}
+            held.setdefault(0, {})
+            changed = set(held)
+        for part in changed:
+            self.counts.updateValue((first, part), (parts, words, json.dumps(held[part], ensure_ascii=False)))
+        if head is None and self.keep_ms is not None and value is not None:
+            self.handle.registerTimer(int(value) + self.keep_ms)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        for *values, n in initialState[[*self.fine_keys, self.out_col]].itertuples(index=False):
-            self.counts.updateValue(self._entry(tuple(values)), (int(n),))
-        self._expire_later(key)
+        import numpy as np
 
-    def _expire_later(self, key) -> None:
-        if self.keep_ms is not None and not list(self.handle.listTimers()):
-            self.handle.registerTimer(int(key[0]) + self.keep_ms)
+        known: dict = {}
+        codes = self._codes(initialState, known)
+        totals = np.zeros(len(known), np.int64)
+        totals[codes] = initialState[self.out_col].to_numpy()
+        for first, (value, fine) in self._entries(known).items():
+            self._change(first, value, fine, lambda entry, _, fine=fine: int(totals[fine[entry]]))
 
     def handleInputRows(self, key, rows, timerValues):
         import numpy as np
         import pandas as pd
 
         known: dict = {}
-        codes, orders = [], [[] for _ in self.order_cols]
+        codes, orders, nulls = [], [[] for _ in self.order_cols], []
         for pdf in rows:
             codes.append(self._codes(pdf, known))
+            nulls.append(pdf[self.NULLS].to_numpy())
             for held, c in zip(orders, self.order_cols, strict=True):
                 held.append(pdf[c].to_numpy())
         if not known:
             return
-        code = np.concatenate(codes)
+        code, absent = np.concatenate(codes), np.concatenate(nulls)
+        del codes, nulls
         order = [np.concatenate(held) for held in orders]
-        ranks = [pd.factorize(o, sort=True, use_na_sentinel=False)[0] if o.dtype == object else o for o in order]
+        ranks = []
+        for c, o in zip(self.order_cols, order, strict=True):  # nulls come last
+            ranks += [absent >> self.bits[c] & 1] if c in self.bits else []
+            ranks.append(pd.factorize(o, sort=True, use_na_sentinel=False)[0] if o.dtype == object else o)
         by_key = np.lexsort([*ranks[::-1], code])
         sizes = np.bincount(code, minlength=len(known))
         fresh = not self.counts.exists()
         base = np.zeros(len(known), np.int64)
-        for entry, (k, _) in known.items():
-            before = None if fresh else self.counts.getValue(entry)
-            base[k] = 0 if before is None else before[0]
-            self.counts.updateValue(entry, (int(base[k] + sizes[k]),))
-        self._expire_later(key)
-        first = np.cumsum(sizes) - sizes
+
+        def counted(fine: dict[str, int]) -> Callable[[str, int], int]:
+            def add(entry: str, before: int) -> int:
+                base[fine[entry]] = before
+                return before + int(sizes[fine[entry]])
+
+            return add
+
+        for first, (value, fine) in self._entries(known).items():
+            self._change(first, value, fine, counted(fine), fresh)
+        starts = np.cumsum(sizes) - sizes
         running = np.empty(len(code), np.int64)
-        running[by_key] = base[code[by_key]] + np.arange(len(code)) - first[code[by_key]] + 1
-        fine = [np.array([None if v[k] != v[k] else v[k] for _, v in known.values()], object) for k in range(len(self.fine_keys))]
+        running[by_key] = base[code[by_key]] + np.arange(len(code)) - starts[code[by_key]] + 1
+        del by_key, ranks
+        values = {c: [row[k] for row in known] for k, c in enumerate(self.keys)}
+        values = {c: np.array(v, np.int64 if c in self.bits else object) for c, v in values.items()}
         for start in range(0, len(code), self.FRAME):
             part = slice(start, start + self.FRAME)
-            columns = {self.group_key: [key[0]] * len(code[part])}
-            columns |= {c: pd.Series(f[code[part]], dtype=object) for c, f in zip(self.fine_keys, fine, strict=True)}
+            columns = {c: pd.Series(v[code[part]], dtype=v.dtype) for c, v in values.items()}
             columns |= {c: o[part] for c, o in zip(self.order_cols, order, strict=True)}
-            yield pd.DataFrame({c: columns[c] for c in self.out_cols} | {self.out_col: running[part]})
+            yield pd.DataFrame({c: columns[c] for c in self.out_cols} | {self.out_col: running[part], self.NULLS: absent[part]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.counts.clear()
+        first = self._entry([expiredTimerInfo.getExpiryTimeInMs() - self.keep_ms])
+        head = self.counts.getValue((first, 0))
+        for part in range(0 if head is None else int(head[0])):
+            if self.counts.containsKey((first, part)):
+                self.counts.removeKey((first, part))
         return iter(())
 
     def close(self) -> None:
@@ -266,11 +339,12 @@ class RunningCountProcessor(StatefulProcessor):
 
 def running_counts_per_record(tokens: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
                               out_col: str = "running_cnt", salts: int = 8, expiry: Expiry | None = None,
-                              initial: DataFrame | None = None) -> DataFrame:
+                              initial: DataFrame | None = None, spans: int = 128) -> DataFrame:
     """Streaming per-record running counts: every input record is emitted (``append`` mode)
     with its key's count so far, in arrival order across micro-batches and ``order_cols``
-    order within one. State is grouped by (first key, hash of the other keys mod ``salts``),
-    so a hot first key is spread over ``salts`` groups; each group holds a map of its counts.
+    order within one. State is grouped by (hash of the first key mod ``spans``, hash of the other
+    keys mod ``salts``), so a hot first key is spread over ``salts`` groups and many small ones
+    share a group; each group holds a map of its counts. Neither may change for a checkpoint.
 
     ``expiry`` forgets a bucket when the watermark has passed it (default: counts are kept for
     ever). ``initial`` (keys, ``out_col``) gives stored totals from which the counts go on. Needs
@@ -279,19 +353,30 @@ def running_counts_per_record(tokens: DataFrame, keys: Sequence[str], order_cols
     keys = list(keys)
     cols = list(dict.fromkeys([*keys, *order_cols]))
     rest = keys[1:] or keys
-    salt = F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int").alias("_salt")
+    group = (F.pmod(F.xxhash64(keys[0]), F.lit(spans)) * salts + F.pmod(F.xxhash64(*rest), F.lit(salts))).cast("int").alias("_group")
+    fields = tokens.select(*cols).schema.fields
+    bits = {f.name: i for i, f in enumerate(f for f in fields if isinstance(f.dataType, T.IntegralType))}
+
+    def whole(of: Sequence[str]) -> list:
+        """The columns with 0 for null in whole numbers, and which were null."""
+        null = [F.when(F.col(c).isNull(), F.lit(1 << bits[c])).otherwise(F.lit(0)) for c in of if c in bits]
+        marked = sum(null[1:], null[0]) if null else F.lit(0)
+        return [*(F.coalesce(c, F.lit(0)).alias(c) if c in bits else F.col(c) for c in of), marked.cast("bigint").alias(RunningCountProcessor.NULLS)]
+
     extra = [expiry.event_time_col] if expiry and expiry.event_time_col not in cols else []
     rows = tokens.withWatermark(expiry.event_time_col, expiry.delay) if expiry else tokens
-    rows = rows.select(*cols, *extra, salt)
-    schema = T.StructType(list(tokens.select(*cols).schema.fields) + [T.StructField(out_col, T.LongType())])
-    processor = RunningCountProcessor(keys[0], rest, order_cols, cols, out_col, expiry.keep_ms if expiry else None)
+    rows = rows.select(*whole(cols), *extra, group)
+    schema = T.StructType([*fields, T.StructField(out_col, T.LongType()), T.StructField(RunningCountProcessor.NULLS, T.LongType())])
+    processor = RunningCountProcessor(keys[0], rest, order_cols, cols, bits, out_col, expiry.keep_ms if expiry else None)
     start = None
     if initial is not None:
         typed = [F.col(k).cast(tokens.schema[k].dataType).alias(k) for k in keys]
-        start = initial.select(*typed, F.col(out_col).cast("bigint").alias(out_col)).select("*", salt).groupBy(keys[0], "_salt")
-    return rows.groupBy(keys[0], "_salt").transformWithStateInPandas(
+        start = initial.select(*typed, F.col(out_col).cast("bigint").alias(out_col)).select(*whole(keys), out_col, group).groupBy("_group")
+    out = rows.groupBy("_group").transformWithStateInPandas(
         processor, schema, "Append", "EventTime" if expiry else "None", initialState=start
     )
+    was_null = lambda c: F.col(RunningCountProcessor.NULLS).bitwiseAND(F.lit(1 << bits[c])) != 0
+    return out.select(*(F.when(~was_null(c), F.col(c)).alias(c) if c in bits else F.col(c) for c in cols), out_col)
 
 
 class TickProcessor(StatefulProcessor):
