@@ -241,3 +241,19 @@ def test_stream_queries_of_an_empty_table_give_no_rows(spark, tmp_dir):
     spark.read.parquet(f"{src}/conversations.parquet").limit(0).write.parquet(f"{tmp_dir}/conversations.parquet")
     assert E.queries()["stream_running"](spark, tmp_dir).count() == 0
     assert E.queries()["stream_count_window_batches"](spark, tmp_dir).count() == 0
+
+
+def test_count_window_sink_runs_its_batch_once(spark, tmp_dir):
+    from textpulse.streaming.jobs import count_window_sink
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    batch = spark.range(450).withColumnRenamed("id", "seq").mapInPandas(counted, "seq BIGINT")
+    count_window_sink(f"{tmp_dir}/cw", ["seq"], size=200)(batch, 0)
+    assert seen.value == 450  # a stateful batch is costly, and the range numbering samples its input
+    assert spark.read.parquet(f"{tmp_dir}/cw/out").count() == 400 and not os.listdir(f"{tmp_dir}/cw/rows")

@@ -25,6 +25,7 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, Streaming
 
 from textpulse import fixed
 from textpulse.functions.time import day_of_ms, seconds_to_timestamp
+from textpulse.session import remove_path
 
 BatchSink = Callable[[DataFrame, int], None]
 
@@ -538,7 +539,10 @@ def count_window_sink(root: str, order_cols: Sequence[str], size: int = 200, kee
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = spark_of(batch)
         pending, next_window = read_state(spark, batch_id)
-        rows = batch.withColumn("_b", F.lit(int(batch_id)).cast("bigint"))
+        # written once: the range numbering samples its rows, which would run a stateful batch twice
+        written = f"{root}/rows/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(written)
+        rows = spark.read.schema(batch.schema).parquet(written).withColumn("_b", F.lit(int(batch_id)).cast("bigint"))
         if pending is not None:
             rows = pending.unionByName(rows)
         numbered, sizes = _numbered(rows, [], ["_b", *order_cols], "_rn")
@@ -554,5 +558,6 @@ def count_window_sink(root: str, order_cols: Sequence[str], size: int = 200, kee
         numbered.where(win >= full).drop("_rn").write.mode("overwrite").parquet(f"{state}/pending")
         spark.createDataFrame([(next_window + full,)], "next_window BIGINT").coalesce(1).write.mode(
             "overwrite").json(f"{state}/meta")
+        remove_path(spark, written)
 
     return sink
