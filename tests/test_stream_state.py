@@ -110,3 +110,11 @@ def test_nulls_leave_the_other_rows_whole_numbers(steps):
     for bucket, word, seq, pos, first, later in ((0, "a", big, 0, 1, 4), (0, "a", big + 1, None, 2, 5), (0, "a", None, 0, 3, 6), (None, "a", big, 1, 1, 2), (None, None, None, None, 1, 2)):
         want += [(bucket, word, seq, pos, first), (bucket, word, seq, pos, later)]
     assert got == sorted(want, key=str)
+
+
+def test_stored_totals_of_many_buckets_and_words(spark, steps):
+    totals = spark.range(40_000).selectExpr("id % 2 * 300000 AS bucket_ms", "concat('w', id) AS word", "id + 1 AS running_cnt")
+    rows = [(300_000 * (i % 2), f"w{i}", i, 0, at(0)) for i in range(0, 40_000, 9)]
+    out, sizes = steps([rows], TOKENS, lambda r: running_counts_per_record(r, ["bucket_ms", "word"], ["seq", "pos"], initial=totals))
+    assert sizes[0] <= 2 * 8 * 64  # not one for every word
+    assert sorted((r.seq, r.running_cnt) for r in out.collect()) == [(i, i + 2) for i in range(0, 40_000, 9)]
