@@ -91,3 +91,21 @@ def test_empty_dictionary(spark):
     none = spark.createDataFrame([], "word string, n long")
     for mode in ("lattice", "dictionary"):
         assert [r.word for r in tokenize(df, mode=mode, dictionary=none).orderBy("pos").collect()] == ["天", "地"]
+
+
+def test_segmenting_many_texts_holds_few_python_objects():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from textpulse.operators import segment
+
+    text = [{"run": f"天地{i % 50}", "segmented": i % 2 == 0} for i in range(300)]
+    texts = pa.array([text] * 2_000, pa.list_(pa.struct([("run", pa.string()), ("segmented", pa.bool_())])))
+    tracemalloc.start()
+    got = segment._all_terms(texts, list)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [t for p in text for t in (list(p["run"]) if p["segmented"] else [p["run"]])]
+    assert len(got) == 2_000 and got[0].as_py() == want and got[1_999].as_py() == want
+    assert peak < 60e6  # the runs as dicts alone are 600,000 of over 200 bytes

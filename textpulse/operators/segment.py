@@ -10,7 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ MAX_WORDS, MAX_BYTES = 500_000, 16 << 20
 #: Costs are -1000 times the natural logarithm of a word's share, rounded: whole numbers add up
 #: alike in any order. A character that no word covers counts as half an occurrence.
 SCALE = 1000
+#: UTF-8 bytes of texts that a worker segments at a time.
+PIECE_BYTES = 1 << 20
 
 Matches = Iterable[tuple[int, int, int]]  # (end, length, cost), by end
 
@@ -89,6 +94,39 @@ class Automaton:
         return () if self.empty else ((end + 1, n, cost) for end, (n, cost) in self.found.iter(text))
 
 
+def _terms(texts: pa.ListArray, cut: Callable[[str], list[str]]) -> pa.ListArray:
+    """The terms of every text; each distinct run is cut once, and only if it is ``segmented``."""
+    flat = texts.flatten()
+    runs = flat.field(0).dictionary_encode(null_encoding="encode")
+    kinds = 2 * runs.indices.to_numpy().astype(np.int64) + pc.fill_null(flat.field(1), False).to_numpy(zero_copy_only=False)
+    distinct, kind = np.unique(kinds, return_inverse=True)
+    names = runs.dictionary.take(pa.array(distinct // 2)).to_pylist()
+    known = [cut(run) if segmented else [run] for run, segmented in zip(names, (distinct % 2).tolist(), strict=True)]
+    words = pa.array([t for terms in known for t in terms], pa.string())
+    sizes = np.fromiter(map(len, known), np.int64, len(known))
+    each = sizes[kind]  # the number of terms of every run, and the place of its first one in the output
+    ends = np.cumsum(each)
+    at = np.repeat((np.cumsum(sizes) - sizes)[kind] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
+    of_text = np.concatenate(([0], np.cumsum(pc.fill_null(texts.value_lengths(), 0).to_numpy())))
+    offsets = np.concatenate(([0], ends))[of_text].astype(np.int32)
+    mask = texts.is_null() if texts.null_count else None
+    return pa.ListArray.from_arrays(pa.array(offsets), words.take(pa.array(at)), mask=mask)
+
+
+def _all_terms(texts: pa.ListArray, cut: Callable[[str], list[str]]) -> pa.ListArray:
+    """The terms of every text, for a bounded number of bytes at a time (one text at least):
+    the texts stay in Arrow's buffers, and Python holds the distinct runs of a piece alone."""
+    before = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(texts.flatten().field(0)), 0).to_numpy())))
+    ends = before[np.cumsum(pc.fill_null(texts.value_lengths(), 0).to_numpy())]
+    done, start = [], 0
+    while start < len(texts):
+        most = (ends[start - 1] if start else 0) + PIECE_BYTES
+        end = max(start + 1, int(np.searchsorted(ends, most, side="right")))
+        done.append(_terms(texts.slice(start, end - start), cut))
+        start = end
+    return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.string()))
+
+
 def segment_runs(runs: Column, costs: DataFrame, unknown: int = 0, choice: str = "longest") -> Column | None:
     """The terms of each run in an array of (run, segmented) structs, one after the other; runs that
     are not ``segmented`` stay whole. None if the dictionary is too large to broadcast."""
@@ -98,19 +136,13 @@ def segment_runs(runs: Column, costs: DataFrame, unknown: int = 0, choice: str =
     held = costs.sparkSession.sparkContext.broadcast({"entries": [tuple(r) for r in costs.collect()]})
     pick = CHOICES[choice]
 
-    @F.pandas_udf("array<string>")
-    def segment(batch: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<string>")
+    def segment(batch: pa.Array) -> pa.Array:
         known = held.value  # one per worker, so its automaton is built once
         if "automaton" not in known:
             known["automaton"] = Automaton(known["entries"])
-        matches, seen = known["automaton"].matches, {}
-
-        def terms(run: str) -> list[str]:
-            if run not in seen:
-                seen[run] = pick(run, matches(run), unknown)
-            return seen[run]
-
-        return batch.map(lambda parts: None if parts is None else [t for p in parts for t in (terms(p["run"]) if p["segmented"] else [p["run"]])])
+        matches = known["automaton"].matches
+        return _all_terms(batch, lambda run: pick(run, matches(run), unknown))
 
     return segment(runs)
 
