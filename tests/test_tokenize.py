@@ -109,3 +109,19 @@ def test_segmenting_many_texts_holds_few_python_objects():
     want = [t for p in text for t in (list(p["run"]) if p["segmented"] else [p["run"]])]
     assert len(got) == 2_000 and got[0].as_py() == want and got[1_999].as_py() == want
     assert peak < 60e6  # the runs as dicts alone are 600,000 of over 200 bytes
+
+
+def test_pieces_of_a_batch_equal_the_whole(monkeypatch):
+    import pyarrow as pa
+
+    from textpulse.operators import segment
+
+    kind = pa.list_(pa.struct([("run", pa.string()), ("segmented", pa.bool_())]))
+    rows = [[("abc", True), ("xy", False)], None, [], [("xy", True), (None, False)], [("abc", True)]]
+    texts = pa.array([None if r is None else [{"run": a, "segmented": b} for a, b in r] for r in rows], kind)
+    want = [["a", "b", "c", "xy"], None, [], ["x", "y", None], ["a", "b", "c"]]
+    for most in (1, 4, 1 << 20):
+        monkeypatch.setattr(segment, "PIECE_BYTES", most)
+        assert segment._all_terms(texts, list).to_pylist() == want
+        assert segment._all_terms(texts.slice(1, 3), list).to_pylist() == want[1:4]
+    assert segment._all_terms(texts.slice(0, 0), list).to_pylist() == []
