@@ -1,5 +1,7 @@
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +149,21 @@ def test_failed_table_write_leaves_nothing(spark, tmp_dir):
     assert record_log(spark, tmp_dir, "t", stream=False).count() == 0
     append_to_log(df, tmp_dir, "t", "k")
     assert record_log(spark, tmp_dir, "t", stream=False).count() == 30
+
+
+def test_small_batches_are_gathered_before_they_are_written(tmp_dir, monkeypatch):
+    schema = pa.schema([("key", pa.string()), ("value", pa.string()), ("partition", pa.int32()), ("timestamp", pa.timestamp("us", "UTC"))])
+
+    def batches():
+        for b in range(40):
+            yield pa.RecordBatch.from_pydict({"key": [None] * 16, "value": [f"{b}-{i}" for i in range(16)], "partition": [i % 8 for i in range(16)], "timestamp": [0] * 16}, schema=schema)
+
+    folder = TopicFolder(tmp_dir, "t")
+    staged = folder.stage(batches(), "w")
+    files = [pq.ParquetFile(os.path.join(staged.folder, f)) for f in sorted(os.listdir(staged.folder))]
+    assert [f.num_row_groups for f in files] == [1] * 8  # not one for every batch
+    assert [f.read()["value"].to_pylist() for f in files] == [[f"{b}-{i}" for b in range(40) for i in (p, p + 8)] for p in range(8)]
+    monkeypatch.setattr("textpulse.sources.record_log.STAGE_RECORDS", 100)
+    staged = folder.stage(batches(), "w")
+    assert {pq.ParquetFile(os.path.join(staged.folder, f)).num_row_groups for f in os.listdir(staged.folder)} == {6}  # bounded
+    assert folder.stage(iter(()), "w").folder is None

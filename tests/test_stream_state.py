@@ -1,11 +1,12 @@
 """State of the streaming jobs over several micro-batches and restarts: expiry, initial totals, timers."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from textpulse.operators.timeseries import snapshot
 from textpulse.sources.record_log import append_to_log, record_log
-from textpulse.streaming.jobs import Expiry, rocksdb_state, run_until_idle, running_counts_per_record, tick_totals, write_updates
+from textpulse.streaming.jobs import Expiry, RunningCountProcessor, rocksdb_state, run_until_idle, running_counts_per_record, tick_totals, write_updates
 
 TOKENS = "bucket_ms long, word string, seq long, pos int, at timestamp"
 
@@ -118,3 +119,64 @@ def test_stored_totals_of_many_buckets_and_words(spark, steps):
     out, sizes = steps([rows], TOKENS, lambda r: running_counts_per_record(r, ["bucket_ms", "word"], ["seq", "pos"], initial=totals))
     assert sizes[0] <= 2 * 8 * 64  # not one for every word
     assert sorted((r.seq, r.running_cnt) for r in out.collect()) == [(i, i + 2) for i in range(0, 40_000, 9)]
+
+
+class HeldState:
+    """A processor's handle and map state, in a dict."""
+
+    def __init__(self):
+        self.held, self.written = {}, 0
+
+    def getMapState(self, *_):
+        return self
+
+    def exists(self):
+        return bool(self.held)
+
+    def getValue(self, key):
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.held[key], self.written = value, self.written + 1
+
+
+def test_an_entry_is_made_once_for_all_buckets(monkeypatch):
+    made, entry = [], RunningCountProcessor._entry
+    monkeypatch.setattr(RunningCountProcessor, "_entry", staticmethod(lambda values: made.append(values) or entry(values)))
+    pairs = [(300_000 * b, f"w{w}") for b in range(60) for w in range(80)]
+    totals = pd.DataFrame([(b, w, i, 0) for i, (b, w) in enumerate(pairs)], columns=["bucket_ms", "word", "running_cnt", "nulls_in_row"])
+    rows = pd.DataFrame([(b, w, i, 0, 0) for i, (b, w) in enumerate(pairs + pairs[::3])], columns=["bucket_ms", "word", "seq", "pos", "nulls_in_row"])
+    processor, state = RunningCountProcessor("bucket_ms", ["word"], ["seq", "pos"], ["bucket_ms", "word", "seq", "pos"], {"bucket_ms": 0, "seq": 1, "pos": 2}), HeldState()
+    processor.init(state)
+    processor.handleInitialState((0,), totals, None)
+    out = pd.concat(processor.handleInputRows((0,), iter([rows[:3000], rows[3000:]]), None))
+    assert len(made) <= 2 * (60 + 80)  # not one for every word of every bucket
+    assert state.written == 2 * 60
+    again = {k: i + 2 for i, k in enumerate(pairs)}
+    got = {r.seq: (r.bucket_ms, r.word, r.running_cnt) for r in out.itertuples()}
+    assert got == {**{i: (*k, i + 1) for i, k in enumerate(pairs)}, **{len(pairs) + i: (*k, again[k]) for i, k in enumerate(pairs[::3])}}
+
+
+def test_two_fine_keys_and_a_null_among_them():
+    columns = ["a", "b", "c", "seq"]
+    rows = [(1, "x", 5, 0, 0), (1, "x", 5, 1, 0), (1, "x", 0, 2, 4), (1, None, 0, 3, 4), (2, "x", 5, 4, 0), (1, "x", 0, 5, 0), (0, "x", 5, 6, 1), (1, "x", 0, 7, 4)]
+    processor = RunningCountProcessor("a", ["b", "c"], ["seq"], columns, {"a": 0, "seq": 1, "c": 2})
+    processor.init(HeldState())
+    frames = [pd.DataFrame(part, columns=[*columns, "nulls_in_row"]) for part in (rows[:5], rows[5:])]
+    runs = [pd.concat(processor.handleInputRows((0,), iter(frames), None)) for _ in range(2)]
+    assert runs[0].running_cnt.tolist() == [1, 2, 1, 1, 1, 1, 1, 2] and runs[1].running_cnt.tolist() == [3, 4, 3, 2, 2, 2, 2, 4]
+    assert runs[0].c.tolist() == [5, 5, 0, 0, 5, 0, 5, 0] and [v if isinstance(v, str) else None for v in runs[0].b] == ["x", "x", "x", None, "x", "x", "x", "x"]
+
+
+def test_stored_totals_come_in_order_of_their_bucket(spark, steps):
+    totals = spark.createDataFrame([(b, f"w{w}", 1) for w in range(30) for b in range(20)], "bucket_ms long, word string, running_cnt long")
+    plans = []
+
+    def build(rows):
+        out = running_counts_per_record(rows, ["bucket_ms", "word"], ["seq", "pos"], initial=totals, salts=1, spans=1)
+        plans.append(out._jdf.queryExecution().analyzed().toString())
+        return out
+
+    out, _ = steps([[(b, "w3", b, 0, at(0)) for b in range(20)]], TOKENS, build)
+    assert "Sort [_group" in plans[0] and "RepartitionByExpression [_group" in plans[0]
+    assert {r.running_cnt for r in out.collect()} == {2}

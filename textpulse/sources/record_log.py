@@ -42,6 +42,8 @@ from pyspark.sql.streaming import StreamingQuery
 ENVELOPE = "key string, value string, topic string, partition int, offset bigint, timestamp timestamp"
 #: Records of one partition that one task reads.
 TASK_RECORDS = 1_000_000
+#: Records, and bytes, that a writing task gathers before it writes them (one batch at least).
+STAGE_RECORDS, STAGE_BYTES = 200_000, 32 << 20
 _ARROW = pa.schema(
     [("key", pa.string()), ("value", pa.string()), ("topic", pa.string()), ("partition", pa.int32()), ("offset", pa.int64()), ("timestamp", pa.timestamp("us", "UTC"))]
 )
@@ -123,17 +125,29 @@ class TopicFolder:
         return posixpath.join(self.path, "_staging", writer)
 
     def stage(self, batches: Iterator[pa.RecordBatch], writer: str) -> Staged:
-        """Write one task's records aside, one file per partition."""
+        """Write one task's records aside, one file per partition. Batches are gathered up to a
+        bound, because every write is a row group in each partition's file."""
         folder = posixpath.join(self._aside(writer), uuid.uuid4().hex)
         writers: dict[int, pq.ParquetWriter] = {}
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for p in sorted(set(table.column("partition").to_pylist())):
+        held: list[pa.RecordBatch] = []
+
+        def write() -> None:
+            table = pa.Table.from_batches(held)
+            held.clear()
+            dealt = table.column("partition").combine_chunks()
+            stored = table.select(_STORED.names).cast(_STORED)
+            for p in sorted(pc.unique(dealt).to_pylist()):
                 if p not in writers:
                     self.fs.create_dir(folder, recursive=True)
                     writers[p] = pq.ParquetWriter(posixpath.join(folder, f"p{p:05d}-{uuid.uuid4().hex[:12]}.parquet"), _STORED, filesystem=self.fs)
-                mine = table.filter(pc.equal(table.column("partition"), p))
-                writers[p].write_table(mine.select(_STORED.names).cast(_STORED))
+                writers[p].write_table(stored.filter(pc.equal(dealt, p)))
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= STAGE_RECORDS or sum(b.nbytes for b in held) >= STAGE_BYTES:
+                write()
+        if held:
+            write()
         for file in writers.values():
             file.close()
         return Staged(folder if writers else None)

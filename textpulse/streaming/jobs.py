@@ -183,8 +183,8 @@ class RunningCountProcessor(StatefulProcessor):
     key to the counts of its fine keys in JSON; counts of more than ``PART`` fine keys are dealt to
     several entries by the fine key's CRC-32, so that a micro-batch rewrites no more than the
     entries of its own words. Within a micro-batch a key's rows are numbered in ``order_cols``
-    order, continuing from the stored count: the rows are held as plain arrays (a code and the
-    order columns) and come out in small frames. With ``keep_ms`` a timer removes a first key's
+    order, continuing from the stored count: the rows are held as plain arrays (numbers for the keys'
+    values, and the order columns) and come out in small frames. With ``keep_ms`` a timer removes a first key's
     counts when the watermark has passed it.
 
     Whole numbers come with a 0 for each null and the set of the null columns in ``NULLS`` (by the
@@ -208,39 +208,59 @@ class RunningCountProcessor(StatefulProcessor):
             return "" if values[0] is None or values[0] != values[0] else f"={values[0]}"
         return json.dumps([None if v is None or v != v else str(v) for v in values], ensure_ascii=False)
 
-    def _codes(self, pdf, known: dict):
-        """The number of each row's key, (first and fine key values, nulls); new keys get the next numbers."""
+    def _columns(self, pdf, known: Mapping[str, dict]) -> list:
+        """By key column the number of each row's value; new values get the next numbers in ``known``."""
         import numpy as np
         import pandas as pd
 
-        key_bits = sum(1 << self.bits[c] for c in self.keys if c in self.bits)
-        parts = [pd.factorize(pdf[c], use_na_sentinel=False) for c in self.keys]
-        parts.append(pd.factorize(pdf[self.NULLS] & key_bits))
-        codes, places = parts[0][0], [np.arange(len(parts[0][1]))]
-        for local, more in parts[1:]:
-            codes, both = pd.factorize(codes.astype(np.int64) * len(more) + local)
-            places = [*(p[both // len(more)] for p in places), both % len(more)]
-        rows = zip(*([None if v != v else v for v in more[p].tolist()] for p, (_, more) in zip(places, parts, strict=True)), strict=True)
-        return np.array([known.setdefault(v, len(known)) for v in rows], np.int64)[codes]
-
-    def _entries(self, known: dict) -> dict[str, tuple[object, dict[str, int]]]:
-        """By the first key's entry its value and the codes of its fine keys' entries."""
-        masks = [1 << self.bits[c] if c in self.bits else 0 for c in self.keys]
-        first, fine = self.keys.index(self.group_key), [self.keys.index(c) for c in self.fine_keys]
-        by_first: dict[object, dict[str, int]] = {}
-        for row, code in known.items():
-            values = [None if row[-1] & m else v for v, m in zip(row, masks)] if row[-1] else row  # noqa: B905
-            by_first.setdefault(values[first], {})[self._entry([values[k] for k in fine])] = code
-        return {self._entry([value]): (value, entries) for value, entries in by_first.items()}
-
-    def _deal(self, entries: Iterable[str], parts: int) -> dict[int, list[str]]:
-        dealt: dict[int, list[str]] = {}
-        for entry in entries:
-            dealt.setdefault(zlib.crc32(entry.encode()) % parts if parts > 1 else 0, []).append(entry)
-        return dealt
-
-    def _change(self, first: str, value: object, entries: Iterable[str], counted: Callable[[str, int], int], fresh: bool = False) -> None:
-        """Store ``counted(entry, count so far)`` for the entries of one first key."""
+        out = []
+        for c in self.keys:
+            codes, more = pd.factorize(pdf[c], use_na_sentinel=False)
+            of, values = known[c], (None if v != v else v for v in more.tolist())
+            numbers = np.array([of.setdefault(v, len(of)) for v in values], np.int32)[codes]
+            if c in self.bits:  # a null came as 0
+                null = (pdf[self.NULLS].to_numpy() >> self.bits[c] & 1).astype(bool)
+                if null.any():
+                    numbers[null] = of.setdefault(None, len(of))
+            out.append(numbers)
+        return out
+
+    def _distinct(self, columns: Sequence, known: Mapping[str, dict]):
+        """The number of each row's key, and by first key its value, the range of its keys' numbers
+        and their fine keys' entries. An entry is made once for all first keys."""
+        import numpy as np
+
+        values = [list(known[c]) for c in self.keys]
+        fine_at = [self.keys.index(c) for c in self.fine_keys]
+        fine = columns[fine_at[0]].astype(np.int64)
+        names = [(v,) for v in values[fine_at[0]]]
+        for k in fine_at[1:]:
+            both, fine = np.unique(fine * len(values[k]) + columns[k], return_inverse=True)
+            names = [(*names[x // len(values[k])], values[k][x % len(values[k])]) for x in both.tolist()]
+        entries = np.array([self._entry(v) for v in names], object)
+        at = self.keys.index(self.group_key)
+        distinct, code = np.unique(columns[at] * np.int64(len(names)) + fine, return_inverse=True)
+        firsts, mine = distinct // len(names), entries[distinct % len(names)].tolist()
+        starts = np.flatnonzero(np.diff(firsts, prepend=-1)).tolist()
+        parts = [(values[at][firsts[lo]], lo, hi, mine[lo:hi]) for lo, hi in zip(starts, [*starts[1:], len(mine)], strict=True)]
+        return code, parts
+
+    def _deal(self, entries: Sequence[str], parts: int) -> dict:
+        """By part the places of its entries."""
+        import numpy as np
+
+        if parts == 1:
+            return {0: np.arange(len(entries))}
+        part = np.fromiter((zlib.crc32(e.encode()) for e in entries), np.int64, len(entries)) % parts
+        places = np.argsort(part, kind="stable")
+        found, starts = np.unique(part[places], return_index=True)
+        return dict(zip(found.tolist(), np.split(places, starts[1:]), strict=True))
+
+    def _change(self, value: object, entries: Sequence[str], amounts, add: bool, fresh: bool = False):
+        """Add the amounts to the counts of the entries of one first key, or store them; the counts before."""
+        import numpy as np
+
+        first = self._entry([value])
         head = None if fresh else self.counts.getValue((first, 0))
         parts, words = (1, 0) if head is None else (int(head[0]), int(head[1]))
         held: dict[int, dict[str, int]] = {} if head is None else {0: json.loads(head[2])}
@@ -251,80 +271,79 @@ class RunningCountProcessor(StatefulProcessor):
                 held[part] = {} if found is None else json.loads(found[2])
             return held[part]
 
+        before = np.zeros(len(entries), np.int64)
         dealt = self._deal(entries, parts)
-        for part, mine in dealt.items():
+        for part, places in dealt.items():
             counts = load(part)
             words -= len(counts)
-            for entry in mine:
-                counts[entry] = counted(entry, counts.get(entry, 0))
+            mine = [entries[k] for k in places.tolist()]
+            before[places] = [counts.get(e, 0) for e in mine]
+            counts.update(zip(mine, (amounts[places] + (before[places] if add else 0)).tolist(), strict=True))
             words += len(counts)
         changed = {0, *dealt}
         if words > self.PART * parts:  # four times the room that is used, so this is rare
             every = {k: n for part in range(parts) for k, n in load(part).items()}
             parts = 1 << (4 * words // self.PART).bit_length()
-            held = {part: {k: every[k] for k in mine} for part, mine in self._deal(every, parts).items()}
+            stored = list(every)
+            held = {part: {stored[k]: every[stored[k]] for k in places.tolist()} for part, places in self._deal(stored, parts).items()}
             held.setdefault(0, {})
             changed = set(held)
         for part in changed:
             self.counts.updateValue((first, part), (parts, words, json.dumps(held[part], ensure_ascii=False)))
         if head is None and self.keep_ms is not None and value is not None:
             self.handle.registerTimer(int(value) + self.keep_ms)
+        return before
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         import numpy as np
 
-        known: dict = {}
-        codes = self._codes(initialState, known)
-        totals = np.zeros(len(known), np.int64)
-        totals[codes] = initialState[self.out_col].to_numpy()
-        for first, (value, fine) in self._entries(known).items():
-            self._change(first, value, fine, lambda entry, _, fine=fine: int(totals[fine[entry]]))
+        known: dict[str, dict] = {c: {} for c in self.keys}
+        code, parts = self._distinct(self._columns(initialState, known), known)
+        totals = np.zeros(parts[-1][2] if parts else 0, np.int64)
+        totals[code] = initialState[self.out_col].to_numpy()
+        for value, lo, hi, entries in parts:
+            self._change(value, entries, totals[lo:hi], add=False)
 
     def handleInputRows(self, key, rows, timerValues):
         import numpy as np
         import pandas as pd
 
-        known: dict = {}
-        codes, orders, nulls = [], [[] for _ in self.order_cols], []
+        known: dict[str, dict] = {c: {} for c in self.keys}
+        columns, orders, nulls = [[] for _ in self.keys], [[] for _ in self.order_cols], []
         for pdf in rows:
-            codes.append(self._codes(pdf, known))
+            for held, numbers in zip(columns, self._columns(pdf, known), strict=True):
+                held.append(numbers)
             nulls.append(pdf[self.NULLS].to_numpy())
             for held, c in zip(orders, self.order_cols, strict=True):
                 held.append(pdf[c].to_numpy())
-        if not known:
+        if not sum(map(len, nulls)):
             return
-        code, absent = np.concatenate(codes), np.concatenate(nulls)
-        del codes, nulls
+        columns, absent = [np.concatenate(held) for held in columns], np.concatenate(nulls)
+        code, parts = self._distinct(columns, known)
         order = [np.concatenate(held) for held in orders]
+        del orders, nulls
         ranks = []
         for c, o in zip(self.order_cols, order, strict=True):  # nulls come last
             ranks += [absent >> self.bits[c] & 1] if c in self.bits else []
             ranks.append(pd.factorize(o, sort=True, use_na_sentinel=False)[0] if o.dtype == object else o)
         by_key = np.lexsort([*ranks[::-1], code])
-        sizes = np.bincount(code, minlength=len(known))
+        sizes = np.bincount(code)
         fresh = not self.counts.exists()
-        base = np.zeros(len(known), np.int64)
-
-        def counted(fine: dict[str, int]) -> Callable[[str, int], int]:
-            def add(entry: str, before: int) -> int:
-                base[fine[entry]] = before
-                return before + int(sizes[fine[entry]])
-
-            return add
-
-        for first, (value, fine) in self._entries(known).items():
-            self._change(first, value, fine, counted(fine), fresh)
+        base = np.concatenate([self._change(value, entries, sizes[lo:hi], add=True, fresh=fresh) for value, lo, hi, entries in parts])
         starts = np.cumsum(sizes) - sizes
         running = np.empty(len(code), np.int64)
         running[by_key] = base[code[by_key]] + np.arange(len(code)) - starts[code[by_key]] + 1
-        del by_key, ranks
-        values = {c: [row[k] for row in known] for k, c in enumerate(self.keys)}
-        values = {c: np.array(v, np.int64 if c in self.bits else object) for c, v in values.items()}
-        for start in range(0, len(code), self.FRAME):
+        del by_key, ranks, code
+        values = {}
+        for c in self.keys:
+            values[c] = np.empty(len(known[c]), np.int64 if c in self.bits else object)
+            values[c][:] = [0 if v is None and c in self.bits else v for v in known[c]]
+        numbers = dict(zip(self.keys, columns, strict=True))
+        for start in range(0, len(running), self.FRAME):
             part = slice(start, start + self.FRAME)
-            columns = {c: pd.Series(v[code[part]], dtype=v.dtype) for c, v in values.items()}
-            columns |= {c: o[part] for c, o in zip(self.order_cols, order, strict=True)}
-            yield pd.DataFrame({c: columns[c] for c in self.out_cols} | {self.out_col: running[part], self.NULLS: absent[part]})
+            frame = {c: pd.Series(v[numbers[c][part]], dtype=v.dtype) for c, v in values.items()}
+            frame |= {c: o[part] for c, o in zip(self.order_cols, order, strict=True)}
+            yield pd.DataFrame({c: frame[c] for c in self.out_cols} | {self.out_col: running[part], self.NULLS: absent[part]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         first = self._entry([expiredTimerInfo.getExpiryTimeInMs() - self.keep_ms])
@@ -372,7 +391,9 @@ def running_counts_per_record(tokens: DataFrame, keys: Sequence[str], order_cols
     start = None
     if initial is not None:
         typed = [F.col(k).cast(tokens.schema[k].dataType).alias(k) for k in keys]
-        start = initial.select(*typed, F.col(out_col).cast("bigint").alias(out_col)).select(*whole(keys), out_col, group).groupBy("_group")
+        totals = initial.select(*typed, F.col(out_col).cast("bigint").alias(out_col)).select(*whole(keys), out_col, group)
+        # a group comes in batches: in order, a first key's totals lie in one of them (two at a batch's end), not a few in each
+        start = totals.repartition("_group").sortWithinPartitions("_group", keys[0]).groupBy("_group")
     out = rows.groupBy("_group").transformWithStateInPandas(
         processor, schema, "Append", "EventTime" if expiry else "None", initialState=start
     )
