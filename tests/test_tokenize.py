@@ -125,3 +125,27 @@ def test_pieces_of_a_batch_equal_the_whole(monkeypatch):
         assert segment._all_terms(texts, list).to_pylist() == want
         assert segment._all_terms(texts.slice(1, 3), list).to_pylist() == want[1:4]
     assert segment._all_terms(texts.slice(0, 0), list).to_pylist() == []
+
+
+def test_terms_of_a_batch_are_handed_back_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from textpulse.operators import segment
+
+    kind = pa.list_(pa.struct([("run", pa.string()), ("segmented", pa.bool_())]))
+    rows = [None if i % 7 == 3 else [{"run": f"ab{i}", "segmented": i % 2 == 0}] * (i % 5) for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(rows, kind)], names=["id", "runs"])
+    monkeypatch.setattr(segment, "PIECE_BYTES", 100)
+    done = list(segment._replaced(iter([batch, batch.slice(0, 0), batch.slice(50, 20)]), list))
+    assert len(done) > 10 and max(map(len, done)) < 40  # not one for every batch
+    want = {i: None if r is None else [t for x in r for t in (list(x["run"]) if x["segmented"] else [x["run"]])] for i, r in enumerate(rows)}
+    got = [(r["id"], r["runs"]) for b in done for r in b.to_pylist()]
+    assert got == [(i, want[i]) for i in [*range(200), *range(50, 70)]]
+
+
+def test_columns_that_are_kept_stay_as_they_are(spark):
+    df = spark.sql("select 1 as id, timestamp '2024-01-01 00:00:00' as at, cast(null as decimal(9,2)) as d, array('x', null) as a, named_struct('b', 2) as s, '天地ab' as text union all select 2, null, 1.5, null, null, null")
+    dictionary = spark.createDataFrame([("天地",)], "word string")
+    out = tokenize(df, mode="dictionary", dictionary=dictionary)
+    assert out.dtypes[:5] == df.dtypes[:5]
+    assert sorted(map(str, out.collect())) == sorted(map(str, df.where("id = 1").selectExpr("id", "at", "d", "a", "s", "posexplode(array('天地', 'ab')) as (pos, word)").selectExpr("id", "at", "d", "a", "s", "bigint(pos) as pos", "word").collect()))

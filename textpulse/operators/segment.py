@@ -8,22 +8,23 @@ the distinct runs instead; the walk is the same.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Largest dictionary (words, UTF-8 bytes) that is broadcast.
 MAX_WORDS, MAX_BYTES = 500_000, 16 << 20
 #: Costs are -1000 times the natural logarithm of a word's share, rounded: whole numbers add up
 #: alike in any order. A character that no word covers counts as half an occurrence.
 SCALE = 1000
-#: UTF-8 bytes of texts that a worker segments at a time.
-PIECE_BYTES = 1 << 20
+#: UTF-8 bytes of texts that a worker segments, and hands back, at a time.
+PIECE_BYTES = 1 << 18
 
 Matches = Iterable[tuple[int, int, int]]  # (end, length, cost), by end
 
@@ -113,38 +114,54 @@ def _terms(texts: pa.ListArray, cut: Callable[[str], list[str]]) -> pa.ListArray
     return pa.ListArray.from_arrays(pa.array(offsets), words.take(pa.array(at)), mask=mask)
 
 
-def _all_terms(texts: pa.ListArray, cut: Callable[[str], list[str]]) -> pa.ListArray:
-    """The terms of every text, for a bounded number of bytes at a time (one text at least):
-    the texts stay in Arrow's buffers, and Python holds the distinct runs of a piece alone."""
+def _pieces(texts: pa.ListArray, cut: Callable[[str], list[str]]) -> Iterator[tuple[int, pa.ListArray]]:
+    """(first text, the terms of every text) for a bounded number of bytes at a time (one text at
+    least): the texts stay in Arrow's buffers, and Python holds the distinct runs of a piece alone."""
     before = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(texts.flatten().field(0)), 0).to_numpy())))
     ends = before[np.cumsum(pc.fill_null(texts.value_lengths(), 0).to_numpy())]
-    done, start = [], 0
+    start = 0
     while start < len(texts):
         most = (ends[start - 1] if start else 0) + PIECE_BYTES
         end = max(start + 1, int(np.searchsorted(ends, most, side="right")))
-        done.append(_terms(texts.slice(start, end - start), cut))
+        yield start, _terms(texts.slice(start, end - start), cut)
         start = end
-    return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.string()))
 
 
-def segment_runs(runs: Column, costs: DataFrame, unknown: int = 0, choice: str = "longest") -> Column | None:
-    """The terms of each run in an array of (run, segmented) structs, one after the other; runs that
-    are not ``segmented`` stay whole. None if the dictionary is too large to broadcast."""
+def _all_terms(texts: pa.ListArray, cut: Callable[[str], list[str]]) -> pa.ListArray:
+    """The terms of every text, at once."""
+    return pa.concat_arrays([pa.array([], pa.list_(pa.string())), *(terms for _, terms in _pieces(texts, cut))])
+
+
+def _replaced(batches: Iterable[pa.RecordBatch], cut: Callable[[str], list[str]]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches with the terms in place of the last column, a piece at a time."""
+    for batch in batches:
+        for start, terms in _pieces(batch.column(batch.num_columns - 1), cut):
+            kept = batch.slice(start, len(terms)).columns[:-1]
+            yield pa.RecordBatch.from_arrays([*kept, terms], names=batch.schema.names)
+            del terms
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
+def segment_runs(texts: DataFrame, costs: DataFrame, unknown: int = 0, choice: str = "longest") -> DataFrame | None:
+    """The rows with, in place of the last column, an array of (run, segmented) structs, the terms
+    of each run, one after the other; runs that are not ``segmented`` stay whole. None if the
+    dictionary is too large to broadcast."""
     n, size = costs.limit(MAX_WORDS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
     if n > MAX_WORDS or size > MAX_BYTES:
         return None
     held = costs.sparkSession.sparkContext.broadcast({"entries": [tuple(r) for r in costs.collect()]})
     pick = CHOICES[choice]
 
-    @F.arrow_udf("array<string>")
-    def segment(batch: pa.Array) -> pa.Array:
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value  # one per worker, so its automaton is built once
         if "automaton" not in known:
             known["automaton"] = Automaton(known["entries"])
         matches = known["automaton"].matches
-        return _all_terms(batch, lambda run: pick(run, matches(run), unknown))
+        return _replaced(batches, lambda run: pick(run, matches(run), unknown))
 
-    return segment(runs)
+    *kept, last = texts.schema.fields
+    return texts.mapInArrow(segment, T.StructType([*kept, T.StructField(last.name, T.ArrayType(T.StringType()))]))
 
 
 def segment_by_join(runs: DataFrame, costs: DataFrame, unknown: int = 0, choice: str = "longest") -> DataFrame:

@@ -36,9 +36,10 @@ def _segmented(messages: DataFrame, text: Column, dictionary: DataFrame, choice:
     kept = [F.col(f"`{c}`") for c in keep]
     is_han = lambda run: run.rlike(r"^\p{IsHan}")
     runs = F.regexp_extract_all(text, F.lit(_RUNS), 0)
-    terms = segment_runs(F.transform(runs, lambda run: F.struct(run.alias("run"), is_han(run).alias("segmented"))), costs, unknown, choice)
-    if terms is not None:  # no shuffle: every task segments its own messages
-        return messages.select(*kept, F.posexplode(terms).alias("pos", word_col)).withColumn("pos", F.col("pos").cast("bigint"))
+    marked = F.transform(runs, lambda run: F.struct(run.alias("run"), is_han(run).alias("segmented")))
+    segmented = segment_runs(messages.select(*kept, marked.alias("_terms")), costs, unknown, choice)
+    if segmented is not None:  # no shuffle: every task segments its own messages
+        return segmented.select(*kept, F.posexplode("_terms").alias("pos", word_col)).withColumn("pos", F.col("pos").cast("bigint"))
     source = F.struct(*kept).alias("source") if keep else F.lit(1).alias("source")
     listed = messages.select(source, F.posexplode(runs).alias("run_no", "run"))
     han = listed.where(is_han(F.col("run")))
